@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineStage
+from pyspark.ml import Estimator, Transformer
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -27,12 +27,12 @@ def feature_types(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
     return {c: df.schema[c].dataType.simpleString() for c in features}
 
 
-def stages(df: DataFrame, features: Sequence[str], prep: Preparation = Preparation()) -> list[PipelineStage]:
+def stages(df: DataFrame, features: Sequence[str], prep: Preparation = Preparation()) -> list[Estimator | Transformer]:
     """Stages that turn the feature columns into the vector ``features``."""
     texts = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
     if texts and not prep.encode:
         raise SchemaError(f"text features need encoding: {texts}")
-    out: list[PipelineStage] = []
+    out: list[Estimator | Transformer] = []
     inputs = list(features)
     numbers = [c for c in features if isinstance(df.schema[c].dataType, T.NumericType)]
     if prep.impute and numbers:
