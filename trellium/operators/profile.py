@@ -19,14 +19,15 @@ RECORD_PREVIEW_ROWS = 5
 RAW_PREVIEW_LINES = 8
 
 
-def _dataset(path: Column, unit: str) -> Column:
+def dataset_of(path: Column, unit: str) -> Column:
+    """The data set a file belongs to: itself, or its folder."""
     return path if unit == "file" else F.regexp_replace(path, r"/[^/]*$", "")
 
 
 def read_lines(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
     """``dataset, file, block, seq, value``: physical lines in file order by (file, block, seq)."""
     return spark.read.text(_paths(paths), recursiveFileLookup=True).select(
-        _dataset(F.col("_metadata.file_path"), unit).alias("dataset"),
+        dataset_of(F.col("_metadata.file_path"), unit).alias("dataset"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
@@ -42,7 +43,7 @@ def list_datasets(spark: SparkSession, paths: Paths, unit: str = "file") -> Data
         .load(_paths(paths))
         .select(F.col("path"), F.col("length"))
     )
-    return files.groupBy(_dataset(F.col("path"), unit).alias("dataset")).agg(
+    return files.groupBy(dataset_of(F.col("path"), unit).alias("dataset")).agg(
         F.sum("length").alias("n_bytes"), F.count("*").alias("n_files")
     )
 
@@ -85,9 +86,9 @@ def first_records(lines: DataFrame, n: int) -> DataFrame:
         take *= 8
 
 
-def file_headers(spark: SparkSession, paths: Paths) -> DataFrame:
-    """``dataset, header``: column names of each file's first record."""
-    heads = first_records(read_lines(spark, paths), 1)
+def file_headers(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
+    """``dataset, header``: column names of each data set's first record."""
+    heads = first_records(read_lines(spark, paths, unit), 1)
     return heads.select("dataset", header_names(F.get("records", F.lit(0))).alias("header"))
 
 

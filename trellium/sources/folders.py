@@ -48,6 +48,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    jpath, fs = _hadoop_path(spark, path)
+    return fs.getFileStatus(jpath).isDirectory()
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete versions under ``root``, oldest first."""
     jpath, fs = _hadoop_path(spark, root)
