@@ -19,20 +19,23 @@ def _holds_map(kind: T.DataType) -> bool:
     return False
 
 
-def row_struct(df: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+def row_pick(df: DataFrame, pick: str, first: Sequence[str] = (), lead: Column | None = None) -> Column:
+    """Aggregate giving the whole ``min`` or ``max`` row of a group as a struct.
 
-
-def row_order(df: DataFrame, first: Sequence[str] = ()) -> Column:
-    """Struct that orders rows by ``first`` and then by every other column.
-
-    Maps have no order in Spark; they enter as JSON text.
+    Rows are ordered by ``lead``, then the columns of ``first``, then all other
+    columns. Maps have no order in Spark and count as JSON text.
     """
     names = [*first, *[c for c in df.columns if c not in first]]
-    parts = []
-    for i, name in enumerate(names):
-        column = F.col(f"`{name}`")
-        if _holds_map(df.schema[name].dataType):
-            column = F.to_json(F.struct(column))
-        parts.append(column.alias(f"o{i}"))
-    return F.struct(*parts)
+    columns = [F.col(f"`{c}`") for c in names]
+    leads = [] if lead is None else [lead.alias("_lead")]
+    if not any(_holds_map(df.schema[c].dataType) for c in names):
+        return (F.min if pick == "min" else F.max)(F.struct(*leads, *columns))
+    order = [
+        F.to_json(F.struct(c)) if _holds_map(df.schema[n].dataType) else c for n, c in zip(names, columns)
+    ]
+    by = F.min_by if pick == "min" else F.max_by
+    return by(F.struct(*columns), F.struct(*leads, *[c.alias(f"o{i}") for i, c in enumerate(order)]))
+
+
+def unpack(struct: str, names: Sequence[str]) -> list[Column]:
+    return [F.col(f"{struct}.`{c}`").alias(c) for c in names]

@@ -122,6 +122,11 @@ def artifact_rank(kind: Column | str) -> Column:
     return expr
 
 
+def decoded_path(path: Column | str) -> Column:
+    """Path as the user writes it; ``_metadata.file_path`` comes URL-encoded."""
+    return F.url_decode(F.replace(_c(path), F.lit("+"), F.lit("%2B")))
+
+
 def plain_path(path: Column | str) -> Column:
     """Path without ``file:`` and trailing slashes, so that two spellings compare equal."""
     return F.regexp_replace(F.regexp_replace(_c(path), r"^file:/+", "/"), r"/+$", "")

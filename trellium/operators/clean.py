@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellium.functions.feature_lists import fold, folded_names, require_target
-from trellium.functions.rows import row_order, row_struct
+from trellium.functions.rows import row_pick, unpack
 
 
 def fold_columns(df: DataFrame) -> DataFrame:
@@ -33,14 +33,12 @@ def one_row_per_id(
         return df
     if any_row:
         return df.dropDuplicates([id_column])
-    best = F.min_by(row_struct(df), row_order(df, order_by or ())).alias("r")
-    return df.groupBy(F.col(f"`{id_column}`").alias("_key")).agg(best).select("r.*")
+    best = row_pick(df, "min", order_by or ()).alias("r")
+    return df.groupBy(F.col(f"`{id_column}`").alias("_key")).agg(best).select(*unpack("r", df.columns))
 
 
 def clean(df: DataFrame, target: str, order_by: Sequence[str] | None = None, any_row: bool = False) -> DataFrame:
     """The cleaned training table; one shuffle, for the ids."""
-    require_target(df.columns, target) if target in df.columns else require_target(
-        [fold(c) for c in df.columns], target
-    )
     folded = fold_columns(df)
+    require_target([*df.columns, *folded.columns], target)
     return one_row_per_id(drop_null_target(folded, fold(target)), "id", order_by, any_row)

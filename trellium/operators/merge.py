@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellium.functions.rows import row_order, row_struct
+from trellium.functions.rows import row_pick, unpack
 
 
 def with_columns_if_absent(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -29,10 +29,8 @@ def _checked(key: str) -> Column:
 
 
 def first_per_key(df: DataFrame, key: str, order_by: Sequence[str] = ()) -> DataFrame:
-    picked = df.groupBy(_checked(key).alias("_key")).agg(
-        F.min_by(row_struct(df), row_order(df, order_by)).alias("r")
-    )
-    return picked.select("r.*")
+    picked = df.groupBy(_checked(key).alias("_key")).agg(row_pick(df, "min", order_by).alias("r"))
+    return picked.select(*unpack("r", df.columns))
 
 
 def merge_keep_first(
@@ -55,10 +53,9 @@ def merge_update(
     Several source rows of one key act in ``order_by`` order: the first is the
     row inserted, the last gives the updated columns.
     """
-    row, order = row_struct(source), row_order(source, order_by)
     src = source.groupBy(_checked(key).alias("_k")).agg(
-        F.min_by(row, order).alias("_first"),
-        F.max_by(row, order).alias("_last"),
+        row_pick(source, "min", order_by).alias("_first"),
+        row_pick(source, "max", order_by).alias("_last"),
     )
     both = target.withColumn("_old", F.lit(True)).join(src, F.col(key) == F.col("_k"), "full_outer")
     out = [F.coalesce(F.col(key), F.col("_k")).alias(key)]

@@ -64,11 +64,16 @@ def metrics_for(task: str, df: DataFrame, label: str, prediction: str = "predict
     return (regression_metrics if task == "regression" else classification_metrics)(df, label, prediction, by)
 
 
+def map_to_long(metrics: DataFrame, recorded_at: Column | None = None) -> DataFrame:
+    """``job_id, metrics`` (a map) to ``job_id, metric_name, metric_value, recorded_at``."""
+    at = recorded_at if recorded_at is not None else F.current_timestamp()
+    return metrics.select("job_id", F.explode("metrics").alias("metric_name", "metric_value"), at.alias("recorded_at"))
+
+
 def to_long(metrics: DataFrame, names: Sequence[str], recorded_at: Column | None = None) -> DataFrame:
-    """Wide metrics to ``job_id, metric_name, metric_value, recorded_at``, one pass."""
+    """Wide metrics to long form in one pass."""
     pairs = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
-    at = recorded_at if recorded_at is not None else F.current_timestamp()
-    return metrics.select("job_id", F.explode(pairs).alias("metric_name", "metric_value"), at.alias("recorded_at"))
+    return map_to_long(metrics.select("job_id", pairs.alias("metrics")), recorded_at)
 
 
 def metrics_map(row: Mapping[str, object]) -> dict[str, float | None]:

@@ -100,14 +100,16 @@ def fit(
     estimator: str = "boosted",
     params: TreeParams = TreeParams(),
     prep: Preparation = Preparation(),
+    facts: tuple[int, bool] | None = None,
 ) -> Fitted:
     """Fit the wanted estimator, or the constant when the labels leave nothing to learn.
 
     ``estimator``: ``boosted``, ``linear`` (regression only) or ``constant``.
     Fewer than two rows, or one label only, gives the constant. Singular normal
     equations are solved iteratively by Spark. Other errors are raised.
+    ``facts`` (row count, does the label vary) spares the pass that finds them.
     """
-    n, varies = label_facts(train, target)
+    n, varies = facts or label_facts(train, target)
     if estimator == "constant" or n < 2 or not varies or (estimator == "linear" and task != "regression"):
         if task == "regression":
             return Fitted(Pipeline(stages=[MeanRegressor(labelCol=target)]).fit(train), "mean", list(features))

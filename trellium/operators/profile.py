@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellium.functions.csv_text import csv_fields, header_names, join_records, looks_numeric, record_open
+from trellium.functions.text import decoded_path
 from trellium.sources.csv import Paths, _paths
 
 # Rows shown, and rows the header vote looks at besides the first.
@@ -25,11 +26,12 @@ def dataset_of(path: Column, unit: str) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
-    """``dataset, file, block, seq, value``: physical lines in file order by (file, block, seq)."""
+    """``dataset, file, block, whole_file, seq, value``: physical lines, in order by (file, block, seq)."""
     return spark.read.text(_paths(paths), recursiveFileLookup=True).select(
-        dataset_of(F.col("_metadata.file_path"), unit).alias("dataset"),
+        dataset_of(decoded_path("_metadata.file_path"), unit).alias("dataset"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole_file"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value"),
     )
@@ -49,49 +51,56 @@ def list_datasets(spark: SparkSession, paths: Paths, unit: str = "file") -> Data
 
 
 def _first_lines(lines: DataFrame, n: int) -> DataFrame:
-    """First ``n`` lines per data set as an array. Each task keeps n lines before the shuffle."""
+    """First ``n`` lines per data set: ``dataset, lines, split_files``.
+
+    Each task keeps n lines before the shuffle. ``split_files`` says that a file
+    other than the last one used came without its later blocks.
+    """
     order = Window.partitionBy("dataset").orderBy("file", "block", "seq")
     ranked = lines.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.groupBy("dataset").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda r: r["value"]).alias("lines")
+    heads = ranked.groupBy("dataset").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "value", "file", "whole_file"))).alias("rows")
+    )
+    last = F.element_at("rows", -1)["file"]
+    return heads.select(
+        "dataset",
+        F.transform("rows", lambda r: r["value"]).alias("lines"),
+        F.exists("rows", lambda r: ~r["whole_file"] & ((r["file"] != last) | (F.size("rows") < n))).alias("split_files"),
     )
 
 
 def first_records(lines: DataFrame, n: int) -> DataFrame:
     """First ``n`` records per data set: ``dataset, records, lines``.
 
-    ``n`` lines are enough unless quoted fields hold line breaks. Data sets that
-    need more are read again with more lines, until every one has its records.
+    The first block of every file and ``n`` lines of it nearly always hold them,
+    so only those are put in order. Data sets that need more, because lines are
+    huge or quoted fields hold line breaks, are read again in full with more
+    lines, until every one has its records.
     """
-    take, done, pending = n, None, lines
+    take, done = n, None
+    pending, all_blocks = lines.filter(F.col("block") == 0), False
     while True:
         heads = _first_lines(pending, take).withColumn("joined", join_records(F.col("lines")))
+        cut = F.lit(False) if all_blocks else F.col("split_files")
         heads = heads.select(
             "dataset",
             "lines",
-            (F.size("lines") < take).alias("whole"),
+            cut.alias("cut"),
+            (F.size("lines") < take).alias("all_lines"),
             F.col("joined.done").alias("closed"),
             F.col("joined.open").alias("open"),
         ).persist()
-        enough = F.col("whole") | (F.size("closed") >= n)
-        records = F.when(F.col("open").isNull(), F.col("closed")).otherwise(
-            F.concat("closed", F.array("open"))
-        )
+        enough = ~F.col("cut") & (F.col("all_lines") | (F.size("closed") >= n))
+        records = F.when(F.col("open").isNull(), F.col("closed")).otherwise(F.concat("closed", F.array("open")))
         part = heads.filter(enough).select("dataset", F.slice(records, 1, n).alias("records"), "lines")
         done = part if done is None else done.unionByName(part)
         missing = heads.filter(~enough).select("dataset")
         if missing.isEmpty():
             return done
-        pending = pending.join(missing, "dataset", "left_semi")
+        pending, all_blocks = lines.join(missing, "dataset", "left_semi"), True
         take *= 8
 
 
-def file_headers(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
-    """``dataset, header``: column names of each data set's first record."""
-    heads = first_records(read_lines(spark, paths, unit), 1)
-    return heads.select("dataset", header_names(F.get("records", F.lit(0))).alias("header"))
-
-
 def header_votes(heads: DataFrame) -> DataFrame:
     """``dataset, has_header``: is the first record unlike the ones below it?
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trellium.functions import text
 from trellium.functions.feature_lists import prediction_name, scoring_features
+from trellium.operators.joins import broadcast_if_small
 from trellium.operators.features import drop_stage_columns
 
 SAMPLE_ROWS = 5
@@ -53,7 +54,7 @@ def unmatched(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 def score_constants(rows: DataFrame, constants: DataFrame, key: str = "model_id") -> DataFrame:
     """Score rows of many constant models in one join: ``constants`` has ``key, prediction``."""
-    return rows.drop("prediction").join(constants, key, "left")
+    return rows.drop("prediction").join(broadcast_if_small(constants), key, "left")
 
 
 def sample_rows(scored: DataFrame, by: Sequence[str], order_by: Sequence[str], n: int = SAMPLE_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellium.operators.joins import broadcast_if_small
 from trellium.functions.hashing import percent_bucket, split_digest
 
 # Test share in percent, and the seed.
@@ -79,6 +80,7 @@ def with_stratified_flag(
             (F.col("quota") - (F.col("upto") - F.col("n"))).alias("rest"),
         )
     )
+    cuts = broadcast_if_small(cuts)
     in_bin = keys.join(
         cuts, keys["_l"].eqNullSafe(cuts["_cl"]) & (keys["_bin"] == cuts["_cbin"]), "inner"
     )
@@ -88,7 +90,7 @@ def with_stratified_flag(
         .filter(F.col("rank") == F.col("rest"))
         .select(F.col("_cl"), F.col("_d").alias("_last"))
     )
-    marked = df.join(last, F.col(f"`{label}`").eqNullSafe(F.col("_cl")), "left")
+    marked = df.join(broadcast_if_small(last), F.col(f"`{label}`").eqNullSafe(F.col("_cl")), "left")
     flag = F.coalesce(digest <= F.col("_last"), F.lit(False))
     return marked.select(*[F.col(f"`{c}`") for c in df.columns], flag.alias("is_test"))
 
@@ -108,21 +110,37 @@ class Split:
     n_train: int
     n_test: int
     holdout: bool
+    varies: bool | None = None  # does the label take more than one value in train?
 
 
-def train_test(flagged: DataFrame) -> Split:
+def train_test(flagged: DataFrame, label: str | None = None) -> Split:
     """Both sides of a flagged table; test = train when one side is empty.
 
-    One aggregate gives the counts. Nothing is cached here: the caller knows
-    whether the table fits.
+    One aggregate gives the counts and, for a ``label``, whether there is
+    anything to learn. Nothing is cached here: the caller knows whether the
+    table fits.
     """
+    y = F.lit(None) if label is None else F.col(f"`{label}`")
+    side = F.col("is_test")
     row = flagged.agg(
-        F.count_if(~F.col("is_test")).alias("train"), F.count_if(F.col("is_test")).alias("test")
+        F.count_if(~side).alias("train"),
+        F.count_if(side).alias("test"),
+        (F.min(F.when(~side, y)) < F.max(F.when(~side, y))).alias("varies_train"),
+        (F.min(y) < F.max(y)).alias("varies_all"),
     ).first()
     every = flagged.drop("is_test")
+
+    def known(varies: bool | None) -> bool | None:
+        return None if label is None else bool(varies)
+
     if row.train == 0 or row.test == 0:
         n = row.train + row.test
-        return Split(every, every, n, n, False)
-    train = flagged.filter(~F.col("is_test")).drop("is_test")
-    test = flagged.filter(F.col("is_test")).drop("is_test")
-    return Split(train, test, row.train, row.test, True)
+        return Split(every, every, n, n, False, known(row.varies_all))
+    return Split(
+        flagged.filter(~side).drop("is_test"),
+        flagged.filter(side).drop("is_test"),
+        row.train,
+        row.test,
+        True,
+        known(row.varies_train),
+    )

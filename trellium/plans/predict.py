@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby, islice
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellium.functions.text import plain_path
-from trellium.operators.profile import dataset_of, file_headers
+from trellium.operators.profile import dataset_of
 from trellium.operators.scoring import match_models, score
 from trellium.plans.train import Layout
+from trellium.sources.csv import header_of, read_scoring_csv, read_scoring_table, write_csv
 from trellium.sources.folders import is_folder
-from trellium.sources.csv import read_scoring_csv, read_scoring_table, write_csv
 from trellium.sources.registry import lookup, read_registry
 
 # Files read by one scan; it also bounds the path table that is broadcast.
 FILES_PER_SCAN = 1000
+# First lines fetched side by side.
+HEADER_THREADS = 8
 
 
 class NoModelError(LookupError):
@@ -70,27 +73,25 @@ def predict_many(spark: SparkSession, layout: Layout, requests: DataFrame, out:
 
 
 def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: list, out: str) -> None:
-    units: dict[str, list[str]] = {}
-    for path in sorted({r.csv_path for r in chunk}):
-        units.setdefault("folder" if is_folder(spark, path) else "file", []).append(path)
     asked = spark.createDataFrame([(r.predict_id, r.csv_path) for r in chunk], "predict_id string, csv_path string")
     asked = asked.select("predict_id", plain_path("csv_path").alias("_path"))
-    for unit, paths in units.items():
-        headers = file_headers(spark, paths, unit).select(plain_path("dataset").alias("path"), "header")
-        alike: dict[tuple[str, ...], list[str]] = {}
-        for row in headers.collect():  # one row per request of the chunk
-            alike.setdefault(tuple(row.header), []).append(row.path)
-        for datasets in alike.values():
-            rows = read_scoring_csv(spark, datasets, meta["feature_types"] or {}, keep_path=True)
-            source = plain_path(dataset_of(F.col("source_file"), unit))
-            rows = rows.withColumn("_path", source).drop("source_file", "cast_failures")
-            tagged = rows.join(F.broadcast(asked), "_path").drop("_path")
-            (
-                score(model, tagged, meta)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .option("header", True)
-                .option("escape", '"')
-                .partitionBy("predict_id")
-                .csv(out)
-            )
+    paths = sorted({r.csv_path for r in chunk})
+    with ThreadPool(HEADER_THREADS) as pool:
+        layouts = pool.map(lambda p: ("folder" if is_folder(spark, p) else "file", tuple(header_of(spark, p))), paths)
+    alike: dict[tuple, list[str]] = {}
+    for layout, path in zip(layouts, paths):
+        alike.setdefault(layout, []).append(path)
+    for (unit, _), datasets in alike.items():
+        rows = read_scoring_csv(spark, datasets, meta["feature_types"] or {}, keep_path=True)
+        source = plain_path(dataset_of(F.col("source_file"), unit))
+        rows = rows.withColumn("_path", source).drop("source_file", "cast_failures")
+        tagged = rows.join(F.broadcast(asked), "_path").drop("_path")
+        (
+            score(model, tagged, meta)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("header", True)
+            .option("escape", '"')
+            .partitionBy("predict_id")
+            .csv(out)
+        )

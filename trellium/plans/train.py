@@ -12,15 +12,14 @@ from pyspark.sql import types as T
 from trellium.functions.feature_lists import fold, training_features
 from trellium.operators.clean import clean
 from trellium.operators.features import Preparation, feature_types
-from trellium.operators.metrics import metrics_for, metrics_map, to_long
+from trellium.operators.metrics import map_to_long, metrics_for, metrics_map
 from trellium.operators.models import Fitted, TreeParams, fit
 from trellium.operators.scoring import score
 from trellium.operators.split import train_test, with_stratified_flag, with_test_flag
 from trellium.sources.catalog import Catalog
 from trellium.sources.csv import read_parquet, read_training_csv, write_parquet
-from trellium.sources.registry import registry_row, save_rows
+from trellium.sources.registry import REGISTRY, registry_row, save_rows
 
-METRIC_NAMES = {"regression": ["mse", "rmse", "r2", "n_samples"], "classification": ["accuracy", "n_samples"]}
 
 
 @dataclass(frozen=True)
@@ -66,6 +65,7 @@ class Trained:
     n_train: int
     n_test: int
     metrics: dict[str, float | None]
+    feature_types: dict[str, str]
 
 
 def preprocess(
@@ -91,8 +91,9 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
     if keep:
         flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        split = train_test(flagged)
-        fitted = fit(split.train, features, target, task, options.estimator, options.params, options.prep)
+        split = train_test(flagged, target)
+        facts = (split.n_train, bool(split.varies))
+        fitted = fit(split.train, features, target, task, options.estimator, options.params, options.prep, facts)
         name = f"{target}_predicted"
         scored = score(fitted.model, split.test, {"target_column": target, "feature_cols": features})
         row = metrics_for(task, scored, target, name).first()
@@ -100,38 +101,52 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
         if keep:
             flagged.unpersist()
     return Trained(
-        "", fitted, target, task, split.holdout, split.n_train, split.n_test, metrics_map(row.asDict())
+        "",
+        fitted,
+        target,
+        task,
+        split.holdout,
+        split.n_train,
+        split.n_test,
+        metrics_map(row.asDict()),
+        feature_types(table, features),
     )
 
 
-def record(spark: SparkSession, trained: Trained, types: dict[str, str], layout: Layout) -> None:
-    """Save the model and bring registry and catalog up to date. A replay changes nothing but times."""
+def save_model(trained: Trained, layout: Layout) -> str:
     path = layout.model(trained.job_id)
     trained.fitted.model.write().overwrite().save(path)
-    save_rows(
+    return path
+
+
+def record(spark: SparkSession, done: list[Trained], layout: Layout, batch: str | None = None) -> None:
+    """Bring registry and catalog up to date for a batch of trained jobs, one merge per table.
+
+    Models are saved before. Recording a named batch again changes nothing but times.
+    """
+    if not done:
+        return
+    rows = [
         registry_row(
-            spark,
-            trained.job_id,
-            spark_path=path,
-            feature_cols=trained.fitted.features,
-            feature_types=types,
-            task_type=trained.task,
-            target_column=trained.target,
-            estimator=trained.fitted.estimator,
-        ),
-        layout.registry,
-    )
+            t.job_id,
+            spark_path=layout.model(t.job_id),
+            feature_cols=t.fitted.features,
+            feature_types=t.feature_types,
+            task_type=t.task,
+            target_column=t.target,
+            estimator=t.fitted.estimator,
+        )
+        for t in done
+    ]
+    save_rows(spark.createDataFrame(rows, REGISTRY), layout.registry)
     catalog = Catalog(spark, layout.catalog)
-    key = spark.createDataFrame([(trained.job_id, path)], "job_id string, model_path string")
-    model = key.withColumns({"user_id": F.lit(None).cast("string"), "created_at": F.current_timestamp()})
-    catalog.add_models(model)
-    catalog.complete(key)
-    names = METRIC_NAMES[trained.task]
-    wide = spark.createDataFrame(
-        [(trained.job_id, *[trained.metrics[n] for n in names])],
-        T.StructType([T.StructField("job_id", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in names]]),
+    keys = spark.createDataFrame(
+        [(t.job_id, layout.model(t.job_id)) for t in done], "job_id string, model_path string"
     )
-    catalog.add_metrics(to_long(wide, names))
+    catalog.add_models(keys.withColumns({"user_id": F.lit(None).cast("string"), "created_at": F.current_timestamp()}))
+    catalog.complete(keys)
+    measured = spark.createDataFrame([(t.job_id, t.metrics) for t in done], "job_id string, metrics map<string,double>")
+    catalog.add_metrics(map_to_long(measured), batch)
 
 
 def train_job(
@@ -147,5 +162,6 @@ def train_job(
     table = preprocess(spark, csv_path, target, layout.processed(job_id), schema)
     trained = train_table(table, target, task, options)
     trained.job_id = job_id
-    record(spark, trained, feature_types(table, trained.fitted.features), layout)
+    save_model(trained, layout)
+    record(spark, [trained], layout)
     return trained

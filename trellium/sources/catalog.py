@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellium.operators.merge import merge_keep_first, merge_update, update_where_key
-from trellium.sources.folders import read_table, write_table
+from trellium.sources.folders import path_exists, read_table, write_table
 
 
 def _table(spec: str) -> T.StructType:
@@ -37,13 +39,9 @@ class Catalog:
 
     def read(self, name: str) -> DataFrame:
         if name == "metrics":
-            path = self._path(name)
-            try:
-                return self.spark.read.schema(SCHEMAS[name]).parquet(path)
-            except Exception as error:  # no metrics written yet
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
+            if not path_exists(self.spark, self._path(name)):
                 return self.spark.createDataFrame([], SCHEMAS[name])
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._path(name)}/set-*")
         current = read_table(self.spark, self._path(name))
         return self.spark.createDataFrame([], SCHEMAS[name]) if current is None else current
 
@@ -63,9 +61,11 @@ class Catalog:
         jobs = update_where_key(self.read("jobs"), keys, "job_id", {"status": F.lit("completed")})
         write_table(jobs, self._path("jobs"))
 
-    def add_metrics(self, metrics: DataFrame) -> None:
-        """Append; the table has no key."""
-        metrics.select(*SCHEMAS["metrics"].fieldNames()).write.mode("append").parquet(self._path("metrics"))
+    def add_metrics(self, metrics: DataFrame, batch: str | None = None) -> None:
+        """Append; the table has no key. Writing a named batch again replaces it."""
+        name = batch or uuid.uuid4().hex
+        rows = metrics.select(*SCHEMAS["metrics"].fieldNames())
+        rows.write.mode("overwrite").parquet(f"{self._path('metrics')}/set-{name}")
 
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

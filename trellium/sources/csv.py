@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellium.functions.feature_lists import fold, folded_names
+from trellium.functions.text import decoded_path
 
 Paths = str | Sequence[str]
 # RFC 4180 quoting: a quote inside a field is doubled.
@@ -60,7 +61,7 @@ def read_scoring_csv(
     )
     raw = raw.toDF(*folded_names(raw.columns))
     if keep_path:
-        raw = raw.withColumn("source_file", F.col("_metadata.file_path"))
+        raw = raw.withColumn("source_file", decoded_path("_metadata.file_path"))
     return cast_features(raw, feature_types)
 
 
@@ -88,6 +89,11 @@ def write_csv(df: DataFrame, path: str, header: bool = True, partition_by: Seque
     writer.csv(path)
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Folded column names of a file or folder; only the first line is read."""
+    return folded_names(spark.read.option("header", True).options(**_QUOTING).csv(path).columns)
+
+
 def read_parquet(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.parquet(*_paths(paths))
 
@@ -107,6 +113,6 @@ def read_scoring_table(
         df = spark.read.parquet(path)
         df = df.toDF(*folded_names(df.columns))
         if keep_path:
-            df = df.withColumn("source_file", F.col("_metadata.file_path"))
+            df = df.withColumn("source_file", decoded_path("_metadata.file_path"))
         return cast_features(df, feature_types)
     return read_scoring_csv(spark, path, feature_types, keep_path=keep_path)

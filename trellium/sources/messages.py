@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellium.functions.rows import row_order, row_struct
+from trellium.functions.rows import row_pick, unpack
 from trellium.functions.text import parse_time
 
 _TEXTS = T.ArrayType(T.StringType())
@@ -92,5 +92,5 @@ def latest_per_key(df: DataFrame, key: str = "job_id", time: str = "timestamp")
     Equal times are settled by the remaining fields, so the result repeats.
     """
     at = parse_time(time) if dict(df.dtypes)[time] == "string" else F.col(time)
-    newest = F.max_by(row_struct(df), F.struct(at, row_order(df, [time]))).alias("m")
-    return df.groupBy(F.col(key).alias("_key")).agg(newest).select("m.*")
+    newest = row_pick(df, "max", [time], at).alias("m")
+    return df.groupBy(F.col(key).alias("_key")).agg(newest).select(*unpack("m", df.columns))

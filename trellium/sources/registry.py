@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellium.functions.text import base_name
+from trellium.functions.text import base_name, decoded_path
 from trellium.operators.merge import merge_replace
 from trellium.sources.folders import read_table, write_table
 
@@ -38,13 +38,12 @@ def read_metadata_files(spark: SparkSession, path: str) -> DataFrame:
     """Metadata JSON files as registry rows; the id is the file name up to ``.pkl``."""
     raw = spark.read.schema(METADATA).option("multiLine", True).json(path)
     return raw.select(
-        F.regexp_replace(base_name(F.col("_metadata.file_path")), r"\.pkl\.meta$|\.meta$", "").alias("model_id"),
+        F.regexp_replace(base_name(decoded_path("_metadata.file_path")), r"\.pkl\.meta$|\.meta$", "").alias("model_id"),
         *[F.col(f.name) for f in METADATA.fields],
     )
 
 
 def registry_row(
-    spark: SparkSession,
     model_id: str,
     *,
     spark_path: str,
@@ -53,8 +52,9 @@ def registry_row(
     task_type: str,
     target_column: str,
     estimator: str,
-) -> DataFrame:
-    row = (
+) -> tuple:
+    """Values of one row, in the order of ``REGISTRY``."""
+    return (
         model_id,
         "spark_mllib",
         spark_path,
@@ -65,7 +65,6 @@ def registry_row(
         estimator,
         datetime.now(timezone.utc),
     )
-    return spark.createDataFrame([row], REGISTRY)
 
 
 def save_rows(rows: DataFrame, root: str) -> None:

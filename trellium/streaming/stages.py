@@ -10,8 +10,7 @@ from trellium.functions.feature_lists import SchemaError, fold, training_feature
 from trellium.operators.profile import profile_files
 from trellium.operators.validate import split_verdict, with_verdict
 from trellium.plans.predict import predict_many
-from trellium.plans.train import Layout, TrainOptions, preprocess, record, train_table
-from trellium.operators.features import feature_types
+from trellium.plans.train import Layout, TrainOptions, preprocess, record, save_model, train_table
 from trellium.sources.folders import path_exists
 from trellium.sources.messages import latest_per_key, write_messages
 from trellium.streaming.messages import Step, batch_folder
@@ -111,7 +110,7 @@ def train_step(layout: Layout, done: str, rejected: str, options: TrainOptions =
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        out, bad = [], []
+        done_jobs, bad = [], []
         wanted = latest_per_key(batch).withColumn("task", text.task_type("model_type"))
         for m in wanted.toLocalIterator():
             try:
@@ -123,10 +122,12 @@ def train_step(layout: Layout, done: str, rejected: str, options: TrainOptions =
                 bad.append((m.job_id, str(error)))
                 continue
             trained.job_id = m.job_id
-            record(spark, trained, feature_types(table, trained.fitted.features), layout)
-            out.append(
-                (m.job_id, layout.model(m.job_id), m.task, trained.target, trained.fitted.features, trained.metrics)
-            )
+            save_model(trained, layout)
+            done_jobs.append(trained)
+        record(spark, done_jobs, layout, f"batch-{batch_id:09d}")
+        out = [
+            (t.job_id, layout.model(t.job_id), t.task, t.target, t.fitted.features, t.metrics) for t in done_jobs
+        ]
         messages = spark.createDataFrame(
             out,
             "job_id string, model_path string, model_type string, target_column string, "
