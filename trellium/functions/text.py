@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 TASK_TYPES = ("classification", "regression")
 
-# The storage layout of a job's artifacts, lowest rank first.
-ARTIFACT_RANKS = {"uploads": 1, "processed": 2, "models": 3}
+# The storage layout of a job's artifacts, in the order they appear;
+# the place in the list is the rank of the status.
+JOB_ARTIFACTS = ("uploads", "processed", "models")
 STATUS_BY_RANK = {0: "queued", 1: "ingested", 2: "training", 3: "completed"}
 
 
@@ -67,20 +68,34 @@ def artifact_key(kind: str, owner_id: Column | str, name: Column | str) -> Colum
     return F.concat_ws("/", F.lit(kind), _c(owner_id), _c(name))
 
 
+# Every layout has its own pair of groups; a path that fits none leaves all of them empty.
+_LAYOUT = (
+    r"(?s)^(?:|.*?/)(?:(uploads)/([^/]+)/.*"
+    r"|(processed)/([^/]+)\.parquet(?:/.*)?"
+    r"|(models)/([^/]+)\.pkl\.meta"
+    r"|(predictions_output)/(?:predict_id=([^/]+)/.*|([^/]+)\.csv(?:/.*)?))$|^.*$"
+)
+
+
+def artifact(path: Column | str) -> Column:
+    """``struct(kind, id)`` of an artifact path by its layout; both empty when nothing fits.
+
+    ``uploads/<id>/..``, ``processed/<id>.parquet``, ``models/<id>.pkl.meta``,
+    ``predictions_output/<id>.csv`` or ``predictions_output/predict_id=<id>/..``,
+    under any prefix. One pattern is matched once per path.
+    """
+    found = F.regexp_replace(_c(path), _LAYOUT, "$1$3$5$7/$2$4$6$8$9")
+    return F.struct(
+        F.substring_index(found, "/", 1).alias("kind"), F.substring_index(found, "/", -1).alias("id")
+    )
+
+
 def artifact_kind(path: Column | str) -> Column:
-    return F.regexp_extract(_c(path), r"(?:^|/)(uploads|processed|models|predictions_output)/[^/]", 1)
+    return artifact(path)["kind"]
 
 
 def artifact_id(path: Column | str) -> Column:
-    """Id part of an artifact path by its layout; empty when nothing fits."""
-    p = _c(path)
-    return F.coalesce(
-        F.nullif(F.regexp_extract(p, r"(?:^|/)uploads/([^/]+)/", 1), F.lit("")),
-        F.nullif(F.regexp_extract(p, r"(?:^|/)processed/([^/]+)\.parquet(?:/|$)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(p, r"(?:^|/)models/([^/]+)\.pkl\.meta$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(p, r"(?:^|/)predictions_output/(?:predict_id=)?([^/]+?)(?:\.csv)?(?:/|$)", 1), F.lit("")),
-        F.lit(""),
-    )
+    return artifact(path)["id"]
 
 
 def stable_id(*parts: Column | str) -> Column:
@@ -116,10 +131,8 @@ def status_name(rank: Column | str) -> Column:
 
 
 def artifact_rank(kind: Column | str) -> Column:
-    expr = F.lit(None).cast("int")
-    for name, rank in ARTIFACT_RANKS.items():
-        expr = F.when(_c(kind) == name, F.lit(rank)).otherwise(expr)
-    return expr
+    """1, 2, 3 for the artifacts of a job, 0 for any other."""
+    return F.array_position(F.array(*[F.lit(k) for k in JOB_ARTIFACTS]), _c(kind)).cast("int")
 
 
 def decoded_path(path: Column | str) -> Column:

@@ -58,6 +58,6 @@ class MajorityClassifier(Estimator, HasLabelCol, HasPredictionCol, DefaultParams
     def _fit(self, dataset: DataFrame) -> ConstantModel:
         label = self.getLabelCol()
         row = majority_label(dataset, label).select(F.col("label").cast("string")).first()
-        if row is None:
+        if row is None or row[0] is None:
             raise ValueError("no labelled row to fit a majority on")
         return ConstantModel(row[0], dataset.schema[label].dataType.simpleString(), self.getPredictionCol())

@@ -49,11 +49,12 @@ def model_detail(
 
 def progress(models: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``job_id, rank, has_model``: how far each job's traces go. Folds map-side."""
-    found = artifacts.select(
-        text.artifact_id("path").alias("job_id"),
-        text.artifact_rank(text.artifact_kind("path")).alias("rank"),
+    # No filter on what was parsed: it would parse twice, and stray ids meet no job.
+    found = artifacts.select(text.artifact("path").alias("a")).select(
+        F.col("a.id").alias("job_id"),
+        text.artifact_rank(F.col("a.kind")).alias("rank"),
         F.lit(False).alias("model"),
-    ).filter(F.col("rank").isNotNull() & (F.col("job_id") != ""))
+    )
     done = models.select("job_id", F.lit(max(text.STATUS_BY_RANK)).alias("rank"), F.lit(True).alias("model"))
     return done.unionByName(found).groupBy("job_id").agg(
         F.max("rank").alias("rank"), F.bool_or("model").alias("has_model")
@@ -77,8 +78,9 @@ def job_status(jobs: DataFrame, models: DataFrame, artifacts: DataFrame, user_id
 def predict_status(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``ready`` once the request's output exists, else ``pending``."""
     outputs = (
-        artifacts.filter(text.artifact_kind("path") == "predictions_output")
-        .select(text.artifact_id("path").alias("predict_id"))
+        artifacts.select(text.artifact("path").alias("a"))
+        .filter(F.col("a.kind") == "predictions_output")
+        .select(F.col("a.id").alias("predict_id"))
         .distinct()
         .withColumn("_out", F.lit(True))
     )

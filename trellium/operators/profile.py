@@ -38,7 +38,9 @@ def read_lines(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFra
 
 
 def list_datasets(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
-    """Every data set, empty files too; only file metadata is read."""
+    """Data sets with their size; only file metadata is read. Spark lists no empty file:
+    join from the requests' side to see those with nothing in them.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -50,11 +52,12 @@ def list_datasets(spark: SparkSession, paths: Paths, unit: str = "file") -> Data
     )
 
 
-def _first_lines(lines: DataFrame, n: int) -> DataFrame:
-    """First ``n`` lines per data set: ``dataset, lines, split_files``.
+def _first_lines(lines: DataFrame, n: int, headers_in_parts: bool) -> DataFrame:
+    """First ``n`` lines per data set: ``dataset, lines, n_read, split_files``.
 
     Each task keeps n lines before the shuffle. ``split_files`` says that a file
-    other than the last one used came without its later blocks.
+    other than the last one used came without its later blocks. With
+    ``headers_in_parts`` the header is kept from the first part file only.
     """
     order = Window.partitionBy("dataset").orderBy("file", "block", "seq")
     ranked = lines.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
@@ -62,14 +65,21 @@ def _first_lines(lines: DataFrame, n: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "value", "file", "whole_file"))).alias("rows")
     )
     last = F.element_at("rows", -1)["file"]
+
+    def is_repeat(row: Column, i: Column) -> Column:
+        before = F.get("rows", i - 1)
+        return F.coalesce((row["file"] != before["file"]) & (row["value"] == F.get("rows", F.lit(0))["value"]), F.lit(False))
+
+    kept = F.filter("rows", lambda r, i: ~is_repeat(r, i)) if headers_in_parts else F.col("rows")
     return heads.select(
         "dataset",
-        F.transform("rows", lambda r: r["value"]).alias("lines"),
+        F.transform(kept, lambda r: r["value"]).alias("lines"),
+        F.size("rows").alias("n_read"),
         F.exists("rows", lambda r: ~r["whole_file"] & ((r["file"] != last) | (F.size("rows") < n))).alias("split_files"),
     )
 
 
-def first_records(lines: DataFrame, n: int) -> DataFrame:
+def first_records(lines: DataFrame, n: int, headers_in_parts: bool = False) -> DataFrame:
     """First ``n`` records per data set: ``dataset, records, lines``.
 
     The first block of every file and ``n`` lines of it nearly always hold them,
@@ -80,13 +90,13 @@ def first_records(lines: DataFrame, n: int) -> DataFrame:
     take, done = n, None
     pending, all_blocks = lines.filter(F.col("block") == 0), False
     while True:
-        heads = _first_lines(pending, take).withColumn("joined", join_records(F.col("lines")))
+        heads = _first_lines(pending, take, headers_in_parts).withColumn("joined", join_records(F.col("lines")))
         cut = F.lit(False) if all_blocks else F.col("split_files")
         heads = heads.select(
             "dataset",
             "lines",
             cut.alias("cut"),
-            (F.size("lines") < take).alias("all_lines"),
+            (F.col("n_read") < take).alias("all_lines"),
             F.col("joined.done").alias("closed"),
             F.col("joined.open").alias("open"),
         ).persist()
@@ -147,7 +157,7 @@ def profile_files(
     """
     lines = read_lines(spark, paths, unit)
     counts = lines.groupBy("dataset").agg(F.count("*").alias("n_lines"))
-    heads = first_records(lines, VOTE_ROWS + 1)
+    heads = first_records(lines, VOTE_ROWS + 1, headers_in_parts)
     fields = heads.select(
         "dataset",
         F.transform(F.slice("records", 1, PREVIEW_ROWS), csv_fields).alias("rows"),
@@ -185,8 +195,9 @@ def count_records(lines: DataFrame) -> DataFrame:
     short pass over the blocks of each file picks the one that holds.
     """
     text = F.col("value")
-    from_out = record_open(text)
-    from_in = record_open(F.concat(F.lit('"'), text))
+    quoted = text.contains('"')  # most lines hold none and keep the state
+    from_out = quoted & record_open(text)
+    from_in = ~quoted | record_open(F.concat(F.lit('"'), text))
     marks = lines.select(
         "dataset",
         "file",
@@ -240,7 +251,7 @@ def profile_records(
 ) -> DataFrame:
     """Record-based profile: the first record is the header, 5 rows, first 8 lines as text."""
     lines = read_lines(spark, paths, unit)
-    heads = first_records(lines, max(RECORD_PREVIEW_ROWS + 1, RAW_PREVIEW_LINES))
+    heads = first_records(lines, max(RECORD_PREVIEW_ROWS + 1, RAW_PREVIEW_LINES), headers_in_parts)
     fields = heads.select(
         "dataset",
         F.transform(F.slice("records", 1, RECORD_PREVIEW_ROWS + 1), csv_fields).alias("rows"),
@@ -262,4 +273,6 @@ def profile_records(
         columns.alias("columns"),
         F.slice(F.coalesce("rows", F.array().cast("array<array<string>>")), 2, RECORD_PREVIEW_ROWS).alias("preview"),
         F.coalesce("raw_preview", F.lit("")).alias("raw_preview"),
+        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        "n_files",
     )

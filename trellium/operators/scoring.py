@@ -3,32 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import ImputerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.functions import text
 from trellium.functions.feature_lists import prediction_name, scoring_features
-from trellium.operators.joins import broadcast_if_small
 from trellium.operators.features import drop_stage_columns
+from trellium.operators.joins import broadcast_if_small
 
 SAMPLE_ROWS = 5
 
 
-def score(model: PipelineModel, df: DataFrame, metadata: Mapping) -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, metadata: Mapping, invalid: str = "error") -> DataFrame:
     """Input columns plus one prediction column. Lazy; the same call serves streams.
 
     An incoming ``features`` or ``prediction`` column gives way to the model's.
+    A null feature is an error, unless the model was trained to accept it; with
+    ``invalid="null"`` the row stays and its prediction is null.
     """
     target = metadata.get("target_column")
-    scoring_features(df.columns, metadata.get("feature_cols"), target)
+    features = scoring_features(df.columns, metadata.get("feature_cols"), target)
     ready = df.drop("features", "rawPrediction", "probability", "prediction")
     name = prediction_name(ready.columns, target)
+    lenient = invalid == "null" and _rejects_nulls(model)
+    if lenient:
+        model = PipelineModel(stages=[_keeping_nulls(s) for s in model.stages])
     scored = drop_stage_columns(model.transform(ready)).drop("prediction__code", "prediction__text")
+    if lenient:
+        whole = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in features])
+        scored = scored.withColumn("prediction", F.when(whole, F.col("prediction")))
     return scored.withColumnRenamed("prediction", name) if name != "prediction" else scored
 
 
+def _rejects_nulls(model: PipelineModel) -> bool:
+    stages = model.stages
+    strict = any(isinstance(s, VectorAssembler) and s.getHandleInvalid() == "error" for s in stages)
+    return strict and not any(isinstance(s, ImputerModel) for s in stages)
+
+
+def _keeping_nulls(stage):
+    return stage.copy({stage.handleInvalid: "keep"}) if isinstance(stage, VectorAssembler) else stage
+
+
 def match_models(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requests with their model's metadata; ``error`` names what no model answers to.
 

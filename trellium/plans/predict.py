@@ -6,15 +6,24 @@ from collections.abc import Iterator
 from itertools import groupby, islice
 from multiprocessing.pool import ThreadPool
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from trellium.functions.feature_lists import SchemaError, prediction_name, scoring_features
 from trellium.functions.text import plain_path
 from trellium.operators.profile import dataset_of
 from trellium.operators.scoring import match_models, score
 from trellium.plans.train import Layout
-from trellium.sources.csv import header_of, read_scoring_csv, read_scoring_table, write_csv
+from trellium.sources.csv import (
+    header_of,
+    read_scoring_csv,
+    read_scoring_table,
+    restore_text,
+    scoring_types,
+    write_csv,
+)
 from trellium.sources.folders import is_folder
 from trellium.sources.registry import lookup, read_registry
 
@@ -32,19 +41,24 @@ def bare_id(model_id: str) -> str:
     return model_id.replace(".pkl.spark", "").replace(".pkl", "")
 
 
-def predict_file(spark: SparkSession, layout: Layout, model_id: str, path: str) -> DataFrame:
+def predict_file(
+    spark: SparkSession, layout: Layout, model_id: str, path: str, invalid: str = "error"
+) -> DataFrame:
     """Scored rows of one table, lazily; ``cast_failures`` counts values that did not fit their type."""
     meta = lookup(spark, layout.registry, bare_id(model_id))
     if meta is None:
         raise NoModelError(f"No model found for ID {bare_id(model_id)}")
     model = PipelineModel.load(meta["spark_path"])
-    return score(model, read_scoring_table(spark, path, meta["feature_types"] or {}), meta)
+    rows = read_scoring_table(spark, path, scoring_types(meta["feature_types"] or {}))
+    return restore_text(score(model, rows, meta, invalid))
 
 
-def predict_to_csv(spark: SparkSession, layout: Layout, predict_id: str, model_id: str, path: str) -> str:
+def predict_to_csv(
+    spark: SparkSession, layout: Layout, predict_id: str, model_id: str, path: str, invalid: str = "error"
+) -> str:
     """Score a table and write it where the status query looks; no row passes the driver."""
     out = layout.output(predict_id)
-    write_csv(predict_file(spark, layout, model_id, path).drop("cast_failures"), out)
+    write_csv(predict_file(spark, layout, model_id, path, invalid).drop("cast_failures"), out)
     return out
 
 
@@ -53,41 +67,70 @@ def _chunks(rows: Iterator, size: int) -> Iterator[list]:
         yield chunk
 
 
+ERRORS = "predict_id string, model_id string, error string"
+
+
 def predict_many(spark: SparkSession, layout: Layout, requests: DataFrame, out: str) -> DataFrame:
-    """Score every request; returns the requests no model answers to, with their error.
+    """Score every request; returns ``predict_id, model_id, error`` of those that went wrong.
 
     ``requests``: ``predict_id, csv_path, model_id`` (and ``model_type``). Requests
     are grouped by model and by the header of their file, and each group is read
     in one scan and scored once, so the loop runs over models, not files. The
     result is CSV under ``out/predict_id=<id>``; a request is rewritten whole.
+    Rows whose features are missing or unreadable stay, with no prediction.
     """
     matched = match_models(requests, read_registry(spark, layout.registry))
     good = matched.filter(F.col("error").isNull())
     wanted = good.select("model_id", "predict_id", "csv_path").orderBy("model_id", "predict_id")
+    failed: list[tuple[str, str, str]] = []
     for model_id, rows in groupby(wanted.toLocalIterator(), key=lambda r: r.model_id):
         meta = lookup(spark, layout.registry, model_id)
         model = PipelineModel.load(meta["spark_path"])
         for chunk in _chunks(rows, FILES_PER_SCAN):
-            _score_chunk(spark, model, meta, chunk, out)
-    return matched.filter(F.col("error").isNotNull()).select("predict_id", "model_id", "error")
-
-
-def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: list, out: str) -> None:
-    asked = spark.createDataFrame([(r.predict_id, r.csv_path) for r in chunk], "predict_id string, csv_path string")
-    asked = asked.select("predict_id", plain_path("csv_path").alias("_path"))
-    paths = sorted({r.csv_path for r in chunk})
+            failed += _score_chunk(spark, model, meta, chunk, out)
+    unknown = matched.filter(F.col("error").isNotNull()).select("predict_id", "model_id", "error")
+    return unknown.unionByName(spark.createDataFrame(failed, ERRORS))
+
+
+def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: list, out: str) -> list[tuple]:
+    failed: list[tuple[str, str, str]] = []
+    requested: dict[str, list[str]] = {}
+    for r in chunk:
+        requested.setdefault(r.csv_path, []).append(r.predict_id)
+
+    def layout_of(path: str) -> tuple | Exception:
+        try:
+            columns = header_of(spark, path)
+            if "predict_id" in columns:
+                raise SchemaError("column name predict_id is taken by the output's folders")
+            scoring_features(columns, meta["feature_cols"], meta["target_column"])
+            return "folder" if is_folder(spark, path) else "file", tuple(columns)
+        except (SchemaError, AnalysisException) as error:  # a wrong or absent file is that request's fault
+            return error
+
+    paths = sorted(requested)
     with ThreadPool(HEADER_THREADS) as pool:
-        layouts = pool.map(lambda p: ("folder" if is_folder(spark, p) else "file", tuple(header_of(spark, p))), paths)
+        layouts = pool.map(layout_of, paths)
     alike: dict[tuple, list[str]] = {}
     for layout, path in zip(layouts, paths):
-        alike.setdefault(layout, []).append(path)
-    for (unit, _), datasets in alike.items():
-        rows = read_scoring_csv(spark, datasets, meta["feature_types"] or {}, keep_path=True)
+        if isinstance(layout, Exception):
+            failed += [(p, meta["model_id"], str(layout).split("\n")[0]) for p in requested[path]]
+        else:
+            alike.setdefault(layout, []).append(path)
+    asked = spark.createDataFrame([(r.predict_id, r.csv_path) for r in chunk], "predict_id string, csv_path string")
+    asked = F.broadcast(asked.select("predict_id", plain_path("csv_path").alias("_path")))
+    for (unit, columns), datasets in alike.items():
+        rows = read_scoring_csv(
+            spark, datasets, scoring_types(meta["feature_types"] or {}), keep_path=True, keep_text=True
+        )
         source = plain_path(dataset_of(F.col("source_file"), unit))
         rows = rows.withColumn("_path", source).drop("source_file", "cast_failures")
-        tagged = rows.join(F.broadcast(asked), "_path").drop("_path")
+        scored = restore_text(score(model, rows.join(asked, "_path").drop("_path"), meta, "null"))
+        name = prediction_name(columns, meta["target_column"])
+        unscored = F.col(f"`{name}`").isNull()
+        seen = Observation()
         (
-            score(model, tagged, meta)
+            scored.observe(seen, F.count_if(unscored).alias("n"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("header", True)
@@ -95,3 +138,9 @@ def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: l
             .partitionBy("predict_id")
             .csv(out)
         )
+        if seen.get["n"]:
+            counts = scored.filter(unscored).groupBy("predict_id").agg(F.count("*").alias("n")).collect()
+            failed += [
+                (r.predict_id, meta["model_id"], f"{r.n} rows have missing or unreadable features") for r in counts
+            ]
+    return failed

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trellium.plans import predict, train
 from trellium.plans.book import in_test, query, table
 from trellium.plans.queries_catalog import _requests
-from trellium.plans.queries_models import _LINES_SQL, _lines
+from trellium.plans.queries_models import _LINES_SQL, _lines, id_lines
 from trellium.plans.queries_tables import _order_files
 from trellium.operators.listing import model_listing
 from trellium.sources import csv as files
@@ -105,11 +105,6 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _id_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    return lines.select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "quantity", "discount", "label")
-
-
 @query(
     f"""
     with {_LINES_SQL}
@@ -120,7 +115,7 @@ def _id_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV files scored as they arrive, by a model fitted on the training share."""
-    lines = _id_lines(spark, sf_dir)
+    lines = id_lines(spark, sf_dir)
     trained = train.train_table(lines, "label", "regression", train.TrainOptions(estimator="linear"))
     meta = {"target_column": "label", "feature_cols": trained.fitted.features}
     arriving, out = new_folder(spark, "arriving"), new_folder(spark, "scored")
@@ -152,7 +147,7 @@ def _train_lines(spark: SparkSession, sf_dir: str) -> train.Layout:
     """A project with one job, trained from CSV and on record."""
     layout = train.Layout(new_folder(spark, "project"))
     upload = f"{layout.root}/uploads/job-1/lines.csv"
-    lines = _id_lines(spark, sf_dir)
+    lines = id_lines(spark, sf_dir)
     files.write_csv(lines.toDF("ID", "Quantity", " Discount", "Label"), upload)
     job = spark.createDataFrame([("job-1", "lines")], "job_id string, model_name string")
     Catalog(spark, layout.catalog).add_jobs(

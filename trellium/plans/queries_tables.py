@@ -165,7 +165,7 @@ def header_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for header in (True, False):
         lines = profile.read_lines(spark, _order_files(spark, sf_dir, header), "folder")
-        heads = profile.first_records(lines, profile.VOTE_ROWS + 1)
+        heads = profile.first_records(lines, profile.VOTE_ROWS + 1, headers_in_parts=header)
         votes = profile.header_votes(heads)
         parts.append(votes.select(_status_of().alias("dataset"), F.lit(header).alias("written_with"), "has_header"))
     return parts[0].unionByName(parts[1])
@@ -184,11 +184,8 @@ def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "documents-csv")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", "lang")
     files.write_csv(documents, out, partition_by=["lang"])
-    lines = profile.read_lines(spark, out, "folder")
-    headers = profile.list_datasets(spark, out, "folder").select("dataset", "n_files")
-    counted = profile.count_records(lines).select("dataset", "n_lines")
     records = profile.profile_records(spark, out, "folder", headers_in_parts=True)
-    return records.join(counted, "dataset").join(headers, "dataset").select(
+    return records.select(
         F.regexp_extract("dataset", r"lang=([^/]+)", 1).alias("dataset"),
         "row_count",
         (F.col("n_lines") - F.col("n_files")).alias("n_body_lines"),

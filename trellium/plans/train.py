@@ -76,6 +76,22 @@ def preprocess(
     return read_parquet(spark, out_path)
 
 
+# Up to this many rows, starting tasks takes longer than what they do.
+ONE_TASK_ROWS = 10_000
+
+
+def _spread(scan: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt out to all cores when the scan has fewer parts than that.
+
+    Trees pass over the table once per level. A table of many files is left as
+    it is read, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *[F.col(f"`{c}`") for c in key])
+
+
 def train_table(table: DataFrame, target: str, task: str, options: TrainOptions = TrainOptions()) -> Trained:
     """Split, fit and evaluate a cleaned table. Only the needed columns are read."""
     target = fold(target)
@@ -89,11 +105,12 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
     # Trees read their input several times; least squares and constants once.
     keep = options.estimator == "boosted"
     if keep:
-        flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+        flagged = _spread(needed, flagged, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         split = train_test(flagged, target)
         facts = (split.n_train, bool(split.varies))
-        fitted = fit(split.train, features, target, task, options.estimator, options.params, options.prep, facts)
+        side = split.train.coalesce(1) if keep and split.n_train <= ONE_TASK_ROWS else split.train
+        fitted = fit(side, features, target, task, options.estimator, options.params, options.prep, facts)
         name = f"{target}_predicted"
         scored = score(fitted.model, split.test, {"target_column": target, "feature_cols": features})
         row = metrics_for(task, scored, target, name).first()

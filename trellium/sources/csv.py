@@ -46,12 +46,13 @@ def read_scoring_csv(
     feature_types: Mapping[str, str],
     multi_line: bool = False,
     keep_path: bool = False,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Scoring tables: every column by its header, features cast to the model's types.
+    """Scoring tables: every column by its header, features cast to the given types.
 
     A value that does not fit its type becomes null and is counted per row in
-    ``cast_failures``. Columns that are no features stay text. With
-    ``keep_path`` the row carries ``source_file``.
+    ``cast_failures``. Columns that are no features stay text. ``keep_path`` adds
+    ``source_file``; ``keep_text`` adds each cast column's text as ``<name>__text``.
     """
     raw = (
         spark.read.option("header", True)
@@ -62,10 +63,19 @@ def read_scoring_csv(
     raw = raw.toDF(*folded_names(raw.columns))
     if keep_path:
         raw = raw.withColumn("source_file", decoded_path("_metadata.file_path"))
-    return cast_features(raw, feature_types)
+    return cast_features(raw, feature_types, keep_text)
 
 
-def cast_features(df: DataFrame, feature_types: Mapping[str, str]) -> DataFrame:
+# SQL types that a model reads as a number.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def scoring_types(feature_types: Mapping[str, str]) -> dict[str, str]:
+    """Types to cast to before scoring: a whole number in training may be a fraction now."""
+    return {c: "double" if t.split("(")[0] in _NUMBERS else t for c, t in feature_types.items()}
+
+
+def cast_features(df: DataFrame, feature_types: Mapping[str, str], keep_text: bool = False) -> DataFrame:
     """``try_cast`` the known feature columns and count what did not fit."""
     wanted = {fold(name): kind for name, kind in feature_types.items()}
     bad = F.lit(0)
@@ -76,11 +86,25 @@ def cast_features(df: DataFrame, feature_types: Mapping[str, str]) -> DataFrame:
             value = source.try_cast(wanted[name])
             bad = bad + F.when(source.isNotNull() & value.isNull(), 1).otherwise(0)
             columns.append(value.alias(name))
+            if keep_text:
+                columns.append(source.alias(f"{name}__text"))
         else:
             columns.append(source)
     return df.select(*columns, bad.alias("cast_failures"))
 
 
+def restore_text(df: DataFrame) -> DataFrame:
+    """Put the text kept by ``keep_text`` back in place of the cast columns."""
+    kept = {c.removesuffix("__text") for c in df.columns if c.endswith("__text")}
+    return df.select(
+        *[
+            F.col(f"`{c}__text`").alias(c) if c in kept else F.col(f"`{c}`")
+            for c in df.columns
+            if not c.endswith("__text")
+        ]
+    )
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, partition_by: Sequence[str] = ()) -> None:
     """Distributed CSV write; one part file per task and partition value."""
     writer = df.write.mode("overwrite").option("header", header).options(**_QUOTING)
@@ -105,14 +129,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
-def read_scoring_table(
-    spark: SparkSession, path: str, feature_types: Mapping[str, str], keep_path: bool = False
-) -> DataFrame:
-    """CSV or Parquet by the path's ending."""
+def read_scoring_table(spark: SparkSession, path: str, feature_types: Mapping[str, str]) -> DataFrame:
+    """CSV or Parquet by the path's ending, with the text of cast columns kept beside them."""
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
-        df = df.toDF(*folded_names(df.columns))
-        if keep_path:
-            df = df.withColumn("source_file", decoded_path("_metadata.file_path"))
-        return cast_features(df, feature_types)
-    return read_scoring_csv(spark, path, feature_types, keep_path=keep_path)
+        return cast_features(df.toDF(*folded_names(df.columns)), feature_types, keep_text=True)
+    return read_scoring_csv(spark, path, feature_types, keep_text=True)
