@@ -47,6 +47,9 @@ def test_versions_keep_old_readers(spark, rows, target, tmp_path):
     # A version whose write did not finish is not seen, and is written again.
     (tmp_path / "t" / "v=000000001" / "_SUCCESS").unlink()
     assert folders.versions(spark, root) == [0]
+    folders.write_table(target, root)
+    folders.drop_old_versions(spark, root, keep=1)
+    assert folders.versions(spark, root) == [1] and folders.read_table(spark, root).count() == 2
 
 
 def test_folder_follows_the_setting(spark):

@@ -250,7 +250,7 @@ def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     select event_id,
       case when event_type = 'view' then 'regression'
-           when event_type = 'error' and event_id % 2 = 1 then 'regression'
+           when event_type = 'error' and value > 10 then 'regression'
            else 'classification' end as task_type
     from events
     """
@@ -259,7 +259,7 @@ def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """first non-empty candidate, folded, unknown means classification."""
     kind = F.col("event_type")
     override = F.when(kind == "view", "Regression").when(kind == "click", "").when(kind == "signup", "clustering")
-    fallback = F.when(kind == "click", "CLASSIFICATION").when((kind == "error") & (F.col("event_id") % 2 == 1), "REGRESSION")
+    fallback = F.when(kind == "click", "CLASSIFICATION").when((kind == "error") & (F.col("value") > 10), "REGRESSION")
     return table(spark, sf_dir, "events").select("event_id", text.task_type(override, fallback).alias("task_type"))
 
 

@@ -83,3 +83,10 @@ def write_table(df: DataFrame, root: str) -> int:
     number = found[-1] + 1 if found else 0
     df.write.mode("overwrite").parquet(f"{root}/v={number:09d}")
     return number
+
+
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete all but the newest versions; for times when no reader holds an old one."""
+    jpath, fs = _hadoop_path(spark, root)
+    for number in versions(spark, root)[: -max(keep, 1)]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(jpath, f"v={number:09d}"), True)
