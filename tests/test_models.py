@@ -118,3 +118,13 @@ def test_scoring_replaces_an_incoming_prediction(table):
     assert dict(got.dtypes)["prediction"] == "double" and "features" not in got.columns
     with pytest.raises(SchemaError, match="b"):
         scoring.score(fitted.model, table.drop("b"), meta("a", "b"))
+
+
+@pytest.mark.parametrize("how", ["hash", "stratified", "random"])
+def test_every_split_trains(table, how):
+    from trellium.plans.train import TrainOptions, train_table
+
+    df = table.withColumn("label", F.expr("if(a > 9, 'high', 'low')"))
+    got = train_table(df, "LABEL", "classification", TrainOptions("boosted", SMALL, split=how))
+    assert got.holdout and got.n_train + got.n_test == 200 and got.metrics["accuracy"] > 0.9
+    assert got.feature_types == {"a": "double", "b": "bigint"}

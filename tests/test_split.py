@@ -60,3 +60,11 @@ def test_key_falls_back_to_all_columns(spark):
 def test_random_split_covers(spark):
     train, test = split.random_split(spark.range(500))
     assert train.count() + test.count() == 500
+
+
+def test_random_flag_marks_the_same_rows(spark, rows):
+    df = spark.range(300)
+    flagged = split.with_random_flag(df)
+    _, test = split.random_split(df)
+    assert {r.id for r in flagged.filter("is_test").collect()} == {r.id for r in test.collect()}
+    assert flagged.count() == 300

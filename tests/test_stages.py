@@ -41,24 +41,27 @@ def project(tmp_path):
     send(inbox, "d", job_id="j4", csv_path=str(uploads / "none.csv"), filename="none.csv", target_column="x", task_type="", **common)
     send(inbox, "e", job_id="j5", csv_path=house, filename="houses.csv", target_column="", task_type="", **common)
     (inbox / "broken.json").write_text('{"job_id": ')
+    send(inbox, "f", csv_path=house, filename="houses.csv", target_column="nosuch")
     return tmp_path
 
 
 def test_upload_to_predictions(spark, project):
     root = str(project)
     layout = train.Layout(root)
-    box = {k: f"{root}/box/{k}" for k in ("uploaded", "refused", "done", "refused2", "trained", "refused3", "errors")}
+    box = {k: f"{root}/box/{k}" for k in ("uploaded", "refused", "done", "refused2", "trained", "refused3", "results", "errors")}
 
     ingest = stages.ingest_step(box["uploaded"], box["refused"])
     requests = stream.message_stream(spark, "upload_request", f"{root}/requests", one_object_per_file=True)
-    stream.run_stage(requests.filter("job_id is not null"), ingest, f"{root}/check/ingest").awaitTermination()
+    stream.run_stage(requests, ingest, f"{root}/check/ingest").awaitTermination()
     uploaded = msg.read_messages(spark, "dataset_uploaded", f"{box['uploaded']}/batch-*", False)
     sent = {r.job_id: r for r in uploaded.collect()}
     assert set(sent) == {"j1", "j2"}
     assert (sent["j1"].row_count, sent["j1"].columns) == (65, ["ID", "Sqft", "Age", "Price"])
     assert len(sent["j1"].preview) == 9
     refused = spark.read.json(f"{box['refused']}/batch-*")
-    assert {r.job_id for r in refused.collect()} == {"j3", "j4", "j5"}
+    reasons = {r.job_id: r.reason for r in refused.collect()}
+    assert {"j3", "j4", "j5"} < set(reasons) and len(reasons) == 5  # a broken and a nameless message got ids
+    assert "Missing CSV file." in reasons.values() and reasons["j5"] == "Missing target column."
 
     catalog = Catalog(spark, layout.catalog)
     catalog.add_jobs(
@@ -101,7 +104,7 @@ def test_upload_to_predictions(spark, project):
     for name, path, model in asked:
         send(project / "asked", name, predict_id=name, csv_path=path, model_id=model, model_type="regression", timestamp="2024-01-01T00:00:00Z")
     out = f"{root}/predictions_output"
-    step = stages.predict_step(layout, out, box["errors"])
+    step = stages.predict_step(layout, out, box["results"], box["errors"])
     incoming = stream.message_stream(spark, "predict_request", f"{root}/asked", one_object_per_file=True)
     stream.run_stage(incoming, step, f"{root}/check/predict").awaitTermination()
     errors = {r.predict_id: r.error for r in spark.read.json(f"{box['errors']}/batch-*").collect()}
@@ -109,6 +112,13 @@ def test_upload_to_predictions(spark, project):
     assert errors["p4"] == "No model found for ID j9" and "age" in errors["p5"]
     assert errors["p6"] == "2 rows have missing or unreadable features" and "PATH_NOT_FOUND" in errors["p7"]
 
+    sent = msg.read_messages(spark, "predict", f"{box['results']}/batch-*/group-*", False).collect()
+    results = {r.output_csv.rsplit("=", 1)[1]: r for r in sent}
+    assert set(results) == {"p1", "p2", "p3", "p6"}
+    assert results["p2"].result.n_rows == 2 and results["p2"].result.columns == ["age", "sqft", "id", "note", "price"]
+    assert [m["note"] for m in results["p2"].result.sample_predictions] == ["a b", "c"]
+    assert results["p3"].model_type == "classification" and results["p6"].result.n_rows == 3
+
     def scored(name):
         return spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/predict_id={name}")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trellium.functions.csv_text import csv_fields, header_names, join_records, looks_numeric, record_open
 from trellium.functions.text import decoded_path
 from trellium.sources.csv import Paths, _paths
+from trellium.sources.folders import new_folder
 
 # Rows shown, and rows the header vote looks at besides the first.
 PREVIEW_ROWS = 10
@@ -99,7 +100,11 @@ def first_records(lines: DataFrame, n: int, headers_in_parts: bool = False) -> D
             (F.col("n_read") < take).alias("all_lines"),
             F.col("joined.done").alias("closed"),
             F.col("joined.open").alias("open"),
-        ).persist()
+        )
+        # Written, not cached: small, read more than once, and safe when an executor is lost.
+        kept = new_folder(lines.sparkSession, "heads")
+        heads.write.parquet(kept)
+        heads = lines.sparkSession.read.schema(heads.schema).parquet(kept)
         enough = ~F.col("cut") & (F.col("all_lines") | (F.size("closed") >= n))
         records = F.when(F.col("open").isNull(), F.col("closed")).otherwise(F.concat("closed", F.array("open")))
         part = heads.filter(enough).select("dataset", F.slice(records, 1, n).alias("records"), "lines")

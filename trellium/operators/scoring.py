@@ -89,6 +89,20 @@ def top_rows(scored: DataFrame, order_by: Sequence[str], n: int = SAMPLE_ROWS) -
     return scored.orderBy(*order_by).limit(n)
 
 
+def as_results(samples: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Numbered sample rows to one ordered JSON list per key."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    return (
+        samples.select(key, "sample_no", row.alias("row"))
+        .groupBy(key)
+        .agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("sample_no", "row"))), lambda r: r["row"]
+            ).alias("sample_predictions")
+        )
+    )
+
+
 def summarise(
     scored: DataFrame,
     order_by: Sequence[str],
@@ -100,16 +114,7 @@ def summarise(
     """Per request: ``n_rows, columns, prediction_mode, sample_predictions`` (JSON, in order)."""
     shown = [c for c in scored.columns if c != key]
     counts = scored.groupBy(key).agg(F.count("*").alias("n_rows"), *extra)
-    samples = (
-        sample_rows(scored, [key], order_by, n)
-        .select(key, "sample_no", F.to_json(F.struct(*[F.col(f"`{c}`") for c in shown])).alias("row"))
-        .groupBy(key)
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("sample_no", "row"))), lambda r: r["row"]
-            ).alias("sample_predictions")
-        )
-    )
+    samples = as_results(sample_rows(scored, [key], order_by, n), key, shown)
     return counts.join(samples, key, "left").withColumns(
         {"columns": F.array(*[F.lit(c) for c in shown]), "prediction_mode": F.lit(mode)}
     )

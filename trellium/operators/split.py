@@ -42,6 +42,12 @@ def random_split(df: DataFrame, test_percent: int = TEST_PERCENT, seed: int = SE
     return train, test
 
 
+def with_random_flag(df: DataFrame, test_percent: int = TEST_PERCENT, seed: int = SEED) -> DataFrame:
+    """``random_split`` as one table with ``is_test``."""
+    train, test = random_split(df, test_percent, seed)
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+
+
 def with_stratified_flag(
     df: DataFrame,
     label: str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellium.functions import text
 
 # Rejection reasons, in the order they are tested.
+NO_FILE = "Missing CSV file."
 NOT_CSV = "Only .csv files are supported."
 NO_HEADER = "CSV header row is missing or could not be parsed."
 NO_TARGET = "Missing target column."
@@ -24,7 +25,8 @@ def with_verdict(requests: DataFrame) -> DataFrame:
     header = F.coalesce(F.col("columns"), F.array().cast("array<string>"))
     others = F.filter(header, lambda c: c != target)
     reason = (
-        F.when(~F.coalesce(text.is_csv_name("filename"), F.lit(False)), NOT_CSV)
+        F.when(text.none_if_blank("filename").isNull(), NO_FILE)
+        .when(~text.is_csv_name("filename"), NOT_CSV)
         .when(F.size(header) == 0, NO_HEADER)
         .when(target.isNull(), NO_TARGET)
         .when(

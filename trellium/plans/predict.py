@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trellium.functions.feature_lists import SchemaError, prediction_name, scoring_features
-from trellium.functions.text import plain_path
+from trellium.functions.text import iso_now, plain_path
 from trellium.operators.profile import dataset_of
-from trellium.operators.scoring import match_models, score
+from trellium.operators.scoring import as_results, match_models, sample_rows, score
 from trellium.plans.train import Layout
 from trellium.sources.csv import (
     header_of,
@@ -25,6 +25,7 @@ from trellium.sources.csv import (
     write_csv,
 )
 from trellium.sources.folders import is_folder
+from trellium.sources.messages import write_messages
 from trellium.sources.registry import lookup, read_registry
 
 # Files read by one scan; it also bounds the path table that is broadcast.
@@ -68,9 +69,13 @@ def _chunks(rows: Iterator, size: int) -> Iterator[list]:
 
 
 ERRORS = "predict_id string, model_id string, error string"
+_PLACE = ["__source_file", "__source_block", "__source_row"]
+_META = ["spark_path", "feature_cols", "feature_types", "target_column"]
 
 
-def predict_many(spark: SparkSession, layout: Layout, requests: DataFrame, out: str) -> DataFrame:
+def predict_many(
+    spark: SparkSession, layout: Layout, requests: DataFrame, out: str, results: str | None = None
+) -> DataFrame:
     """Score every request; returns ``predict_id, model_id, error`` of those that went wrong.
 
     ``requests``: ``predict_id, csv_path, model_id`` (and ``model_type``). Requests
@@ -78,22 +83,32 @@ def predict_many(spark: SparkSession, layout: Layout, requests: DataFrame, out:
     in one scan and scored once, so the loop runs over models, not files. The
     result is CSV under ``out/predict_id=<id>``; a request is rewritten whole.
     Rows whose features are missing or unreadable stay, with no prediction.
+    ``results`` names a folder for result messages: row count, columns and the
+    first rows of each request.
     """
     matched = match_models(requests, read_registry(spark, layout.registry))
     good = matched.filter(F.col("error").isNull())
-    wanted = good.select("model_id", "predict_id", "csv_path").orderBy("model_id", "predict_id")
+    wanted = good.select("model_id", "predict_id", "csv_path", "task_type", *_META).orderBy("model_id", "predict_id")
     failed: list[tuple[str, str, str]] = []
+    n_groups = 0
     for model_id, rows in groupby(wanted.toLocalIterator(), key=lambda r: r.model_id):
-        meta = lookup(spark, layout.registry, model_id)
-        model = PipelineModel.load(meta["spark_path"])
         for chunk in _chunks(rows, FILES_PER_SCAN):
-            failed += _score_chunk(spark, model, meta, chunk, out)
+            meta = {"model_id": model_id, "task_type": chunk[0].task_type, **{c: chunk[0][c] for c in _META}}
+            model = PipelineModel.load(meta["spark_path"])
+            groups = _by_layout(spark, meta, chunk, failed)
+            for (unit, columns), paths in groups.items():
+                rows_in = _tagged_rows(spark, meta, chunk, unit, paths)
+                failed += _write_scored(model, meta, rows_in, columns, out)
+                if results is not None:
+                    messages = _result_messages(model, meta, rows_in, out)
+                    write_messages(messages, "predict", f"{results}/group-{n_groups:06d}", "overwrite")
+                n_groups += 1
     unknown = matched.filter(F.col("error").isNotNull()).select("predict_id", "model_id", "error")
     return unknown.unionByName(spark.createDataFrame(failed, ERRORS))
 
 
-def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: list, out: str) -> list[tuple]:
-    failed: list[tuple[str, str, str]] = []
+def _by_layout(spark: SparkSession, meta: dict, chunk: list, failed: list) -> dict[tuple, list[str]]:
+    """Paths of a chunk by (file or folder, header); requests whose file does not serve go to ``failed``."""
     requested: dict[str, list[str]] = {}
     for r in chunk:
         requested.setdefault(r.csv_path, []).append(r.predict_id)
@@ -101,8 +116,8 @@ def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: l
     def layout_of(path: str) -> tuple | Exception:
         try:
             columns = header_of(spark, path)
-            if "predict_id" in columns:
-                raise SchemaError("column name predict_id is taken by the output's folders")
+            if taken := {"predict_id", "cast_failures"} & set(columns):
+                raise SchemaError(f"column names taken by the output: {sorted(taken)}")
             scoring_features(columns, meta["feature_cols"], meta["target_column"])
             return "folder" if is_folder(spark, path) else "file", tuple(columns)
         except (SchemaError, AnalysisException) as error:  # a wrong or absent file is that request's fault
@@ -117,30 +132,57 @@ def _score_chunk(spark: SparkSession, model: PipelineModel, meta: dict, chunk: l
             failed += [(p, meta["model_id"], str(layout).split("\n")[0]) for p in requested[path]]
         else:
             alike.setdefault(layout, []).append(path)
+    return alike
+
+
+def _tagged_rows(spark: SparkSession, meta: dict, chunk: list, unit: str, paths: list[str]) -> DataFrame:
+    """Rows of the paths with the ``predict_id`` that asked for them and their place in the source."""
     asked = spark.createDataFrame([(r.predict_id, r.csv_path) for r in chunk], "predict_id string, csv_path string")
-    asked = F.broadcast(asked.select("predict_id", plain_path("csv_path").alias("_path")))
-    for (unit, columns), datasets in alike.items():
-        rows = read_scoring_csv(
-            spark, datasets, scoring_types(meta["feature_types"] or {}), keep_path=True, keep_text=True
-        )
-        source = plain_path(dataset_of(F.col("source_file"), unit))
-        rows = rows.withColumn("_path", source).drop("source_file", "cast_failures")
-        scored = restore_text(score(model, rows.join(asked, "_path").drop("_path"), meta, "null"))
-        name = prediction_name(columns, meta["target_column"])
-        unscored = F.col(f"`{name}`").isNull()
-        seen = Observation()
-        (
-            scored.observe(seen, F.count_if(unscored).alias("n"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("header", True)
-            .option("escape", '"')
-            .partitionBy("predict_id")
-            .csv(out)
-        )
-        if seen.get["n"]:
-            counts = scored.filter(unscored).groupBy("predict_id").agg(F.count("*").alias("n")).collect()
-            failed += [
-                (r.predict_id, meta["model_id"], f"{r.n} rows have missing or unreadable features") for r in counts
-            ]
-    return failed
+    asked = F.broadcast(asked.select("predict_id", plain_path("csv_path").alias("__path")))
+    rows = read_scoring_csv(
+        spark, paths, scoring_types(meta["feature_types"] or {}), keep_path=True, keep_text=True
+    )
+    source = plain_path(dataset_of(F.col("__source_file"), unit))
+    return rows.withColumn("__path", source).drop("cast_failures").join(asked, "__path").drop("__path")
+
+
+def _write_scored(model: PipelineModel, meta: dict, rows: DataFrame, columns: tuple, out: str) -> list[tuple]:
+    scored = restore_text(score(model, rows.drop(*_PLACE), meta, "null"))
+    unscored = F.col(f"`{prediction_name(columns, meta['target_column'])}`").isNull()
+    seen = Observation()
+    (
+        scored.observe(seen, F.count_if(unscored).alias("n"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("header", True)
+        .option("escape", '"')
+        .partitionBy("predict_id")
+        .csv(out)
+    )
+    if not seen.get["n"]:
+        return []
+    counts = scored.filter(unscored).groupBy("predict_id").agg(F.count("*").alias("n")).collect()
+    return [(r.predict_id, meta["model_id"], f"{r.n} rows have missing or unreadable features") for r in counts]
+
+
+def _result_messages(model: PipelineModel, meta: dict, rows: DataFrame, out: str) -> DataFrame:
+    """One message per request. Only its first rows are scored for it; the others are counted."""
+    counts = rows.groupBy("predict_id").agg(F.count("*").alias("n_rows"))
+    first = sample_rows(rows, ["predict_id"], _PLACE).drop(*_PLACE)
+    scored = restore_text(score(model, first, meta, "null"))
+    shown = [c for c in scored.columns if c not in ("predict_id", "sample_no")]
+    as_map = F.transform("sample_predictions", lambda r: F.from_json(r, "map<string,string>"))
+    result = F.struct(
+        "n_rows",
+        F.array(*[F.lit(c) for c in shown]).alias("columns"),
+        F.lit("spark").alias("prediction_mode"),
+        as_map.alias("sample_predictions"),
+    )
+    return counts.join(as_results(scored, "predict_id", shown), "predict_id").select(
+        F.lit(meta["model_id"]).alias("model_id"),
+        F.lit(meta["task_type"]).alias("model_type"),
+        F.lit(None).cast("string").alias("csv_path"),
+        iso_now().alias("timestamp"),
+        F.concat(F.lit(f"{out}/predict_id="), "predict_id").alias("output_csv"),
+        result.alias("result"),
+    )

@@ -15,7 +15,7 @@ from trellium.operators.features import Preparation, feature_types
 from trellium.operators.metrics import map_to_long, metrics_for, metrics_map
 from trellium.operators.models import Fitted, TreeParams, fit
 from trellium.operators.scoring import score
-from trellium.operators.split import train_test, with_stratified_flag, with_test_flag
+from trellium.operators.split import train_test, with_random_flag, with_stratified_flag, with_test_flag
 from trellium.sources.catalog import Catalog
 from trellium.sources.csv import read_parquet, read_training_csv, write_parquet
 from trellium.sources.registry import REGISTRY, registry_row, save_rows
@@ -51,7 +51,7 @@ class TrainOptions:
     estimator: str = "boosted"
     params: TreeParams = TreeParams()
     prep: Preparation = Preparation()
-    stratify: bool = False  # exact shares per label instead of the hash test
+    split: str = "hash"  # hash, stratified (exact share of each label) or random (Spark's own)
     key: tuple[str, ...] = ()
 
 
@@ -98,7 +98,9 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
     features = training_features(table.columns, target)
     key = list(options.key) or (["id"] if "id" in table.columns else [])
     needed = table.select(*dict.fromkeys([*key, *features, target]))
-    if options.stratify and task == "classification":
+    if options.split == "random":
+        flagged = with_random_flag(needed)
+    elif options.split == "stratified" and task == "classification":
         flagged = with_stratified_flag(needed, target, key or None)
     else:
         flagged = with_test_flag(needed, key or None)

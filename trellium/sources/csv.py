@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellium.functions.feature_lists import fold, folded_names
+from trellium.functions.feature_lists import SchemaError, fold, folded_names
 from trellium.functions.text import decoded_path
 
 Paths = str | Sequence[str]
@@ -52,7 +52,8 @@ def read_scoring_csv(
 
     A value that does not fit its type becomes null and is counted per row in
     ``cast_failures``. Columns that are no features stay text. ``keep_path`` adds
-    ``source_file``; ``keep_text`` adds each cast column's text as ``<name>__text``.
+    ``__source_file``, and ``__source_block`` and ``__source_row``, which order the rows
+    of a file; ``keep_text`` adds each cast column's text as ``<name>__text``.
     """
     raw = (
         spark.read.option("header", True)
@@ -62,7 +63,13 @@ def read_scoring_csv(
     )
     raw = raw.toDF(*folded_names(raw.columns))
     if keep_path:
-        raw = raw.withColumn("source_file", decoded_path("_metadata.file_path"))
+        raw = raw.withColumns(
+            {
+                "__source_file": decoded_path("_metadata.file_path"),
+                "__source_block": F.col("_metadata.file_block_start"),
+                "__source_row": F.monotonically_increasing_id(),
+            }
+        )
     return cast_features(raw, feature_types, keep_text)
 
 
@@ -77,6 +84,8 @@ def scoring_types(feature_types: Mapping[str, str]) -> dict[str, str]:
 
 def cast_features(df: DataFrame, feature_types: Mapping[str, str], keep_text: bool = False) -> DataFrame:
     """``try_cast`` the known feature columns and count what did not fit."""
+    if "cast_failures" in df.columns:
+        raise SchemaError("column name cast_failures is taken by the count of unreadable values")
     wanted = {fold(name): kind for name, kind in feature_types.items()}
     bad = F.lit(0)
     columns = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +45,8 @@ def ingest_step(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        requests = latest_per_key(batch).persist()
+        named = batch.withColumn("job_id", text.job_id_or_new("job_id", "csv_path", "filename", "timestamp"))
+        requests = latest_per_key(named).persist()
         try:
             if default_target is not None:
                 requests = requests.withColumn(
@@ -74,7 +78,24 @@ def _failures(rows: list[tuple[str, str]], batch: DataFrame, folder: str) -> Non
     frame.write.mode("overwrite").json(folder)
 
 
-def preprocess_step(layout: Layout, done: str, rejected: str) -> Step:
+def _each(rows: DataFrame, work: Callable, at_once: int) -> tuple[list, list[tuple[str, str]]]:
+    """``work`` on every message, some side by side; what it returns, and (job, reason) of bad tables.
+
+    A small table leaves most of a cluster idle, so several jobs share it.
+    """
+
+    def attempt(message):
+        try:
+            return work(message), None
+        except SchemaError as error:
+            return None, (message.job_id, str(error))
+
+    with ThreadPool(at_once) as pool:
+        outcomes = list(pool.imap(attempt, rows.toLocalIterator()))
+    return [r for r, bad in outcomes if bad is None], [bad for _, bad in outcomes if bad is not None]
+
+
+def preprocess_step(layout: Layout, done: str, rejected: str, at_once: int = 4) -> Step:
     """``dataset_uploaded`` messages in; cleaned tables and ``preprocess`` messages out.
 
     Each job is a Spark job of its own (every table has its own schema), written
@@ -83,17 +104,15 @@ def preprocess_step(layout: Layout, done: str, rejected: str) -> Step:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        out, bad = [], []
-        wanted = latest_per_key(batch).withColumn("task", text.task_type("task_type", "model_type"))
-        for m in wanted.toLocalIterator():
+
+        def work(m):
             path = layout.processed(m.job_id)
-            try:
-                table = preprocess(spark, m.csv_path, m.target_column, path)
-                features = training_features(table.columns, fold(m.target_column))
-            except SchemaError as error:
-                bad.append((m.job_id, str(error)))
-                continue
-            out.append((m.job_id, path, table.count(), features, m.task, fold(m.target_column)))
+            table = preprocess(spark, m.csv_path, m.target_column, path)
+            features = training_features(table.columns, fold(m.target_column))
+            return m.job_id, path, table.count(), features, m.task, fold(m.target_column)
+
+        wanted = latest_per_key(batch).withColumn("task", text.task_type("task_type", "model_type"))
+        out, bad = _each(wanted, work, at_once)
         messages = spark.createDataFrame(
             out,
             "job_id string, processed_path string, n_rows long, features array<string>, "
@@ -105,29 +124,26 @@ def preprocess_step(layout: Layout, done: str, rejected: str) -> Step:
     return step
 
 
-def train_step(layout: Layout, done: str, rejected: str, options: TrainOptions = TrainOptions()) -> Step:
+def train_step(
+    layout: Layout, done: str, rejected: str, options: TrainOptions = TrainOptions(), at_once: int = 4
+) -> Step:
     """``preprocess`` messages in; models, registry, catalog and ``train`` messages out."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done_jobs, bad = [], []
-        wanted = latest_per_key(batch).withColumn("task", text.task_type("model_type"))
-        for m in wanted.toLocalIterator():
-            try:
-                if not m.target_column:
-                    raise SchemaError("target column is required")
-                table = spark.read.parquet(m.processed_path)
-                trained = train_table(table, m.target_column, m.task, options)
-            except SchemaError as error:
-                bad.append((m.job_id, str(error)))
-                continue
+
+        def work(m):
+            if not m.target_column:
+                raise SchemaError("target column is required")
+            trained = train_table(spark.read.parquet(m.processed_path), m.target_column, m.task, options)
             trained.job_id = m.job_id
             save_model(trained, layout)
-            done_jobs.append(trained)
-        record(spark, done_jobs, layout, f"batch-{batch_id:09d}")
-        out = [
-            (t.job_id, layout.model(t.job_id), t.task, t.target, t.fitted.features, t.metrics) for t in done_jobs
-        ]
+            return trained
+
+        wanted = latest_per_key(batch).withColumn("task", text.task_type("model_type"))
+        trained, bad = _each(wanted, work, at_once)
+        record(spark, trained, layout, f"batch-{batch_id:09d}")
+        out = [(t.job_id, layout.model(t.job_id), t.task, t.target, t.fitted.features, t.metrics) for t in trained]
         messages = spark.createDataFrame(
             out,
             "job_id string, model_path string, model_type string, target_column string, "
@@ -139,13 +155,13 @@ def train_step(layout: Layout, done: str, rejected: str, options: TrainOptions =
     return step
 
 
-def predict_step(layout: Layout, out: str, rejected: str) -> Step:
-    """``predict_request`` messages in; scored CSV per request and a table of errors out."""
+def predict_step(layout: Layout, out: str, done: str, rejected: str) -> Step:
+    """``predict_request`` messages in; scored CSV per request, ``predict`` messages and a table of errors out."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         requests = latest_per_key(batch, "predict_id").persist()
         try:
-            errors = predict_many(batch.sparkSession, layout, requests, out)
+            errors = predict_many(batch.sparkSession, layout, requests, out, batch_folder(done, batch_id))
             errors.write.mode("overwrite").json(batch_folder(rejected, batch_id))
         finally:
             requests.unpersist()
