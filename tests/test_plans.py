@@ -30,7 +30,7 @@ def test_first_rows_are_cut_before_the_shuffle(spark, tmp_path):
     lines = profile.read_lines(spark, str(tmp_path))
     for df in (
         scoring.sample_rows(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], ["id"]),
-        profile._first_lines(lines, 5, False),
+        profile._first_lines(profile._with_dataset(lines, "file"), 5, False),
     ):
         below = plan_of(df).split("Exchange")[1]
         assert "WindowGroupLimit" in below and "Partial" in below

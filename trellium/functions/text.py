@@ -42,7 +42,7 @@ def task_type(*candidates: Column | str) -> Column:
 
 
 def base_name(path: Column | str) -> Column:
-    return F.element_at(F.split(_c(path), "/"), -1)
+    return F.substring_index(_c(path), "/", -1)
 
 
 def strip_upload_prefix(name: Column | str) -> Column:
@@ -137,9 +137,17 @@ def artifact_rank(kind: Column | str) -> Column:
 
 def decoded_path(path: Column | str) -> Column:
     """Path as the user writes it; ``_metadata.file_path`` comes URL-encoded."""
-    return F.url_decode(F.replace(_c(path), F.lit("+"), F.lit("%2B")))
+    p = _c(path)
+    return F.when(p.contains("%"), F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))).otherwise(p)
 
 
 def plain_path(path: Column | str) -> Column:
     """Path without ``file:`` and trailing slashes, so that two spellings compare equal."""
-    return F.regexp_replace(F.regexp_replace(_c(path), r"^file:/+", "/"), r"/+$", "")
+    p = F.rtrim(_c(path), F.lit("/"))
+    rest = F.ltrim(F.substr(p, F.lit(len("file:") + 1)), F.lit("/"))
+    return F.when(p.startswith("file:/"), F.concat(F.lit("/"), rest)).otherwise(p)
+
+
+def parent_folder(path: Column | str) -> Column:
+    p = _c(path)
+    return F.left(p, F.length(p) - F.length(base_name(p)) - 1)

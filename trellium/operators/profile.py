@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellium.functions.csv_text import csv_fields, header_names, join_records, looks_numeric, record_open
-from trellium.functions.text import decoded_path
+from trellium.functions.text import decoded_path, parent_folder
 from trellium.sources.csv import Paths, _paths
 from trellium.sources.folders import new_folder
 
@@ -23,13 +23,12 @@ RAW_PREVIEW_LINES = 8
 
 def dataset_of(path: Column, unit: str) -> Column:
     """The data set a file belongs to: itself, or its folder."""
-    return path if unit == "file" else F.regexp_replace(path, r"/[^/]*$", "")
+    return path if unit == "file" else parent_folder(path)
 
 
-def read_lines(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
-    """``dataset, file, block, whole_file, seq, value``: physical lines, in order by (file, block, seq)."""
+def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """``file, block, whole_file, seq, value``: physical lines, in order by (file, block, seq)."""
     return spark.read.text(_paths(paths), recursiveFileLookup=True).select(
-        dataset_of(decoded_path("_metadata.file_path"), unit).alias("dataset"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole_file"),
@@ -38,18 +37,26 @@ def read_lines(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFra
     )
 
 
+def _with_dataset(df: DataFrame, unit: str) -> DataFrame:
+    return df.withColumn("dataset", dataset_of(decoded_path("file"), unit))
+
+
+def count_lines(lines: DataFrame, unit: str = "file") -> DataFrame:
+    """``dataset, n_lines``; paths are taken apart once per file, not per line."""
+    files = lines.groupBy("file").agg(F.count("*").alias("n"))
+    return _with_dataset(files, unit).groupBy("dataset").agg(F.sum("n").alias("n_lines"))
+
+
+def list_files(spark: SparkSession, paths: Paths) -> DataFrame:
+    """``file, n_bytes`` of every file; only file metadata is read. Spark lists no empty file."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_paths(paths))
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("n_bytes"))
+
+
 def list_datasets(spark: SparkSession, paths: Paths, unit: str = "file") -> DataFrame:
-    """Data sets with their size; only file metadata is read. Spark lists no empty file:
-    join from the requests' side to see those with nothing in them.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(_paths(paths))
-        .select(F.col("path"), F.col("length"))
-    )
-    return files.groupBy(dataset_of(F.col("path"), unit).alias("dataset")).agg(
-        F.sum("length").alias("n_bytes"), F.count("*").alias("n_files")
+    """Data sets with their size: join from the requests' side to see those with nothing in them."""
+    return _with_dataset(list_files(spark, paths), unit).groupBy("dataset").agg(
+        F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_files")
     )
 
 
@@ -80,7 +87,7 @@ def _first_lines(lines: DataFrame, n: int, headers_in_parts: bool) -> DataFrame:
     )
 
 
-def first_records(lines: DataFrame, n: int, headers_in_parts: bool = False) -> DataFrame:
+def first_records(lines: DataFrame, n: int, unit: str = "file", headers_in_parts: bool = False) -> DataFrame:
     """First ``n`` records per data set: ``dataset, records, lines``.
 
     The first block of every file and ``n`` lines of it nearly always hold them,
@@ -89,6 +96,7 @@ def first_records(lines: DataFrame, n: int, headers_in_parts: bool = False) -> D
     lines, until every one has its records.
     """
     take, done = n, None
+    lines = _with_dataset(lines, unit)
     pending, all_blocks = lines.filter(F.col("block") == 0), False
     while True:
         heads = _first_lines(pending, take, headers_in_parts).withColumn("joined", join_records(F.col("lines")))
@@ -160,9 +168,9 @@ def profile_files(
     whatever the vote says. ``headers_in_parts``: each part file of a folder
     repeats the header, so one line per part is taken off.
     """
-    lines = read_lines(spark, paths, unit)
-    counts = lines.groupBy("dataset").agg(F.count("*").alias("n_lines"))
-    heads = first_records(lines, VOTE_ROWS + 1, headers_in_parts)
+    lines = read_lines(spark, paths)
+    counts = count_lines(lines, unit)
+    heads = first_records(lines, VOTE_ROWS + 1, unit, headers_in_parts)
     fields = heads.select(
         "dataset",
         F.transform(F.slice("records", 1, PREVIEW_ROWS), csv_fields).alias("rows"),
@@ -190,7 +198,7 @@ def profile_files(
     )
 
 
-def count_records(lines: DataFrame) -> DataFrame:
+def count_records(lines: DataFrame, unit: str = "file") -> DataFrame:
     """``dataset, n_records, n_lines``: records where quoted fields may hold line breaks.
 
     Whether a line ends a record depends on all lines before it, yet no task
@@ -204,7 +212,6 @@ def count_records(lines: DataFrame) -> DataFrame:
     from_out = quoted & record_open(text)
     from_in = ~quoted | record_open(F.concat(F.lit('"'), text))
     marks = lines.select(
-        "dataset",
         "file",
         "block",
         "seq",
@@ -223,7 +230,7 @@ def count_records(lines: DataFrame) -> DataFrame:
     def state(start: int) -> Column:
         return (F.coalesce("anchor", F.lit(start)) + F.col("flipped")) % 2
 
-    blocks = marks.groupBy("dataset", "file", "block").agg(
+    blocks = marks.groupBy("file", "block").agg(
         F.count("*").alias("n_lines"),
         F.sum(F.when(state(0) == 0, 1).otherwise(0)).alias("ends_out"),
         F.sum(F.when(state(1) == 0, 1).otherwise(0)).alias("ends_in"),
@@ -242,11 +249,11 @@ def count_records(lines: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("leaves", (F.coalesce("anchor", F.lit(0)) + F.col("flipped")) % 2)
     blocks = blocks.withColumn("enters", F.lag("leaves", 1, 0).over(file_order))
     ends = F.when(F.col("enters") == 0, F.col("ends_out")).otherwise(F.col("ends_in"))
-    files = blocks.groupBy("dataset", "file").agg(
+    files = blocks.groupBy("file").agg(
         F.sum(ends).alias("ends"), F.sum("n_lines").alias("n_lines"), F.max_by("leaves", "block").alias("leaves")
     )
     # A file that stops inside quotes still holds that last record.
-    return files.groupBy("dataset").agg(
+    return _with_dataset(files, unit).groupBy("dataset").agg(
         F.sum(F.col("ends") + F.col("leaves")).alias("n_records"), F.sum("n_lines").alias("n_lines")
     )
 
@@ -255,8 +262,8 @@ def profile_records(
     spark: SparkSession, paths: Paths, unit: str = "file", headers_in_parts: bool = False
 ) -> DataFrame:
     """Record-based profile: the first record is the header, 5 rows, first 8 lines as text."""
-    lines = read_lines(spark, paths, unit)
-    heads = first_records(lines, max(RECORD_PREVIEW_ROWS + 1, RAW_PREVIEW_LINES), headers_in_parts)
+    lines = read_lines(spark, paths)
+    heads = first_records(lines, max(RECORD_PREVIEW_ROWS + 1, RAW_PREVIEW_LINES), unit, headers_in_parts)
     fields = heads.select(
         "dataset",
         F.transform(F.slice("records", 1, RECORD_PREVIEW_ROWS + 1), csv_fields).alias("rows"),
@@ -264,7 +271,7 @@ def profile_records(
     )
     joined = (
         list_datasets(spark, paths, unit)
-        .join(count_records(lines), "dataset", "left")
+        .join(count_records(lines, unit), "dataset", "left")
         .join(fields, "dataset", "left")
     )
     none = F.array().cast("array<string>")

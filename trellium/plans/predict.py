@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trellium.functions.feature_lists import SchemaError, prediction_name, scoring_features
-from trellium.functions.text import iso_now, plain_path
-from trellium.operators.profile import dataset_of
+from trellium.functions.text import decoded_path, iso_now, plain_path
+from trellium.operators.joins import broadcast_if_small
+from trellium.operators.profile import dataset_of, list_files
 from trellium.operators.scoring import as_results, match_models, sample_rows, score
 from trellium.plans.train import Layout
 from trellium.sources.csv import (
@@ -28,7 +29,7 @@ from trellium.sources.folders import is_folder
 from trellium.sources.messages import write_messages
 from trellium.sources.registry import lookup, read_registry
 
-# Files read by one scan; it also bounds the path table that is broadcast.
+# Requests served by one scan.
 FILES_PER_SCAN = 1000
 # First lines fetched side by side.
 HEADER_THREADS = 8
@@ -138,12 +139,16 @@ def _by_layout(spark: SparkSession, meta: dict, chunk: list, failed: list) -> di
 def _tagged_rows(spark: SparkSession, meta: dict, chunk: list, unit: str, paths: list[str]) -> DataFrame:
     """Rows of the paths with the ``predict_id`` that asked for them and their place in the source."""
     asked = spark.createDataFrame([(r.predict_id, r.csv_path) for r in chunk], "predict_id string, csv_path string")
-    asked = F.broadcast(asked.select("predict_id", plain_path("csv_path").alias("__path")))
+    asked = asked.select("predict_id", plain_path("csv_path").alias("__path"))
+    # Paths are matched once per file; rows then join on the file name as it is.
+    files = list_files(spark, paths).select(
+        "file", plain_path(dataset_of(decoded_path("file"), unit)).alias("__path")
+    )
+    owners = broadcast_if_small(files.join(asked, "__path").select(F.col("file").alias("__source_file"), "predict_id"))
     rows = read_scoring_csv(
         spark, paths, scoring_types(meta["feature_types"] or {}), keep_path=True, keep_text=True
     )
-    source = plain_path(dataset_of(F.col("__source_file"), unit))
-    return rows.withColumn("__path", source).drop("cast_failures").join(asked, "__path").drop("__path")
+    return rows.drop("cast_failures").join(owners, "__source_file")
 
 
 def _write_scored(model: PipelineModel, meta: dict, rows: DataFrame, columns: tuple, out: str) -> list[tuple]:

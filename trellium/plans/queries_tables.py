@@ -164,8 +164,8 @@ def header_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: the vote on files with a header and on the same files without."""
     parts = []
     for header in (True, False):
-        lines = profile.read_lines(spark, _order_files(spark, sf_dir, header), "folder")
-        heads = profile.first_records(lines, profile.VOTE_ROWS + 1, headers_in_parts=header)
+        lines = profile.read_lines(spark, _order_files(spark, sf_dir, header))
+        heads = profile.first_records(lines, profile.VOTE_ROWS + 1, "folder", headers_in_parts=header)
         votes = profile.header_votes(heads)
         parts.append(votes.select(_status_of().alias("dataset"), F.lit(header).alias("written_with"), "has_header"))
     return parts[0].unionByName(parts[1])

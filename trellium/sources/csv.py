@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellium.functions.feature_lists import SchemaError, fold, folded_names
-from trellium.functions.text import decoded_path
 
 Paths = str | Sequence[str]
 # RFC 4180 quoting: a quote inside a field is doubled.
@@ -52,7 +51,7 @@ def read_scoring_csv(
 
     A value that does not fit its type becomes null and is counted per row in
     ``cast_failures``. Columns that are no features stay text. ``keep_path`` adds
-    ``__source_file``, and ``__source_block`` and ``__source_row``, which order the rows
+    ``__source_file`` (as Spark spells it), and ``__source_block`` and ``__source_row``, which order the rows
     of a file; ``keep_text`` adds each cast column's text as ``<name>__text``.
     """
     raw = (
@@ -65,7 +64,7 @@ def read_scoring_csv(
     if keep_path:
         raw = raw.withColumns(
             {
-                "__source_file": decoded_path("_metadata.file_path"),
+                "__source_file": F.col("_metadata.file_path"),
                 "__source_block": F.col("_metadata.file_block_start"),
                 "__source_row": F.monotonically_increasing_id(),
             }
