@@ -168,13 +168,33 @@ def test_status_over_batches(spark, tmp_path):
 def test_repeats_within_the_watermark(spark, tmp_path):
     for i, (job, at) in enumerate([("a", 1), ("b", 1), ("a", 2), ("a", 3), ("c", 3), ("b", 4)]):
         send(tmp_path / "in", str(i), job_id=job, timestamp=f"2024-01-01T0{at}:00:00.000Z")
-    incoming = stream.message_stream(spark, "upload_request", str(tmp_path / "in"), max_files=2, one_object_per_file=True)
+    send(tmp_path / "in", "x", job_id="d", timestamp="soon")
+    incoming = stream.message_stream(spark, "upload_request", str(tmp_path / "in"), max_files=7, one_object_per_file=True)
     run = (
         stream.drop_repeats(incoming).writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "d"]
+
+
+def test_times_are_written_as_iso_text(spark, tmp_path):
+    df = spark.sql("select 'j' job_id, timestamp '2024-01-02 03:04:05.5' timestamp")
+    msg.write_messages(df, "upload_request", str(tmp_path / "m"))
+    assert msg.read_messages(spark, "upload_request", str(tmp_path / "m"), False).first().timestamp == "2024-01-02T03:04:05.500000Z"
+
+
+def test_stream_goes_on_past_unreadable_rows(spark, tmp_path):
+    from trellium.streaming.scoring import score_stream, scoring_stream
+
+    table = spark.range(50).selectExpr("id", "cast(id as double) a", "cast(2 * id as double) label")
+    fitted = models.fit(table, ["a"], "label", "regression", "linear")
+    write_csv(tmp_path / "in" / "1.csv", "id,a", [(1, 4), (2, "x")])
+    incoming = scoring_stream(spark, str(tmp_path / "in"), ["id", "a"], {"a": "double"})
+    meta = {"target_column": "label", "feature_cols": ["a"]}
+    score_stream(incoming, fitted.model, meta, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r.id: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["1"] == pytest.approx(8) and got["2"] is None
 
 
 def test_running_status_in_update_mode(spark, tmp_path):

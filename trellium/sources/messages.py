@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellium.functions.rows import row_pick, unpack
-from trellium.functions.text import parse_time
+from trellium.functions.text import iso_time, parse_time
 
 _TEXTS = T.ArrayType(T.StringType())
 
@@ -72,13 +72,17 @@ def read_messages(
 
 
 def to_messages(df: DataFrame, kind: str) -> DataFrame:
-    """Project to the fields of a kind, null where the frame lacks one."""
-    return df.select(
-        *[
-            (F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in SCHEMAS[kind].fields
-        ]
-    )
+    """Project to the fields of a kind, null where the frame lacks one; times become ISO text."""
+    have = dict(df.dtypes)
+
+    def field(f: T.StructField) -> Column:
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType)
+        if have[f.name] == "timestamp":
+            return iso_time(f.name)
+        return F.col(f.name).cast(f.dataType)
+
+    return df.select(*[field(f).alias(f.name) for f in SCHEMAS[kind].fields])
 
 
 def write_messages(df: DataFrame, kind: str, path: str, mode: str = "append") -> None:

@@ -43,9 +43,12 @@ def kafka_stream(spark: SparkSession, kind: str, servers: str, topic: str, **opt
 def drop_repeats(
     stream: DataFrame, key: str = "job_id", time: str = "timestamp", delay: str = "1 day"
 ) -> DataFrame:
-    """One message per key while its repeats come within ``delay``; state older than that is freed."""
+    """One message per key while its repeats come within ``delay``; state older than that is freed.
+
+    A message without a readable time counts as sent now.
+    """
     if dict(stream.dtypes)[time] == "string":
-        stream = stream.withColumn(time, parse_time(time))
+        stream = stream.withColumn(time, F.coalesce(parse_time(time), F.current_timestamp()))
     elif dict(stream.dtypes)[time] == "timestamp_ntz":
         stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

@@ -35,10 +35,15 @@ def score_stream(
     once: bool = True,
     interval: str = "10 seconds",
     file_format: str = "parquet",
+    invalid: str = "null",
 ) -> StreamingQuery:
-    """Append scored rows; the file sink's log keeps each micro-batch exactly once."""
+    """Append scored rows; the file sink's log keeps each micro-batch exactly once.
+
+    A row that cannot be scored goes on with a null prediction, unless
+    ``invalid="error"`` is to stop the stream.
+    """
     writer = (
-        score(model, stream, metadata)
+        score(model, stream, metadata, invalid)
         .writeStream.format(file_format)
         .option("header", True)
         .option("path", out)
