@@ -103,3 +103,16 @@ def test_status_precedence(spark):
         "d": ("completed", False), "e": ("queued", False),
     }
     assert listing.job_status(jobs, models, artifacts, "you").count() == 0
+
+
+def test_requests_without_a_model(spark):
+    from trellium.operators.scoring import match_models, unmatched
+
+    requests = spark.createDataFrame([("p1", "m.pkl"), ("p2", "x.pkl.spark")], "predict_id string, model_id string")
+    values = registry.registry_row(
+        "m", spark_path="p", feature_cols=["a"], feature_types={}, task_type="regression", target_column="y", estimator="mean"
+    )
+    known = spark.createDataFrame([values], registry.REGISTRY)
+    assert [(r.predict_id, r.model_id) for r in unmatched(requests, known).collect()] == [("p2", "x")]
+    got = {r.predict_id: (r.task_type, r.error) for r in match_models(requests, known).collect()}
+    assert got == {"p1": ("regression", None), "p2": ("classification", "No model found for ID x")}

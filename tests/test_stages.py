@@ -88,6 +88,8 @@ def test_upload_to_predictions(spark, project):
     assert catalog.read("models").count() == 2 and catalog.read("metrics").count() == 6
     assert {r.status for r in catalog.read("jobs").collect()} == {"completed"}
     assert model_listing(catalog.read("jobs"), catalog.read("models"), "me").count() == 2
+    none = spark.createDataFrame([], "path string")
+    assert {r.status for r in job_status(catalog.read("jobs"), catalog.read("models"), none, "me").collect()} == {"completed"}
     detail = model_detail(catalog.read("jobs"), catalog.read("models"), registry.read_registry(spark, layout.registry), "j2", "me").first()
     assert (detail.target_column, detail.feature_cols) == ("grade", ["income"])
 

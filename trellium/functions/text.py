@@ -22,10 +22,6 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
 
 
-def fold_name(text: Column | str) -> Column:
-    return F.lower(strip(text))
-
-
 def none_if_blank(text: Column | str) -> Column:
     """Null when the text is empty or white space, else the trimmed text."""
     return F.nullif(strip(text), F.lit(""))
