@@ -89,6 +89,8 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
+    seen = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    print(f"{sf_dir}: {seen} orders, {con.execute('select count(*) from orders').fetchone()[0]} in DuckDB", flush=True)
     bad = 0
     for name in wanted or queries:
         start = time.time()

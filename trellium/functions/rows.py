@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _holds_map(kind: T.DataType) -> bool:
+def holds_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.MapType):
         return True
     if isinstance(kind, T.ArrayType):
-        return _holds_map(kind.elementType)
+        return holds_map(kind.elementType)
     if isinstance(kind, T.StructType):
-        return any(_holds_map(f.dataType) for f in kind.fields)
+        return any(holds_map(f.dataType) for f in kind.fields)
     return False
 
 
@@ -28,10 +28,10 @@ def row_pick(df: DataFrame, pick: str, first: Sequence[str] = (), lead: Column |
     names = [*first, *[c for c in df.columns if c not in first]]
     columns = [F.col(f"`{c}`") for c in names]
     leads = [] if lead is None else [lead.alias("_lead")]
-    if not any(_holds_map(df.schema[c].dataType) for c in names):
+    if not any(holds_map(df.schema[c].dataType) for c in names):
         return (F.min if pick == "min" else F.max)(F.struct(*leads, *columns))
     order = [
-        F.to_json(F.struct(c)) if _holds_map(df.schema[n].dataType) else c for n, c in zip(names, columns)
+        F.to_json(F.struct(c)) if holds_map(df.schema[n].dataType) else c for n, c in zip(names, columns)
     ]
     by = F.min_by if pick == "min" else F.max_by
     return by(F.struct(*columns), F.struct(*leads, *[c.alias(f"o{i}") for i, c in enumerate(order)]))

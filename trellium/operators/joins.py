@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellium.functions.rows import holds_map
+
 # Rows of a side that may be broadcast; the side is counted before it is.
 SMALL_ROWS = 10_000
 
@@ -20,3 +22,24 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     if len(rows) > limit:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+# Shares a hot key's rows are dealt into when its table is too large to broadcast.
+SALTS = 16
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
+    """Join rows to a table with one row per key, where one key may hold much of the rows.
+
+    A small table is broadcast. Else the rows of a key are dealt into shares by
+    a hash of their content, and the table is repeated once per share. The
+    result is spread by key and share, so that a grouping by the key that comes
+    next still folds its rows before they meet in one task.
+    """
+    small = broadcast_if_small(keyed, limit)
+    if small is not keyed:
+        return rows.join(small, key, how)
+    content = [F.col(f"`{f.name}`") for f in rows.schema.fields if not holds_map(f.dataType)]
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*content), F.lit(SALTS)).cast("int"))
+    repeated = keyed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(repeated, [key, "__share"], how).drop("__share")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trellium.functions import text
 from trellium.functions.feature_lists import prediction_name, scoring_features
 from trellium.operators.features import drop_stage_columns
-from trellium.operators.joins import broadcast_if_small
+from trellium.operators.joins import join_hot
 
 SAMPLE_ROWS = 5
 
@@ -53,13 +53,12 @@ def _keeping_nulls(stage):
 def match_models(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requests with their model's metadata; ``error`` names what no model answers to.
 
-    The registry holds one row per model. No hint: Spark broadcasts it while it
-    is small and splits a hot model's requests in the shuffle when it is not.
+    The registry holds one row per model; many requests may name the same one.
     """
     asked = requests.withColumn("model_id", text.bare_model_id("model_id"))
     found = registry.withColumnRenamed("task_type", "_task").withColumn("_found", F.lit(True))
     given = F.col("model_type") if "model_type" in requests.columns else F.lit(None).cast("string")
-    joined = asked.join(found.drop("model_type", "updated_at"), "model_id", "left")
+    joined = join_hot(asked, found.drop("model_type", "updated_at"), "model_id", "left")
     return joined.withColumns(
         {
             "task_type": text.task_type(F.col("_task"), given),
@@ -75,7 +74,7 @@ def unmatched(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 def score_constants(rows: DataFrame, constants: DataFrame, key: str = "model_id") -> DataFrame:
     """Score rows of many constant models in one join: ``constants`` has ``key, prediction``."""
-    return rows.drop("prediction").join(broadcast_if_small(constants), key, "left")
+    return join_hot(rows.drop("prediction"), constants, key, "left")
 
 
 def sample_rows(scored: DataFrame, by: Sequence[str], order_by: Sequence[str], n: int = SAMPLE_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellium.functions import text
 from trellium.operators import listing, merge, metrics, scoring
+from trellium.operators.joins import join_hot
 from trellium.plans.book import query, table
 from trellium.sources import messages as msg
 from trellium.sources import registry as reg
@@ -383,7 +384,7 @@ def _scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("predict_id"), F.col("l_linenumber").cast("long").alias("line"),
         F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"),
     )
-    tagged = rows.join(matched.select("predict_id", "model_id"), "predict_id")
+    tagged = join_hot(rows, matched.select("predict_id", "model_id"), "predict_id")
     return scoring.score_constants(tagged, models.select("model_id", "prediction"))
 
 
