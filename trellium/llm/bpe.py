@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from array import array
 
 import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trellium.llm.texts import annotate
 
@@ -28,7 +30,36 @@ MEMORY_PAIRS = 300_000
 MEMORY_LENGTH = 48
 
 # The split of the public byte-level vocabulary.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+# First and last code points (hexadecimal) of letters and numbers assigned after Unicode 16,
+# which the tokenizers library takes for neither.
+LATER = """
+558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2
+a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9
+11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda
+18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81
+1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f
+2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+
+
+def _exact_pattern() -> str:
+    later = "".join(
+        "-".join(f"\\U{int(end, 16):08x}" for end in span.split("-")) for span in LATER.split()
+    )
+    pattern = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{later}]|[^\s\p{{L}}\p{{N}}])")
+    return pattern.replace(r"\p{L}+", rf"(?:(?![{later}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{later}])\p{{N}})+")
+
+
+PIECE = regex.compile(PATTERN)
+PIECE_EXACT = regex.compile(_exact_pattern())
+FIRST_LATER = re.compile("[\u0558-\U0010ffff]")
+
+
+def pieces(text: str) -> list[str]:
+    """The plain pattern serves texts without any character from the first later one on."""
+    return (PIECE_EXACT if FIRST_LATER.search(text) else PIECE).findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -157,10 +188,10 @@ class ByteBpe:
         """Ids as little-endian unsigned 32-bit integers."""
         known = self._pieces.__getitem__
         if self.cut is None or not any(token in text for token in self.added):
-            return b"".join(map(known, PIECE.findall(text)))
+            return b"".join(map(known, pieces(text)))
         found = []
         for i, span in enumerate(self.cut.split(text)):
-            found.append(_pack([self.added[span]]) if i % 2 else b"".join(map(known, PIECE.findall(span))))
+            found.append(_pack([self.added[span]]) if i % 2 else b"".join(map(known, pieces(span))))
         return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
@@ -213,3 +244,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: st
         return work
 
     return annotate(docs, [id], text, "n_tokens long, ids binary, decoded string", start)
+
+
+def digest(encoded: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Token counts, and digests of ids and decoded texts."""
+    return encoded.select(
+        id,
+        "n_tokens",
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

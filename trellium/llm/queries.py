@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trellium.llm import quality
+from trellium.llm import bpe, quality
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
 @query()
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@query()
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return bpe.digest(done)
