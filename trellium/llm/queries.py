@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trellium.llm import bpe, quality
+from trellium.llm import bpe, quality, secrets
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -15,6 +14,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
