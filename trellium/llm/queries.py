@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trellium.llm import bpe, quality, secrets
+from trellium.llm import bpe, licenses, quality, secrets
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -19,6 +19,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+@query()
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
