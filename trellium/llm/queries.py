@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trellium.llm import bpe, chat, licenses, quality, secrets
+from trellium.llm import bpe, chat, licenses, quality, secrets, toxicity
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -42,3 +42,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], given.schema)
     return chat.read_back(chat.format_conversations(given.unionByName(planted)))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
