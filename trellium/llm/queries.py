@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trellium.llm import bpe, chat, licenses, quality, secrets, toxicity
+from trellium.llm import bpe, chat, licenses, quality, reshard, secrets, toxicity
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -14,6 +15,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From shards that hold whole sources, one of them a third of all rows, to shards of equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16))
+    return reshard.reshard(docs, old)
+
+
 @query()
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))

@@ -1,7 +1,12 @@
-"""Work tables in the shared folder, deleted when their block ends."""
+"""Work tables in the shared folder.
+
+Those of a ``work`` block are deleted when it ends. Those that a returned frame
+still reads stay until ``release``, or until the Python process ends.
+"""
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -39,3 +44,24 @@ def work(spark: SparkSession, label: str) -> Iterator[Work]:
         yield folder
     finally:
         delete(spark, folder.path)
+
+
+_lasting: list[Work] = []
+
+
+def lasting(spark: SparkSession, label: str) -> Work:
+    """A folder for tables that a returned frame reads."""
+    folder = Work(spark, label)
+    _lasting.append(folder)
+    return folder
+
+
+def release() -> None:
+    """Delete the lasting folders; for times when no frame reads them any more."""
+    while _lasting:
+        folder = _lasting.pop()
+        if folder.spark.sparkContext._jsc is not None:
+            delete(folder.spark, folder.path)
+
+
+atexit.register(release)
