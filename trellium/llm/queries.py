@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellium.llm import bpe, chat, licenses, quality, reshard, secrets, toxicity
+from trellium.llm import bpe, chat, licenses, quality, reshard, secrets, toxicity, urls
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -33,6 +33,23 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+# The rule list of the query.
+LIST = (
+    urls.ListRule("allow", "org", "/"),
+    urls.ListRule("block", "example.org", "/es/"),
+    urls.ListRule("block", "example.org", "/en/1"),
+    urls.ListRule("allow", "com", "/fr/"),
+    urls.ListRule("block", "com", "/de/"),
+)
+
+
+@query()
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = urls.mine(urls.labels_of_pages(pages, table(spark, sf_dir, "labels")))
+    return urls.judge(pages, LIST, mined)
+
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
