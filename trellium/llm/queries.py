@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellium.llm import bpe, chat, licenses, ngrams, quality, reshard, secrets, toxicity, urls
+from trellium.llm import bpe, chat, decontaminate, licenses, ngrams, quality, reshard, secrets, toxicity, urls
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -59,6 +59,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(done)
 
 
+@query()
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.link_documents(table(spark, sf_dir, "documents"), ngrams.Likeness(words=3, percent=90))
