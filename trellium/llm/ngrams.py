@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellium.functions.rows import row_pick, unpack
 from trellium.llm.components import components, label_nodes
+from trellium.llm.tables import sum_tables
 from trellium.llm.texts import WORD, annotate, lower_ascii
 from trellium.llm.work import Work, lasting, work
 
@@ -36,7 +38,6 @@ MEMORY_WORDS = 300_000
 # a row as there are documents, rounded up to a power of two between the two limits.
 SKETCH_ROWS = 2
 SKETCH_LEAST, SKETCH_MOST = 18, 24
-SKETCH_BLOCK = 1 << 14
 # An estimate counts if it is so many standard deviations above the noise of other shingles.
 SKETCH_NOISE = 6.0
 
@@ -133,66 +134,21 @@ class Sketch:
 
 
 def build_sketch(docs: DataFrame, text: str, like: Likeness) -> Sketch:
-    """Counters over all documents. Tasks and reducers hold one table each and add to it as rows come."""
-    rows = docs.count()
-    width = 1 << min(SKETCH_MOST, max(SKETCH_LEAST, (max(rows, 1) - 1).bit_length()))
-    blocks = width // SKETCH_BLOCK
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    """Counters over all documents."""
+    width = 1 << min(SKETCH_MOST, max(SKETCH_LEAST, (max(docs.count(), 1) - 1).bit_length()))
 
+    def start():
         shingler = Shingler(like.words)
-        table = np.zeros((SKETCH_ROWS, width), np.int64)
-        pending, size = [], 0
 
-        def settle():
-            if pending:
-                for r, cells in enumerate(_cells(np.concatenate(pending), width)):
-                    table[r] += np.bincount(cells.astype(np.int64), minlength=width)
-                pending.clear()
+        def add(texts, table):
+            found = np.concatenate([shingler(t) for t in texts])
+            for r, cells in enumerate(_cells(found, width)):
+                np.add.at(table[r * width : (r + 1) * width], cells, 1)
 
-        for batch in batches:
-            for text_value in batch.column(0):
-                found = shingler(text_value.as_py())
-                pending.append(found)
-                size += len(found)
-                if size >= 2_000_000:
-                    settle()
-                    size = 0
-        settle()
-        if table.any():
-            parts = [(r, b, table[r, b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]) for r in range(SKETCH_ROWS) for b in range(blocks)]
-            kind = np.uint32 if table.max() < 1 << 32 else np.int64
-            for r, b, part in parts:
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array([r], pa.int32()), "block": pa.array([b], pa.int32()),
-                    "wide": pa.array([kind is np.int64], pa.bool_()), "counts": pa.array([part.astype(kind).tobytes()], pa.binary()),
-                })
-
-    def add(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        return add
 
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for r, b, wide, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(counts, np.int64 if wide else np.uint32).astype(np.int64)
-                if (r, b) in sums:
-                    sums[r, b] += part
-                else:
-                    sums[r, b] = part
-        if sums:
-            yield pa.RecordBatch.from_pydict({
-                "row": pa.array([k[0] for k in sums], pa.int32()), "block": pa.array([k[1] for k in sums], pa.int32()),
-                "wide": pa.array([True] * len(sums), pa.bool_()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary()),
-            })
-
-    schema = "row int, block int, wide boolean, counts binary"
-    counted = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, schema)
-    summed = counted.repartition("row", "block").mapInArrow(add, schema)
-    table = np.zeros((SKETCH_ROWS, width), np.float32)
-    for r, b, _, counts in summed.collect():  # SKETCH_ROWS * width counters, whatever the input
-        table[r, b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = np.frombuffer(counts, np.int64)
-    return Sketch(list(table))
+    table = sum_tables(docs, text, SKETCH_ROWS * width, start)
+    return Sketch([row.astype(np.float32) for row in table.reshape(SKETCH_ROWS, width)])
 
 
 def order_shingles(shingles: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,3 +332,32 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_
         F.col("doc").alias(id), F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNotNull(), F.col("label")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, in all their columns: of each component the document with the smallest id.
+
+    Documents without shingles and rows with a null id all stay; of several rows
+    with one id the smallest stays. Only rows whose id shares a bucket with a
+    dropped or repeated one are shuffled.
+    """
+    linked = link_documents(docs, like, id, text)
+    known = linked.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("doc")).agg(
+        F.count("*").alias("rows"), F.min("component_id").alias("component"), F.max("n_shingles").alias("n")
+    )
+    wanted = lasting(docs.sparkSession, "kept").save(
+        known.withColumn("dropped", (F.col("component") != F.col("doc")) & (F.col("n") > 0))
+        .where("dropped or rows > 1").select("doc", "dropped"),
+        "decided",
+    )
+    key = F.pmod(F.xxhash64(F.col(f"`{id}`")), F.lit(PICK_BUCKETS)).cast("int")
+    buckets = wanted.select(F.pmod(F.xxhash64("doc"), F.lit(PICK_BUCKETS)).cast("int").alias("__bucket")).distinct()
+    small = F.broadcast(buckets)  # at most PICK_BUCKETS rows
+    marked = docs.withColumn("__bucket", F.when(F.col(f"`{id}`").isNotNull(), key))
+    far = marked.join(small, "__bucket", "left_anti").drop("__bucket")
+    near = marked.join(small, "__bucket", "left_semi").drop("__bucket")
+    decided = near.join(wanted.select(F.col("doc").alias(id), F.col("dropped").alias("__dropped")), id, "left")
+    single = decided.where(F.col("__dropped").isNull()).select(docs.columns)
+    repeated = decided.where(~F.col("__dropped")).select(docs.columns)
+    one = repeated.groupBy(F.col(f"`{id}`").alias("__id")).agg(row_pick(repeated, "min").alias("__row"))
+    return far.select(docs.columns).union(single).union(one.select(*unpack("__row", docs.columns)))
