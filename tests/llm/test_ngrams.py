@@ -64,16 +64,40 @@ def test_components_equal_all_pairs(spark, words, percent):
     assert found(ngrams.link_documents(frame, like)) == brute(docs, words, percent)
 
 
-def test_pairs_hold_without_folding_first(spark, monkeypatch):
-    """The exact pass alone finds every link."""
-    monkeypatch.setattr(ngrams, "CENTRAL_ROUNDS", 1)
-    monkeypatch.setattr(ngrams, "_central_pairs", lambda postings, labels, seed: postings.select(
+def test_pairs_hold_without_centres(spark, monkeypatch):
+    """The prefix join alone finds every link."""
+    monkeypatch.setattr(ngrams, "_central_pairs", lambda postings, like: postings.select(
         postings.doc.alias("a"), postings.doc.alias("b")).limit(0))
     docs = near_copies(9, bases=5, copies=15)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert found(ngrams.link_documents(frame, ngrams.Likeness(3, 80))) == brute(docs, 3, 80)
 
 
+def test_a_large_family_is_not_paired(spark, monkeypatch):
+    """Copies of one text with a few changes each, many of them just too different: all links, few pairs."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for d in range(500):
+        text = list(base)
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+        docs.append((d, " ".join(text)))
+    seen = []
+    save = ngrams.Work.save
+
+    def counted(self, df, name):
+        made = save(self, df, name)
+        if name == "open":
+            seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(ngrams.Work, "save", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(ngrams.link_documents(frame, ngrams.Likeness(3, 90))) == brute(docs, 3, 90)
+    assert seen[0] < 10 * len(docs)
+
+
 def test_prefixes_share_as_many_as_they_must():
     rng = random.Random(6)
     like = ngrams.Likeness(1, 80)

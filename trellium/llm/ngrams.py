@@ -9,9 +9,15 @@ estimated candidates together cost least, and a pair must share as many prefix
 shingles as the smaller ``l`` of the two demands before it is verified.
 
 Equal sets are folded first. Large groups of near copies are folded next: each
-document is verified against the most central document that shares a prefix
-shingle with it. Pairs that are connected already need no test; all others that
-share enough are verified on their whole texts.
+document is compared with the most central document that shares enough prefix
+shingles with it, and the shingles in which the two differ are kept. Two
+documents of the same centre differ at most in both their differences together,
+so they link if these are few enough; all that link for this reason link with
+the one that differs least. Others can link only if their differences, which are
+small and mostly rare shingles, overlap much, which a prefix join over them
+finds without pairing the group. Pairs of different centres meet by their prefix
+shingles. What is connected already needs no test; all else that shares enough
+is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -21,9 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trellium.functions.rows import row_pick, unpack
 from trellium.llm.components import components, label_nodes
@@ -45,8 +52,9 @@ SKETCH_NOISE = 6.0
 CANDIDATE_COST = 4.0
 RARE_OTHERS = 0.1
 MOST_MATCHES = 8
+# Differences that two documents of a centre must share among the first ones, if they must share so many.
+FAMILY_MATCHES = 3
 
-CENTRAL_ROUNDS = 2
 # Buckets of document ids by which texts are picked out before the exact join; bounds what is broadcast.
 PICK_BUCKETS = 1 << 18
 
@@ -226,67 +234,142 @@ def _pick_texts(folder: Work, docs: DataFrame, wanted: DataFrame, id: str, text:
     return folder.save(near.join(wanted, "doc", "left_semi"), "texts")
 
 
-def _verify(folder: Work, pairs: DataFrame, texts: DataFrame, like: Likeness, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    # The central document of many pairs is a; its rows may be split, each pair stands alone.
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a")
+    # A central document of many pairs is a; its rows may be split, as each pair stands alone.
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+
+
+def _compare(folder: Work, pairs: DataFrame, texts: DataFrame, like: Likeness, name: str, differences: bool = False) -> DataFrame:
+    """Pairs (a, b) whose whole texts link; with ``differences`` also close ones, and how b differs from a.
+
+    Added shingles come before missing ones, each by hash: one order for all b of an a.
+    """
+    joined = _with_texts(pairs, texts)
+    ids = [joined.schema["a"], joined.schema["b"]]
+    least = 2 * like.percent - 100 if differences else like.percent
+    more = T._parse_datatype_string("linked boolean, n long, differing long, diff array<long>").fields if differences else []
+    out = T.StructType([*ids, *more])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shingler = Shingler(like.words)
+        arrow = to_arrow_schema(out)
         last, last_set = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                passed = []
-                for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    if a != last:
-                        last, last_set = a, shingler(a)
-                    passed.append(similar(last_set, shingler(b), like.percent))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(passed, pa.bool_()))
+                passed, rows = [], []
+                for one, two in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    if one != last:
+                        last, last_set = one, shingler(one)
+                    other = shingler(two)
+                    near = similar(last_set, other, least)
+                    passed.append(near)
+                    if near and differences:
+                        diff = np.concatenate([
+                            np.setdiff1d(other, last_set, assume_unique=True), np.setdiff1d(last_set, other, assume_unique=True)
+                        ])
+                        rows.append((similar(last_set, other, like.percent), len(other), len(diff), diff.view(np.int64)))
+                kept = [part.column(i).filter(pa.array(passed, pa.bool_())) for i in (0, 1)]
+                if differences:
+                    kept += [pa.array(v, type=arrow.field(2 + i).type) for i, v in enumerate(list(zip(*rows)) or [[]] * 4)]
+                yield pa.RecordBatch.from_arrays(kept, schema=arrow)
+
+    return folder.save(joined.mapInArrow(run, out), name)
+
+
+def _central_pairs(postings: DataFrame, like: Likeness) -> DataFrame:
+    """For each document b the central one, a, that shares most prefix shingles with it, as many as it must.
 
-    schema = T.StructType([joined.schema["a"], joined.schema["b"]])
-    return folder.save(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema), name)
+    Central is a document whose prefix shingles are common: copies lie around
+    it. One is chosen per shingle by an aggregate, so a shingle in a third of
+    all documents is folded on the map side.
+    """
+    weight = postings.groupBy("doc").agg((F.sum(F.log2("df")) / F.max("n")).alias("weight"))
+    rows = postings.join(weight, "doc")
+    best = rows.groupBy("token").agg(F.max(F.struct("weight", "doc", "n", "matches", "level")).alias("c"))
+    met = rows.join(best, "token").where((F.col("doc") != F.col("c.doc")) & _may_link(like, "", "c."))
+    shared = met.groupBy(F.col("doc").alias("b"), F.col("c.doc").alias("a")).agg(
+        F.count("*").alias("shared"), F.first(F.least("matches", "c.matches")).alias("needed")
+    ).where("shared >= needed")
+    return shared.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def _central_pairs(postings: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """For each document the central one that shares most prefix shingles with it and isn't connected yet.
+def _slack(like: Likeness) -> Column:
+    """Of a document of a centre: two of them link for sure if their slacks together are not negative."""
+    return (100 - like.percent) * F.col("n") - (100 + like.percent) * F.col("differing")
 
-    Central is a document whose prefix shingles are common: copies lie around
-    it. One is chosen per shingle and length class by an aggregate, so a shingle
-    in a third of all documents is folded on the map side.
+
+def _least_differing(families: DataFrame, like: Likeness) -> DataFrame:
+    """Per centre the document that differs least from it: (a, most, m)."""
+    return families.groupBy("a").agg(F.max(F.struct(_slack(like).alias("slack"), "b")).alias("top")).select(
+        "a", F.col("top.slack").alias("most"), F.col("top.b").alias("m")
+    )
+
+
+def _family_pairs(families: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of one centre, not connected, whose differences may overlap as much as they must.
+
+    To differ in at most k shingles, two documents with d and e differences from
+    their centre must share (d + e - k) / 2 of them, so they share l of them among
+    the first d - needed + l and e - needed + l.
     """
-    rows = postings if labels is None else label_nodes(postings, labels, "doc")
-    label = F.col("doc") if labels is None else F.col("label")
-    weight = postings.groupBy("doc").agg((F.sum(F.log2("df")) / F.max("n")).alias("weight"))
-    rows = rows.withColumn("label", label).join(weight, "doc")
-    rows = rows.withColumn("length", F.floor(F.log("n") / 0.1 + (seed % 2) / 2))
-    best = rows.groupBy("token", "length").agg(
-        F.max(F.struct("weight", F.xxhash64("doc", F.lit(seed)).alias("tie"), "doc", "label")).alias("c"),
-        F.min("label").alias("low"), F.max("label").alias("high"),
-    ).where("low <> high").select("token", "length", F.col("c.doc").alias("a"), F.col("c.label").alias("label_a"))
-    shared = rows.join(best, ["token", "length"]).where("label <> label_a").groupBy(F.col("doc").alias("b"), "a").agg(
-        F.count("*").alias("shared")
+    p = like.percent
+    rows = label_nodes(families.withColumnRenamed("b", "doc"), labels, "doc").join(_least_differing(families, like), "a")
+    rows = rows.select(
+        "a", "doc", "label", "n", "differing", (_slack(like) + F.col("most") < 0).alias("far"), F.posexplode("diff").alias("at", "token")
+    )
+    open_tokens = rows.groupBy("a", "token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").alias("any_far")
+    ).where("low <> high and any_far").select("a", "token")
+    rows = rows.join(open_tokens, ["a", "token"], "left_semi")
+    x, y = rows.where("far").alias("x"), rows.alias("y")
+    both = F.col("x.differing") + F.col("y.differing")
+    allowed = F.floor((100 - p) * (F.col("x.n") + F.col("y.n")) / (100 + p))
+    needed = F.greatest(F.lit(1), F.ceil((both - allowed) / 2))
+    asked = F.least(needed, F.lit(FAMILY_MATCHES))
+    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token"))).where(
+        (F.col("x.label") != F.col("y.label")) & (~F.col("y.far") | (F.col("x.doc") < F.col("y.doc")))
+        & (F.col("x.at") < F.col("x.differing") - needed + asked) & (F.col("y.at") < F.col("y.differing") - needed + asked)
+        & (F.least("x.at", "y.at") + 1 + F.least(F.col("x.differing") - F.col("x.at"), F.col("y.differing") - F.col("y.at")) > needed)
+    )
+    return (
+        met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        .agg(F.count("*").alias("shared"), F.first(asked).alias("asked")).where("shared >= asked").select("a", "b")
     )
-    return shared.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def _open_pairs(postings: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs that aren't connected, fit in length, and share as many prefix shingles as they must."""
-    rows = label_nodes(postings, labels, "doc")
-    split = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = rows.join(split.select("token"), "token", "left_semi")
-    x, y = rows.alias("x"), rows.alias("y")
+def _may_link(like: Likeness, one: str, other: str) -> Column:
+    """Whether two rows of a shingle fit in length and both hold it in the shorter prefix that they agree on."""
+    pair = lambda name: (f"{one}{name}", f"{other}{name}")
+    return (100 * F.least(*pair("n")) >= like.percent * F.greatest(*pair("n"))) & (
+        F.greatest(*pair("level")) <= F.least(*pair("matches"))
+    )
+
+
+def _open_pairs(postings: DataFrame, families: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of different centres that aren't connected, fit in length and share as many prefix shingles as they must.
+
+    Of each shingle's documents, those of the centre (or component) that has
+    most of them are not paired among themselves.
+    """
+    centre = families.select(F.col("b").alias("doc"), F.col("a").alias("centre"))
+    rows = label_nodes(postings, labels, "doc").join(centre, "doc", "left")
+    rows = rows.withColumn("group", F.coalesce("centre", "label"))
+    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("token").agg(F.max(F.struct("size", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    rows = rows.join(split.select("token", F.col("top.group").alias("main")), "token")
+    x, y = rows.where("group <> main").alias("x"), rows.alias("y")
+    in_main = F.col("y.group") == F.col("y.main")
     met = x.join(y, "token").where(
-        (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= like.percent * F.greatest("x.n", "y.n"))
-        & (F.greatest("x.level", "y.level") <= F.least("x.matches", "y.matches"))
+        (in_main | (F.col("x.doc") < F.col("y.doc"))) & (F.col("x.label") != F.col("y.label"))
+        & ~F.coalesce(F.col("x.centre") == F.col("y.centre"), F.lit(False)) & _may_link(like, "x.", "y.")
     )
     return (
-        met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        met.groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
         .agg(F.count("*").alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("needed"))
         .where("shared >= needed").select("a", "b")
     )
@@ -319,13 +402,14 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_
             .select(F.col("doc").alias("a"), F.col("rep").alias("b")),
             "links",
         )
-        labels = None
-        for k in range(CENTRAL_ROUNDS):
-            pairs = folder.save(_central_pairs(postings, labels, k), f"central-{k}")
-            links = links.union(_verify(folder, pairs, texts, like, f"linked-{k}"))
-            labels = components(links, folder, f"labels-{k}")
-        pairs = folder.save(_open_pairs(postings, labels, like), "open")
-        links = links.union(_verify(folder, pairs, texts, like, "linked"))
+        central = folder.save(_central_pairs(postings, like), "central")
+        families = _compare(folder, central, texts, like, "families", differences=True)
+        least = _least_differing(families, like)
+        sure = families.join(least, "a").where((_slack(like) + F.col("most") >= 0) & (F.col("b") != F.col("m")))
+        links = links.union(families.where("linked").select("a", "b")).union(sure.select(F.col("m").alias("a"), "b"))
+        labels = components(links, folder, "first")
+        pairs = _family_pairs(families, labels, like).union(_open_pairs(postings, families, labels, like)).distinct()
+        links = links.union(_compare(folder, folder.save(pairs, "open"), texts, like, "linked"))
         labels = out.save(components(links, folder, "components"), "labels")
     member = slim.select("doc", "n", "digest").join(reps, "digest", "left").withColumn("rep", F.coalesce("rep", "doc"))
     return label_nodes(member, labels, "rep").select(
