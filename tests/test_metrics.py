@@ -38,3 +38,10 @@ def test_majority_breaks_ties_downwards(spark, rows):
 def test_long_form(spark, rows):
     wide = spark.createDataFrame([("j", 1.5, 3)], "job_id string, mse double, n_samples long")
     assert rows(met.to_long(wide, ["mse", "n_samples"]), "metric_name", "metric_value") == [("mse", 1.5), ("n_samples", 3.0)]
+
+
+def test_regression_metrics_over_scored_rows(spark):
+    frame = spark.createDataFrame([(1.0, 1.0), (3.0, 2.0), (100.0, None), (None, 5.0)], "y double, prediction double")
+    row = met.regression_metrics(frame, "y").first()
+    assert (row.mse, row.n_samples, row.r2) == (0.5, 2, 0.5)
+    assert met.unscored(frame, "y").first().n_unscored == 1

@@ -80,8 +80,9 @@ def test_upload_to_predictions(spark, project):
     fit = stages.train_step(layout, box["trained"], box["refused3"], train.TrainOptions("boosted", trees))
     incoming = stream.message_stream(spark, "preprocess", f"{box['done']}/batch-*")
     stream.run_stage(incoming, fit, f"{root}/check/train").awaitTermination()
-    # The same batch once more, as after a lost driver.
-    fit(msg.read_messages(spark, "preprocess", f"{box['done']}/batch-*", False), 0)
+    # The same batch of the same stream once more, as after a lost driver.
+    name = next(p.name for p in (project / "box" / "trained").iterdir()).removeprefix("batch-")
+    fit(msg.read_messages(spark, "preprocess", f"{box['done']}/batch-*", False), name)
     trained = {r.job_id: r for r in msg.read_messages(spark, "train", f"{box['trained']}/batch-*", False).collect()}
     assert set(trained["j1"].metrics) == {"mse", "rmse", "r2", "n_samples"} and trained["j1"].metrics["r2"] > 0.5
     assert trained["j2"].metrics["accuracy"] == 1.0
@@ -102,21 +103,28 @@ def test_upload_to_predictions(spark, project):
         ("p5", write_csv(scoring / "p5" / "in.csv", "id,sqft", [(1, 2)]), "j1"),
         ("p6", write_csv(scoring / "p6" / "in.csv", "id,sqft,age", [(1, 800, 3), (2, "many", 3), (3, "", 3)]), "j1"),
         ("p7", str(scoring / "p7" / "none.csv"), "j1"),
+        ("p8", write_csv(scoring / "p8" / "in.csv", "id,sqft,age", []), "j1"),
+        ("p9", "", "j1"),
     ]
     for name, path, model in asked:
         send(project / "asked", name, predict_id=name, csv_path=path, model_id=model, model_type="regression", timestamp="2024-01-01T00:00:00Z")
+    # By storage key, and two requests of one id.
+    send(project / "asked", "q1", predict_id="q1", csv_path="", s3_csv_key=asked[0][1], model_id="j1", timestamp="2024-01-01T00:00:00Z")
     out = f"{root}/predictions_output"
     step = stages.predict_step(layout, out, box["results"], box["errors"])
     incoming = stream.message_stream(spark, "predict_request", f"{root}/asked", one_object_per_file=True)
     stream.run_stage(incoming, step, f"{root}/check/predict").awaitTermination()
     errors = {r.predict_id: r.error for r in spark.read.json(f"{box['errors']}/batch-*").collect()}
-    assert set(errors) == {"p4", "p5", "p6", "p7"}
+    assert set(errors) == {"p4", "p5", "p6", "p7", "p9"}
+    assert errors["p9"] == "Missing CSV file."
     assert errors["p4"] == "No model found for ID j9" and "age" in errors["p5"]
     assert errors["p6"] == "2 rows have missing or unreadable features" and "PATH_NOT_FOUND" in errors["p7"]
 
     sent = msg.read_messages(spark, "predict", f"{box['results']}/batch-*/group-*", False).collect()
     results = {r.output_csv.rsplit("=", 1)[1]: r for r in sent}
-    assert set(results) == {"p1", "p2", "p3", "p6"}
+    assert set(results) == {"p1", "p2", "p3", "p6", "p8", "q1"}
+    assert results["p8"].result.n_rows == 0 and results["p8"].result.sample_predictions == []
+    assert results["q1"].csv_path == asked[0][1] and results["q1"].result.n_rows == 1
     assert results["p2"].result.n_rows == 2 and results["p2"].result.columns == ["age", "sqft", "id", "note", "price"]
     assert [m["note"] for m in results["p2"].result.sample_predictions] == ["a b", "c"]
     assert results["p3"].model_type == "classification" and results["p6"].result.n_rows == 3
@@ -124,7 +132,7 @@ def test_upload_to_predictions(spark, project):
     def scored(name):
         return spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/predict_id={name}")
 
-    assert scored("p1").columns == ["id", "sqft", "age", "price"]
+    assert scored("p1").columns == scored("p8").columns == ["id", "sqft", "age", "price"] and scored("p8").count() == 0
     assert scored("p1").first().price == scored("p2").filter("age = 3").first().price
     assert [r.price is None for r in scored("p6").orderBy("id").collect()] == [False, True, True]
     assert [r.sqft for r in scored("p6").orderBy("id").collect()] == ["800", "many", None]
@@ -136,6 +144,54 @@ def test_upload_to_predictions(spark, project):
     assert {r.predict_id: r.status for r in predict_status(ids, artifacts).collect()} == {"p1": "ready", "p2": "ready", "p4": "pending"}
 
 
+def test_a_bad_job_stops_no_other(spark, tmp_path):
+    """A missing file, a date column, a null feature and a corrupt message beside a good job; two streams side by side."""
+    layout = train.Layout(str(tmp_path))
+    good = write_csv(tmp_path / "u" / "good.csv", "id,sqft,age,price", [(i, 600 + i, i % 7, 3 * i) for i in range(40)])
+    dated = write_csv(tmp_path / "u" / "dated.csv", "id,day,price", [(i, f"2024-01-{1 + i % 28:02d}", i) for i in range(40)])
+    holes = write_csv(tmp_path / "u" / "holes.csv", "id,sqft,price", [(i, "" if i % 5 == 0 else i, i) for i in range(40)])
+    inbox = tmp_path / "in"
+    for job, path in (("good", good), ("gone", str(tmp_path / "u" / "gone.csv")), ("dated", dated), ("holes", holes)):
+        send(inbox, job, job_id=job, csv_path=path, target_column="price", task_type="regression", timestamp="2024-01-01T00:00:00Z")
+    (inbox / "broken.json").write_text('{"job_id": ')
+    box = {k: str(tmp_path / "box" / k) for k in ("done", "bad", "trained", "bad2")}
+    clean = stages.preprocess_step(layout, box["done"], box["bad"])
+    incoming = stream.message_stream(spark, "dataset_uploaded", str(inbox), one_object_per_file=True)
+    stream.run_stage(incoming, clean, str(tmp_path / "check" / "clean")).awaitTermination()
+    reasons = {r.job_id: r.reason for r in spark.read.json(f"{box['bad']}/batch-*").collect()}
+    assert set(reasons) == {"gone", None} and "PATH_NOT_FOUND" in reasons["gone"]
+    fit = stages.train_step(layout, box["trained"], box["bad2"], train.TrainOptions("linear"))
+    for check in ("a", "b"):  # a second stream with a checkpoint of its own removes nothing
+        incoming = stream.message_stream(spark, "preprocess", f"{box['done']}/batch-*")
+        stream.run_stage(incoming, fit, str(tmp_path / "check" / check)).awaitTermination()
+    assert len(list((tmp_path / "box" / "trained").iterdir())) == 2
+    reasons = {r.job_id: r.reason for r in spark.read.json(f"{box['bad2']}/batch-*").collect()}
+    assert set(reasons) == {"dated", "holes"} and "date" in reasons["dated"]
+    jobs = {r.job_id: r.status for r in Catalog(spark, layout.catalog).read("jobs").collect()}
+    assert jobs == {"good": "completed"}
+    assert Catalog(spark, layout.catalog).read("metrics").select("metric_name").distinct().count() == 4
+
+
+def test_requests_of_one_id_are_refused(spark):
+    asked = [("p", "a.csv", "m"), ("p", "b.csv", "m"), ("q", "c.csv", "m"), ("q", "c.csv", "m"), ("r", None, "m")]
+    frame = spark.createDataFrame(asked, "predict_id string, csv_path string, model_id string")
+    good, refused = predict._checked(frame)
+    assert [r.predict_id for r in good.collect()] == ["q"]
+    assert sorted({(r.predict_id, r.error) for r in refused.collect()}) == [("p", predict.REPEATED_ID), ("r", predict.NO_PATH)]
+
+
+def test_late_and_unreadable_messages_come_out(spark, tmp_path):
+    """One file per batch: an unreadable time first, then messages weeks apart in any order."""
+    times = ["soon", "2024-03-01T00:00:00Z", "2024-01-01T00:00:00Z", "2023-01-01T00:00:00Z", None, "2024-03-01T00:00:00Z"]
+    for i, at in enumerate(times):
+        send(tmp_path / "in", str(i), job_id=f"j{min(i, 4)}", timestamp=at)
+    incoming = stream.message_stream(spark, "upload_request", str(tmp_path / "in"), max_files=1, one_object_per_file=True)
+    stream.drop_repeats(incoming).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "check")
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"j{i}" for i in range(5)]
+
+
 def test_one_request(spark, project):
     layout = train.Layout(str(project))
     trained = train.train_job(

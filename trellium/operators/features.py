@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Transformer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ def stages(df: DataFrame, features: Sequence[str], prep: Preparation = Preparati
     texts = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
     if texts and not prep.encode:
         raise SchemaError(f"text features need encoding: {texts}")
+    usable = (T.NumericType, T.BooleanType, T.StringType, VectorUDT)
+    others = {c: df.schema[c].dataType.simpleString() for c in features if not isinstance(df.schema[c].dataType, usable)}
+    if others:
+        raise SchemaError(f"features of these types can't be assembled: {others}")
     out: list[Estimator | Transformer] = []
     inputs = list(features)
     numbers = [c for c in features if isinstance(df.schema[c].dataType, T.NumericType)]

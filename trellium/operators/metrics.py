@@ -37,8 +37,9 @@ def label_summary(df: DataFrame, label: str, by: Sequence[str] = (), exact: bool
 def regression_metrics(
     df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
-    """``mse, rmse, r2, n_samples``; null where there is nothing to average or explain."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    """``mse, rmse, r2, n_samples`` over rows with a label and a prediction; null where there is nothing to average or explain."""
+    scored = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    y, p = (F.when(scored, F.col(c).cast("double")) for c in (label, prediction))
     error = y - p
     mse = F.avg(error * error)
     spread = F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))
@@ -46,10 +47,16 @@ def regression_metrics(
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         (F.lit(1.0) - F.sum(error * error) / spread).alias("r2"),
-        F.count("*").alias("n_samples"),
+        F.count(y).alias("n_samples"),
     )
 
 
+def unscored(df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """``n_unscored``: rows that have a label but no prediction, which regression metrics leave out."""
+    missing = F.col(label).isNotNull() & F.col(prediction).isNull()
+    return df.groupBy(*by).agg(F.count_if(missing).alias("n_unscored"))
+
+
 def classification_metrics(
     df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:

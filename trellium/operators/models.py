@@ -13,13 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellium.operators.baselines import MajorityClassifier, MeanRegressor
+from trellium.functions.feature_lists import SchemaError
 from trellium.operators.features import Preparation, stages
 from trellium.sources.folders import ensure_checkpoint_dir
 
-# The normal equations hold a matrix of features x features in memory.
-MAX_NORMAL_FEATURES = 4096
-
-
 @dataclass(frozen=True)
 class TreeParams:
     """The boosting settings results are compared under."""
@@ -29,6 +26,8 @@ class TreeParams:
     rate: float = 0.1
     seed: int = 42
     parallelism: int = 4  # labels fitted side by side when there are more than two
+    most_labels: int | None = None  # more labels than this are an error; they are fitted one by one
+    solver: str = "normal"  # of least squares; "l-bfgs" where a matrix of features x features is too large
 
     def settings(self) -> dict:
         return {
@@ -79,9 +78,8 @@ def boosted_classifier(target: str, kind: str, labels: Sequence[str], params: Tr
     return [index, trees, names, back]
 
 
-def linear_regression(target: str, n_features: int) -> LinearRegression:
-    """Ordinary least squares, one aggregation pass while the normal equations fit in memory."""
-    solver = "normal" if n_features <= MAX_NORMAL_FEATURES else "l-bfgs"
+def linear_regression(target: str, solver: str = "normal") -> LinearRegression:
+    """Ordinary least squares: one aggregation pass by the normal equations (4096 features at most), or iteratively."""
     return LinearRegression(featuresCol="features", labelCol=target, solver=solver, regParam=0.0)
 
 
@@ -119,14 +117,14 @@ def fit(
     if task == "regression":
         data = data.withColumn(target, F.col(f"`{target}`").cast("double"))
         if estimator == "linear":
-            last = [linear_regression(target, len(features))]
+            last = [linear_regression(target, params.solver)]
             return Fitted(Pipeline(stages=[*ready, *last]).fit(data), "linear", list(features))
         ensure_checkpoint_dir(train.sparkSession)
         return Fitted(
             Pipeline(stages=[*ready, boosted_regressor(target, params)]).fit(data), "boosted_regressor", list(features)
         )
     ensure_checkpoint_dir(train.sparkSession)
-    labels = label_values(train, target)
+    labels = label_values(train, target, params.most_labels)
     kind = train.schema[target].dataType.simpleString()
     data = data.withColumn(target, F.col(f"`{target}`").cast("string"))
     model = Pipeline(stages=[*ready, *boosted_classifier(target, kind, labels, params)]).fit(data)
@@ -139,18 +137,10 @@ def _codes_label(stage) -> bool:
     return isinstance(stage, StringIndexerModel) and stage.isSet(stage.outputCol) and stage.getOutputCol() == "label__code"
 
 
-MAX_LABELS = 10_000
-
-
-def label_values(train: DataFrame, target: str) -> list[str]:
-    """Label values as text in the indexer's order. One model per label: thousands are a mistake."""
-    rows = (
-        train.select(F.col(f"`{target}`").cast("string").alias("l"))
-        .filter(F.col("l").isNotNull())
-        .distinct()
-        .limit(MAX_LABELS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"target {target} has over {MAX_LABELS} labels; is it a number to regress on?")
+def label_values(train: DataFrame, target: str, most: int | None = None) -> list[str]:
+    """Label values as text in the indexer's order; each gets a model, so they are few. ``most`` sets a limit."""
+    found = train.select(F.col(f"`{target}`").cast("string").alias("l")).filter(F.col("l").isNotNull()).distinct()
+    rows = (found if most is None else found.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise SchemaError(f"target {target} has over {most} labels; is it a number to regress on?")
     return sorted(r.l for r in rows)

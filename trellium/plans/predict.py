@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellium.functions.feature_lists import SchemaError, prediction_name, scoring_features
@@ -25,7 +25,7 @@ from trellium.sources.csv import (
     scoring_types,
     write_csv,
 )
-from trellium.sources.folders import is_folder
+from trellium.sources.folders import delete_path, is_folder
 from trellium.sources.messages import write_messages
 from trellium.sources.registry import lookup, read_registry
 
@@ -69,6 +69,10 @@ def _chunks(rows: Iterator, size: int) -> Iterator[list]:
         yield chunk
 
 
+# Reasons why a request is refused before anything is read.
+NO_PATH = "Missing CSV file."
+REPEATED_ID = "predict_id is used by several requests"
+
 ERRORS = "predict_id string, model_id string, error string"
 _PLACE = ["__source_file", "__source_block", "__source_row"]
 _META = ["spark_path", "feature_cols", "feature_types", "target_column"]
@@ -87,6 +91,9 @@ def predict_many(
     ``results`` names a folder for result messages: row count, columns and the
     first rows of each request.
     """
+    if results is not None:
+        delete_path(spark, results)
+    requests, refused = _checked(requests)
     matched = match_models(requests, read_registry(spark, layout.registry))
     good = matched.filter(F.col("error").isNull())
     wanted = good.select("model_id", "predict_id", "csv_path", "task_type", *_META).orderBy("model_id", "predict_id")
@@ -99,13 +106,32 @@ def predict_many(
             groups = _by_layout(spark, meta, chunk, failed)
             for (unit, columns), paths in groups.items():
                 rows_in = _tagged_rows(spark, meta, chunk, unit, paths)
-                failed += _write_scored(model, meta, rows_in, columns, out)
+                asked = [(r.predict_id, r.csv_path) for r in chunk if r.csv_path in set(paths)]
+                failed += _write_scored(model, meta, rows_in, columns, out, asked)
                 if results is not None:
-                    messages = _result_messages(model, meta, rows_in, out)
+                    messages = _result_messages(model, meta, rows_in, out, asked)
                     write_messages(messages, "predict", f"{results}/group-{n_groups:06d}", "overwrite")
                 n_groups += 1
     unknown = matched.filter(F.col("error").isNotNull()).select("predict_id", "model_id", "error")
-    return unknown.unionByName(spark.createDataFrame(failed, ERRORS))
+    return unknown.unionByName(spark.createDataFrame(failed, ERRORS)).unionByName(refused)
+
+
+def _checked(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with the path they name, ``csv_path`` or else the storage key, and errors of the others.
+
+    A request without any path is refused, and so are different requests of one
+    id, as they would write over each other.
+    """
+    given = F.nullif(F.trim("csv_path"), F.lit(""))
+    if "s3_csv_key" in requests.columns:
+        given = F.coalesce(given, F.nullif(F.trim("s3_csv_key"), F.lit("")))
+    same = Window.partitionBy("predict_id")
+    named = requests.withColumn("csv_path", given).dropDuplicates(["predict_id", "csv_path", "model_id"]).withColumn(
+        "__refused",
+        F.when(F.col("csv_path").isNull(), F.lit(NO_PATH)).when(F.count("*").over(same) > 1, F.lit(REPEATED_ID)),
+    )
+    bad = named.filter(F.col("__refused").isNotNull())
+    return named.filter(F.col("__refused").isNull()).drop("__refused"), bad.select("predict_id", "model_id", F.col("__refused").alias("error"))
 
 
 def _by_layout(spark: SparkSession, meta: dict, chunk: list, failed: list) -> dict[tuple, list[str]]:
@@ -151,7 +177,8 @@ def _tagged_rows(spark: SparkSession, meta: dict, chunk: list, unit: str, paths:
     return rows.drop("cast_failures").join(owners, "__source_file")
 
 
-def _write_scored(model: PipelineModel, meta: dict, rows: DataFrame, columns: tuple, out: str) -> list[tuple]:
+def _write_scored(model: PipelineModel, meta: dict, rows: DataFrame, columns: tuple, out: str, asked: list[tuple]) -> list[tuple]:
+    """Write a group's rows; each request's folder is its own, and one without rows has only a header."""
     scored = restore_text(score(model, rows.drop(*_PLACE), meta, "null"))
     unscored = F.col(f"`{prediction_name(columns, meta['target_column'])}`").isNull()
     seen = Observation()
@@ -164,29 +191,41 @@ def _write_scored(model: PipelineModel, meta: dict, rows: DataFrame, columns: tu
         .partitionBy("predict_id")
         .csv(out)
     )
+    filled = {r.predict_id for r in rows.select("predict_id").distinct().collect()}
+    for predict_id in sorted({p for p, _ in asked} - filled):
+        empty = spark_empty(scored.drop("predict_id"))
+        write_csv(empty, f"{out}/predict_id={predict_id}")
     if not seen.get["n"]:
         return []
     counts = scored.filter(unscored).groupBy("predict_id").agg(F.count("*").alias("n")).collect()
     return [(r.predict_id, meta["model_id"], f"{r.n} rows have missing or unreadable features") for r in counts]
 
 
-def _result_messages(model: PipelineModel, meta: dict, rows: DataFrame, out: str) -> DataFrame:
+def spark_empty(df: DataFrame) -> DataFrame:
+    """No rows of the frame's columns, in one part, so that a header is written."""
+    return df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+
+
+def _result_messages(model: PipelineModel, meta: dict, rows: DataFrame, out: str, asked: list[tuple]) -> DataFrame:
     """One message per request. Only its first rows are scored for it; the others are counted."""
     counts = rows.groupBy("predict_id").agg(F.count("*").alias("n_rows"))
     first = sample_rows(rows, ["predict_id"], _PLACE).drop(*_PLACE)
     scored = restore_text(score(model, first, meta, "null"))
     shown = [c for c in scored.columns if c not in ("predict_id", "sample_no")]
     as_map = F.transform("sample_predictions", lambda r: F.from_json(r, "map<string,string>"))
+    requests = rows.sparkSession.createDataFrame(asked, "predict_id string, csv_path string")
+    none = F.array().cast("array<map<string,string>>")
     result = F.struct(
-        "n_rows",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         F.array(*[F.lit(c) for c in shown]).alias("columns"),
         F.lit("spark").alias("prediction_mode"),
-        as_map.alias("sample_predictions"),
+        F.coalesce(as_map, none).alias("sample_predictions"),
     )
-    return counts.join(as_results(scored, "predict_id", shown), "predict_id").select(
+    found = requests.join(counts, "predict_id", "left").join(as_results(scored, "predict_id", shown), "predict_id", "left")
+    return found.select(
         F.lit(meta["model_id"]).alias("model_id"),
         F.lit(meta["task_type"]).alias("model_type"),
-        F.lit(None).cast("string").alias("csv_path"),
+        "csv_path",
         iso_now().alias("timestamp"),
         F.concat(F.lit(f"{out}/predict_id="), "predict_id").alias("output_csv"),
         result.alias("result"),

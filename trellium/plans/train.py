@@ -21,7 +21,6 @@ from trellium.sources.csv import read_parquet, read_training_csv, write_parquet
 from trellium.sources.registry import REGISTRY, registry_row, save_rows
 
 
-
 @dataclass(frozen=True)
 class Layout:
     """Where a project keeps its artifacts."""
@@ -48,11 +47,14 @@ class Layout:
 
 @dataclass(frozen=True)
 class TrainOptions:
+    """``partitions`` deals the rows of a boosted fit out anew, the same at any size; without it they stay as read."""
+
     estimator: str = "boosted"
     params: TreeParams = TreeParams()
     prep: Preparation = Preparation()
     split: str = "hash"  # hash, stratified (exact share of each label) or random (Spark's own)
     key: tuple[str, ...] = ()
+    partitions: int | None = None
 
 
 @dataclass
@@ -76,22 +78,6 @@ def preprocess(
     return read_parquet(spark, out_path)
 
 
-# Up to this many rows, starting tasks takes longer than what they do.
-ONE_TASK_ROWS = 10_000
-
-
-def _spread(scan: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
-    """Rows dealt out to all cores when the scan has fewer parts than that.
-
-    Trees pass over the table once per level. A table of many files is left as
-    it is read, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, *[F.col(f"`{c}`") for c in key])
-
-
 def train_table(table: DataFrame, target: str, task: str, options: TrainOptions = TrainOptions()) -> Trained:
     """Split, fit and evaluate a cleaned table. Only the needed columns are read."""
     target = fold(target)
@@ -107,12 +93,13 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
     # Trees read their input several times; least squares and constants once.
     keep = options.estimator == "boosted"
     if keep:
-        flagged = _spread(needed, flagged, key).persist(StorageLevel.MEMORY_AND_DISK)
+        if options.partitions:
+            flagged = flagged.repartition(options.partitions, *[F.col(f"`{c}`") for c in key])
+        flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         split = train_test(flagged, target)
         facts = (split.n_train, bool(split.varies))
-        side = split.train.coalesce(1) if keep and split.n_train <= ONE_TASK_ROWS else split.train
-        fitted = fit(side, features, target, task, options.estimator, options.params, options.prep, facts)
+        fitted = fit(split.train, features, target, task, options.estimator, options.params, options.prep, facts)
         name = f"{target}_predicted"
         scored = score(fitted.model, split.test, {"target_column": target, "feature_cols": features})
         row = metrics_for(task, scored, target, name).first()
@@ -159,6 +146,12 @@ def record(spark: SparkSession, done: list[Trained], layout: Layout, batch: str
     ]
     save_rows(spark.createDataFrame(rows, REGISTRY), layout.registry)
     catalog = Catalog(spark, layout.catalog)
+    jobs = spark.createDataFrame([(t.job_id, t.job_id, t.task, t.target) for t in done], "job_id string, model_name string, task_type string, target_column string")
+    catalog.ensure_jobs(
+        jobs.withColumns({
+            "uploader": F.lit("local"), "status": F.lit("training"), "user_id": F.lit(None).cast("string"), "created_at": F.current_timestamp()
+        })
+    )
     keys = spark.createDataFrame(
         [(t.job_id, layout.model(t.job_id)) for t in done], "job_id string, model_path string"
     )

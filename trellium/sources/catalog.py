@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellium.operators.merge import merge_keep_first, merge_update, update_where_key
-from trellium.sources.folders import path_exists, read_table, write_table
+from trellium.sources.folders import drop_old_versions, path_exists, read_table, write_table
 
 
 def _table(spec: str) -> T.StructType:
@@ -27,6 +27,10 @@ SCHEMAS = {
 }
 
 
+# Versions of a table that stay for readers that began before a write.
+KEPT_VERSIONS = 5
+
+
 class Catalog:
     """Three Parquet tables under one root; one writer at a time."""
 
@@ -50,16 +54,23 @@ class Catalog:
         merged = merge_update(
             self.read("jobs"), jobs, "job_id", ["status", "target_column"], ["created_at"]
         )
-        write_table(merged, self._path("jobs"))
+        self._write(merged, "jobs")
+
+    def ensure_jobs(self, jobs: DataFrame) -> None:
+        """Insert the jobs that aren't there; the others stay as they are."""
+        self._write(merge_keep_first(self.read("jobs"), jobs, "job_id", ["created_at"]), "jobs")
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """Next version of a table; versions that a running reader can hardly hold any more are deleted."""
+        write_table(rows, self._path(name))
+        drop_old_versions(self.spark, self._path(name), KEPT_VERSIONS)
 
     def add_models(self, models: DataFrame) -> None:
-        write_table(
-            merge_keep_first(self.read("models"), models, "job_id", ["created_at"]), self._path("models")
-        )
+        self._write(merge_keep_first(self.read("models"), models, "job_id", ["created_at"]), "models")
 
     def complete(self, keys: DataFrame) -> None:
         jobs = update_where_key(self.read("jobs"), keys, "job_id", {"status": F.lit("completed")})
-        write_table(jobs, self._path("jobs"))
+        self._write(jobs, "jobs")
 
     def add_metrics(self, metrics: DataFrame, batch: str | None = None) -> None:
         """Append; the table has no key. Writing a named batch again replaces it."""

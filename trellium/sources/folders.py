@@ -48,6 +48,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all that is in it; nothing happens if there is none."""
+    jpath, fs = _hadoop_path(spark, path)
+    fs.delete(jpath, True)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     jpath, fs = _hadoop_path(spark, path)
     return fs.getFileStatus(jpath).isDirectory()

@@ -14,9 +14,10 @@ from trellium.operators.profile import profile_files
 from trellium.operators.validate import split_verdict, with_verdict
 from trellium.plans.predict import predict_many
 from trellium.plans.train import Layout, TrainOptions, preprocess, record, save_model, train_table
+from trellium.sources.catalog import Catalog
 from trellium.sources.folders import path_exists
 from trellium.sources.messages import latest_per_key, write_messages
-from trellium.streaming.messages import Step, batch_folder
+from trellium.streaming.messages import Step, batch_folder, batch_name
 
 
 def _profiles(requests: DataFrame, unit: str, headers_in_parts: bool) -> DataFrame:
@@ -37,14 +38,17 @@ def _profiles(requests: DataFrame, unit: str, headers_in_parts: bool) -> DataFra
 
 
 def ingest_step(
-    uploaded: str, rejected: str, unit: str = "file", headers_in_parts: bool = False, default_target: str | None = None
+    uploaded: str, rejected: str, unit: str = "file", headers_in_parts: bool = False, default_target: str | None = None,
+    layout: Layout | None = None,
 ) -> Step:
     """Upload requests in; ``dataset_uploaded`` messages and a table of rejects out.
 
-    ``default_target`` serves old messages without a target column.
+    ``default_target`` serves old messages without a target column. With a
+    ``layout``, accepted jobs are merged into its catalog: new ones are queued,
+    ones seen before are queued again with their new target.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int | str) -> None:
         named = batch.withColumn("job_id", text.job_id_or_new("job_id", "csv_path", "filename", "timestamp"))
         requests = latest_per_key(named).persist()
         try:
@@ -64,6 +68,13 @@ def ingest_step(
                 }
             )
             write_messages(messages, "dataset_uploaded", batch_folder(uploaded, batch_id), "overwrite")
+            if layout is not None:
+                queued = accepted.select(
+                    "job_id", "model_name", "task_type", "target_column", F.lit("local").alias("uploader"),
+                    F.lit("queued").alias("status"), F.lit(None).cast("string").alias("user_id"),
+                    F.current_timestamp().alias("created_at"),
+                )
+                Catalog(batch.sparkSession, layout.catalog).add_jobs(queued)
             out = refused.select("job_id", "filename", "csv_path", "timestamp", "reason")
             out.write.mode("overwrite").json(batch_folder(rejected, batch_id))
             checked.unpersist()
@@ -73,22 +84,46 @@ def ingest_step(
     return step
 
 
-def _failures(rows: list[tuple[str, str]], batch: DataFrame, folder: str) -> None:
-    frame = batch.sparkSession.createDataFrame(rows, "job_id string, reason string")
-    frame.write.mode("overwrite").json(folder)
+REJECTS = "job_id string, reason string"
+UNREADABLE = "the message could not be read or names no job"
+
+
+def _readable(batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Newest message per key, and a reject for each message without a key."""
+    broken = batch.filter(F.col(key).isNull()).select(
+        F.lit(None).cast("string").alias(key),
+        F.concat_ws(": ", F.lit(UNREADABLE), F.to_json(F.struct(*batch.columns))).alias("reason"),
+    )
+    return latest_per_key(batch.filter(F.col(key).isNotNull()), key), broken
+
+
+def _write_rejects(bad: list[tuple[str, str]], broken: DataFrame, folder: str) -> None:
+    frame = broken.sparkSession.createDataFrame(bad, REJECTS)
+    frame.unionByName(broken).write.mode("overwrite").json(folder)
+
+
+def reason_of(error: Exception) -> str:
+    """One line for the rejects; errors of this library stand for themselves."""
+    first = (str(error).strip() or type(error).__name__).split("\n")[0]
+    return first if isinstance(error, SchemaError) else f"{type(error).__name__}: {first}"
 
 
 def _each(rows: DataFrame, work: Callable, at_once: int) -> tuple[list, list[tuple[str, str]]]:
-    """``work`` on every message, some side by side; what it returns, and (job, reason) of bad tables.
+    """``work`` on every message, some side by side; what it returns, and (job, reason) of jobs that failed.
 
-    A small table leaves most of a cluster idle, so several jobs share it.
+    Whatever is wrong with one table, the other jobs go on; only a session that
+    is gone ends the batch, which is then repeated. A small table leaves most of
+    a cluster idle, so several jobs share it.
     """
+    context = rows.sparkSession.sparkContext
 
     def attempt(message):
         try:
             return work(message), None
-        except SchemaError as error:
-            return None, (message.job_id, str(error))
+        except Exception as error:
+            if context._jsc is None or context._jsc.sc().isStopped():
+                raise
+            return None, (message.job_id, reason_of(error))
 
     with ThreadPool(at_once) as pool:
         outcomes = list(pool.imap(attempt, rows.toLocalIterator()))
@@ -102,7 +137,7 @@ def preprocess_step(layout: Layout, done: str, rejected: str, at_once: int = 4)
     under the job's id, so a replay writes the same again.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int | str) -> None:
         spark = batch.sparkSession
 
         def work(m):
@@ -111,7 +146,8 @@ def preprocess_step(layout: Layout, done: str, rejected: str, at_once: int = 4)
             features = training_features(table.columns, fold(m.target_column))
             return m.job_id, path, table.count(), features, m.task, fold(m.target_column)
 
-        wanted = latest_per_key(batch).withColumn("task", text.task_type("task_type", "model_type"))
+        newest, broken = _readable(batch, "job_id")
+        wanted = newest.withColumn("task", text.task_type("task_type", "model_type"))
         out, bad = _each(wanted, work, at_once)
         messages = spark.createDataFrame(
             out,
@@ -119,7 +155,7 @@ def preprocess_step(layout: Layout, done: str, rejected: str, at_once: int = 4)
             "task_type string, target_column string",
         ).withColumns({"model_type": F.col("task_type"), "timestamp": text.iso_now()})
         write_messages(messages, "preprocess", batch_folder(done, batch_id), "overwrite")
-        _failures(bad, batch, batch_folder(rejected, batch_id))
+        _write_rejects(bad, broken, batch_folder(rejected, batch_id))
 
     return step
 
@@ -129,7 +165,7 @@ def train_step(
 ) -> Step:
     """``preprocess`` messages in; models, registry, catalog and ``train`` messages out."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int | str) -> None:
         spark = batch.sparkSession
 
         def work(m):
@@ -140,9 +176,10 @@ def train_step(
             save_model(trained, layout)
             return trained
 
-        wanted = latest_per_key(batch).withColumn("task", text.task_type("model_type"))
+        newest, broken = _readable(batch, "job_id")
+        wanted = newest.withColumn("task", text.task_type("model_type"))
         trained, bad = _each(wanted, work, at_once)
-        record(spark, trained, layout, f"batch-{batch_id:09d}")
+        record(spark, trained, layout, f"batch-{batch_name(batch_id)}")
         out = [(t.job_id, layout.model(t.job_id), t.task, t.target, t.fitted.features, t.metrics) for t in trained]
         messages = spark.createDataFrame(
             out,
@@ -150,7 +187,7 @@ def train_step(
             "feature_cols array<string>, metrics map<string,double>",
         ).withColumns({"training_mode": F.lit("distributed_spark"), "timestamp": text.iso_now()})
         write_messages(messages, "train", batch_folder(done, batch_id), "overwrite")
-        _failures(bad, batch, batch_folder(rejected, batch_id))
+        _write_rejects(bad, broken, batch_folder(rejected, batch_id))
 
     return step
 
@@ -158,10 +195,12 @@ def train_step(
 def predict_step(layout: Layout, out: str, done: str, rejected: str) -> Step:
     """``predict_request`` messages in; scored CSV per request, ``predict`` messages and a table of errors out."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        requests = latest_per_key(batch, "predict_id").persist()
+    def step(batch: DataFrame, batch_id: int | str) -> None:
+        newest, broken = _readable(batch, "predict_id")
+        requests = newest.persist()
         try:
             errors = predict_many(batch.sparkSession, layout, requests, out, batch_folder(done, batch_id))
+            errors = errors.unionByName(broken.withColumnRenamed("reason", "error"), allowMissingColumns=True)
             errors.write.mode("overwrite").json(batch_folder(rejected, batch_id))
         finally:
             requests.unpersist()

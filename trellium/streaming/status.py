@@ -19,7 +19,7 @@ def status_step(root: str) -> Step:
     ``messages`` have ``job_id, rank``.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int | str) -> None:
         best = batch.groupBy("job_id").agg(F.max("rank").cast("int").alias("rank"))
         best.write.mode("overwrite").parquet(batch_folder(root, batch_id))
 
