@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.functions.rows import holds_map
-
 # Rows of a side that may be broadcast; the side is counted before it is.
 SMALL_ROWS = 10_000
 
@@ -24,22 +22,24 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-# Shares a hot key's rows are dealt into when its table is too large to broadcast.
-SALTS = 16
+# Rows of one key that stay together; a key with more is dealt into as many shares as it has times so many.
+SHARE_ROWS = 1_000_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", share_rows: int = SHARE_ROWS) -> DataFrame:
     """Join rows to a table with one row per key, where one key may hold much of the rows.
 
-    A small table is broadcast. Else the rows of a key are dealt into shares by
-    a hash of their content, and the table is repeated once per share. The
-    result is spread by key and share, so that a grouping by the key that comes
-    next still folds its rows before they meet in one task.
+    Keys are counted first, folded on the map side. The rows of a hot key, equal
+    ones too, are dealt at random into shares in proportion to their number, and
+    only its row of the table is repeated, once per share. There is at most one
+    hot key per ``share_rows`` rows, so their list is small beside the rows. How
+    each side travels is left to Spark's byte threshold. The result is spread by
+    key and share, so a grouping by the key that comes next folds its rows first.
     """
-    small = broadcast_if_small(keyed, limit)
-    if small is not keyed:
-        return rows.join(small, key, how)
-    content = [F.col(f"`{f.name}`") for f in rows.schema.fields if not holds_map(f.dataType)]
-    dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*content), F.lit(SALTS)).cast("int"))
-    repeated = keyed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > share_rows).select(
+        key, F.ceil(F.col("__n") / share_rows).cast("int").alias("__shares")
+    )
+    shares = F.coalesce("__shares", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__share", F.floor(F.rand(7) * shares).cast("int")).drop("__shares")
+    repeated = keyed.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
     return dealt.join(repeated, [key, "__share"], how).drop("__share")
