@@ -10,7 +10,45 @@ from trellium.llm import bpe, chat, decontaminate, licenses, ngrams, quality, re
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
-@query()
+# Words: runs without blanks; DuckDB's lists begin at 1.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
+
+
+@query(
+    rf"""
+    with d as (select doc_id, coalesce(text, '') as text, {_WORDS} as w, {_LINES} as l from documents),
+    windows as (
+        select doc_id, unnest(range(1, len(w) - 3)) as i,
+               unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j+4], ' '))) as g from d
+    ),
+    found as (select doc_id, i, count(*) over (partition by doc_id, g) as n from windows),
+    covered as (
+        select doc_id, count(*) as n from (select distinct doc_id, i + k as at from found, range(5) t(k) where n > 1) group by 1
+    ),
+    m as (
+        select d.doc_id, text, w, l, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+               len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+               coalesce(n, 0)::bigint as n_repeat_words
+        from d left join covered using (doc_id)
+    ),
+    b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not (
+               base_failed
+               or 4 * n_symbols > n_words
+               or (len(l) >= 4 and 10 * n_dup_lines >= 4 * len(l))
+               or (n_words >= 10 and 2 * len(list_filter(w, lambda x: upper(x) = x and lower(x) <> x)) > n_words)
+               or 3 * len(regexp_extract_all(text, '!')) > n_words
+               or (not regexp_matches(text, '[^\x00-\x7F]') and word_chars > 40 * n_words)
+               or 20 * len(regexp_extract_all(text, chr(65533))) > greatest(1, word_chars)
+               or 5 * len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) < n_words
+               or (len(l) >= 4 and 10 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 7 * len(l))
+               or (n_words >= 20 and 2 * list_max(map_values(list_histogram(w))) > n_words)
+           ) as kept
+    from b
+    """
+)
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(table(spark, sf_dir, "documents"))
 
@@ -64,7 +102,29 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(
+    rf"""
+    with recursive w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') as w from documents
+    ),
+    s as (
+        select distinct doc_id, unnest(
+            case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                 else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end
+        ) as g from w
+    ),
+    n as (select doc_id, count(*) as n from s group by 1),
+    met as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+    linked as (
+        select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)
+    ),
+    sides as (select a, b from linked union all select b, a from linked),
+    reach as (select doc_id as doc, doc_id as other from documents union select doc, b from reach join sides on other = a)
+    select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id
+    from documents left join n using (doc_id) join (select doc as doc_id, min(other) as component_id from reach group by 1) using (doc_id)
+    """
+)
 def op8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.link_documents(table(spark, sf_dir, "documents"), ngrams.Likeness(words=3, percent=90))
 
@@ -72,7 +132,21 @@ def op8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-@query()
+@query(
+    rf"""
+    with t as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -1, 0, 'user', '{CONTROL}' union all select -1, 1, 'assistant', '{CONTROL}'
+    )
+    select conv_id, count(*) as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+           coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+           sum(length('{chat.START}{chat.END}') + 2 + length(role) + length(text)
+               + len(regexp_extract_all(text, '<\\*\|')))::bigint as formatted_chars
+    from t group by conv_id
+    """
+)
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold the template's own control strings."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
