@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -315,17 +315,21 @@ def _family_pairs(families: DataFrame, labels: DataFrame, like: Likeness) -> Dat
 
     To differ in at most k shingles, two documents with d and e differences from
     their centre must share (d + e - k) / 2 of them, so they share l of them among
-    the first d - needed + l and e - needed + l.
+    all but the last needed - l of either that others have too.
     """
     p = like.percent
     rows = label_nodes(families.withColumnRenamed("b", "doc"), labels, "doc").join(_least_differing(families, like), "a")
     rows = rows.select(
-        "a", "doc", "label", "n", "differing", (_slack(like) + F.col("most") < 0).alias("far"), F.posexplode("diff").alias("at", "token")
+        "a", "doc", "label", "n", "differing", (_slack(like) + F.col("most") < 0).alias("far"), F.explode("diff").alias("token")
     )
+    # Differences that no other component has add nothing to an overlap; the others count, rarest first.
     open_tokens = rows.groupBy("a", "token").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").alias("any_far")
-    ).where("low <> high and any_far").select("a", "token")
-    rows = rows.join(open_tokens, ["a", "token"], "left_semi")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").alias("any_far"), F.count("*").alias("times")
+    ).where("low <> high and any_far").select("a", "token", "times")
+    of_document = Window.partitionBy("a", "doc")
+    rows = rows.join(open_tokens, ["a", "token"]).withColumns({
+        "at": F.row_number().over(of_document.orderBy("times", "token")) - 1, "usable": F.count("*").over(of_document)
+    })
     x, y = rows.where("far").alias("x"), rows.alias("y")
     both = F.col("x.differing") + F.col("y.differing")
     allowed = F.floor((100 - p) * (F.col("x.n") + F.col("y.n")) / (100 + p))
@@ -333,8 +337,8 @@ def _family_pairs(families: DataFrame, labels: DataFrame, like: Likeness) -> Dat
     asked = F.least(needed, F.lit(FAMILY_MATCHES))
     met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token"))).where(
         (F.col("x.label") != F.col("y.label")) & (~F.col("y.far") | (F.col("x.doc") < F.col("y.doc")))
-        & (F.col("x.at") < F.col("x.differing") - needed + asked) & (F.col("y.at") < F.col("y.differing") - needed + asked)
-        & (F.least("x.at", "y.at") + 1 + F.least(F.col("x.differing") - F.col("x.at"), F.col("y.differing") - F.col("y.at")) > needed)
+        & (F.col("x.at") < F.col("x.usable") - needed + asked) & (F.col("y.at") < F.col("y.usable") - needed + asked)
+        & (F.least("x.at", "y.at") + F.least(F.col("x.usable") - F.col("x.at"), F.col("y.usable") - F.col("y.at")) >= needed)
     )
     return (
         met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
