@@ -41,6 +41,39 @@ def test_the_gate_loses_nothing():
                 assert any(word in text for word in licenses.GATE), (rule, text)
 
 
+def unfiltered(text):
+    return licenses.suppress([
+        licenses.Detection(r.label, m.start(), m.end(), r.rank, r.weight) for r in licenses.RULES for m in r.pattern.finditer(text)
+    ])
+
+
+def test_keywords_are_in_every_match():
+    """Detection behind keywords equals all expressions run on every text, wrapped and odd wordings too."""
+    texts = [
+        "distributed without any warranty of any kind", "unauthorized reproduction of this text is prohibited", "all rights are reserved",
+        "end-user license agreement", "wtfpl license", "ncsa open source license", "odbl", "gnu general\npublic license version 2",
+        "this program is free\nsoftware; you can redistribute it and/or modify it", "cc\tby-nc 4.0", "todos los derechos\nreservados",
+        "tous droits\nréservés", "copyright\n© 2020", "(c)2019", "mit-0 license", "beerware license", "see the\nterms of  use",
+        "creative\ncommons attribution-sharealike 4.0", "openrail-m license", "spdx-license-identifier:mit", "provided \"as\nis\"",
+    ]
+    for text in texts:
+        assert licenses.detect(text) == unfiltered(text) != [], text
+    for rule in licenses.RULES:
+        assert rule.needed
+
+
+def test_detection_equals_no_filter_on_the_test_tables(spark, sf):
+    found = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(200).collect():
+        lower = licenses.lower_ascii(r.text or "")
+        # Blanks as line breaks: wrapped headers.
+        for text in (lower, lower.replace(" ", "\n")):
+            got = licenses.detect(text)
+            found += len(got)
+            assert got == unfiltered(text)
+    assert found
+
+
 def test_suppression_by_rank_and_containment():
     d = licenses.Detection
     found = licenses.suppress([d("a", 0, 10, 2, 1.0), d("b", 2, 5, 1, 1.0), d("c", 8, 12, 1, 1.0), d("d", 0, 20, 0, 1.0)])
