@@ -72,6 +72,29 @@ def test_method_adds_spans_and_keeps_base():
     assert "xK9#" not in hidden and "pwd: dragon" in hidden and "token = [secret]" in hidden
 
 
+def test_letters_and_short_random_values_are_secrets():
+    for text, value in (
+        ("postgres://admin:QxZvKwPtRmNbLsHd@db", "QxZvKwPtRmNbLsHd"), ("pwd=QxZvKwPtRmNbLs", "QxZvKwPtRmNbLs"),
+        ("Authorization: Bearer kqzvwxjpfhgtrm", "kqzvwxjpfhgtrm"), ("password=x9$Kq2!z", "x9$Kq2!z"),
+        ("pwd: k3x9q2vzt", "k3x9q2vzt"), ("pwd: k3xvq2vz", "k3xvq2vz"),
+    ):
+        at = text.index(value)
+        assert ("guess", at, at + len(value)) in secrets.find_secrets(text), text
+        assert value not in secrets.redact(text)
+    for prose in ("pwd: understanding", "auth: required", "passphrase: correcthorse", "credentials: missing", "pwd: dragon",
+                  "Authorization: Bearer token", "pwd: 12345678"):
+        assert secrets.find_secrets(prose) == [], prose
+
+
+def test_random_values_of_eight_and_nine_characters():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters, letters + letters.upper(), letters + "0123456789", letters + letters.upper() + "0123456789!#$%&*"):
+        costs = [secrets.guess_cost("".join(rng.choices(alphabet, k=rng.choice((8, 9))))) for _ in range(300)]
+        # Some hold a word or a walk by chance and are cheaper for it.
+        assert sum(c >= secrets.SECRET_COST for c in costs) > 0.85 * len(costs), alphabet
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op3_secrets"](spark, sf).collect()

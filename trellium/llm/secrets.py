@@ -58,6 +58,17 @@ welcome admin root user guest login test demo example sample changeme default se
 none true false your here my new old the and for this that with from have server database service client system
 winter spring autumn monday friday january december hello world house water green black white blue orange apple
 correct horse battery staple money company office internet network private public account email phone
+required optional missing invalid expired unknown forgotten protected encrypted provided disabled enabled redacted hidden
+removed changed updated generated personal temporary permanent security authentication authorization authenticated
+authorized unauthorized credentials certificate username address reference reminder recovery question answers sentence
+document everything something anything nothing everyone someone another because through without between against
+understanding knowledge information government business children different important following according possible
+together sometimes although believe general special several section language meaning message chapter history science
+ingredient weapon society service garden mission meeting agreement program project process problem product property
+passage pattern current present against already however whether example contains includes available necessary
+application environment variable parameter attribute configuration connection session request response provider
+contraseña obligatorio información siempre también nosotros motdepasse obligatoire toujours information personne
+passwort kennwort erforderlich benutzer vergessen sicherheit zwischen menschen deutsch
 """.split()
 WORDS = {word: rank for rank, word in enumerate(COMMON, start=1)}
 LONGEST_WORD = max(map(len, WORDS))
@@ -78,8 +89,18 @@ DATE = re.compile(
 YEAR = re.compile(r"(?:19|20)\d\d")
 REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
 
+# Price of each character of a brute-force span of at most so many, which guessers try as they are; a
+# longer span costs the alphabet of all its classes of characters, for each of its characters.
 BRUTE_CHARACTER = 1.0
+BRUTE_SHORT = 3
 PART = 0.3
+# Lower case, upper case, digits, all else: as bits, and the sizes of their alphabets.
+CLASS_SIZES = {1: 26, 2: 26, 4: 10, 8: 33}
+ALPHABETS = [math.log10(max(1, sum(n for bit, n in CLASS_SIZES.items() if classes & bit))) for classes in range(16)]
+
+
+def _class(c: str) -> int:
+    return 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 8
 
 
 def _word_parts(value: str) -> Iterator[tuple[int, int, float]]:
@@ -139,10 +160,16 @@ def guess_cost(value: str, repeats: bool = True) -> float:
         for start, end, cost in parts(value):
             ending.setdefault(end, []).append((start, cost))
     best = [0.0] * (len(value) + 1)
-    brute = [math.inf] * (len(value) + 1)  # the best that ends in a brute-force span
+    closed = [0.0] * (len(value) + 1)  # the best that doesn't end in a brute-force span, so that no span is cut in two
+    spans = [math.inf] * len(ALPHABETS)  # the best that ends in a brute-force span within these classes
     for end in range(1, len(value) + 1):
-        brute[end] = min(brute[end - 1], best[end - 1] + PART) + BRUTE_CHARACTER
-        best[end] = min([brute[end], *(best[start] + PART + cost for start, cost in ending.get(end, ()))])
+        kind = _class(value[end - 1])
+        for classes in range(1, len(spans)):
+            within = min(spans[classes], closed[end - 1] + PART) + ALPHABETS[classes]
+            spans[classes] = within if classes & kind else math.inf
+        short = [closed[end - n] + PART + n * BRUTE_CHARACTER for n in range(1, min(BRUTE_SHORT, end) + 1)]
+        closed[end] = min((best[start] + PART + cost for start, cost in ending.get(end, ())), default=math.inf)
+        best[end] = min(closed[end], *spans, *short)
     return best[len(value)]
 
 
@@ -159,14 +186,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def credential_values(text: str) -> set[tuple[int, int]]:
-    """Start and end of each value that stands in a credential context; plain words are prose, not values."""
+    """Start and end of each value that stands in a credential context, prose too; ``guess_cost`` tells them apart."""
     lower = text.lower()
     if not any(a in lower for a in ANCHORS):
         return set()
     found = {m.span(2) for m in ASSIGN.finditer(text)}
     for context in CONTEXTS:
         found.update(m.span(1) for m in context.finditer(text))
-    return {(start, end) for start, end in found if end - start >= 4 and not text[start:end].isalpha()}
+    return {(start, end) for start, end in found if end - start >= 4}
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
