@@ -73,6 +73,33 @@ def test_pairs_hold_without_centres(spark, monkeypatch):
     assert found(ngrams.link_documents(frame, ngrams.Likeness(3, 80))) == brute(docs, 3, 80)
 
 
+def test_a_centre_is_no_label(spark):
+    """10 has no centre and the label 1; 5 has the centre 1 and isn't connected with it: two groups, so 5 and 10 are a pair."""
+    rows = [(token, doc, 20, 1, 1, 3) for token in (100, 101) for doc in (1, 5, 10)]
+    postings = spark.createDataFrame(rows, "token long, doc long, n long, matches int, level int, df long")
+    families = spark.createDataFrame([(1, 5, False, 20, 6, [7])], "a long, b long, linked boolean, n long, differing long, diff array<long>")
+    labels = spark.createDataFrame([(1, 1), (10, 1)], "node long, label long")
+    got = ngrams._open_pairs(postings, families, labels, ngrams.Likeness(3, 90)).collect()
+    # 1 and 10 are connected; 1 and 5 were compared when 5 got its centre.
+    assert {(r.a, r.b) for r in got} == {(5, 10)}
+
+
+def test_chained_families_equal_all_pairs(spark):
+    """Texts that drift away from one another step by step, ids in any order, so that centres stand below roots."""
+    rng = random.Random(21)
+    texts = []
+    for c in range(12):
+        text = [f"c{c}w{i}" for i in range(40)]
+        for step in range(14):
+            texts.append(" ".join(text))
+            for _ in range(rng.choice((1, 2, 3))):
+                text[rng.randrange(40)] = f"c{c}s{step}x{rng.randint(0, 3)}"
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(ngrams.link_documents(frame, ngrams.Likeness(1, 85))) == brute(docs, 1, 85)
+
+
 def test_a_large_family_is_not_paired(spark, monkeypatch):
     """Copies of one text with a few changes each, many of them just too different: all links, few pairs."""
     rng = random.Random(11)

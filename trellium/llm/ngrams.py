@@ -358,11 +358,16 @@ def _open_pairs(postings: DataFrame, families: DataFrame, labels: DataFrame, lik
     """Pairs of different centres that aren't connected, fit in length and share as many prefix shingles as they must.
 
     Of each shingle's documents, those of the centre (or component) that has
-    most of them are not paired among themselves.
+    most of them are not paired among themselves. A centre without one of its
+    own is of its own family, as all others of it were compared with it.
     """
     centre = families.select(F.col("b").alias("doc"), F.col("a").alias("centre"))
+    roots = families.select(F.col("a").alias("doc")).distinct().join(centre, "doc", "left_anti")
+    centre = centre.union(roots.select("doc", F.col("doc").alias("centre")))
     rows = label_nodes(postings, labels, "doc").join(centre, "doc", "left")
-    rows = rows.withColumn("group", F.coalesce("centre", "label"))
+    # A centre and a label may be the same number and are different groups.
+    group = lambda central, value: F.struct(F.lit(central).alias("central"), F.col(value).alias("id"))
+    rows = rows.withColumn("group", F.when(F.col("centre").isNotNull(), group(True, "centre")).otherwise(group(False, "label")))
     sizes = rows.groupBy("token", "group").agg(F.count("*").alias("size"))
     split = sizes.groupBy("token").agg(F.max(F.struct("size", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
     rows = rows.join(split.select("token", F.col("top.group").alias("main")), "token")
