@@ -64,6 +64,16 @@ def test_mined_rules_and_index_equal_brute_force(spark, labelled):
     assert got[1].verdict == "block" and got[2].verdict == got[3].verdict == got[4].verdict == "allow"
 
 
+def test_no_rule_is_dropped_however_many(spark):
+    """Two rules for each of 5,001 bad hosts, 11 pages each."""
+    bad = spark.range(5001 * 11).selectExpr("concat('://h', id div 11) as url", "true as bad")
+    mined = urls.mine(bad, min_support=0.0)
+    assert mined.count() == 2 * 5001
+    pages = spark.range(5001).selectExpr("id as page_id", "concat('://h', id) as url")
+    got = urls.judge(pages, (), mined).groupBy("verdict", "n_rules").count().collect()
+    assert [tuple(r) for r in got] == [("block", 2, 5001)]
+
+
 def test_query(spark, sf):
     rows = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = QUERIES["op5_urls"](spark, sf).collect()

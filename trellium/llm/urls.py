@@ -2,8 +2,8 @@
 
 All of it is DataFrame work. URLs become sets of tokens, FP-growth finds token
 combinations that go with a label, rules of enough support and confidence stay
-unless a part of them does as well, and an inverted index from token to rule
-finds the rules of which a URL has every token.
+unless a part of them does as well, and an inverted index from each rule's
+rarest token finds the rules of which a URL has every token.
 """
 
 from __future__ import annotations
@@ -17,14 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellium.llm.work import lasting, work
+from trellium.operators.joins import join_hot
 
 # Share of labelled URLs that have a combination; share of those with it that are labelled bad.
 MIN_SUPPORT = 0.002
 # Labelled URLs that must have a combination, however few there are in all.
 MIN_ROWS = 10
 MIN_CONFIDENCE = 0.6
-# Rules kept at most, the most confident ones; their index may be broadcast.
-MAX_RULES = 10_000
 
 BAD, GOOD = "label=bad", "label=good"
 
@@ -84,9 +83,7 @@ def tokens(url: Column) -> Column:
     ))
 
 
-def mine(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES
-) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule, antecedent, confidence, support) for bad URLs from rows (url, bad).
 
     Null URLs and labels teach nothing; without labelled rows there are no
@@ -114,31 +111,35 @@ def mine(
             .withColumn("rule", F.xxhash64("antecedent")),
             "found",
         )
-        index = _index(found)
-        # (rule, part): part's tokens are all among the rule's, and fewer.
-        inside = (
-            index.alias("r").join(index.alias("s"), "token")
-            .where("s.n < r.n and s.confidence >= r.confidence")
-            .groupBy(F.col("r.rule").alias("rule"), F.col("s.rule").alias("part"), F.col("s.n").alias("n"))
-            .agg(F.count("*").alias("shared")).where("shared = n").select("rule").distinct()
+        whole = found.select(
+            "rule", F.col("antecedent").alias("all"), F.col("confidence").alias("own"), F.explode("antecedent").alias("token")
         )
+        # Rules that hold all tokens of a smaller one.
+        inside = join_hot(whole, _by_rarest(found, whole), "token").where(
+            (F.size("antecedent") < F.size("all")) & (F.col("confidence") >= F.col("own")) & _within("antecedent", F.col("all"))
+        ).select("rule").distinct()
         kept = found.join(inside, "rule", "left_anti")
-        best = kept.orderBy(F.desc("confidence"), F.desc("support"), "rule").limit(max_rules)
-        return folder.save(best.select("rule", "antecedent", "confidence", "support"), "rules")
+        return folder.save(kept.select("rule", "antecedent", "confidence", "support"), "rules")
 
 
-def _index(rules: DataFrame) -> DataFrame:
-    """Token to rule, with the number of tokens the rule needs."""
-    return rules.select("rule", "confidence", F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
+def _by_rarest(rules: DataFrame, rows: DataFrame) -> DataFrame:
+    """(token, antecedent, confidence): each rule at that of its tokens that fewest rows have."""
+    counts = rows.groupBy("token").agg(F.count("*").alias("times"))
+    each = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)), "token"))["token"]
+    return each.groupBy("antecedent", "confidence").agg(rarest.alias("token")).select("token", "antecedent", "confidence")
+
+
+def _within(part: str, whole: Column) -> Column:
+    return F.size(F.array_except(part, whole)) == 0
 
 
 def match(urls: DataFrame, rules: DataFrame, column: str = "url") -> DataFrame:
     """Distinct URLs of which a rule has all tokens, with the largest confidence and the number of such rules."""
     listed = urls.select(F.col(column).alias("url")).where(F.col("url").isNotNull()).distinct()
-    index = F.broadcast(_index(rules))  # at most MAX_RULES rules of a URL's few tokens
+    rows = listed.select("url", F.explode(tokens(F.col("url"))).alias("token"))
     return (
-        listed.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token")
-        .groupBy("url", "rule", "n", "confidence").agg(F.count("*").alias("shared")).where("shared = n")
+        join_hot(rows, _by_rarest(rules, rows), "token").where(_within("antecedent", tokens(F.col("url"))))
         .groupBy("url").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_rules"))
     )
 
