@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellium.llm import bpe, chat, decontaminate, licenses, ngrams, quality, reshard, secrets, toxicity, urls
+from trellium.llm import bpe, chat, decontaminate, exact, licenses, negatives, ngrams, quality, reshard, secrets, toxicity, urls, whiten
 from trellium.llm.book import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -158,3 +158,52 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four components; a deviation beyond the range of long is null here."""
+    made = whiten.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query(
+    """
+    with e as (
+        select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+               list_transform(embedding, lambda x: floor(256 * x::double)) as x
+        from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ),
+    met as (
+        select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_dot_product(a.x, b.x) as bigint) as score
+        from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+    ),
+    near as (
+        select anchor_id, id as positive_id, score as positive_score from met where same
+        qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+    )
+    select n.anchor_id, positive_id, cast(row_number() over (partition by n.anchor_id, positive_id order by score desc, id) as integer) as rank,
+           id as negative_id, positive_score, score as negative_score
+    from near n join met m on m.anchor_id = n.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+    qualify row_number() over (partition by n.anchor_id, positive_id order by score desc, id) <= 10
+    """
+)
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; where it is divisible by 7 the next label holds."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query(
+    """
+    with d as (
+        select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+    )
+    select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+           doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+    from d
+    """
+)
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.group_copies(table(spark, sf_dir, "documents"))
