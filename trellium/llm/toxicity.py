@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, other.
-Four transducers rewrite the symbols of a clause one after another - negation
-turns insults off, reported speech and targets mark them - and a last one weighs
-what is left. They are composed once into a single machine. A text's features
-come from the weights of its matched clauses; a logistic regression on them
-gives the score. The insult words come from a short list and from labelled rows.
+Words become symbols. An insult and a threat machine read words and phrases from
+left to right. A target machine reads the symbols from right to left and marks
+hits that a target follows. Then negation, reported speech, targets before a hit,
+passive threats and speakers are read from left to right, and a last machine
+weighs what is marked. The machines of each direction are composed into one. A
+text's features come from the weights of its clauses; a logistic regression on
+them gives the score. Insult words come from a short list and from labelled rows.
 """
 
 from __future__ import annotations
@@ -26,30 +27,44 @@ from trellium.llm.work import work
 
 # Labelled rows that lexicon and regression are fitted on at most: those with the smallest hash of the id.
 TRAINING_ROWS = 30_000
-# Learned words and word beginnings at most, strongest first.
-LEXICON_ROWS = 20_000
+# Bytes of learned words and word beginnings that may be broadcast; a larger lexicon is an error, never cut.
+LEXICON_BYTES = 128 << 20
 # Evidence (twice the log-likelihood ratio against the share of toxic texts) that a learned word needs.
 EVIDENCE = 24.0
 PRECISION = 0.75
 STEMS = (4, 5, 6, 7)
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"“”«»]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;,\n\"“”«»]")
 PLAIN_WORD = re.compile(r"[^\W\d_]+")
 
-# Words of the grammar.
+# Words and phrases of the grammar.
 INSULTS = frozenset("""
 idiot idiots moron morons stupid loser losers scum trash worthless disgusting pathetic clown dumb fool imbecile filth
 vermin ugly useless coward liar freak parasite subhuman bastard jerk creep degenerate
 dummkopf abschaum versager wertlos idiota estúpido imbécil basura crétin ordure minable
 """.split())
+INSULT_PHRASES = (
+    "piece of garbage", "piece of trash", "piece of filth", "waste of space", "waste of oxygen", "waste of skin", "good for nothing",
+    "shut up", "go to hell", "drop dead", "get lost", "halt die klappe", "halt den mund", "hijo de puta", "vete al infierno",
+    "ferme ta gueule", "ta gueule", "va au diable",
+)
 THREATS = frozenset("""
-kill killed hurt destroy beat punch stab shoot burn hang smash strangle murder
-töten umbringen matar golpear tuer frapper
+kill killed hurt destroy destroyed beat beaten punch punched stab stabbed shoot shot burn burned hang hanged smash strangle murder
+murdered töten umbringen schlagen erschießen matar golpear tuer frapper
 """.split())
+# Threats that name their target themselves.
+THREAT_PHRASES = (
+    "watch your back", "break your neck", "cut your throat", "slit your throat", "end your life", "make you suffer", "make you pay",
+    "you will regret", "you are dead", "ich bring dich um", "te voy a romper", "tu vas mourir",
+)
 TARGETS = frozenset("""
-you your yours yourself they them these those he him she her people everyone all
-du dich ihr euch sie ihn tú te usted ustedes ellos vous toi eux ils elles
+you your yours yourself they them he him she her people everyone
+du ihr sie ihnen tú usted ustedes ellos eux ils elles
 """.split())
+# Targets that may stand before the verb whose object they are.
+OBJECTS = frozenset("dich euch ihn te os vous toi".split())
+SPEAKERS = frozenset("i we ich wir yo nosotros je nous".split())
+PASSIVES = frozenset("be get".split())
 NEGATIONS = frozenset("not no never neither nor nobody isn aren don doesn nicht kein keine nie nunca jamás pas jamais".split())
 REPORTS = frozenset("""
 said says say wrote writes claimed claims called calls quoted quote reported reports accused alleged
@@ -58,9 +73,13 @@ sagte schrieb nannte dijo escribió llamó dit écrit appelé
 ENDS = frozenset(".!?;\n")
 QUOTES = frozenset("\"“”«»")
 
-# Words after a negation that it covers, and words between a target and an insult.
+# Words over which a negation, a target, an object before its verb and a passive reach.
 NEGATION_SCOPE = 3
 TARGET_SCOPE = 4
+OBJECT_SCOPE = 3
+PASSIVE_SCOPE = 2
+# A hit that ends a clause of so many words is a call.
+CALL_WORDS = 3
 
 Symbol = str
 
@@ -73,55 +92,128 @@ class Transducer:
     step: Callable[[object, Symbol], tuple[object, Symbol]]
 
 
-def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The machine that feeds what ``first`` writes to ``second``."""
+def compose(*machines: Transducer) -> Transducer:
+    """The machine that feeds what each machine writes to the next."""
 
-    def step(state, symbol):
-        a, middle = first.step(state[0], symbol)
-        b, out = second.step(state[1], middle)
-        return (a, b), out
+    def step(states, symbol):
+        after = []
+        for machine, state in zip(machines, states):
+            state, symbol = machine.step(state, symbol)
+            after.append(state)
+        return tuple(after), symbol
 
-    return Transducer((first.start, second.start), step)
+    return Transducer(tuple(m.start for m in machines), step)
+
+
+# An input symbol is I, H, T, D (a target that may stand before its verb), S, B, N, R, Q, "," or O. Words of phrases
+# are written before it, as in "your=T". A hit is I or H; marks are added to it in small letters.
+
+
+def phrase_machine(phrases: Sequence[str], hit: Symbol) -> Transducer:
+    """Writes ``hit`` at the last word of a phrase; its state is the longest beginning of a phrase just read."""
+    whole = {tuple(p.split()) for p in phrases}
+    beginnings = {p[:n] for p in whole for n in range(len(p))}
+
+    def step(read: tuple, symbol: Symbol) -> tuple[tuple, Symbol]:
+        word, known, _ = symbol.partition("=")
+        if not known:
+            return (), symbol
+        read = (*read, word)
+        done = any(read[i:] in whole for i in range(len(read)))
+        while read not in beginnings:
+            read = read[1:]
+        return read, f"{word}={hit}" if done else symbol
+
+    return Transducer((), step)
+
+
+def _plain(state: None, symbol: Symbol) -> tuple[None, Symbol]:
+    return state, symbol.rpartition("=")[2]
 
 
 def _is_hit(symbol: Symbol) -> bool:
     return symbol[0] in "IH"
 
 
+def _target_after(state: tuple[int, bool], symbol: Symbol) -> tuple[tuple[int, bool], Symbol]:
+    """From right to left: ``a`` for a target after the hit, ``e`` for a hit that ends the clause."""
+    left, inside = state
+    if symbol in "TD":
+        return (TARGET_SCOPE, True), symbol
+    if symbol == ",":
+        return (0, True), symbol
+    if _is_hit(symbol):
+        symbol += "a" * bool(left) + "e" * (not inside)
+    return (max(0, left - 1), inside or symbol != "Q"), symbol
+
+
 def _negation(left: int, symbol: Symbol) -> tuple[int, Symbol]:
     if symbol == "N":
-        return NEGATION_SCOPE, "O"
-    if left and _is_hit(symbol):
-        return left - 1, symbol + "n"
-    return max(0, left - 1), symbol
+        return NEGATION_SCOPE, symbol
+    if symbol == ",":
+        return 0, symbol
+    return max(0, left - 1), symbol + "n" if left and _is_hit(symbol) else symbol
 
 
 def _reported(state: tuple[bool, bool], symbol: Symbol) -> tuple[tuple[bool, bool], Symbol]:
     said, quoted = state
     if symbol == "R":
-        return (True, quoted), "O"
+        return (True, quoted), symbol
     if symbol == "Q":
-        return (said, not quoted), "O"
+        return (said, not quoted), symbol
     return state, symbol + "r" if _is_hit(symbol) and (said or quoted) else symbol
 
 
-def _target(left: int, symbol: Symbol) -> tuple[int, Symbol]:
-    if symbol == "T":
-        return TARGET_SCOPE, "O"
-    if left and _is_hit(symbol):
-        return left - 1, symbol + "t"
-    return max(0, left - 1), symbol
+def _target_before(left: int, symbol: Symbol) -> tuple[int, Symbol]:
+    if symbol in "TD":
+        return TARGET_SCOPE, symbol
+    return max(0, left - 1), symbol + "t" if left and _is_hit(symbol) else symbol
+
+
+def _object_before(left: int, symbol: Symbol) -> tuple[int, Symbol]:
+    if symbol == "D":
+        return OBJECT_SCOPE, symbol
+    if symbol == ",":
+        return 0, symbol
+    return max(0, left - 1), symbol + "d" if left and symbol[0] == "H" else symbol
+
 
+def _passive(state: tuple[bool, int], symbol: Symbol) -> tuple[tuple[bool, int], Symbol]:
+    """``p`` for a threat after a target and a helper, as in "they will be shot"."""
+    target, left = state
+    if symbol in "TD":
+        return (True, max(0, left - 1)), symbol
+    if symbol == "B":
+        return (target, PASSIVE_SCOPE if target else 0), symbol
+    return (target, max(0, left - 1)), symbol + "p" if left and symbol[0] == "H" else symbol
 
-# Factors of the marks that the transducers leave on a hit.
-FACTORS = {"n": 0.2, "r": 0.6, "t": 1.5}
 
+def _speaker(seen: bool, symbol: Symbol) -> tuple[bool, Symbol]:
+    return seen or symbol == "S", symbol + "s" if seen and symbol[0] == "H" else symbol
 
-def _weigh(state: None, symbol: Symbol) -> tuple[None, Symbol]:
-    """Writes the factor of a hit as text; a threat counts only against a target."""
-    if not _is_hit(symbol) or symbol[0] == "H" and "t" not in symbol:
-        return state, "0"
-    return state, repr(math.prod(FACTORS[mark] for mark in symbol[1:]))
+
+def _call(words: int, symbol: Symbol) -> tuple[int, Symbol]:
+    words = min(CALL_WORDS + 1, words + (symbol not in ",Q"))
+    return words, symbol + "c" if _is_hit(symbol) and "e" in symbol and words <= CALL_WORDS else symbol
+
+
+# Weights of hits, and factors of negation and reported speech.
+AIMED, SPOKEN, CALLED, PILED, ALONE = 1.5, 2.0, 1.2, 1.0, 0.4
+FACTORS = {"n": 0.2, "r": 0.5}
+
+
+def _weigh(hits: bool, symbol: Symbol) -> tuple[bool, Symbol]:
+    """Writes a hit's weight as text. A threat counts only against a target; an insult alone counts little."""
+    marks = symbol[1:]
+    if symbol[0] == "H" and set(marks) & set("adp"):
+        weight = SPOKEN if "s" in marks else AIMED
+    elif symbol[0] == "I":
+        weight = AIMED if set(marks) & set("at") else CALLED if "c" in marks else PILED if hits else ALONE
+    else:
+        return hits, "0"
+    for mark, factor in FACTORS.items():
+        weight *= factor if mark in marks else 1
+    return True, repr(weight)
 
 
 class Machine:
@@ -130,27 +222,50 @@ class Machine:
     def __init__(self, transducer: Transducer):
         self.start = transducer.start
         self.transducer = transducer
-        self.table: dict[tuple[object, Symbol], tuple[object, float]] = {}
+        self.table: dict[tuple[object, Symbol], tuple[object, Symbol]] = {}
 
-    def clause(self, symbols: Iterable[tuple[Symbol, float]]) -> float:
-        """Sum over the clause's words of their weight times the factor that the grammar gives."""
-        state, total = self.start, 0.0
-        for symbol, weight in symbols:
+    def run(self, symbols: Iterable[Symbol]) -> list[Symbol]:
+        state, out = self.start, []
+        for symbol in symbols:
             found = self.table.get((state, symbol))
             if found is None:
-                to, out = self.transducer.step(state, symbol)
-                found = self.table[state, symbol] = (to, float(out) if out[0].isdigit() else 0.0)
-            state, factor = found
-            total += weight * factor
-        return total
+                found = self.table[state, symbol] = self.transducer.step(state, symbol)
+            state, written = found
+            out.append(written)
+        return out
+
+
+class Grammar:
+    """The three passes over a clause."""
 
+    def __init__(self):
+        self.hits = Machine(compose(phrase_machine(INSULT_PHRASES, "I"), phrase_machine(THREAT_PHRASES, "Ha"), Transducer(None, _plain)))
+        self.behind = Machine(Transducer((0, False), _target_after))
+        self.weights = Machine(compose(
+            Transducer(0, _negation), Transducer((False, False), _reported), Transducer(0, _target_before), Transducer(0, _object_before),
+            Transducer((False, 0), _passive), Transducer(False, _speaker), Transducer(0, _call), Transducer(False, _weigh),
+        ))
 
-def grammar() -> Machine:
-    machines = (Transducer(0, _negation), Transducer((False, False), _reported), Transducer(0, _target), Transducer(None, _weigh))
-    whole = machines[0]
-    for machine in machines[1:]:
-        whole = compose(whole, machine)
-    return Machine(whole)
+    def clause(self, symbols: Sequence[tuple[Symbol, float]]) -> float:
+        """Sum over the clause's hits of their word's weight times the weight that the grammar gives."""
+        hits = self.hits.run([s for s, _ in symbols])
+        if not any(_is_hit(s) for s in hits):
+            return 0.0
+        behind = self.behind.run(reversed(hits))
+        marked = self.weights.run(reversed(behind))
+        return sum(float(f) * w for f, (_, w) in zip(marked, symbols) if f != "0")
+
+
+def grammar() -> Grammar:
+    return Grammar()
+
+
+PHRASE_WORDS = frozenset(w for p in (*INSULT_PHRASES, *THREAT_PHRASES) for w in p.split())
+LAST_WORDS = frozenset(p.split()[-1] for p in (*INSULT_PHRASES, *THREAT_PHRASES))
+SYMBOLS = (
+    ("H", THREATS), ("N", NEGATIONS), ("D", OBJECTS), ("T", TARGETS), ("S", SPEAKERS), ("B", PASSIVES), ("R", REPORTS),
+    ("Q", QUOTES), (",", frozenset(",")),
+)
 
 
 class Lexicon(dict):
@@ -169,20 +284,8 @@ class Lexicon(dict):
                 weight = max(weight, self.stems.get(word[:n], 0.0))
         if word in INSULTS:
             weight = max(weight, 1.0)
-        if weight:
-            found = ("I", weight)
-        elif word in THREATS:
-            found = ("H", 1.0)
-        elif word in NEGATIONS:
-            found = ("N", 0.0)
-        elif word in TARGETS:
-            found = ("T", 0.0)
-        elif word in REPORTS:
-            found = ("R", 0.0)
-        elif word in QUOTES:
-            found = ("Q", 0.0)
-        else:
-            found = ("O", 0.0)
+        symbol = "I" if weight else next((symbol for symbol, words in SYMBOLS if word in words), "O")
+        found = (f"{word}={symbol}" if word in PHRASE_WORDS else symbol, weight or 1.0)
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = found
@@ -194,11 +297,11 @@ N_FEATURES = 6
 MATCH = 0.5
 
 
-def features(text: str | None, lexicon: Lexicon, machine: Machine) -> list[float]:
+def features(text: str | None, lexicon: Lexicon, machine: Grammar) -> list[float]:
     """Sum and largest of the clause weights, share of matched clauses, weight per word, one match, two or more."""
     lower = (text or "").lower()
     words = PLAIN_WORD.findall(lower)
-    if not any(symbol in "IH" for symbol, _ in map(lexicon.__getitem__, set(words))):
+    if not any(w in LAST_WORDS or lexicon[w][0][-1] in "IH" for w in set(words)):
         return [0.0] * N_FEATURES
     clauses, clause = [], []
     for token in TOKEN.findall(lower):
@@ -286,11 +389,11 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     ratio = F.col("n_toxic") * F.log(precision / base) + F.when(
         clean > 0, clean * F.log(clean / F.col("n") / (1 - base))
     ).otherwise(0.0)
-    found = (
-        _units(rows).where((precision >= PRECISION) & (2 * ratio >= EVIDENCE))
-        .orderBy(F.desc(ratio), "unit").limit(LEXICON_ROWS)
-        .select("unit", precision.alias("p")).collect()
-    )
+    known = _units(rows).where((precision >= PRECISION) & (2 * ratio >= EVIDENCE)).select("unit", precision.alias("p"))
+    size = known.agg(F.sum(F.octet_length("unit") + 100)).first()[0] or 0
+    if size > LEXICON_BYTES:
+        raise ValueError(f"a lexicon of {size} bytes is too large to broadcast; fit on fewer rows")
+    found = known.collect()
     words = {r.unit: float(r.p) for r in found if not r.unit.endswith("*")}
     stems = {r.unit[:-1]: float(r.p) for r in found if r.unit.endswith("*")}
     return words, stems
