@@ -48,8 +48,10 @@ def test_cheapest_segmentation_equals_all_segmentations():
     """The minimum over every way to cut a value, part by part."""
     for value in ("dragon2012", "aaab12", "qwe7love", "1999xx"):
         parts = {}
-        for find in (secrets._word_parts, secrets._date_parts, secrets._walk_parts, secrets._repeat_parts):
-            for start, end, cost in find(value):
+        words = secrets.BUILT_IN
+        for found in (secrets._word_parts(value, words), secrets._unknown_parts(value, words), secrets._date_parts(value),
+                      secrets._walk_parts(value), secrets._repeat_parts(value, words)):
+            for start, end, cost in found:
                 parts[start, end] = min(cost, parts.get((start, end), 99))
 
         def best(at, brute_before):
@@ -63,7 +65,7 @@ def test_cheapest_segmentation_equals_all_segmentations():
 
 
 def test_method_adds_spans_and_keeps_base():
-    text = 'pwd: "xK9#mQ2$vL5n" pwd: dragon token = abc123x http://u:pXq83kd91ma@h/ the secret: understanding'
+    text = 'pwd: "xK9#mQ2$vL5n" pwd: dragon token = zq7Lw3vPx7Rb http://u:pXq83kd91ma@h/ the secret: understanding'
     spans = secrets.find_secrets(text)
     assert [s for s in spans if s[0] != "guess"] == brute(text)
     values = [text[a:b] for kind, a, b in spans if kind == "guess"]
@@ -95,6 +97,48 @@ def test_random_values_of_eight_and_nine_characters():
         assert sum(c >= secrets.SECRET_COST for c in costs) > 0.85 * len(costs), alphabet
 
 
+HARMLESS = """
+secret: patience|token: iterator|token=separator|the secret: kindness|secret: Grundlagen|credentials: include|auth: middleware
+access_key=readonly|pwd=/home/user/projects|secret = settings.SECRET_KEY|password = getpass.getpass()|api_key = os.environ['API_KEY']
+token = tokenizer|token: placeholder|password: required|passwd: unchanged|secret=config.secret|token = request.token|auth: disabled
+pwd=../data/files|password: string|token = parser.nextToken()|secret: discipline|password = user.password|api_key: optional
+private_key = load_private_key(path)|token=session.accessToken|auth: basic|password: Geheimnis|secret: Verantwortung|token: tokens
+password = input()|pwd: /var/log/messages|the secret: listening|secret: moderation|token: identifier|credential: passport
+access_key = credentials.access_key|password: letmein|token: delimiter|password: 12345678|token = null|secret: none|token: whitespace
+passphrase: sunshine|pwd = os.getcwd()|password: contraseña|auth: optional|api_key = self.api_key|password=changeme
+""".replace("\n", "|").strip("|").split("|")
+
+
+def test_precision_and_recall():
+    """Fifty harmless lines, and fifty random values of known size: ten to sixteen characters of 36, 62 or 70."""
+    assert len(HARMLESS) == 50
+    flagged = [line for line in HARMLESS if any(kind == "guess" for kind, _, _ in secrets.find_secrets(line)) or secrets.redact(line) != line]
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = (letters + "0123456789", letters + letters.upper() + "0123456789", letters + letters.upper() + "0123456789!#$%&*+-")
+    names = ("password=", "token: ", "pwd = ", "secret: ", "api_key=", "auth: ", "access_key=")
+    dear = [names[i % 7] + "".join(rng.choices(alphabets[i % 3], k=rng.randint(10, 16))) for i in range(50)]
+    found = [line for line in dear if secrets.redact(line).endswith("[secret]")]
+    assert flagged == []
+    assert len(found) >= 48
+
+
+def test_corpus_words_are_cheap_and_its_secrets_are_not(spark):
+    texts = [f"the blorvik number {i} is a blorvik of xqzrtk. token = qvxkzjwpt" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = secrets.corpus_words(docs)
+    assert words[0] in ("blorvik", "number", "the", "xqzrtk", "token") and "qvxkzjwpt" not in words
+    assert secrets.guess_cost("xqzrtk", secrets.Dictionary(words)) < 2 < secrets.guess_cost("xqzrtk")
+    masked = {r.text for r in secrets.mask_secrets(docs).collect()}
+    assert all(t.endswith("token = [secret]") for t in masked)
+    assert secrets.corpus_words(docs.limit(0)) == []
+
+
+def test_columns_named_like_helpers(spark):
+    docs = spark.createDataFrame([("pwd=k3x9q2vzt", "a", "b", 1)], "text string, __text string, masked string, MASKED_ int")
+    assert [tuple(r) for r in secrets.mask_secrets(docs).collect()] == [("pwd=[secret]", "a", "b", 1)]
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op3_secrets"](spark, sf).collect()
@@ -116,6 +160,6 @@ def test_odd_rows_and_masking(odd, none):
 
 
 def test_masking_follows_length(spark):
-    docs = spark.createDataFrame([(1, "token=abcdef123", 15), (2, "nothing", 99), (3, None, 0)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "token=zq7Lw3vPx7", 16), (2, "nothing", 99), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.mask_secrets(docs).collect()}
     assert got == {1: ("token=[secret]", 14), 2: ("nothing", 99), 3: (None, 0)}

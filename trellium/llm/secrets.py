@@ -3,19 +3,24 @@
 A value after a word such as ``password=`` is a secret if guessing it is dear.
 The cost is that of the cheapest way to put the value together from dictionary
 words, dates, repeats, keyboard walks and brute-force characters, found by
-dynamic programming over its positions.
+dynamic programming over its positions. The dictionary holds the words that
+guessers try first and, by their rank, the words that the corpus itself uses;
+words beside it that read like words cost as much as a large word list, and
+names of program parts and paths as much as one such word.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm.texts import annotate
+from trellium.llm.texts import SLICE_ROWS, annotate, fresh
+from trellium.llm.work import work
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -70,8 +75,45 @@ application environment variable parameter attribute configuration connection se
 contraseña obligatorio información siempre también nosotros motdepasse obligatoire toujours information personne
 passwort kennwort erforderlich benutzer vergessen sicherheit zwischen menschen deutsch
 """.split()
-WORDS = {word: rank for rank, word in enumerate(COMMON, start=1)}
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD = 24
+# A corpus word is one that makes up this share of all its words, so there are at most a million of them.
+WORD_SHARE = 1e-6
+WORD_TIMES = 5
+LETTERS = re.compile(r"[^\W\d_]+")
+# Power of ten of the words in a large list: the price of a word that isn't in the dictionary.
+UNKNOWN_WORD = 6.0
+WORDLIKE = re.compile(r"[a-zà-öø-ÿ]{3,16}|[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{2,15}|[A-Z]{3,16}")
+# Parts of a program, an address or a path joined by marks that passwords of several words don't use.
+NAME = re.compile(r"(?:[~.]{0,2}/)?[A-Za-z_]\w*(?:(?:\.|/|::|->)[A-Za-z_]\w*)+/?|[~.]{0,2}/[A-Za-z_]\w*/?", re.A)
+# A name of several parts that is called or indexed.
+CALLED = re.compile(r"[A-Za-z]+(?:[._][A-Za-z]+)+[(\[]")
+CAMEL = re.compile(r"[A-Z]*[^\W\d_A-Z]+|[A-Z]+|[^\W\d_]+")
+VOWELS = frozenset("aeiouyäöüàáâéèêëíîïóôúùûåæø")
+
+
+class Dictionary:
+    """Ranks of words, and the pairs of letters that words are made of."""
+
+    def __init__(self, corpus: Iterable[str] = ()):
+        self.ranks: dict[str, int] = {}
+        for words in (COMMON, corpus):
+            for rank, word in enumerate(words, start=1):
+                self.ranks[word] = min(rank, self.ranks.get(word, rank))
+        pairs = Counter(a + b for word in self.ranks if word.isalpha() for a, b in zip(word, word[1:]))
+        least = sum(pairs.values()) / 2000
+        self.pairs = frozenset(pair for pair, n in pairs.items() if n >= least)
+
+    def reads_like_a_word(self, letters: str) -> bool:
+        """In one case or capitalised, with vowels, and hardly a pair of letters that words don't have."""
+        if not WORDLIKE.fullmatch(letters):
+            return False
+        low = letters.lower()
+        vowels = sum(c in VOWELS for c in low)
+        odd = sum(a + b not in self.pairs for a, b in zip(low, low[1:]))
+        allowed = 1 if len(low) <= 5 else len(low) // (4 if vowels >= 0.45 * len(low) else 6)
+        return 0.15 * len(low) <= vowels <= 0.8 * len(low) and odd <= allowed
+
+
 LEET = str.maketrans("@4301!57$", "aaeoiists")
 
 # Rows of a keyboard, and runs of the alphabet and of digits.
@@ -103,8 +145,14 @@ def _class(c: str) -> int:
     return 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 8
 
 
-def _word_parts(value: str) -> Iterator[tuple[int, int, float]]:
+BUILT_IN = Dictionary()
+
+
+def _word_parts(value: str, words: Dictionary) -> Iterator[tuple[int, int, float]]:
     lower = value.lower()
+    if len(lower) != len(value):  # a letter whose lower case is longer
+        lower = value
+    ranks = words.ranks
     forms = [(lower, 0.0)]
     if (leet := lower.translate(LEET)) != lower:
         forms.append((leet, 0.6))
@@ -112,10 +160,10 @@ def _word_parts(value: str) -> Iterator[tuple[int, int, float]]:
         for start in range(len(form)):
             for end in range(start + 3, min(len(form), start + LONGEST_WORD) + 1):
                 span = form[start:end]
-                rank = WORDS.get(span)
+                rank = ranks.get(span)
                 turned = 0.3
                 if rank is None:
-                    rank = WORDS.get(span[::-1])
+                    rank = ranks.get(span[::-1])
                 else:
                     turned = 0.0
                 if rank is not None:
@@ -123,6 +171,17 @@ def _word_parts(value: str) -> Iterator[tuple[int, int, float]]:
                     yield start, end, math.log10(rank + 1) + extra + turned + cased
 
 
+def _unknown_parts(value: str, words: Dictionary) -> Iterator[tuple[int, int, float]]:
+    """Words beside the dictionary, and names all of whose parts are words or short."""
+    for match in LETTERS.finditer(value):
+        if words.reads_like_a_word(match.group()):
+            yield match.start(), match.end(), UNKNOWN_WORD
+    for match in NAME.finditer(value):
+        parts = [p for q in LETTERS.findall(match.group()) for p in CAMEL.findall(q)]
+        if all(len(p) <= 3 or p.lower() in words.ranks or words.reads_like_a_word(p) for p in parts):
+            yield match.start(), match.end(), UNKNOWN_WORD
+
+
 def _date_parts(value: str) -> Iterator[tuple[int, int, float]]:
     for match in DATE.finditer(value):
         yield match.start(), match.end(), math.log10(366 * 120)
@@ -142,22 +201,23 @@ def _walk_parts(value: str) -> Iterator[tuple[int, int, float]]:
         start = max(end, start + 1)
 
 
-def _repeat_parts(value: str) -> Iterator[tuple[int, int, float]]:
+def _repeat_parts(value: str, words: Dictionary) -> Iterator[tuple[int, int, float]]:
     for match in REPEAT.finditer(value):
         unit = match.group(1)
         times = (match.end() - match.start()) / len(unit)
         if match.end() - match.start() >= 3:
-            yield match.start(), match.end(), guess_cost(unit, repeats=False) + math.log10(times)
+            yield match.start(), match.end(), guess_cost(unit, words, repeats=False) + math.log10(times)
 
 
-def guess_cost(value: str, repeats: bool = True) -> float:
+def guess_cost(value: str, words: Dictionary = BUILT_IN, repeats: bool = True) -> float:
     """Power of ten of the guesses that the cheapest segmentation of the value takes.
 
     Time and memory grow in proportion to the value's length.
     """
     ending: dict[int, list[tuple[int, float]]] = {}
-    for parts in (_word_parts, _date_parts, _walk_parts, *([_repeat_parts] if repeats else [])):
-        for start, end, cost in parts(value):
+    found = [_word_parts(value, words), _unknown_parts(value, words), _date_parts(value), _walk_parts(value)]
+    for parts in (*found, *([_repeat_parts(value, words)] if repeats else [])):
+        for start, end, cost in parts:
             ending.setdefault(end, []).append((start, cost))
     best = [0.0] * (len(value) + 1)
     closed = [0.0] * (len(value) + 1)  # the best that doesn't end in a brute-force span, so that no span is cut in two
@@ -193,22 +253,28 @@ def credential_values(text: str) -> set[tuple[int, int]]:
     found = {m.span(2) for m in ASSIGN.finditer(text)}
     for context in CONTEXTS:
         found.update(m.span(1) for m in context.finditer(text))
-    return {(start, end) for start, end in found if end - start >= 4}
+    return {(start, end) for start, end in found if end - start >= 4 and not CALLED.match(text, start)}
 
 
-def find_secrets(text: str) -> list[tuple[str, int, int]]:
+def find_secrets(text: str, words: Dictionary = BUILT_IN) -> list[tuple[str, int, int]]:
     """All spans as (kind, start, end), by start and then kind; code points, end exclusive."""
     spans = base_spans(text)
-    spans += [("guess", a, b) for a, b in credential_values(text) if guess_cost(text[a:b]) >= SECRET_COST]
+    spans += [("guess", a, b) for a, b in credential_values(text) if guess_cost(text[a:b], words) >= SECRET_COST]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def redact(text: str, mask: str = "[secret]") -> str:
-    """The text with each secret value masked; of an assignment the name stays."""
+def redact(text: str, words: Dictionary = BUILT_IN, mask: str = "[secret]") -> str:
+    """The text with each secret value masked.
+
+    Keys and digits of fixed form go whole. Of an assignment only the value goes, and
+    only if guessing it is dear: a signature alone takes in prose and code.
+    """
     spans = []
-    for kind, start, end in find_secrets(text):
+    for kind, start, end in find_secrets(text, words):
         if kind == "assign":
             start, end = ASSIGN.match(text, start).span(2)
+            if guess_cost(text[start:end], words) < SECRET_COST:
+                continue
         spans.append((start, end))
     out, at = [], 0
     for start, end in sorted(spans):
@@ -218,15 +284,63 @@ def redact(text: str, mask: str = "[secret]") -> str:
     return "".join(out) + text[at:] if spans else text
 
 
+def _spoken_words(text: str) -> set[str]:
+    """Lower-case words of a text without the values in credential contexts."""
+    values = sorted(credential_values(text))
+    if values:
+        parts, at = [], 0
+        for start, end in values:
+            parts.append(text[at : max(at, start)])
+            at = max(at, end)
+        text = " ".join([*parts, text[at:]])
+    return {w for w in LETTERS.findall(text.lower()) if 3 <= len(w) <= LONGEST_WORD}
+
+
+def corpus_words(docs: DataFrame, text: str = "text") -> list[str]:
+    """Words of the corpus, most frequent first: those that stand in a millionth of all (text, word) pairs, and in five texts.
+
+    By this share there are at most a million of them, at most 24 letters each, so
+    that the list may go to the driver and to every task. Counts are folded in the
+    tasks before they are shuffled. Equal texts in one slice count once.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        counts: Counter = Counter()
+
+        def flush():
+            batch = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for t in set(batch.column(0).slice(at, SLICE_ROWS).to_pylist()):
+                    counts.update(_spoken_words(t or ""))
+                    if len(counts) > 200_000:
+                        yield flush()
+        yield flush()
+
+    folded = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "word string, n long")
+    with work(docs.sparkSession, "words") as folder:
+        counted = folder.save(folded.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        common = counted.where((F.col("n") >= WORD_TIMES) & (F.col("n") >= WORD_SHARE * total))
+        return [r.word for r in common.orderBy(F.desc("n"), "word").collect()]
+
+
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id and ``spans``, an array of (kind, start, end), of each row.
 
     A null or empty text has no spans. Rows stay as many as they are, with null
-    ids and repeats; an empty table gives none. Nothing is shuffled.
+    ids and repeats; an empty table gives none. Only counts of words are shuffled.
     """
+    known = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text))
 
     def start():
-        return lambda texts: [[[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t or "")] for t in texts]]
+        words = Dictionary(known.value)
+        return lambda texts: [[[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t or "", words)] for t in texts]]
 
     return annotate(docs, [id], text, "spans array<struct<kind:string,start:long,end:long>>", start)
 
@@ -249,13 +363,16 @@ def digest(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` in all rows and columns, with secret values masked; ``n_chars`` follows where a text changed."""
     columns = docs.columns
+    known = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text))
+    masked = fresh("masked", columns)
 
     def start():
-        return lambda texts: [[redact(t) if t else t for t in texts]]
+        words = Dictionary(known.value)
+        return lambda texts: [[redact(t, words) if t else t for t in texts]]
 
-    done = annotate(docs, columns, text, "__masked string", start)
-    changed = ~F.col(f"`{text}`").eqNullSafe(F.col("__masked"))
-    made = {text: F.col("__masked")}
+    done = annotate(docs, columns, text, f"{masked} string", start)
+    changed = ~F.col(f"`{text}`").eqNullSafe(F.col(masked))
+    made = {text: F.col(masked)}
     if "n_chars" in columns:
-        made["n_chars"] = F.when(changed, F.length("__masked")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(changed, F.length(masked)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in columns])

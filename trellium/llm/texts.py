@@ -18,6 +18,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 Worker = Callable[[list], Sequence[Sequence]]
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """A column name like ``name`` that none of ``columns`` has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, every other character as it is."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -37,7 +45,7 @@ def annotate(df: DataFrame, keep: Sequence[str], text: str, schema: str, start:
     """
     new = T._parse_datatype_string(schema)
     kept = [c for c in keep if c not in new.names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(fresh("__text", kept)))
     out = T.StructType([source.schema[c] for c in kept] + list(new.fields))
 
     def run(batches: Iterator) -> Iterator:
