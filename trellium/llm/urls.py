@@ -3,7 +3,9 @@
 All of it is DataFrame work. URLs become sets of tokens, FP-growth finds token
 combinations that go with a label, rules of enough support and confidence stay
 unless a part of them does as well, and an inverted index from each rule's
-rarest token finds the rules of which a URL has every token.
+rarest token finds the rules of which a URL has every token. Tokens that stand
+in the same labelled URLs are one item for FP-growth: a template of k tokens
+would else give 2^k frequent combinations, all of one confidence.
 """
 
 from __future__ import annotations
@@ -83,27 +85,52 @@ def tokens(url: Column) -> Column:
     ))
 
 
+def _classes(placed: DataFrame, rows: int, least: float, universal: bool) -> DataFrame:
+    """(class, members): tokens of at least ``least`` rows, those of equal row sets together, named by their first.
+
+    Row sets are compared by their size and two 64-bit sums of row hashes. As the
+    members of a class stand in one URL, no class is larger than a URL's tokens.
+    """
+    hashes = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    counted = placed.groupBy("token").agg(F.count("*").alias("n"), *hashes).where(F.col("n") >= least)
+    if not universal:
+        counted = counted.where(F.col("n") < rows)
+    members = counted.groupBy("n", "h1", "h2").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    return members.select(F.col("members")[0].alias("class"), "members")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule, antecedent, confidence, support) for bad URLs from rows (url, bad).
 
-    Null URLs and labels teach nothing; without labelled rows there are no
-    rules. A rule goes if a part of its tokens is a rule of at least its
-    confidence.
+    The antecedent is a list of token lists: a URL matches with one token of each.
+    The tokens of a list stood in the same labelled URLs. Null URLs and labels
+    teach nothing; without labelled rows there are no rules. A rule goes if a
+    part of its tokens is a rule of at least its confidence; so tokens of all
+    labelled URLs are left out, unless they alone are a rule.
     """
     spark = labelled.sparkSession
     folder = lasting(spark, "url-rules")
-    item = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
     with work(spark, "urls") as scratch:
-        baskets = scratch.save(
-            labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull())
-            .select(F.array_append(tokens(F.col("url")), item).alias("items")),
-            "baskets",
+        known = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull())
+        given = scratch.save(
+            known.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("tokens"), F.col("bad").cast("boolean").alias("bad")),
+            "given",
         )
-        empty = "antecedent array<string>, confidence double, support double"
-        rows = baskets.count()
+        totals = given.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+        rows = totals.n
         if not rows:
-            return spark.createDataFrame([], f"rule long, {empty}")
+            return spark.createDataFrame([], "rule long, antecedent array<array<string>>, confidence double, support double")
         min_support = min(1.0, max(min_support, MIN_ROWS / rows))
+        placed = given.select("row", F.explode("tokens").alias("token"))
+        classes = scratch.save(_classes(placed, rows, min_support * rows, totals.bad >= min_confidence * rows), "classes")
+        by_token = classes.select("class", F.explode("members").alias("token"))
+        reduced = join_hot(placed, by_token, "token").groupBy("row").agg(F.collect_set("class").alias("items"))
+        item = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
+        baskets = scratch.save(
+            given.join(reduced, "row", "left")
+            .select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), item).alias("items")),
+            "baskets",
+        )
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
         found = scratch.save(
             model.associationRules.where(F.col("consequent")[0] == BAD)
@@ -119,7 +146,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
             (F.size("antecedent") < F.size("all")) & (F.col("confidence") >= F.col("own")) & _within("antecedent", F.col("all"))
         ).select("rule").distinct()
         kept = found.join(inside, "rule", "left_anti")
-        return folder.save(kept.select("rule", "antecedent", "confidence", "support"), "rules")
+        spelled = (
+            kept.select("rule", "confidence", "support", F.explode("antecedent").alias("class")).join(classes, "class")
+            .groupBy("rule", "confidence", "support").agg(F.sort_array(F.collect_list("members")).alias("antecedent"))
+        )
+        return folder.save(spelled.select("rule", "antecedent", "confidence", "support"), "rules")
 
 
 def _by_rarest(rules: DataFrame, rows: DataFrame) -> DataFrame:
@@ -135,12 +166,20 @@ def _within(part: str, whole: Column) -> Column:
 
 
 def match(urls: DataFrame, rules: DataFrame, column: str = "url") -> DataFrame:
-    """Distinct URLs of which a rule has all tokens, with the largest confidence and the number of such rules."""
+    """Distinct URLs that match a rule, with the largest confidence and the number of token combinations that match."""
     listed = urls.select(F.col(column).alias("url")).where(F.col("url").isNotNull()).distinct()
-    rows = listed.select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    first = rules.select(F.transform("antecedent", lambda c: c[0]).alias("antecedent"), "confidence")
+    members = rules.select(F.explode("antecedent").alias("c")).select(F.explode("c").alias("word"), F.col("c")[0].alias("token")).distinct()
+    words = listed.select("url", F.explode(tokens(F.col("url"))).alias("word"))
+    # How many members of each class a URL has; a URL's classes are no more than its tokens.
+    held = join_hot(words, members, "word").groupBy("url", "token").agg(F.count("*").alias("n")).groupBy("url").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("held")
+    )
+    rows = held.select("url", "held", F.explode(F.map_keys("held")).alias("token"))
+    ways = F.aggregate("antecedent", F.lit(1).cast("long"), lambda n, c: n * F.element_at("held", c))
     return (
-        join_hot(rows, _by_rarest(rules, rows), "token").where(_within("antecedent", tokens(F.col("url"))))
-        .groupBy("url").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_rules"))
+        join_hot(rows, _by_rarest(first, rows), "token").where(_within("antecedent", F.map_keys("held")))
+        .groupBy("url").agg(F.max("confidence").alias("confidence"), F.sum(ways).alias("n_rules"))
     )
 
 
@@ -152,14 +191,15 @@ def judge(pages: DataFrame, rules: Sequence[ListRule], mined: DataFrame, id: str
     path, matches nothing and is allowed. Rows stay as many as they are, with
     null ids and repeats; an empty table gives none.
     """
-    at = F.col("__url")
-    plain = pages.select(F.col(f"`{id}`"), F.col(f"`{url}`").cast("string").alias("__url")).select(
-        id, "__url", F.coalesce(host_of(at), F.lit("")).alias("host"), F.coalesce(path_of(at), F.lit("")).alias("path")
-    )
+    at = F.col("address")
+    plain = pages.select(F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").cast("string").alias("address"))
+    plain = plain.select("*", F.coalesce(host_of(at), F.lit("")).alias("host"), F.coalesce(path_of(at), F.lit("")).alias("path"))
     rule, verdict = list_verdict(F.col("host"), F.col("path"), rules)
-    found = match(plain, mined, "__url").withColumnRenamed("url", "__url")
-    return plain.join(found, "__url", "left").select(
-        id, "host", "path", rule.alias("rule"),
+    found = match(plain, mined, "address").withColumnRenamed("url", "address")
+    known = join_hot(plain.where(at.isNotNull()), found, "address", "left")
+    unknown = plain.where(at.isNull()).withColumns({"confidence": F.lit(None).cast("double"), "n_rules": F.lit(None).cast("long")})
+    return known.unionByName(unknown).select(
+        F.col("id").alias(id), "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "confidence", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"),
     )
