@@ -1,3 +1,5 @@
+import time
+import random
 import re
 
 from trellium.llm import licenses
@@ -80,6 +82,27 @@ def test_suppression_by_rank_and_containment():
     assert [x.label for x in found] == ["a", "d", "c"]
 
 
+def test_suppression_equals_pairs_of_detections():
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randint(0, 25)):
+            start = rng.randint(0, 20)
+            found.append(licenses.Detection(rng.choice("ab"), start, start + rng.randint(1, 12), rng.randint(0, 3), 1.0))
+        found = list(dict.fromkeys(found))
+        kept = []
+        for d in sorted(found, key=lambda d: (-d.rank, d.start - d.end, d.start, d.label)):
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert licenses.suppress(found) == sorted(kept, key=lambda d: (d.start, d.end, d.label))
+
+
+def test_many_license_lines_take_linear_time():
+    start = time.time()
+    assert len(licenses.detect("mit license\n" * 100_000)) == 100_000
+    assert time.time() - start < 60
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op4_licenses"](spark, sf).collect()

@@ -10,6 +10,7 @@ higher rank gives way to it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from re import _constants as code
@@ -298,12 +299,39 @@ GATE = build_gate(RULES)
 GROUPS = group_rules(RULES)
 
 
+class _FurthestEnd:
+    """The largest end of the intervals that start at or before a place, in logarithmic time."""
+
+    def __init__(self, starts: Sequence[int]):
+        self.starts = sorted(set(starts))
+        self.ends = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+    def before(self, start: int) -> int:
+        i, best = bisect_right(self.starts, start), -1
+        while i:
+            best = max(best, self.ends[i])
+            i -= i & -i
+        return best
+
+
 def suppress(found: list[Detection]) -> list[Detection]:
-    """Detections that lie in no interval of one of higher rank, by start."""
+    """Detections that lie in no interval of one of higher rank, by start.
+
+    Of one rank the longer stands, then the first. What lies in a suppressed interval
+    lies in the one that suppressed it, so only those that stay are looked at.
+    """
     kept: list[Detection] = []
+    furthest = _FurthestEnd([d.start for d in found])
     for d in sorted(found, key=lambda d: (-d.rank, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+        if furthest.before(d.start) < d.end:
             kept.append(d)
+            furthest.add(d.start, d.end)
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
