@@ -17,10 +17,11 @@ def brute(turns):
 def test_round_trips():
     rng = random.Random(1)
     pool = ["<", "|", "\\", "a", "\n", "<|im_end|>", "<|im_start|>", "assistant", "\x01", "\x02", "é"]
-    for n in (0, 1, 2, 5, chat.LONG - 1, chat.LONG, 90):
+    for n in (0, 1, 2, 5, 31, 32, 90):
         for _ in range(60 if n < 10 else 4):
             turns = [(rng.choice(["user", "assistant", "a\nb", "\\n", ""]), "".join(rng.choices(pool, k=rng.randint(0, 8)))) for _ in range(n)]
             f = chat.locate(chat.marked, turns)
+            assert chat.locate(chat.marked, turns, turn_by_turn=True) == f
             assert chat.parse(f.text) == turns and not f.rewritten_at
             assert [chat.unescape(f.text[a:b]) for a, b in f.texts] == [t for _, t in turns]
             assert "".join(f.text[a:b] for a, b in f.spans) == f.text
@@ -40,6 +41,16 @@ def test_templates_that_rewrite_history_are_found():
     assert chat.locate(forgets, turns * 20).rewritten_at
 
 
+def test_templates_that_differ_at_one_prefix_only_are_found_at_any_length():
+    def once(turns):
+        return "".join(f"[{r}:{'?' if len(turns) == 10 else ''}{t}]" for r, t in turns)
+
+    for n in (11, 31, 32, 60, 200):
+        turns = [("user", f"turn {i}") for i in range(n)]
+        f = chat.locate(once, turns)
+        assert f.rewritten_at and set(f.rewritten_at) <= {9, 10}
+
+
 def test_a_template_with_a_prologue_has_exact_spans():
     def head(turns):
         return "BEGIN\n" + "".join(f"{r}>{t}\n" for r, t in turns)

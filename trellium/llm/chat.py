@@ -29,8 +29,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 PROBES = ("\x01", "\x02")
 
-# From this many turns on, prefixes are cut to the last WINDOW turns first; see ``locate``.
-LONG = 32
+# Turns before the one rendered, for templates declared to go turn by turn; see ``locate``.
 WINDOW = 2
 
 _OPEN = re.compile(r"<(\\*)\|")
@@ -113,16 +112,16 @@ def _by_windows(render: Template, turns: Sequence[Turn], whole: str) -> Formatte
     return result if not head and "".join(parts) == whole else None
 
 
-def locate(render: Template, turns: Sequence[Turn]) -> Formatted:
+def locate(render: Template, turns: Sequence[Turn], turn_by_turn: bool = False) -> Formatted:
     """Render a conversation and locate every turn and its text.
 
-    Rendering all prefixes takes time with the square of the turns. A long
-    conversation is first rendered in windows of a few turns; if the parts put
-    together equal the whole output, they are its spans, in linear time. If
-    not, the template looks further back, and all prefixes are rendered.
+    All prefixes are rendered, at any number of turns, which takes time with the
+    square of it. A caller who knows that the template writes each turn by itself
+    may say so with ``turn_by_turn``: then windows of a few turns are rendered, in
+    linear time; if they don't make up the whole output, the prefixes are.
     """
     whole = render(turns)
-    if len(turns) >= LONG and (quick := _by_windows(render, turns, whole)):
+    if turn_by_turn and (quick := _by_windows(render, turns, whole)):
         return quick
     result = Formatted(whole)
     last = render([])
@@ -176,7 +175,7 @@ def _gather(conversations: DataFrame, id: str) -> DataFrame:
     return conversations.groupBy(F.col(id)).agg(F.array_sort(F.collect_list(turn)).alias("__turns"))
 
 
-def format_conversations(conversations: DataFrame, render: Template = marked, id: str = "conv_id") -> DataFrame:
+def format_conversations(conversations: DataFrame, render: Template = marked, id: str = "conv_id", turn_by_turn: bool = False) -> DataFrame:
     """One row per conversation: id, ``formatted``, ``turns`` with the spans of each, ``rewritten_at``.
 
     ``conversations`` has a row per turn: id, turn, role, text; other columns are
@@ -198,7 +197,7 @@ def format_conversations(conversations: DataFrame, render: Template = marked, id
                 texts, turns, rewritten = [], [], []
                 for rows in part.column(1).to_pylist():
                     pairs = [(r["role"], r["text"]) for r in rows]
-                    f = locate(render, pairs)
+                    f = locate(render, pairs, turn_by_turn)
                     texts.append(f.text)
                     turns.append([
                         {"role": role, "start": s[0], "end": s[1], "text_start": t[0], "text_end": t[1]}
