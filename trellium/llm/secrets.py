@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm.texts import SLICE_ROWS, annotate, fresh
+from trellium.llm.texts import annotate, fresh, slices
 from trellium.llm.work import work
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -315,8 +315,8 @@ def corpus_words(docs: DataFrame, text: str = "text") -> list[str]:
             return batch
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                for t in set(batch.column(0).slice(at, SLICE_ROWS).to_pylist()):
+            for part in slices(batch, 0):
+                for t in set(part.column(0).to_pylist()):
                     counts.update(_spoken_words(t or ""))
                     if len(counts) > 200_000:
                         yield flush()

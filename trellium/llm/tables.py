@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellium.llm.texts import slices
+
 BLOCK = 1 << 14
 SCHEMA = "block int, numbers binary"
 
@@ -15,7 +17,7 @@ SCHEMA = "block int, numbers binary"
 Adder = Callable[[list, np.ndarray], None]
 
 
-def sum_tables(rows: DataFrame, column: str, size: int, start: Callable[[], Adder], kind: type = np.int64, slice_rows: int = 512) -> np.ndarray:
+def sum_tables(rows: DataFrame, column: str, size: int, start: Callable[[], Adder], kind: type = np.int64) -> np.ndarray:
     """The sum over all rows of a table of ``size`` numbers.
 
     Tasks hold one table, reducers at most one, the driver one; how much they
@@ -28,8 +30,8 @@ def sum_tables(rows: DataFrame, column: str, size: int, start: Callable[[], Adde
         table = np.zeros(size, kind)
         add = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                add(batch.column(0).slice(at, slice_rows).to_pylist(), table)
+            for part in slices(batch, 0):
+                add(part.column(0).to_pylist(), table)
         for block in range(0, size, BLOCK):
             part = table[block : block + BLOCK]
             if part.any():

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# A slice has at most so many rows, and so many bytes of text unless one text alone has more.
 SLICE_ROWS = 512
+SLICE_BYTES = 2 << 20
 
 # A word of most operators: a run without blanks. Fixed by the result contracts.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,6 +20,21 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 Worker = Callable[[list], Sequence[Sequence]]
 
 
+def slices(batch, column: int) -> Iterator:
+    """A batch in slices of bounded rows and bytes of text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        room = (ends[at - 1] if at else 0) + SLICE_BYTES
+        stop = min(max(at + 1, int(np.searchsorted(ends, room, "right"))), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def fresh(name: str, columns: Sequence[str]) -> str:
     """A column name like ``name`` that none of ``columns`` has, in whatever case."""
     taken = {c.lower() for c in columns}
@@ -54,8 +71,7 @@ def annotate(df: DataFrame, keep: Sequence[str], text: str, schema: str, start:
         work = start()
         arrow = to_arrow_schema(out)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, len(kept)):
                 made = work(part.column(len(kept)).to_pylist())
                 columns = [part.column(i) for i in range(len(kept))]
                 columns += [pa.array(v, type=arrow.field(len(kept) + i).type) for i, v in enumerate(made)]
@@ -74,8 +90,7 @@ def keep_rows(df: DataFrame, text: str, start: Callable[[], Callable[[list], lis
 
         test = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, at_text):
                 passed = test(part.column(at_text).to_pylist())
                 if any(passed):
                     yield part.filter(pa.array(passed, pa.bool_()))
