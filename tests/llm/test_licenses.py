@@ -1,6 +1,6 @@
-import time
 import random
 import re
+import time
 
 from trellium.llm import licenses
 from trellium.llm.queries import QUERIES
