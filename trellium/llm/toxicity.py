@@ -22,8 +22,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm.texts import annotate
-from trellium.llm.work import work
+from trellium.llm.texts import annotate, slices
+from trellium.llm.work import Work, work
 
 # Labelled rows that lexicon and regression are fitted on at most: those with the smallest hash of the id.
 TRAINING_ROWS = 30_000
@@ -33,6 +33,7 @@ LEXICON_BYTES = 128 << 20
 EVIDENCE = 24.0
 PRECISION = 0.75
 STEMS = (4, 5, 6, 7)
+HELD_UNITS = 200_000
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;,\n\"“”«»]")
 PLAIN_WORD = re.compile(r"[^\W\d_]+")
@@ -271,7 +272,7 @@ SYMBOLS = (
 class Lexicon(dict):
     """Symbol and weight of each lower-case word, looked up once per word."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         super().__init__()
@@ -355,30 +356,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, rows:
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """Per word and word beginning: texts with it, and toxic ones; folded per batch first."""
+    """Per word and word beginning: texts with it, and toxic ones; folded in the tasks first, ``HELD_UNITS`` at a time."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            seen, toxic = Counter(), Counter()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(PLAIN_WORD.findall(text.lower()))
-                units = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
-                seen.update(units)
-                if label:
-                    toxic.update(units)
-            yield pa.RecordBatch.from_pydict({
+        seen, toxic = Counter(), Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_pydict({
                 "unit": pa.array(list(seen), pa.string()),
                 "n": pa.array(list(seen.values()), pa.int64()),
                 "n_toxic": pa.array([toxic[u] for u in seen], pa.int64()),
             })
+            seen.clear()
+            toxic.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch, 0):
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = set(PLAIN_WORD.findall(text.lower()))
+                    units = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+                    seen.update(units)
+                    if label:
+                        toxic.update(units)
+                    if len(seen) > HELD_UNITS:
+                        yield flush()
+        yield flush()
 
     counted = rows.select("text", "toxic").mapInArrow(run, "unit string, n long, n_toxic long")
     return counted.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
-def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(rows: DataFrame, folder: Work) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings far more frequent in toxic texts, with weights from 0 to 1."""
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     if not total.n or not total.t or total.t == total.n:
@@ -390,6 +401,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         clean > 0, clean * F.log(clean / F.col("n") / (1 - base))
     ).otherwise(0.0)
     known = _units(rows).where((precision >= PRECISION) & (2 * ratio >= EVIDENCE)).select("unit", precision.alias("p"))
+    known = folder.save(known, "lexicon")
     size = known.agg(F.sum(F.octet_length("unit") + 100)).first()[0] or 0
     if size > LEXICON_BYTES:
         raise ValueError(f"a lexicon of {size} bytes is too large to broadcast; fit on fewer rows")
@@ -414,7 +426,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     with work(spark, "toxicity") as folder:
         training = folder.save(training_rows(docs, labels, id, text, rows), "training")
-        words, stems = learn_lexicon(training)
+        words, stems = learn_lexicon(training, folder)
         if training.select("toxic").distinct().count() < 2:
             return Model(words, stems, *UNTRAINED)
         ready = _featured(training, ["toxic"], "text", words, stems).select(
