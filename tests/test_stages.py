@@ -154,13 +154,13 @@ def test_a_bad_job_stops_no_other(spark, tmp_path):
     for job, path in (("good", good), ("gone", str(tmp_path / "u" / "gone.csv")), ("dated", dated), ("holes", holes)):
         send(inbox, job, job_id=job, csv_path=path, target_column="price", task_type="regression", timestamp="2024-01-01T00:00:00Z")
     (inbox / "broken.json").write_text('{"job_id": ')
-    box = {k: str(tmp_path / "box" / k) for k in ("done", "bad", "trained", "bad2")}
+    box = {k: str(tmp_path / "box" / k) for k in ("done", "bad", "trained", "bad2", "bad3")}
     clean = stages.preprocess_step(layout, box["done"], box["bad"])
     incoming = stream.message_stream(spark, "dataset_uploaded", str(inbox), one_object_per_file=True)
     stream.run_stage(incoming, clean, str(tmp_path / "check" / "clean")).awaitTermination()
     reasons = {r.job_id: r.reason for r in spark.read.json(f"{box['bad']}/batch-*").collect()}
     assert set(reasons) == {"gone", None} and "PATH_NOT_FOUND" in reasons["gone"]
-    fit = stages.train_step(layout, box["trained"], box["bad2"], train.TrainOptions("linear"))
+    fit = stages.train_step(layout, box["trained"], box["bad2"], train.TrainOptions("linear", fallback=False))
     for check in ("a", "b"):  # a second stream with a checkpoint of its own removes nothing
         incoming = stream.message_stream(spark, "preprocess", f"{box['done']}/batch-*")
         stream.run_stage(incoming, fit, str(tmp_path / "check" / check)).awaitTermination()
@@ -170,6 +170,18 @@ def test_a_bad_job_stops_no_other(spark, tmp_path):
     jobs = {r.job_id: r.status for r in Catalog(spark, layout.catalog).read("jobs").collect()}
     assert jobs == {"good": "completed"}
     assert Catalog(spark, layout.catalog).read("metrics").select("metric_name").distinct().count() == 4
+    # By default they get a model all the same, and the registry tells why it is another.
+    fit = stages.train_step(layout, box["trained"], box["bad3"], train.TrainOptions("linear"))
+    incoming = stream.message_stream(spark, "preprocess", f"{box['done']}/batch-*")
+    stream.run_stage(incoming, fit, str(tmp_path / "check" / "c")).awaitTermination()
+    assert spark.read.schema("job_id string").json(f"{box['bad3']}/batch-*").count() == 0
+    known = {r.model_id: r for r in registry.read_registry(spark, layout.registry).collect()}
+    assert known["good"].reason is None and "date" in known["dated"].reason and "sqft" in known["holes"].reason
+    assert {known[j].estimator for j in ("good", "dated", "holes")} == {"linear"}
+    score_me = write_csv(tmp_path / "new.csv", "id,sqft", [(1, 7), (2, "")])
+    assert all(r.price is not None for r in predict.predict_file(spark, layout, "holes", score_me).collect())
+    score_me = write_csv(tmp_path / "days.csv", "id,day", [(1, "2024-02-03"), (2, "soon")])
+    assert all(r.price is not None for r in predict.predict_file(spark, layout, "dated", score_me).collect())
 
 
 def test_requests_of_one_id_are_refused(spark):

@@ -39,3 +39,10 @@ def row_pick(df: DataFrame, pick: str, first: Sequence[str] = (), lead: Column |
 
 def unpack(struct: str, names: Sequence[str]) -> list[Column]:
     return [F.col(f"{struct}.`{c}`").alias(c) for c in names]
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    """Is there no value in a column? Not a number counts as none."""
+    column = F.col(f"`{name}`")
+    fractional = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return column.isNull() | F.isnan(column) if fractional else column.isNull()

@@ -12,16 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trellium.functions.feature_lists import SchemaError
+from trellium.operators.tolerant import TolerantAssembler
 
 
 @dataclass(frozen=True)
 class Preparation:
-    """Everything off by default: a null feature is then an error, a text feature too."""
+    """Everything off by default: a null feature is then an error, a text feature too.
+
+    ``tolerant`` takes any column instead: see ``TolerantAssembler``.
+    """
 
     impute: str | None = None  # mean, median or mode
     encode: bool = False
     scale: bool = False
     invalid: str = "error"  # error, skip or keep: what the assembler does with nulls
+    tolerant: bool = False
+
+    def refuses_missing(self, kind: T.DataType) -> bool:
+        """Does a missing value in a column of this type end the fit?"""
+        if self.tolerant or self.invalid != "error" or isinstance(kind, T.StringType):
+            return False
+        return not (self.impute and isinstance(kind, T.NumericType))
 
 
 def feature_types(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
@@ -30,6 +41,10 @@ def feature_types(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
 
 def stages(df: DataFrame, features: Sequence[str], prep: Preparation = Preparation()) -> list[Estimator | Transformer]:
     """Stages that turn the feature columns into the vector ``features``."""
+    if prep.tolerant:
+        target = "features__raw" if prep.scale else "features"
+        scaled = [StandardScaler(inputCol=target, outputCol="features", withMean=True, withStd=True)] if prep.scale else []
+        return [TolerantAssembler(inputCols=list(features), outputCol=target), *scaled]
     texts = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
     if texts and not prep.encode:
         raise SchemaError(f"text features need encoding: {texts}")

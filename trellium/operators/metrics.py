@@ -35,7 +35,7 @@ def label_summary(df: DataFrame, label: str, by: Sequence[str] = (), exact: bool
 
 
 def regression_metrics(
-    df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()
+    df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
     """``mse, rmse, r2, n_samples`` over rows with a label and a prediction; null where there is nothing to average or explain."""
     scored = F.col(label).isNotNull() & F.col(prediction).isNotNull()
@@ -48,33 +48,42 @@ def regression_metrics(
         F.sqrt(mse).alias("rmse"),
         (F.lit(1.0) - F.sum(error * error) / spread).alias("r2"),
         F.count(y).alias("n_samples"),
+        *extra,
     )
 
 
+def unscored_count(label: str, prediction: str = "prediction") -> Column:
+    """Aggregate: rows that have a label but no prediction, which regression metrics leave out."""
+    return F.count_if(F.col(label).isNotNull() & F.col(prediction).isNull())
+
+
 def unscored(df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
-    """``n_unscored``: rows that have a label but no prediction, which regression metrics leave out."""
-    missing = F.col(label).isNotNull() & F.col(prediction).isNull()
-    return df.groupBy(*by).agg(F.count_if(missing).alias("n_unscored"))
+    """``n_unscored`` per group."""
+    return df.groupBy(*by).agg(unscored_count(label, prediction).alias("n_unscored"))
 
 
 def classification_metrics(
-    df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()
+    df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
     """``accuracy, n_samples``; accuracy is null where there are no rows."""
     hit = F.coalesce(F.col(label) == F.col(prediction), F.lit(False))
     return df.groupBy(*by).agg(
-        F.avg(hit.cast("double")).alias("accuracy"), F.count("*").alias("n_samples")
+        F.avg(hit.cast("double")).alias("accuracy"), F.count("*").alias("n_samples"), *extra
     )
 
 
-def metrics_for(task: str, df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
-    return (regression_metrics if task == "regression" else classification_metrics)(df, label, prediction, by)
+def metrics_for(
+    task: str, df: DataFrame, label: str, prediction: str = "prediction", by: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
+    """The metrics of a task, and ``extra`` aggregates in the same pass."""
+    return (regression_metrics if task == "regression" else classification_metrics)(df, label, prediction, by, extra)
 
 
 def map_to_long(metrics: DataFrame, recorded_at: Column | None = None) -> DataFrame:
-    """``job_id, metrics`` (a map) to ``job_id, metric_name, metric_value, recorded_at``."""
+    """``job_id, metrics`` (a map) to ``job_id, metric_name, metric_value, recorded_at`` and the frame's other columns."""
     at = recorded_at if recorded_at is not None else F.current_timestamp()
-    return metrics.select("job_id", F.explode("metrics").alias("metric_name", "metric_value"), at.alias("recorded_at"))
+    others = [F.col(f"`{c}`") for c in metrics.columns if c not in ("job_id", "metrics")]
+    return metrics.select("job_id", F.explode("metrics").alias("metric_name", "metric_value"), at.alias("recorded_at"), *others)
 
 
 def to_long(metrics: DataFrame, names: Sequence[str], recorded_at: Column | None = None) -> DataFrame:

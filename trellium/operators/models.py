@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellium.functions.rows import is_missing
 from trellium.operators.baselines import MajorityClassifier, MeanRegressor
 from trellium.functions.feature_lists import SchemaError
 from trellium.operators.features import Preparation, stages
@@ -45,6 +46,7 @@ class Fitted:
     model: PipelineModel
     estimator: str
     features: list[str] = field(default_factory=list)
+    reason: str | None = None  # why it isn't the estimator that was asked for
 
 
 def boosted_regressor(target: str, params: TreeParams = TreeParams()) -> GBTRegressor:
@@ -83,11 +85,20 @@ def linear_regression(target: str, solver: str = "normal") -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=target, solver=solver, regParam=0.0)
 
 
-def label_facts(train: DataFrame, target: str) -> tuple[int, bool]:
-    """Row count and whether the label varies, in one aggregate."""
+@dataclass(frozen=True)
+class Facts:
+    """What one aggregate tells before a fit: rows, whether the label varies, and rows without a value per feature."""
+
+    n: int
+    varies: bool
+    missing: Mapping[str, int] = field(default_factory=dict)
+
+
+def label_facts(train: DataFrame, target: str, features: Sequence[str] = ()) -> Facts:
     y = F.col(f"`{target}`")
-    row = train.agg(F.count("*").alias("n"), (F.min(y) < F.max(y)).alias("varies")).first()
-    return row.n, bool(row.varies)
+    counts = [F.count_if(is_missing(train, c)).alias(f"m{i}") for i, c in enumerate(features)]
+    row = train.agg(F.count("*").alias("n"), (F.min(y) < F.max(y)).alias("varies"), *counts).first()
+    return Facts(row.n, bool(row.varies), {c: row[f"m{i}"] for i, c in enumerate(features)})
 
 
 def fit(
@@ -98,21 +109,25 @@ def fit(
     estimator: str = "boosted",
     params: TreeParams = TreeParams(),
     prep: Preparation = Preparation(),
-    facts: tuple[int, bool] | None = None,
+    facts: Facts | None = None,
 ) -> Fitted:
     """Fit the wanted estimator, or the constant when the labels leave nothing to learn.
 
     ``estimator``: ``boosted``, ``linear`` (regression only) or ``constant``.
     Fewer than two rows, or one label only, gives the constant. Singular normal
-    equations are solved iteratively by Spark. Other errors are raised.
-    ``facts`` (row count, does the label vary) spares the pass that finds them.
+    equations are solved iteratively by Spark. Features that the preparation
+    can't take, missing values among them, are errors that name the columns;
+    other errors are raised as they are. ``facts`` spares the pass that finds them.
     """
-    n, varies = facts or label_facts(train, target)
-    if estimator == "constant" or n < 2 or not varies or (estimator == "linear" and task != "regression"):
-        if task == "regression":
-            return Fitted(Pipeline(stages=[MeanRegressor(labelCol=target)]).fit(train), "mean", list(features))
-        return Fitted(Pipeline(stages=[MajorityClassifier(labelCol=target)]).fit(train), "majority", list(features))
+    facts = facts or label_facts(train, target, features)
+    if estimator == "constant" or (why := _nothing_to_learn(facts, estimator, task)):
+        constant, name = (MeanRegressor, "mean") if task == "regression" else (MajorityClassifier, "majority")
+        model = Pipeline(stages=[constant(labelCol=target)]).fit(train)
+        return Fitted(model, name, list(features), None if estimator == "constant" else why)
     ready = stages(train, features, prep)
+    holes = {c: n for c, n in facts.missing.items() if n and prep.refuses_missing(train.schema[c].dataType)}
+    if holes:
+        raise SchemaError(f"features have null values (rows): {holes}")
     data = train.select(*[F.col(f"`{c}`") for c in features], F.col(f"`{target}`"))
     if task == "regression":
         data = data.withColumn(target, F.col(f"`{target}`").cast("double"))
@@ -132,6 +147,66 @@ def fit(
     return Fitted(model, "boosted_classifier" if len(labels) == 2 else "boosted_one_vs_rest", list(features))
 
 
+def _nothing_to_learn(facts: Facts, estimator: str, task: str) -> str | None:
+    if facts.n < 2:
+        return "fewer than two rows"
+    if not facts.varies:
+        return "the label has one value"
+    return "least squares fits numbers only" if estimator == "linear" and task != "regression" else None
+
+
+def fit_anyway(
+    train: DataFrame,
+    features: Sequence[str],
+    target: str,
+    task: str,
+    estimator: str = "boosted",
+    params: TreeParams = TreeParams(),
+    prep: Preparation = Preparation(),
+    facts: Facts | None = None,
+) -> Fitted:
+    """A model in spite of bad features, with the reason why it isn't the one asked for.
+
+    The estimator is tried as asked, then with the tolerant assembler; for numbers
+    least squares follows, at last the constant, which reads no feature. The
+    reason names the first failure. A session that is gone ends the chain.
+    """
+    facts = facts or label_facts(train, target, features)
+    tolerant = replace(prep, tolerant=True, impute=None, encode=False)
+    attempts = [(estimator, prep), (estimator, tolerant)]
+    if task == "regression" and estimator != "linear":
+        attempts.append(("linear", tolerant))
+    reason = None
+    for name, how in attempts:
+        try:
+            fitted = fit(train, features, target, task, name, params, how, facts)
+        except Exception as error:
+            if session_gone(train.sparkSession):
+                raise
+            reason = reason or first_line(error)
+            continue
+        fitted.reason = reason or fitted.reason
+        return fitted
+    fitted = fit(train, features, target, task, "constant", params, prep, facts)
+    fitted.reason = reason
+    return fitted
+
+
+def session_gone(spark: SparkSession) -> bool:
+    context = spark.sparkContext
+    return context._jsc is None or context._jsc.sc().isStopped()
+
+
+def first_line(error: Exception) -> str:
+    """One line that says what went wrong; errors of this library stand for themselves."""
+    cause = getattr(error, "java_exception", None)
+    while cause is not None and cause.getCause() is not None:
+        cause = cause.getCause()
+    said = str(cause.toString()) if cause is not None else str(error)
+    first = (said.strip() or type(error).__name__).split("\n")[0]
+    return first if isinstance(error, SchemaError) else f"{type(error).__name__}: {first}"
+
+
 def _codes_label(stage) -> bool:
     """The label's indexer has no part in scoring: new labels must not fail there."""
     return isinstance(stage, StringIndexerModel) and stage.isSet(stage.outputCol) and stage.getOutputCol() == "label__code"

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.operators.joins import broadcast_if_small
 from trellium.functions.hashing import percent_bucket, split_digest
+from trellium.functions.rows import holds_map, is_missing
 
 # Test share in percent, and the seed.
 TEST_PERCENT = 20
@@ -117,31 +118,42 @@ class Split:
     n_test: int
     holdout: bool
     varies: bool | None = None  # does the label take more than one value in train?
+    missing: dict[str, int] = field(default_factory=dict)  # rows of train without a value, per feature
+    digest: str | None = None  # equal for equal sets of test keys
 
 
-def train_test(flagged: DataFrame, label: str | None = None) -> Split:
+def train_test(
+    flagged: DataFrame, label: str | None = None, features: Sequence[str] = (), key: Sequence[str] | None = None
+) -> Split:
     """Both sides of a flagged table; test = train when one side is empty.
 
-    One aggregate gives the counts and, for a ``label``, whether there is
-    anything to learn. Nothing is cached here: the caller knows whether the
-    table fits.
+    One aggregate gives the counts, a digest of the test rows' keys and, for a
+    ``label`` and ``features``, whether there is anything to learn and what is
+    missing. Nothing is cached here: the caller knows whether the table fits.
     """
     y = F.lit(None) if label is None else F.col(f"`{label}`")
     side = F.col("is_test")
+    keys = [c for c in split_key(flagged, key) if c != "is_test" and not holds_map(flagged.schema[c].dataType)]
     row = flagged.agg(
         F.count_if(~side).alias("train"),
         F.count_if(side).alias("test"),
         (F.min(F.when(~side, y)) < F.max(F.when(~side, y))).alias("varies_train"),
         (F.min(y) < F.max(y)).alias("varies_all"),
+        F.sum(F.when(side, F.xxhash64(*[F.col(f"`{c}`") for c in keys]).cast("decimal(20,0)"))).alias("keys"),
+        *[F.count_if(~side & is_missing(flagged, c)).alias(f"m{i}") for i, c in enumerate(features)],
+        *[F.count_if(is_missing(flagged, c)).alias(f"a{i}") for i, c in enumerate(features)],
     ).first()
     every = flagged.drop("is_test")
 
     def known(varies: bool | None) -> bool | None:
         return None if label is None else bool(varies)
 
+    def missing(side: str) -> dict[str, int]:
+        return {c: row[f"{side}{i}"] for i, c in enumerate(features)}
+
     if row.train == 0 or row.test == 0:
         n = row.train + row.test
-        return Split(every, every, n, n, False, known(row.varies_all))
+        return Split(every, every, n, n, False, known(row.varies_all), missing("a"))
     return Split(
         flagged.filter(~side).drop("is_test"),
         flagged.filter(side).drop("is_test"),
@@ -149,4 +161,6 @@ def train_test(flagged: DataFrame, label: str | None = None) -> Split:
         row.test,
         True,
         known(row.varies_train),
+        missing("m"),
+        f"{int(row['keys']) % (1 << 64):016x}",
     )

@@ -152,16 +152,17 @@ def predict_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers as a target table, and order rows of the same key space as its source.
+    """Customers as a target table, and order rows as its source.
 
-    The source repeats keys: a customer with many orders arrives many times.
+    The source repeats keys: a customer with many orders arrives many times. Open
+    orders come under the negative key, which no customer has.
     """
-    target = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 5000).select(
+    target = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit("old").alias("status"),
         F.col("c_mktsegment").alias("target_column"),
     )
     source = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("key"),
+        F.when(F.col("o_orderstatus") == "O", -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("key"),
         F.concat(F.lit("order "), "o_orderkey").alias("name"),
         F.col("o_orderstatus").alias("status"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("target_column"),
@@ -172,12 +173,13 @@ def _customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _MERGE_SQL = """
     with t as (select c_custkey as key, c_name as name, 'old' as status, c_mktsegment as target_column
-               from customer where c_acctbal < 5000),
-    s as (select o_custkey as key, 'order ' || o_orderkey as name, o_orderstatus as status,
+               from customer),
+    o as (select *, case when o_orderstatus = 'O' then -o_custkey else o_custkey end as k from orders),
+    s as (select k as key, 'order ' || o_orderkey as name, o_orderstatus as status,
                  case when o_orderstatus <> 'P' then o_orderpriority end as target_column,
-                 row_number() over (partition by o_custkey order by o_orderkey) as first,
-                 row_number() over (partition by o_custkey order by o_orderkey desc) as last
-          from orders)
+                 row_number() over (partition by k order by o_orderkey) as first,
+                 row_number() over (partition by k order by o_orderkey desc) as last
+          from o)
 """
 
 

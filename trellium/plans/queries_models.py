@@ -13,7 +13,10 @@ from trellium.operators import models, scoring, split
 from trellium.operators.baselines import MajorityClassifier, MeanRegressor
 from trellium.plans import train
 from trellium.plans.book import in_test, query, table
+from trellium.operators.tolerant import TolerantAssembler
 from trellium.sources import csv as files
+from trellium.sources import registry as reg
+from trellium.sources.catalog import Catalog
 from trellium.sources.folders import new_folder
 
 # Few and shallow trees: the checks ask whether boosting learns, not how far.
@@ -341,6 +344,115 @@ def estimator_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with what user tables hold: nulls, dates, texts, equal columns."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("gap"),
+        F.col("o_custkey").cast("double").alias("whole"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date")).alias("day"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("word"),
+        F.col("o_totalprice").alias("label"),
+    )
+
+
+@query(
+    """
+    with o as (select o_orderkey as id, case when o_orderkey % 5 <> 0 then o_totalprice end as gap, o_custkey::double as whole,
+                      case when o_orderkey % 7 <> 0 then o_orderdate end as day,
+                      case when o_orderkey % 3 <> 0 then o_orderpriority end as word from orders),
+    f as (select avg(gap) as gap, avg(date_diff('day', date '1970-01-01', day::date)) as day, count(*) as n from o),
+    w as (select word, count(*) as k from o where word is not null group by 1)
+    select id, round(coalesce(o.gap, f.gap), 3) as gap, (o.gap is null)::double as gap_missing, whole,
+           round(coalesce(date_diff('day', date '1970-01-01', o.day::date)::double, f.day), 3) as day, (o.day is null)::double as day_missing,
+           round(coalesce(w.k / f.n, 0), 6) as word, (o.word is null)::double as word_missing
+    from o cross join f left join w on w.word = o.word
+    """
+)
+def tolerant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled numbers with marks, dates as days, texts as shares."""
+    rows = _gaps(spark, sf_dir)
+    model = TolerantAssembler(inputCols=["gap", "whole", "day", "word"]).fit(rows)
+    cells = vector_to_array("features")
+    names = ["gap", "gap_missing", "whole", "day", "day_missing", "word", "word_missing"]
+    digits = {"gap": 3, "day": 3, "word": 6}
+    return model.transform(rows).select(
+        "id", *[F.round(cells[i], digits[c]).alias(c) if c in digits else cells[i].alias(c) for i, c in enumerate(names)]
+    )
+
+
+@query(
+    """
+    with n as (select count(*) as n, count(*) filter (o_orderkey % 5 = 0) as gaps from orders)
+    select given, estimator, reason, case when given = 'one row' then 1 else n end as n_scored from n, lateral (values
+        ('as asked', 'linear', null),
+        ('null', 'linear', 'features have null values (rows): {''gap'': ' || gaps || '}'),
+        ('date', 'linear', 'features of these types can''t be assembled: {''day'': ''date''}'),
+        ('text', 'linear', 'text features need encoding: [''word'']'),
+        ('singular', 'linear', null),
+        ('constant', 'mean', 'the label has one value'),
+        ('one row', 'mean', 'fewer than two rows'),
+        ('no usable feature', 'mean', 'features of these types can''t be assembled: {''list'': ''array<bigint>''}')
+    ) t(given, estimator, reason)
+    """
+)
+def fallback_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model in spite of bad features, its reason kept in the registry and read back; every row is scored."""
+    rows = _gaps(spark, sf_dir)
+    twin = rows.withColumn("twin", 2 * F.col("whole"))
+    cases = {
+        "as asked": (rows, ["whole"]),
+        "null": (rows, ["gap", "whole"]),
+        "date": (rows, ["whole", "day"]),
+        "text": (rows, ["whole", "word"]),
+        "singular": (twin, ["whole", "twin"]),
+        "constant": (rows.withColumn("label", F.lit(2.5)), ["whole"]),
+        "one row": (rows.join(rows.agg(F.min("id").alias("id")), "id"), ["whole"]),
+        "no usable feature": (rows.withColumn("list", F.array("id")), ["list"]),
+    }
+    root = new_folder(spark, "registry")
+    out = None
+    for given, (data, features) in cases.items():
+        fitted = models.fit_anyway(data, features, "label", "regression", "linear")
+        row = reg.registry_row(
+            given, spark_path="", feature_cols=features, feature_types={}, task_type="regression", target_column="label",
+            estimator=fitted.estimator, reason=fitted.reason,
+        )
+        reg.save_rows(spark.createDataFrame([row], reg.REGISTRY), root)
+        scored = scoring.score(fitted.model, data, {"target_column": "label", "feature_cols": features})
+        part = scored.agg(F.count("label_predicted").alias("n_scored")).withColumn("given", F.lit(given))
+        out = part if out is None else out.unionByName(part)
+    known = reg.read_registry(spark, root).select(F.col("model_id").alias("given"), "estimator", "reason")
+    return known.join(out, "given").select("given", "estimator", "reason", "n_scored")
+
+
+@query(
+    f"""
+    with n as (select count(*) filter (t) as held, count(*) as n from (select {in_test('o_orderkey')} as t from orders))
+    select 'many' as job_id, metric_name, true as holdout, 0::bigint as n_unscored, true as has_digest,
+           case when metric_name = 'n_samples' then held::double end as counted from n, (values ('mse'), ('rmse'), ('r2'), ('n_samples')) m(metric_name)
+    union all
+    select 'two', metric_name, false, 0, false, case when metric_name = 'n_samples' then 2.0 end from (values ('mse'), ('rmse'), ('r2'), ('n_samples')) m(metric_name)
+    """
+)
+def metrics_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics say whether they are of held-out rows, how many had no estimate, and of which split."""
+    rows = _gaps(spark, sf_dir).select("id", "whole", "gap", "label")
+    # Two keys that the hash puts on the training side, so there is nothing to hold out.
+    train_side = split.with_test_flag(rows, ["id"]).where(~F.col("is_test")).drop("is_test")
+    layout = train.Layout(new_folder(spark, "project"))
+    for job, data in (("many", rows), ("two", train_side.orderBy("id").limit(2))):
+        trained = train.train_table(data, "label", "regression", train.TrainOptions("linear"))
+        trained.job_id = job
+        train.record(spark, [trained], layout)
+    found = Catalog(spark, layout.catalog).read("metrics")
+    return found.select(
+        "job_id", "metric_name", "holdout", "n_unscored", F.col("split_digest").isNotNull().alias("has_digest"),
+        F.when(F.col("metric_name") == "n_samples", F.col("metric_value")).alias("counted"),
+    )
+
+
 @query(
     """
     with c as (select c_custkey, case when c_mktsegment <> 'BUILDING' then c_acctbal end as bal from customer),

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from trellium.functions.feature_lists import fold, training_features
 from trellium.operators.clean import clean
 from trellium.operators.features import Preparation, feature_types
-from trellium.operators.metrics import map_to_long, metrics_for, metrics_map
-from trellium.operators.models import Fitted, TreeParams, fit
+from trellium.operators.metrics import map_to_long, metrics_for, metrics_map, unscored_count
+from trellium.operators.models import Facts, Fitted, TreeParams, fit, fit_anyway
 from trellium.operators.scoring import score
 from trellium.operators.split import train_test, with_random_flag, with_stratified_flag, with_test_flag
 from trellium.sources.catalog import Catalog
@@ -47,7 +47,11 @@ class Layout:
 
 @dataclass(frozen=True)
 class TrainOptions:
-    """``partitions`` deals the rows of a boosted fit out anew, the same at any size; without it they stay as read."""
+    """``partitions`` deals the rows of a boosted fit out anew, the same at any size; without it they stay as read.
+
+    ``fallback`` gives a model in spite of features that the estimator can't take,
+    and the registry the reason; without it they are errors.
+    """
 
     estimator: str = "boosted"
     params: TreeParams = TreeParams()
@@ -55,6 +59,7 @@ class TrainOptions:
     split: str = "hash"  # hash, stratified (exact share of each label) or random (Spark's own)
     key: tuple[str, ...] = ()
     partitions: int | None = None
+    fallback: bool = True
 
 
 @dataclass
@@ -68,6 +73,8 @@ class Trained:
     n_test: int
     metrics: dict[str, float | None]
     feature_types: dict[str, str]
+    n_unscored: int = 0
+    split_digest: str | None = None
 
 
 def preprocess(
@@ -97,12 +104,14 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
             flagged = flagged.repartition(options.partitions, *[F.col(f"`{c}`") for c in key])
         flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        split = train_test(flagged, target)
-        facts = (split.n_train, bool(split.varies))
-        fitted = fit(split.train, features, target, task, options.estimator, options.params, options.prep, facts)
+        split = train_test(flagged, target, features, key or None)
+        facts = Facts(split.n_train, bool(split.varies), split.missing)
+        fitting = fit_anyway if options.fallback else fit
+        fitted = fitting(split.train, features, target, task, options.estimator, options.params, options.prep, facts)
         name = f"{target}_predicted"
-        scored = score(fitted.model, split.test, {"target_column": target, "feature_cols": features})
-        row = metrics_for(task, scored, target, name).first()
+        # Rows that the model can't take count as unscored; metrics are of the others.
+        scored = score(fitted.model, split.test, {"target_column": target, "feature_cols": features}, "null")
+        row = metrics_for(task, scored, target, name, extra=[unscored_count(target, name).alias("n_unscored")]).first()
     finally:
         if keep:
             flagged.unpersist()
@@ -114,8 +123,10 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
         split.holdout,
         split.n_train,
         split.n_test,
-        metrics_map(row.asDict()),
+        metrics_map({k: v for k, v in row.asDict().items() if k != "n_unscored"}),
         feature_types(table, features),
+        row.n_unscored,
+        split.digest,
     )
 
 
@@ -141,6 +152,7 @@ def record(spark: SparkSession, done: list[Trained], layout: Layout, batch: str
             task_type=t.task,
             target_column=t.target,
             estimator=t.fitted.estimator,
+            reason=t.fitted.reason,
         )
         for t in done
     ]
@@ -157,7 +169,10 @@ def record(spark: SparkSession, done: list[Trained], layout: Layout, batch: str
     )
     catalog.add_models(keys.withColumns({"user_id": F.lit(None).cast("string"), "created_at": F.current_timestamp()}))
     catalog.complete(keys)
-    measured = spark.createDataFrame([(t.job_id, t.metrics) for t in done], "job_id string, metrics map<string,double>")
+    measured = spark.createDataFrame(
+        [(t.job_id, t.metrics, t.holdout, t.n_unscored, t.split_digest) for t in done],
+        "job_id string, metrics map<string,double>, holdout boolean, n_unscored long, split_digest string",
+    )
     catalog.add_metrics(map_to_long(measured), batch)
 
 

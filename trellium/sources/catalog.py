@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellium.operators.merge import merge_keep_first, merge_update, update_where_key
+from trellium.operators.merge import merge_keep_first, merge_update, update_where_key, with_columns_if_absent
 from trellium.sources.folders import drop_old_versions, path_exists, read_table, write_table
 
 
 def _table(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "t": T.TimestampType()}
+    kinds = {"s": T.StringType(), "d": T.DoubleType(), "t": T.TimestampType(), "b": T.BooleanType(), "l": T.LongType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (p.split(":") for p in spec.split())])
 
 
@@ -23,7 +23,8 @@ SCHEMAS = {
         "job_id:s model_name:s task_type:s target_column:s uploader:s status:s user_id:s created_at:t"
     ),
     "models": _table("job_id:s model_path:s user_id:s created_at:t"),
-    "metrics": _table("job_id:s metric_name:s metric_value:d recorded_at:t"),
+    # The last three say what the value was measured on; they are null in rows written without them.
+    "metrics": _table("job_id:s metric_name:s metric_value:d recorded_at:t holdout:b n_unscored:l split_digest:s"),
 }
 
 
@@ -75,7 +76,8 @@ class Catalog:
     def add_metrics(self, metrics: DataFrame, batch: str | None = None) -> None:
         """Append; the table has no key. Writing a named batch again replaces it."""
         name = batch or uuid.uuid4().hex
-        rows = metrics.select(*SCHEMAS["metrics"].fieldNames())
+        whole = with_columns_if_absent(metrics, {f.name: f.dataType.simpleString() for f in SCHEMAS["metrics"].fields})
+        rows = whole.select(*SCHEMAS["metrics"].fieldNames())
         rows.write.mode("overwrite").parquet(f"{self._path('metrics')}/set-{name}")
 
 

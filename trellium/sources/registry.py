@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellium.functions.text import base_name, decoded_path
-from trellium.operators.merge import merge_replace
+from trellium.operators.merge import merge_replace, with_columns_if_absent
 from trellium.sources.folders import read_table, write_table
 
 METADATA = T.StructType(
@@ -30,6 +30,7 @@ REGISTRY = T.StructType(
         T.StructField("feature_types", T.MapType(T.StringType(), T.StringType())),
         T.StructField("estimator", T.StringType()),
         T.StructField("updated_at", T.TimestampType()),
+        T.StructField("reason", T.StringType()),
     ]
 )
 
@@ -52,8 +53,9 @@ def registry_row(
     task_type: str,
     target_column: str,
     estimator: str,
+    reason: str | None = None,
 ) -> tuple:
-    """Values of one row, in the order of ``REGISTRY``."""
+    """Values of one row, in the order of ``REGISTRY``; ``reason`` says why it isn't the estimator asked for."""
     return (
         model_id,
         "spark_mllib",
@@ -64,6 +66,7 @@ def registry_row(
         dict(feature_types),
         estimator,
         datetime.now(timezone.utc),
+        reason,
     )
 
 
@@ -75,7 +78,9 @@ def save_rows(rows: DataFrame, root: str) -> None:
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
     current = read_table(spark, root)
-    return spark.createDataFrame([], REGISTRY) if current is None else current
+    if current is None:
+        return spark.createDataFrame([], REGISTRY)
+    return with_columns_if_absent(current, {f.name: f.dataType.simpleString() for f in REGISTRY.fields})
 
 
 def lookup(spark: SparkSession, root: str, model_id: str) -> dict | None:
