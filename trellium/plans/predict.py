@@ -27,6 +27,7 @@ from trellium.sources.csv import (
 )
 from trellium.sources.folders import delete_path, is_folder
 from trellium.sources.messages import write_messages
+from trellium.sources.places import csv_places, resolve_all
 from trellium.sources.registry import lookup, read_registry
 
 # Requests served by one scan.
@@ -93,7 +94,7 @@ def predict_many(
     """
     if results is not None:
         delete_path(spark, results)
-    requests, refused = _checked(requests)
+    requests, refused = _checked(requests, layout.root)
     matched = match_models(requests, read_registry(spark, layout.registry))
     good = matched.filter(F.col("error").isNull())
     wanted = good.select("model_id", "predict_id", "csv_path", "task_type", *_META).orderBy("model_id", "predict_id")
@@ -116,17 +117,25 @@ def predict_many(
     return unknown.unionByName(spark.createDataFrame(failed, ERRORS)).unionByName(refused)
 
 
-def _checked(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests with the path they name, ``csv_path`` or else the storage key, and errors of the others.
+def _checked(requests: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]:
+    """Requests with the place of their file, and errors of the others.
 
-    A request without any path is refused, and so are different requests of one
-    id, as they would write over each other.
+    The place is ``csv_path`` or, where nothing is there, ``s3_csv_key`` under the
+    project's root. A request without either is refused, and so are different
+    requests of one id, as they would write over each other.
     """
-    given = F.nullif(F.trim("csv_path"), F.lit(""))
-    if "s3_csv_key" in requests.columns:
-        given = F.coalesce(given, F.nullif(F.trim("s3_csv_key"), F.lit("")))
+    spark = requests.sparkSession
+    keyed = requests if "s3_csv_key" in requests.columns else requests.withColumn("s3_csv_key", F.lit(None).cast("string"))
+    both = keyed.where("trim(csv_path) <> '' and trim(s3_csv_key) <> ''").select("csv_path", "s3_csv_key").distinct()
+    asked = both.collect()  # only these have two places to look at
+    found = resolve_all(spark, [csv_places(root, r.csv_path, r.s3_csv_key, None) for r in asked])
+    places = spark.createDataFrame([(r.csv_path, r.s3_csv_key, p) for r, p in zip(asked, found)], "csv_path string, s3_csv_key string, __place string")
+    key = F.nullif(F.trim("s3_csv_key"), F.lit(""))
+    whole = F.when(key.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), key).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/"), key))
+    given = F.coalesce("__place", F.nullif(F.trim("csv_path"), F.lit("")), whole)
     same = Window.partitionBy("predict_id")
-    named = requests.withColumn("csv_path", given).dropDuplicates(["predict_id", "csv_path", "model_id"]).withColumn(
+    named = keyed.join(places, ["csv_path", "s3_csv_key"], "left").withColumn("csv_path", given).drop("__place")
+    named = named.dropDuplicates(["predict_id", "csv_path", "model_id"]).withColumn(
         "__refused",
         F.when(F.col("csv_path").isNull(), F.lit(NO_PATH)).when(F.count("*").over(same) > 1, F.lit(REPEATED_ID)),
     )

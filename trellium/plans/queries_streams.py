@@ -18,6 +18,7 @@ from trellium.sources.folders import new_folder
 from trellium.streaming import messages as stream
 from trellium.streaming import scoring as stream_scoring
 from trellium.streaming import stages, status
+from trellium.streaming.ledger import Ledger
 
 
 def _sent(spark: SparkSession, sf_dir: str) -> str:
@@ -55,16 +56,17 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2 M5: latest status per job from a stream; the event type stands for the stage."""
-    out = new_folder(spark, "status")
+    """M2 M5 K6: latest status per job from a stream, read from the catalog's jobs; the event type stands for the stage."""
+    out, catalog = new_folder(spark, "status"), new_folder(spark, "catalog")
     kind = F.col("task_type")
     rank = F.when(kind.isin("purchase", "error"), 3).when(kind == "signup", 2).when(kind == "click", 1).otherwise(0)
     incoming = stream.message_stream(spark, "upload_request", _sent(spark, sf_dir), max_files=2)
     run = stream.run_stage(
-        incoming.select("job_id", rank.alias("rank")), status.status_step(out), new_folder(spark, "checkpoint")
+        incoming.select("job_id", rank.alias("rank")), status.status_step(out, catalog, parts=1), new_folder(spark, "checkpoint")
     )
     run.awaitTermination()
-    return status.read_status(spark, out)
+    status.settle(spark, out, catalog)
+    return Catalog(spark, catalog).read("jobs").select("job_id", "status")
 
 
 @query(
@@ -128,6 +130,98 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("id", "quantity", "discount", F.round("label", 3).alias("label"))
 
 
+_CHAIN_SQL = f"""
+    r as (select o_orderstatus as st, l_orderkey || '|' || l_linenumber as id, l_quantity as quantity, l_discount as discount,
+                 l_extendedprice * (1 - l_discount) / 1000 + l_quantity as label
+          from lineitem join orders on l_orderkey = o_orderkey),
+    l as (select *, {in_test('id')} as t from
+            (select *, row_number() over (partition by st, id order by quantity, discount, label) as rn from r) where rn = 1),
+    c as (select st, avg(quantity) as mx, avg(discount) as mz, avg(label) as my,
+                 var_pop(quantity) as vx, var_pop(discount) as vz, covar_pop(quantity, discount) as vxz,
+                 covar_pop(quantity, label) as vxy, covar_pop(discount, label) as vzy from l where not t group by st),
+    w as (select st, (vxy * vz - vzy * vxz) / (vx * vz - vxz * vxz) as b1,
+                 (vzy * vx - vxy * vxz) / (vx * vz - vxz * vxz) as b2, mx, mz, my from c),
+    b as (select st, b1, b2, my - b1 * mx - b2 * mz as b0 from w)
+"""
+
+
+@query(
+    f"""
+    with {_CHAIN_SQL}
+    select 'ingest' as stage, 'job-' || st as key, 'done' as status, null::varchar as reason, 1::bigint as n_entries, count(*) as n_rows, null::double as value
+    from r group by st
+    union all select 'ingest', 'job-gone', 'rejected', 'CSV header row is missing or could not be parsed.', 1, null, null
+    union all select 'preprocess', 'job-' || st, 'done', null, 1, count(*), null from l group by st
+    union all select 'train', 'job-' || st, 'done', null, 1, count(*) filter (t), null from l group by st
+    union all select 'predict', 'pred-' || st, 'done', null, 1, count(*), round(avg(b0 + b1 * quantity + b2 * discount), 4) from r join b using (st) group by st
+    union all select 'predict', 'pred-gone', 'rejected', 'No model found for ID job-gone', 1, null, null
+    """
+)
+def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload to prediction through four streams and one ledger.
+
+    One job names its file, one only the storage key, one a path where nothing is
+    beside the key, one a file that isn't there. Each stage then runs once more as
+    a new stream, which brings every message again, and a batch is replayed.
+    """
+    root = new_folder(spark, "project")
+    layout = train.Layout(root)
+    ledger = Ledger(spark, root)
+    state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("st"))
+    lines = _lines(spark, sf_dir).join(state, "l_orderkey").select(
+        "st", F.concat_ws("|", "l_orderkey", "l_linenumber").alias("ID"), "quantity", "discount", F.col("label").alias("Label")
+    )
+    files.write_csv(lines, f"{root}/uploads", partition_by=["st"])
+    files.write_csv(lines.drop("Label"), f"{root}/predictions", partition_by=["st"])
+    sent = state.select("st").distinct().select(
+        F.concat(F.lit("job-"), "st").alias("job_id"),
+        F.when(F.col("st") == "F", F.concat(F.lit(f"{root}/uploads/st="), "st"))
+        .when(F.col("st") == "P", F.concat(F.lit(f"{root}/nowhere/"), "st")).otherwise("").alias("csv_path"),
+        F.concat(F.lit("uploads/st="), "st").alias("s3_csv_key"),
+    )
+    gone = spark.createDataFrame([("job-gone", f"{root}/nowhere/gone.csv", "uploads/gone")], sent.schema)
+    requests = sent.unionByName(gone).withColumns(
+        {
+            "filename": F.lit("lines.csv"), "target_column": F.lit("Label"), "task_type": F.lit("regression"),
+            "timestamp": F.lit("2024-01-01T00:00:00.000Z"),
+        }
+    )
+    asked = requests.select(
+        F.regexp_replace("job_id", "job", "pred").alias("predict_id"), F.lit("").alias("csv_path"),
+        F.regexp_replace("s3_csv_key", "uploads", "predictions").alias("s3_csv_key"), F.concat("job_id", F.lit(".pkl")).alias("model_id"), "timestamp",
+    )
+    box = {n: f"{root}/box/{n}" for n in ("requests", "uploaded", "cleaned", "trained", "asked", "results", "rejected")}
+    msg.write_messages(requests, "upload_request", box["requests"])
+    msg.write_messages(asked, "predict_request", box["asked"])
+    out = f"{root}/predictions_output"
+    steps = (
+        ("upload_request", box["requests"], stages.ingest_step(box["uploaded"], f"{box['rejected']}/1", "folder", True, layout=layout, ledger=ledger)),
+        ("dataset_uploaded", f"{box['uploaded']}/batch-*", stages.preprocess_step(layout, box["cleaned"], f"{box['rejected']}/2", ledger=ledger)),
+        ("preprocess", f"{box['cleaned']}/batch-*", stages.train_step(
+            layout, box["trained"], f"{box['rejected']}/3", train.TrainOptions(estimator="linear"), ledger=ledger)),
+        ("predict_request", box["asked"], stages.predict_step(layout, out, box["results"], f"{box['rejected']}/4", ledger=ledger)),
+    )
+    for kind, source, step in steps:
+        for _ in range(2):
+            incoming = stream.message_stream(spark, kind, source)
+            stream.run_stage(incoming, step, new_folder(spark, "checkpoint")).awaitTermination()
+        first = ledger.read().where((F.col("status") == "done")).orderBy(F.desc("recorded_at")).first().batch
+        step(msg.read_messages(spark, kind, source, False), first)
+    entries = ledger.read().groupBy("stage", "key", "status", "reason").agg(F.count("*").alias("n_entries"))
+    cleaned = msg.read_messages(spark, "preprocess", f"{box['cleaned']}/batch-*", False).select(
+        F.lit("preprocess").alias("stage"), F.col("job_id").alias("key"), "n_rows", F.lit(None).cast("double").alias("value"))
+    taken = msg.read_messages(spark, "dataset_uploaded", f"{box['uploaded']}/batch-*", False).select(
+        F.lit("ingest").alias("stage"), F.col("job_id").alias("key"), F.col("row_count").alias("n_rows"), F.lit(None).cast("double").alias("value"))
+    trained = msg.read_messages(spark, "train", f"{box['trained']}/batch-*", False).select(
+        F.lit("train").alias("stage"), F.col("job_id").alias("key"), F.col("metrics")["n_samples"].cast("long").alias("n_rows"),
+        F.lit(None).cast("double").alias("value"))
+    scored = files.read_training_csv(spark, out).groupBy("predict_id").agg(F.count("*").alias("n_rows"), F.round(F.avg("label"), 4).alias("value"))
+    scored = scored.select(F.lit("predict").alias("stage"), F.col("predict_id").alias("key"), "n_rows", "value")
+    outputs = taken.unionByName(cleaned).unionByName(trained).unionByName(scored)
+    # A message that was sent on twice would stand here twice.
+    return entries.join(outputs, ["stage", "key"], "left").select("stage", "key", "status", "reason", "n_entries", "n_rows", "value")
+
+
 # One row per id, as cleaning leaves them, and the fit on their training side.
 _CLEAN_SQL = f"""
     r as (select l_orderkey || '|' || l_linenumber as id, l_quantity as quantity, l_discount as discount,

@@ -57,6 +57,10 @@ class Catalog:
         )
         self._write(merged, "jobs")
 
+    def write_jobs(self, jobs: DataFrame) -> None:
+        """The next version of the jobs, as a merge of them gave it."""
+        self._write(jobs, "jobs")
+
     def ensure_jobs(self, jobs: DataFrame) -> None:
         """Insert the jobs that aren't there; the others stay as they are."""
         self._write(merge_keep_first(self.read("jobs"), jobs, "job_id", ["created_at"]), "jobs")

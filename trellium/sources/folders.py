@@ -73,6 +73,16 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
+def complete_children(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    """Names of the folders under ``root`` that begin with ``prefix`` and were written to the end, in order."""
+    jpath, fs = _hadoop_path(spark, root)
+    if not fs.exists(jpath):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(jpath)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(n for n in names if n.startswith(prefix) and fs.exists(path(path(jpath, n), "_SUCCESS")))
+
+
 def read_table(spark: SparkSession, root: str) -> DataFrame | None:
     """Newest complete version, or None before the first write."""
     found = versions(spark, root)
