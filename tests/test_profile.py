@@ -1,6 +1,7 @@
 import csv
 import io
 import random
+import re
 
 import pytest
 
@@ -147,3 +148,72 @@ def test_vote_agrees_with_the_standard_sniffer(spark, tmp_path, content):
     (tmp_path / "f.csv").write_text(content)
     row = profile.profile_files(spark, str(tmp_path)).first()
     assert row.has_header == csv.Sniffer().has_header(content)
+
+
+def test_lines_stay_in_their_task(spark, folder):
+    """Of a count, only rows of whole blocks are shuffled; of a profile, the text is scanned once."""
+    lines = profile.read_lines(spark, str(folder))
+    plan = profile.count_records(lines)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.rindex("MapInArrow") :]
+    assert "Exchange" not in scan and "Window" not in scan and scan.count("FileScan text") == 1
+    assert not re.search(r"\bvalue#", plan[: plan.rindex("MapInArrow")])
+    shown = profile.profile_files(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in shown  # it reads the folded blocks, which one scan has made
+
+
+def test_an_unclosed_quote_is_found_out_in_linear_time(spark, tmp_path):
+    import time
+
+    (tmp_path / "open.csv").write_text('id,t\n1,"never closed\n' + "2,x\n" * 300_000)
+    (tmp_path / "first.csv").write_text('id,"t\n' + "2,x\n" * 300_000)
+    (tmp_path / "short.csv").write_text('id,"t\n2,x\n')
+    start = time.time()
+    got = by_name(profile.profile_files(spark, str(tmp_path)))
+    assert time.time() - start < 60
+    assert got["open.csv"].header == ["id", "t"] and got["open.csv"].readable and got["open.csv"].n_lines == 300_002
+    assert got["first.csv"].header == [] and not got["first.csv"].readable
+    assert got["short.csv"].readable and got["short.csv"].header == ["id", "t\n2,x"]
+
+
+def test_folded_blocks_equal_lines_one_by_one():
+    import numpy as np
+
+    from trellium.operators.blocks import FLIP, SET_OUT, states
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        actions = rng.integers(0, 4, rng.integers(1, 12)).astype(np.int8)
+        for start, got in zip((0, 1), states(actions)):
+            state, expected = start, []
+            for a in actions:
+                state = 1 - state if a == FLIP else int(a) - SET_OUT if a >= SET_OUT else state
+                expected.append(state)
+            assert got.tolist() == expected
+
+
+def test_work_tables_are_deleted(spark, folder):
+    import os
+
+    from trellium.sources.folders import scratch, shared_base
+
+    def kept():
+        return {n for n in os.listdir(shared_base(spark)) if n.startswith(("blocks-", "heads-"))}
+
+    before = kept()
+    with scratch():
+        assert profile.profile_files(spark, str(folder)).count() == 8
+        assert kept() > before
+    assert kept() == before
+
+
+def test_many_parts_with_headers_only(spark, tmp_path):
+    """Parts without rows, a part without the header, and few rows in each: the first records span files."""
+    part = tmp_path / "d"
+    part.mkdir()
+    for i in range(60):
+        (part / f"part-{i:02d}.csv").write_text("id,name\n" + (f"{i},x\n" if i % 7 == 3 else ""))
+    (part / "part-60.csv").write_text("60,y\n61,\"a\nb\"\n")
+    head = profile.first_records(profile.read_lines(spark, str(part)), 11, "folder", headers_in_parts=True).first()
+    assert head.records == ["id,name", *[f"{i},x" for i in range(60) if i % 7 == 3], "60,y", '61,"a\nb"'][:11]
+    plain = profile.first_records(profile.read_lines(spark, str(part)), 4, "folder").first()
+    assert plain.records == ["id,name"] * 4

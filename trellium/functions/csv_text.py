@@ -46,27 +46,5 @@ def header_names(record: Column) -> Column:
     return F.filter(F.transform(csv_fields(record), clean), lambda name: name != "")
 
 
-def join_records(lines: Column) -> Column:
-    """Fold an array of physical lines into ``struct(done array, open string)``."""
-    zero = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("open"),
-    )
-
-    def step(acc: Column, line: Column) -> Column:
-        text = F.when(acc["open"].isNull(), line).otherwise(F.concat(acc["open"], F.lit("\n"), line))
-        return F.when(
-            record_open(text),
-            F.struct(acc["done"].alias("done"), text.alias("open")),
-        ).otherwise(
-            F.struct(
-                F.concat(acc["done"], F.array(text)).alias("done"),
-                F.lit(None).cast("string").alias("open"),
-            )
-        )
-
-    return F.aggregate(lines, zero, step)
-
-
 def looks_numeric(text: Column) -> Column:
     return text.rlike(NUMBER)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellium.functions.csv_text import csv_fields, header_names, join_records, looks_numeric, record_open
+from trellium.functions.csv_text import csv_fields, header_names, looks_numeric
 from trellium.functions.text import decoded_path, parent_folder
+from trellium.operators.blocks import fold_blocks, scan_records, settle_blocks
 from trellium.sources.csv import Paths, _paths
-from trellium.sources.folders import new_folder
+from trellium.sources.folders import work_table
 
 # Rows shown, and rows the header vote looks at besides the first.
 PREVIEW_ROWS = 10
@@ -41,9 +42,9 @@ def _with_dataset(df: DataFrame, unit: str) -> DataFrame:
     return df.withColumn("dataset", dataset_of(decoded_path("file"), unit))
 
 
-def count_lines(lines: DataFrame, unit: str = "file") -> DataFrame:
-    """``dataset, n_lines``; paths are taken apart once per file, not per line."""
-    files = lines.groupBy("file").agg(F.count("*").alias("n"))
+def count_lines(blocks: DataFrame, unit: str = "file") -> DataFrame:
+    """``dataset, n_lines`` from folded blocks; paths are taken apart once per file."""
+    files = blocks.groupBy("file").agg(F.sum("n_lines").alias("n"))
     return _with_dataset(files, unit).groupBy("dataset").agg(F.sum("n").alias("n_lines"))
 
 
@@ -60,68 +61,53 @@ def list_datasets(spark: SparkSession, paths: Paths, unit: str = "file") -> Data
     )
 
 
-def _first_lines(lines: DataFrame, n: int, headers_in_parts: bool) -> DataFrame:
-    """First ``n`` lines per data set: ``dataset, lines, n_read, split_files``.
-
-    Each task keeps n lines before the shuffle. ``split_files`` says that a file
-    other than the last one used came without its later blocks. With
-    ``headers_in_parts`` the header is kept from the first part file only.
-    """
-    order = Window.partitionBy("dataset").orderBy("file", "block", "seq")
-    ranked = lines.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    heads = ranked.groupBy("dataset").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "value", "file", "whole_file"))).alias("rows")
+def _counts(blocks: DataFrame, unit: str) -> DataFrame:
+    """``dataset, n_records, n_lines``; a file that stops inside quotes still holds that last record."""
+    files = settle_blocks(blocks).groupBy("file").agg(
+        F.sum("ends").alias("ends"), F.sum("n_lines").alias("n_lines"), F.max_by("leaves", "block").alias("leaves")
+    )
+    return _with_dataset(files, unit).groupBy("dataset").agg(
+        F.sum(F.col("ends") + F.col("leaves")).alias("n_records"), F.sum("n_lines").alias("n_lines")
     )
-    last = F.element_at("rows", -1)["file"]
 
-    def is_repeat(row: Column, i: Column) -> Column:
-        before = F.get("rows", i - 1)
-        return F.coalesce((row["file"] != before["file"]) & (row["value"] == F.get("rows", F.lit(0))["value"]), F.lit(False))
 
-    kept = F.filter("rows", lambda r, i: ~is_repeat(r, i)) if headers_in_parts else F.col("rows")
-    return heads.select(
-        "dataset",
-        F.transform(kept, lambda r: r["value"]).alias("lines"),
-        F.size("rows").alias("n_read"),
-        F.exists("rows", lambda r: ~r["whole_file"] & ((r["file"] != last) | (F.size("rows") < n))).alias("split_files"),
-    )
+def _heads(blocks: DataFrame, n: int, unit: str, headers_in_parts: bool) -> DataFrame:
+    """``dataset, records, lines, readable`` from folded blocks.
+
+    Narrow rows tell which blocks hold the first ``n`` records; only the lines of
+    these are gathered, a few for each data set.
+    """
+    settled = settle_blocks(blocks)
+    files = settled.groupBy("file").agg(
+        (F.sum("ends") + F.max_by("leaves", "block")).alias("n"), F.max("block").alias("last")
+    )
+    opening = blocks.where("block = 0").select("file", F.xxhash64("first").alias("first"))
+    by_dataset = Window.partitionBy("dataset").orderBy("file")
+    ranked = _with_dataset(files.join(opening, "file"), unit).withColumn("nth", F.row_number().over(by_dataset)).withColumn(
+        "header", F.first("first").over(by_dataset.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    skip = (F.col("nth") > 1) & (F.col("first") == F.col("header")) if headers_in_parts else F.lit(False)
+    own = ranked.withColumn("skip", skip).withColumn("own", F.col("n") - F.col("skip").cast("int"))
+    so_far = F.sum("own").over(by_dataset.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("own")
+    wanted = own.withColumn("earlier", so_far).where(F.col("earlier") < n).select("dataset", "file", "last", "skip", "earlier")
+    # Records that end before a block, in its file and in files before; a repeated header isn't one of them.
+    near = settled.select("file", "block", "before").join(wanted, "file").where(F.col("earlier") + F.col("before") - F.col("skip").cast("int") < n)
+    parts = near.join(blocks.select("file", "block", "head", "actions", "whole"), ["file", "block"])
+    part = F.struct(
+        "file", "block", "head", "actions", "whole", (F.col("block") == F.col("last")).alias("last"),
+        (F.col("skip") & (F.col("block") == 0)).alias("skip"),
+    )
+    gathered = parts.groupBy("dataset").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return scan_records(gathered, n)
 
 
 def first_records(lines: DataFrame, n: int, unit: str = "file", headers_in_parts: bool = False) -> DataFrame:
-    """First ``n`` records per data set: ``dataset, records, lines``.
+    """First ``n`` records per data set: ``dataset, records, lines, readable``.
 
-    The first block of every file and ``n`` lines of it nearly always hold them,
-    so only those are put in order. Data sets that need more, because lines are
-    huge or quoted fields hold line breaks, are read again in full with more
-    lines, until every one has its records.
+    One scan. A record may be as long as ``blocks.RECORD_BYTES``; a data set whose
+    first one isn't closed by then is not ``readable`` and has no records.
     """
-    take, done = n, None
-    lines = _with_dataset(lines, unit)
-    pending, all_blocks = lines.filter(F.col("block") == 0), False
-    while True:
-        heads = _first_lines(pending, take, headers_in_parts).withColumn("joined", join_records(F.col("lines")))
-        cut = F.lit(False) if all_blocks else F.col("split_files")
-        heads = heads.select(
-            "dataset",
-            "lines",
-            cut.alias("cut"),
-            (F.col("n_read") < take).alias("all_lines"),
-            F.col("joined.done").alias("closed"),
-            F.col("joined.open").alias("open"),
-        )
-        # Written, not cached: small, read more than once, and safe when an executor is lost.
-        kept = new_folder(lines.sparkSession, "heads")
-        heads.write.parquet(kept)
-        heads = lines.sparkSession.read.schema(heads.schema).parquet(kept)
-        enough = ~F.col("cut") & (F.col("all_lines") | (F.size("closed") >= n))
-        records = F.when(F.col("open").isNull(), F.col("closed")).otherwise(F.concat("closed", F.array("open")))
-        part = heads.filter(enough).select("dataset", F.slice(records, 1, n).alias("records"), "lines")
-        done = part if done is None else done.unionByName(part)
-        missing = heads.filter(~enough).select("dataset")
-        if missing.isEmpty():
-            return done
-        pending, all_blocks = lines.join(missing, "dataset", "left_semi"), True
-        take *= 8
+    return _heads(work_table(fold_blocks(lines, n), "blocks"), n, unit, headers_in_parts)
 
 
 def header_votes(heads: DataFrame) -> DataFrame:
@@ -166,13 +152,16 @@ def profile_files(
     lines count, and a quoted line break makes two lines. ``columns`` and the
     preview follow the vote; ``header`` holds the names of the first record
     whatever the vote says. ``headers_in_parts``: each part file of a folder
-    repeats the header, so one line per part is taken off.
+    repeats the header, so one line per part is taken off. A data set whose first
+    record is too long to be read is not ``readable`` and has no header. The input
+    is read once.
     """
-    lines = read_lines(spark, paths)
-    counts = count_lines(lines, unit)
-    heads = first_records(lines, VOTE_ROWS + 1, unit, headers_in_parts)
+    blocks = work_table(fold_blocks(read_lines(spark, paths), VOTE_ROWS + 1), "blocks")
+    counts = count_lines(blocks, unit)
+    heads = work_table(_heads(blocks, VOTE_ROWS + 1, unit, headers_in_parts), "heads")
     fields = heads.select(
         "dataset",
+        "readable",
         F.transform(F.slice("records", 1, PREVIEW_ROWS), csv_fields).alias("rows"),
         header_names(F.coalesce(F.get("records", F.lit(0)), F.lit(""))).alias("header"),
     )
@@ -195,75 +184,25 @@ def profile_files(
         has.alias("has_header"),
         F.coalesce("header", none).alias("header"),
         n_lines.alias("n_lines"),
+        F.coalesce("readable", F.lit(True)).alias("readable"),
     )
 
 
 def count_records(lines: DataFrame, unit: str = "file") -> DataFrame:
     """``dataset, n_records, n_lines``: records where quoted fields may hold line breaks.
 
-    Whether a line ends a record depends on all lines before it, yet no task
-    reads a whole file. Each line acts on the state "inside quotes or not" in
-    one of three ways: it keeps the state, flips it, or sets it. These compose,
-    so every file block is summed up for both states it may start in, and a
-    short pass over the blocks of each file picks the one that holds.
+    Each task folds the blocks it reads; only a row per block is shuffled.
     """
-    text = F.col("value")
-    quoted = text.contains('"')  # most lines hold none and keep the state
-    from_out = quoted & record_open(text)
-    from_in = ~quoted | record_open(F.concat(F.lit('"'), text))
-    marks = lines.select(
-        "file",
-        "block",
-        "seq",
-        F.when(from_out == from_in, from_out.cast("int")).alias("sets"),
-        (from_out & ~from_in).cast("int").alias("flips"),
-    )
-    order = Window.partitionBy("file", "block").orderBy("seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = marks.withColumn("flipped", F.sum("flips").over(so_far) % 2)
-    # State at the last setting line, with the flips up to there taken out.
-    anchor = F.last(
-        F.when(F.col("sets").isNotNull(), (F.col("sets") + F.col("flipped")) % 2), ignorenulls=True
-    ).over(so_far)
-    marks = marks.withColumn("anchor", anchor)
-
-    def state(start: int) -> Column:
-        return (F.coalesce("anchor", F.lit(start)) + F.col("flipped")) % 2
-
-    blocks = marks.groupBy("file", "block").agg(
-        F.count("*").alias("n_lines"),
-        F.sum(F.when(state(0) == 0, 1).otherwise(0)).alias("ends_out"),
-        F.sum(F.when(state(1) == 0, 1).otherwise(0)).alias("ends_in"),
-        F.max_by(state(0), "seq").alias("leaves_out"),
-        F.max_by(state(1), "seq").alias("leaves_in"),
-    )
-    file_order = Window.partitionBy("file").orderBy("block")
-    upto = file_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fixed = F.col("leaves_out") == F.col("leaves_in")
-    blocks = blocks.withColumn(
-        "flipped", F.sum(F.when(~fixed, F.col("leaves_out")).otherwise(0)).over(upto) % 2
-    ).withColumn(
-        "anchor",
-        F.last(F.when(fixed, (F.col("leaves_out") + F.col("flipped")) % 2), ignorenulls=True).over(upto),
-    )
-    blocks = blocks.withColumn("leaves", (F.coalesce("anchor", F.lit(0)) + F.col("flipped")) % 2)
-    blocks = blocks.withColumn("enters", F.lag("leaves", 1, 0).over(file_order))
-    ends = F.when(F.col("enters") == 0, F.col("ends_out")).otherwise(F.col("ends_in"))
-    files = blocks.groupBy("file").agg(
-        F.sum(ends).alias("ends"), F.sum("n_lines").alias("n_lines"), F.max_by("leaves", "block").alias("leaves")
-    )
-    # A file that stops inside quotes still holds that last record.
-    return _with_dataset(files, unit).groupBy("dataset").agg(
-        F.sum(F.col("ends") + F.col("leaves")).alias("n_records"), F.sum("n_lines").alias("n_lines")
-    )
+    return _counts(fold_blocks(lines), unit)
 
 
 def profile_records(
     spark: SparkSession, paths: Paths, unit: str = "file", headers_in_parts: bool = False
 ) -> DataFrame:
     """Record-based profile: the first record is the header, 5 rows, first 8 lines as text."""
-    lines = read_lines(spark, paths)
-    heads = first_records(lines, max(RECORD_PREVIEW_ROWS + 1, RAW_PREVIEW_LINES), unit, headers_in_parts)
+    n = max(RECORD_PREVIEW_ROWS + 1, RAW_PREVIEW_LINES)
+    blocks = work_table(fold_blocks(read_lines(spark, paths), n), "blocks")
+    heads = _heads(blocks, n, unit, headers_in_parts)
     fields = heads.select(
         "dataset",
         F.transform(F.slice("records", 1, RECORD_PREVIEW_ROWS + 1), csv_fields).alias("rows"),
@@ -271,7 +210,7 @@ def profile_records(
     )
     joined = (
         list_datasets(spark, paths, unit)
-        .join(count_records(lines, unit), "dataset", "left")
+        .join(_counts(blocks, unit), "dataset", "left")
         .join(fields, "dataset", "left")
     )
     none = F.array().cast("array<string>")

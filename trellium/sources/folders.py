@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +36,45 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_scratch = threading.local()
+_at_exit: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Work tables that ``work_table`` makes inside are deleted at the end; frames that read them are then of no use."""
+    outer, _scratch.held = getattr(_scratch, "held", None), []
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.held:
+            delete_path(spark, path)
+        _scratch.held = outer
+
+
+def work_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, and safe when an executor is lost.
+
+    It stays for frames that read it until the end of the ``scratch`` block, or of
+    the Python process.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    held = getattr(_scratch, "held", None)
+    (_at_exit if held is None else held).append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_rest() -> None:
+    for spark, path in _at_exit:
+        if spark.sparkContext._jsc is not None:
+            delete_path(spark, path)
+
+
+atexit.register(_delete_rest)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give ``DataFrame.checkpoint`` its folder where the session has none."""
     if spark.sparkContext.getCheckpointDir() is None:

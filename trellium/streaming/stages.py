@@ -22,7 +22,7 @@ from trellium.plans.train import Layout, TrainOptions, preprocess, record, save_
 from trellium.sources.catalog import Catalog
 from trellium.sources.messages import SCHEMAS, latest_per_key, write_messages
 from trellium.sources.places import csv_places, processed_places, resolve, resolve_all
-from trellium.sources.folders import path_exists
+from trellium.sources.folders import path_exists, scratch
 from trellium.streaming.ledger import Entry, Ledger, digest_of, once
 from trellium.streaming.messages import Step, batch_folder, batch_name
 
@@ -81,6 +81,10 @@ def ingest_step(
         return named.sparkSession.createDataFrame([tuple(r.values()) for r in keep], named.schema)
 
     def step(batch: DataFrame, batch_id: int | str) -> None:
+        with scratch():
+            ingest(batch, batch_id)
+
+    def ingest(batch: DataFrame, batch_id: int | str) -> None:
         spark, name = batch.sparkSession, batch_name(batch_id)
         named = batch.withColumn("job_id", text.job_id_or_new("job_id", "csv_path", "filename", "timestamp"))
         asked = fresh(latest_per_key(named), name).persist()
