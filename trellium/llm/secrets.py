@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -79,6 +80,8 @@ LONGEST_WORD = 24
 # A corpus word is one that makes up this share of all its words, so there are at most a million of them.
 WORD_SHARE = 1e-6
 WORD_TIMES = 5
+# Words that a task counts before it sends them on.
+HELD_WORDS = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 # Power of ten of the words in a large list: the price of a word that isn't in the dictionary.
 UNKNOWN_WORD = 6.0
@@ -114,6 +117,17 @@ class Dictionary:
         return 0.15 * len(low) <= vowels <= 0.8 * len(low) and odd <= allowed
 
 
+_made: dict[str, Dictionary] = {}
+
+
+def _dictionary(name: str, corpus) -> Dictionary:
+    """The dictionary of a broadcast word list, made once in a worker; only the last one is held."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Dictionary(corpus.value)
+    return _made[name]
+
+
 LEET = str.maketrans("@4301!57$", "aaeoiists")
 
 # Rows of a keyboard, and runs of the alphabet and of digits.
@@ -318,7 +332,7 @@ def corpus_words(docs: DataFrame, text: str = "text") -> list[str]:
             for part in slices(batch, 0):
                 for t in set(part.column(0).to_pylist()):
                     counts.update(_spoken_words(t or ""))
-                    if len(counts) > 200_000:
+                    if len(counts) > HELD_WORDS:
                         yield flush()
         yield flush()
 
@@ -336,10 +350,10 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     A null or empty text has no spans. Rows stay as many as they are, with null
     ids and repeats; an empty table gives none. Only counts of words are shuffled.
     """
-    known = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text))
+    known, name = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text)), uuid.uuid4().hex
 
     def start():
-        words = Dictionary(known.value)
+        words = _dictionary(name, known)
         return lambda texts: [[[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t or "", words)] for t in texts]]
 
     return annotate(docs, [id], text, "spans array<struct<kind:string,start:long,end:long>>", start)
@@ -363,11 +377,11 @@ def digest(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` in all rows and columns, with secret values masked; ``n_chars`` follows where a text changed."""
     columns = docs.columns
-    known = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text))
+    known, name = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text)), uuid.uuid4().hex
     masked = fresh("masked", columns)
 
     def start():
-        words = Dictionary(known.value)
+        words = _dictionary(name, known)
         return lambda texts: [[redact(t, words) if t else t for t in texts]]
 
     done = annotate(docs, columns, text, f"{masked} string", start)
