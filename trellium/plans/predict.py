@@ -6,34 +6,36 @@ from collections.abc import Iterator
 from itertools import groupby, islice
 from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellium.functions.feature_lists import SchemaError, prediction_name, scoring_features
+from trellium.functions.feature_lists import SchemaError, folded_names, prediction_name, scoring_features
 from trellium.functions.text import decoded_path, iso_now, plain_path
 from trellium.operators.joins import broadcast_if_small
 from trellium.operators.profile import dataset_of, list_files
 from trellium.operators.scoring import as_results, match_models, sample_rows, score
 from trellium.plans.train import Layout
 from trellium.sources.csv import (
-    header_of,
+    first_line,
+    header_fields,
     read_scoring_csv,
     read_scoring_table,
     restore_text,
     scoring_types,
     write_csv,
 )
-from trellium.sources.folders import delete_path, is_folder
+from trellium.sources.folders import delete_path
 from trellium.sources.messages import write_messages
 from trellium.sources.places import csv_places, resolve_all
 from trellium.sources.registry import lookup, read_registry
 
 # Requests served by one scan.
 FILES_PER_SCAN = 1000
-# First lines fetched side by side.
-HEADER_THREADS = 8
+# First lines fetched side by side, by the driver: no job runs for a file.
+HEADER_THREADS = 16
 
 
 class NoModelError(LookupError):
@@ -88,7 +90,9 @@ def predict_many(
     are grouped by model and by the header of their file, and each group is read
     in one scan and scored once, so the loop runs over models, not files. The
     result is CSV under ``out/predict_id=<id>``; a request is rewritten whole.
-    Rows whose features are missing or unreadable stay, with no prediction.
+    Rows whose features are missing or unreadable stay, with no prediction. Each
+    file is scanned and scored once: the scored rows are kept on the executors'
+    disks until they are written and counted; what is lost is scored anew.
     ``results`` names a folder for result messages: row count, columns and the
     first rows of each request.
     """
@@ -106,12 +110,20 @@ def predict_many(
             model = PipelineModel.load(meta["spark_path"])
             groups = _by_layout(spark, meta, chunk, failed)
             for (unit, columns), paths in groups.items():
+                served = set(paths)
+                asked = [(r.predict_id, r.csv_path) for r in chunk if r.csv_path in served]
                 rows_in = _tagged_rows(spark, meta, chunk, unit, paths)
-                asked = [(r.predict_id, r.csv_path) for r in chunk if r.csv_path in set(paths)]
-                failed += _write_scored(model, meta, rows_in, columns, out, asked)
-                if results is not None:
-                    messages = _result_messages(model, meta, rows_in, out, asked)
-                    write_messages(messages, "predict", f"{results}/group-{n_groups:06d}", "overwrite")
+                scored = restore_text(score(model, rows_in, meta, "null")).persist(StorageLevel.DISK_ONLY)
+                try:
+                    counts = _write_scored(meta, scored, columns, out, asked)
+                    if results is not None:
+                        messages = _result_messages(meta, scored, counts, out, asked)
+                        write_messages(messages, "predict", f"{results}/group-{n_groups:06d}", "overwrite")
+                finally:
+                    scored.unpersist()
+                failed += [
+                    (p, model_id, f"{unscored} rows have missing or unreadable features") for p, (_, unscored) in sorted(counts.items()) if unscored
+                ]
                 n_groups += 1
     unknown = matched.filter(F.col("error").isNotNull()).select("predict_id", "model_id", "error")
     return unknown.unionByName(spark.createDataFrame(failed, ERRORS)).unionByName(refused)
@@ -151,12 +163,13 @@ def _by_layout(spark: SparkSession, meta: dict, chunk: list, failed: list) -> di
 
     def layout_of(path: str) -> tuple | Exception:
         try:
-            columns = header_of(spark, path)
+            line, folder = first_line(spark, path)
+            columns = folded_names(header_fields(line)) if line else []
             if taken := {"predict_id", "cast_failures"} & set(columns):
                 raise SchemaError(f"column names taken by the output: {sorted(taken)}")
             scoring_features(columns, meta["feature_cols"], meta["target_column"])
-            return "folder" if is_folder(spark, path) else "file", tuple(columns)
-        except (SchemaError, AnalysisException) as error:  # a wrong or absent file is that request's fault
+            return "folder" if folder else "file", tuple(columns)
+        except (SchemaError, AnalysisException, OSError) as error:  # a wrong or absent file is that request's fault
             return error
 
     paths = sorted(requested)
@@ -186,28 +199,26 @@ def _tagged_rows(spark: SparkSession, meta: dict, chunk: list, unit: str, paths:
     return rows.drop("cast_failures").join(owners, "__source_file")
 
 
-def _write_scored(model: PipelineModel, meta: dict, rows: DataFrame, columns: tuple, out: str, asked: list[tuple]) -> list[tuple]:
-    """Write a group's rows; each request's folder is its own, and one without rows has only a header."""
-    scored = restore_text(score(model, rows.drop(*_PLACE), meta, "null"))
+def _write_scored(meta: dict, scored: DataFrame, columns: tuple, out: str, asked: list[tuple]) -> dict[str, tuple[int, int]]:
+    """Write a group's rows and count them: rows and rows without an estimate of each request.
+
+    Each request's folder is its own, and one without rows has only a header.
+    """
     unscored = F.col(f"`{prediction_name(columns, meta['target_column'])}`").isNull()
-    seen = Observation()
+    rows = scored.drop(*_PLACE)
     (
-        scored.observe(seen, F.count_if(unscored).alias("n"))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("header", True)
         .option("escape", '"')
         .partitionBy("predict_id")
         .csv(out)
     )
-    filled = {r.predict_id for r in rows.select("predict_id").distinct().collect()}
-    for predict_id in sorted({p for p, _ in asked} - filled):
-        empty = spark_empty(scored.drop("predict_id"))
-        write_csv(empty, f"{out}/predict_id={predict_id}")
-    if not seen.get["n"]:
-        return []
-    counts = scored.filter(unscored).groupBy("predict_id").agg(F.count("*").alias("n")).collect()
-    return [(r.predict_id, meta["model_id"], f"{r.n} rows have missing or unreadable features") for r in counts]
+    counted = scored.groupBy("predict_id").agg(F.count("*").alias("n"), F.count_if(unscored).alias("bad")).collect()
+    counts = {r.predict_id: (r.n, r.bad) for r in counted}  # one row per request of the chunk
+    for predict_id in sorted({p for p, _ in asked} - set(counts)):
+        write_csv(spark_empty(rows.drop("predict_id")), f"{out}/predict_id={predict_id}")
+    return counts
 
 
 def spark_empty(df: DataFrame) -> DataFrame:
@@ -215,23 +226,21 @@ def spark_empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema).coalesce(1)
 
 
-def _result_messages(model: PipelineModel, meta: dict, rows: DataFrame, out: str, asked: list[tuple]) -> DataFrame:
-    """One message per request. Only its first rows are scored for it; the others are counted."""
-    counts = rows.groupBy("predict_id").agg(F.count("*").alias("n_rows"))
-    first = sample_rows(rows, ["predict_id"], _PLACE).drop(*_PLACE)
-    scored = restore_text(score(model, first, meta, "null"))
-    shown = [c for c in scored.columns if c not in ("predict_id", "sample_no")]
+def _result_messages(meta: dict, scored: DataFrame, counts: dict[str, tuple[int, int]], out: str, asked: list[tuple]) -> DataFrame:
+    """One message per request, with its first rows; every task keeps a few of them before they are shuffled."""
+    first = sample_rows(scored, ["predict_id"], _PLACE).drop(*_PLACE)
+    shown = [c for c in first.columns if c not in ("predict_id", "sample_no")]
     as_map = F.transform("sample_predictions", lambda r: F.from_json(r, "map<string,string>"))
-    requests = rows.sparkSession.createDataFrame(asked, "predict_id string, csv_path string")
+    known = [(p, path, counts.get(p, (0, 0))[0]) for p, path in asked]
+    requests = scored.sparkSession.createDataFrame(known, "predict_id string, csv_path string, n_rows long")
     none = F.array().cast("array<map<string,string>>")
     result = F.struct(
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        "n_rows",
         F.array(*[F.lit(c) for c in shown]).alias("columns"),
         F.lit("spark").alias("prediction_mode"),
         F.coalesce(as_map, none).alias("sample_predictions"),
     )
-    found = requests.join(counts, "predict_id", "left").join(as_results(scored, "predict_id", shown), "predict_id", "left")
-    return found.select(
+    return requests.join(as_results(first, "predict_id", shown), "predict_id", "left").select(
         F.lit(meta["model_id"]).alias("model_id"),
         F.lit(meta["task_type"]).alias("model_type"),
         "csv_path",

@@ -312,3 +312,42 @@ def predict_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.unionByName(
         errors.select("predict_id", none.cast("long").alias("n_rows"), none.cast("double").alias("mean_prediction"), "error")
     )
+
+
+@query(
+    f"""
+    with {_CLEAN_SQL},
+    s as (select o_orderstatus as st, l_orderkey || '|' || l_linenumber as id, l_quantity as quantity, l_discount as discount
+          from lineitem join orders on l_orderkey = o_orderkey),
+    n as (select st, count(*) as n_rows from s group by st),
+    f as (select st, id, row_number() over (partition by st order by id, quantity, discount) - 1 as sample_no,
+                 round(b0 + b1 * quantity + b2 * discount, 3) as prediction from s, b)
+    select 'pred-' || st as predict_id, n_rows, case st when 'O' then 'id,discount,quantity,label' else 'id,quantity,discount,label' end as columns,
+           sample_no, id, prediction
+    from n join f using (st) where sample_no < 5
+    union all select 'pred-none', 0, 'id,quantity,discount,label', null, null, null
+    """
+)
+def result_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per request with its row count, columns and first rows, in the order of the file."""
+    layout = _train_lines(spark, sf_dir)
+    status_of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    lines = id_lines(spark, sf_dir).withColumn("l_orderkey", F.split("id", r"\|")[0].cast("long")).join(status_of, "l_orderkey")
+    requests = []
+    for kind, columns in (("F", ["quantity", "discount"]), ("O", ["discount", "quantity"]), ("P", ["quantity", "discount"]), ("none", ["quantity", "discount"])):
+        path = f"{layout.root}/predictions/pred-{kind}"
+        rows = lines.filter(F.col("o_orderstatus") == kind).select("id", *columns).repartitionByRange(4, "id").sortWithinPartitions("id", "quantity", "discount")
+        files.write_csv(rows if kind != "none" else predict.spark_empty(rows), path)
+        requests.append((f"pred-{kind}", path, "job-1"))
+    asked = spark.createDataFrame(requests, "predict_id string, csv_path string, model_id string")
+    out, results = f"{layout.root}/predictions_output", f"{layout.root}/results"
+    predict.predict_many(spark, layout, asked, out, results)
+    sent = msg.read_messages(spark, "predict", f"{results}/group-*", False)
+    rows = sent.select(
+        F.regexp_extract("output_csv", "predict_id=(.*)$", 1).alias("predict_id"), F.col("result.n_rows").alias("n_rows"),
+        F.array_join("result.columns", ",").alias("columns"), F.posexplode_outer("result.sample_predictions").alias("sample_no", "sample"),
+    )
+    return rows.select(
+        "predict_id", "n_rows", "columns", F.col("sample_no").cast("long").alias("sample_no"), F.col("sample")["id"].alias("id"),
+        F.round(F.col("sample")["label"].cast("double"), 3).alias("prediction"),
+    )

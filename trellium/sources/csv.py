@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,9 +122,53 @@ def write_csv(df: DataFrame, path: str, header: bool = True, partition_by: Seque
     writer.csv(path)
 
 
+# Bytes of a header line at most.
+HEADER_BYTES = 1 << 20
+
+
+def first_line(spark: SparkSession, path: str) -> tuple[str | None, bool]:
+    """First line with text of a file, or of a folder's first file that has one, and whether the path is a folder.
+
+    The driver reads one buffer of the file; no job runs. None without such a line.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(conf)
+    found = fs.globStatus(jpath)
+    if not found:
+        raise FileNotFoundError(f"[PATH_NOT_FOUND] Path does not exist: {path}")
+    folder = len(found) == 1 and found[0].isDirectory()
+    files = [s for status in found for s in (fs.listStatus(status.getPath()) if status.isDirectory() else [status])]
+    shown = [s.getPath() for s in files if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    for file in sorted(shown, key=lambda f: f.toString()):
+        stream = fs.open(file)
+        try:
+            codec = codecs.getCodec(file)
+            reader = jvm.org.apache.hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream, conf)
+            line = jvm.org.apache.hadoop.io.Text()
+            while reader.readLine(line, HEADER_BYTES, HEADER_BYTES) > 0:
+                text = line.toString().removeprefix("\ufeff")
+                if text.strip():
+                    return text, folder
+        finally:
+            stream.close()
+    return None, folder
+
+
+def header_fields(line: str) -> list[str]:
+    """Column names as Spark's reader gives them: empty and repeated ones are told apart by their place."""
+    fields = next(csv.reader([line], doublequote=True), [])
+    lower = [f.lower() for f in fields]
+    return [
+        f"_c{i}" if not f else f"{f}{i}" if lower.count(f.lower()) > 1 else f for i, f in enumerate(fields)
+    ]
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Folded column names of a file or folder; only the first line is read."""
-    return folded_names(spark.read.option("header", True).options(**_QUOTING).csv(path).columns)
+    line, _ = first_line(spark, path)
+    return folded_names(header_fields(line)) if line else []
 
 
 def read_parquet(spark: SparkSession, paths: Paths) -> DataFrame:
