@@ -64,6 +64,21 @@ def test_components_equal_all_pairs(spark, words, percent):
     assert found(ngrams.link_documents(frame, like)) == brute(docs, words, percent)
 
 
+@pytest.mark.parametrize("share", [1, 4])
+def test_shares_of_hot_shingles_and_digests_change_nothing(spark, monkeypatch, share):
+    docs = near_copies(7, bases=4) + [(1000 + i, "the same words in every copy of it") for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(ngrams, "SHARE_ROWS", share)
+    assert found(ngrams.link_documents(frame, ngrams.Likeness(3, 80))) == brute(docs, 3, 80)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(1, "a b c d e f g", "x", "y", 1), (2, "a b c d e f g", "x", "y", 2), (2, "k l m n o p q", "z", "y", 3), (3, "k l", "w", None, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __bucket string, dropped string, bucket int")
+    kept = ngrams.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(r.bucket for r in kept.collect()) == [1, 4]
+
+
 def test_pairs_hold_without_centres(spark, monkeypatch):
     """The prefix join alone finds every link."""
     monkeypatch.setattr(ngrams, "_central_pairs", lambda postings, like: postings.select(

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from trellium.functions.rows import row_pick, unpack
 from trellium.llm.components import components, label_nodes
 from trellium.llm.tables import sum_tables
-from trellium.llm.texts import WORD, annotate, lower_ascii
+from trellium.llm.texts import annotate, fresh
 from trellium.llm.work import Work, lasting, work
 
 # Words whose hashes are remembered per task.
@@ -57,6 +57,8 @@ FAMILY_MATCHES = 3
 
 # Buckets of document ids by which texts are picked out before the exact join; bounds what is broadcast.
 PICK_BUCKETS = 1 << 18
+# Rows of one shingle or digest that stay together in a join; a hotter one is dealt into shares.
+SHARE_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,8 @@ class Likeness:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
         if len(self) >= MEMORY_WORDS:
             self.clear()
         self[word] = value
@@ -93,7 +95,8 @@ class Shingler:
         self.hashes = _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(lower_ascii(text or ""))
+        # Of bytes, split() takes the blanks 20 and 09 to 0D, and lower() only A-Z.
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
         hashes = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
@@ -204,6 +207,35 @@ def _describe(docs: DataFrame, sketch: Sketch, id: str, text: str, like: Likenes
     return annotate(docs, [id], text, "n long, digest binary, matches int, prefix array<long>", start)
 
 
+def _shares(rows: Column) -> Column:
+    """Into how many shares the rows of a key are dealt."""
+    return F.greatest(F.lit(1), F.ceil(rows / SHARE_ROWS)).cast("int")
+
+
+def _dealt(rows: DataFrame, times: str) -> DataFrame:
+    """Rows with a share of their key at random; ``times`` is how many rows the key has."""
+    return rows.withColumn("share", F.floor(F.rand(11) * _shares(F.col(times))).cast("int"))
+
+
+def _in_each_share(rows: DataFrame, times: str) -> DataFrame:
+    """Rows once for each share of their key."""
+    return rows.withColumn("share", F.explode(F.sequence(F.lit(0), _shares(F.col(times)) - 1)))
+
+
+def _to_its_group(rows: DataFrame, keyed: DataFrame, key: str, times: str) -> DataFrame:
+    """Rows joined to the one row of their key; ``keyed`` is a written table that counts them in ``times``.
+
+    Keys of more than a share of rows are few, at most one per ``SHARE_ROWS`` rows,
+    so their list is broadcast; without any, a plain join does.
+    """
+    hot = keyed.where(F.col(times) > SHARE_ROWS)
+    if hot.isEmpty():
+        return rows.join(keyed, key)
+    listed = F.broadcast(hot.select(key, F.col(times).alias("hot")))
+    dealt = _dealt(rows.join(listed, key, "left").withColumn("hot", F.coalesce("hot", F.lit(1))), "hot").drop("hot")
+    return dealt.join(_in_each_share(keyed, times), [key, "share"]).drop("share")
+
+
 def _postings(folder: Work, slim: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
     """Prefix shingles found with two or more representatives: (token, doc, n, matches, level, df).
 
@@ -215,9 +247,9 @@ def _postings(folder: Work, slim: DataFrame, reps: DataFrame, like: Likeness) ->
     rows = chosen.select("doc", packed.alias("packed"), free.alias("free"), F.posexplode("prefix").alias("at", "token")).select(
         "token", "doc", (F.col("packed") + F.greatest(F.lit(1), F.col("at") - F.col("free") + 1)).alias("packed")
     )
-    common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    common = folder.save(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
     return folder.save(
-        rows.join(common, "token").select(
+        _to_its_group(rows, common, "token", "df").select(
             "token", "doc", F.shiftright("packed", 8).alias("n"),
             (F.shiftright("packed", 4) % 16).cast("int").alias("matches"), (F.col("packed") % 16).cast("int").alias("level"), "df",
         ),
@@ -290,8 +322,8 @@ def _central_pairs(postings: DataFrame, like: Likeness) -> DataFrame:
     """
     weight = postings.groupBy("doc").agg((F.sum(F.log2("df")) / F.max("n")).alias("weight"))
     rows = postings.join(weight, "doc")
-    best = rows.groupBy("token").agg(F.max(F.struct("weight", "doc", "n", "matches", "level")).alias("c"))
-    met = rows.join(best, "token").where((F.col("doc") != F.col("c.doc")) & _may_link(like, "", "c."))
+    best = rows.groupBy("token").agg(F.max(F.struct("weight", "doc", "n", "matches", "level")).alias("c"), F.max("df").alias("times"))
+    met = _dealt(rows, "df").join(_in_each_share(best, "times"), ["token", "share"]).where((F.col("doc") != F.col("c.doc")) & _may_link(like, "", "c."))
     shared = met.groupBy(F.col("doc").alias("b"), F.col("c.doc").alias("a")).agg(
         F.count("*").alias("shared"), F.first(F.least("matches", "c.matches")).alias("needed")
     ).where("shared >= needed")
@@ -330,12 +362,12 @@ def _family_pairs(families: DataFrame, labels: DataFrame, like: Likeness) -> Dat
     rows = rows.join(open_tokens, ["a", "token"]).withColumns({
         "at": F.row_number().over(of_document.orderBy("times", "token")) - 1, "usable": F.count("*").over(of_document)
     })
-    x, y = rows.where("far").alias("x"), rows.alias("y")
+    x, y = _in_each_share(rows.where("far"), "times").alias("x"), _dealt(rows, "times").alias("y")
     both = F.col("x.differing") + F.col("y.differing")
     allowed = F.floor((100 - p) * (F.col("x.n") + F.col("y.n")) / (100 + p))
     needed = F.greatest(F.lit(1), F.ceil((both - allowed) / 2))
     asked = F.least(needed, F.lit(FAMILY_MATCHES))
-    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token"))).where(
+    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.share") == F.col("y.share"))).where(
         (F.col("x.label") != F.col("y.label")) & (~F.col("y.far") | (F.col("x.doc") < F.col("y.doc")))
         & (F.col("x.at") < F.col("x.usable") - needed + asked) & (F.col("y.at") < F.col("y.usable") - needed + asked)
         & (F.least("x.at", "y.at") + F.least(F.col("x.usable") - F.col("x.at"), F.col("y.usable") - F.col("y.at")) >= needed)
@@ -371,9 +403,9 @@ def _open_pairs(postings: DataFrame, families: DataFrame, labels: DataFrame, lik
     sizes = rows.groupBy("token", "group").agg(F.count("*").alias("size"))
     split = sizes.groupBy("token").agg(F.max(F.struct("size", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
     rows = rows.join(split.select("token", F.col("top.group").alias("main")), "token")
-    x, y = rows.where("group <> main").alias("x"), rows.alias("y")
+    x, y = _in_each_share(rows.where("group <> main"), "df").alias("x"), _dealt(rows, "df").alias("y")
     in_main = F.col("y.group") == F.col("y.main")
-    met = x.join(y, "token").where(
+    met = x.join(y, ["token", "share"]).where(
         (in_main | (F.col("x.doc") < F.col("y.doc"))) & (F.col("x.label") != F.col("y.label"))
         & ~F.coalesce(F.col("x.centre") == F.col("y.centre"), F.lit(False)) & _may_link(like, "x.", "y.")
     )
@@ -401,7 +433,7 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_
             _describe(docs, build_sketch(docs, text, like), id, text, like).withColumnRenamed(id, "doc"), "documents"
         )
         known = slim.where(F.col("doc").isNotNull() & (F.col("n") > 0))
-        reps = out.save(known.groupBy("digest").agg(F.min("doc").alias("rep")), "representatives")
+        reps = out.save(known.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "representatives")
         postings = _postings(folder, known, reps, like)
         texts = _pick_texts(folder, docs, postings.select("doc").distinct(), id, text)
         # An id with several texts ties their sets together.
@@ -420,7 +452,10 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_
         pairs = _family_pairs(families, labels, like).union(_open_pairs(postings, families, labels, like)).distinct()
         links = links.union(_compare(folder, folder.save(pairs, "open"), texts, like, "linked"))
         labels = out.save(components(links, folder, "components"), "labels")
-    member = slim.select("doc", "n", "digest").join(reps, "digest", "left").withColumn("rep", F.coalesce("rep", "doc"))
+    rows = slim.select("doc", "n", "digest")
+    of_group = F.col("doc").isNotNull() & (F.col("n") > 0)
+    grouped = _to_its_group(rows.where(of_group), reps, "digest", "copies").select("doc", "n", "rep")
+    member = grouped.union(rows.where(~of_group).select("doc", "n", F.col("doc").alias("rep")))
     return label_nodes(member, labels, "rep").select(
         F.col("doc").alias(id), F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNotNull(), F.col("label")).alias("component_id"),
@@ -443,14 +478,16 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id", t
         .where("dropped or rows > 1").select("doc", "dropped"),
         "decided",
     )
+    bucket, dropped, row = (fresh(name, docs.columns) for name in ("bucket", "dropped", "row"))
     key = F.pmod(F.xxhash64(F.col(f"`{id}`")), F.lit(PICK_BUCKETS)).cast("int")
-    buckets = wanted.select(F.pmod(F.xxhash64("doc"), F.lit(PICK_BUCKETS)).cast("int").alias("__bucket")).distinct()
+    buckets = wanted.select(F.pmod(F.xxhash64("doc"), F.lit(PICK_BUCKETS)).cast("int").alias(bucket)).distinct()
     small = F.broadcast(buckets)  # at most PICK_BUCKETS rows
-    marked = docs.withColumn("__bucket", F.when(F.col(f"`{id}`").isNotNull(), key))
-    far = marked.join(small, "__bucket", "left_anti").drop("__bucket")
-    near = marked.join(small, "__bucket", "left_semi").drop("__bucket")
-    decided = near.join(wanted.select(F.col("doc").alias(id), F.col("dropped").alias("__dropped")), id, "left")
-    single = decided.where(F.col("__dropped").isNull()).select(docs.columns)
-    repeated = decided.where(~F.col("__dropped")).select(docs.columns)
-    one = repeated.groupBy(F.col(f"`{id}`").alias("__id")).agg(row_pick(repeated, "min").alias("__row"))
-    return far.select(docs.columns).union(single).union(one.select(*unpack("__row", docs.columns)))
+    marked = docs.withColumn(bucket, F.when(F.col(f"`{id}`").isNotNull(), key))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    far = marked.join(small, bucket, "left_anti").select(names)
+    near = marked.join(small, bucket, "left_semi").select(names)
+    decided = near.join(wanted.select(F.col("doc").alias(id), F.col("dropped").alias(dropped)), id, "left")
+    single = decided.where(F.col(dropped).isNull()).select(names)
+    repeated = decided.where(~F.col(dropped)).select(names)
+    one = repeated.groupBy(F.col(f"`{id}`").alias(fresh("key", docs.columns))).agg(row_pick(repeated, "min").alias(row))
+    return far.union(single).union(one.select(*unpack(row, docs.columns)))
