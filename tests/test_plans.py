@@ -1,8 +1,10 @@
 """Plans that must keep their shape: what is pushed down, pruned, and cut before a shuffle."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from trellium.operators import joins, listing, profile, scoring, split
+from trellium.operators import joins, listing, scoring, split
+from trellium.plans import predict, train
 
 
 def plan_of(df):
@@ -25,15 +27,10 @@ def test_hash_split_does_not_shuffle(spark):
     assert "Exchange" not in plan_of(split.with_test_flag(spark.range(10)))
 
 
-def test_first_rows_are_cut_before_the_shuffle(spark, tmp_path):
-    (tmp_path / "f.csv").write_text("a,b\n1,2\n")
-    lines = profile.read_lines(spark, str(tmp_path))
-    for df in (
-        scoring.sample_rows(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], ["id"]),
-        profile._first_lines(profile._with_dataset(lines, "file"), 5, False),
-    ):
-        below = plan_of(df).split("Exchange")[1]
-        assert "WindowGroupLimit" in below and "Partial" in below
+def test_first_rows_are_cut_before_the_shuffle(spark):
+    df = scoring.sample_rows(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], ["id"])
+    below = plan_of(df).split("Exchange")[1]
+    assert "WindowGroupLimit" in below and "Partial" in below
 
 
 def test_top_rows_are_no_sort(spark):
@@ -75,3 +72,54 @@ def test_hot_key_meets_a_table_in_shares(spark, rows):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def jobs_started(spark, action):
+    """How many Spark jobs an action runs."""
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    action()
+    return len(set(tracker.getJobIdsForGroup(None)) - before)
+
+
+def test_jobs_grow_with_layouts_not_with_files(spark, tmp_path):
+    """Scoring 40 and 90 files of one layout takes the same jobs; a second layout takes more.
+
+    From 33 files on Spark lists them in jobs of its own, a few for any number.
+    """
+    layout = train.Layout(str(tmp_path))
+    rows = spark.range(60).selectExpr("id", "double(id) a", "double(2 * id) price")
+    rows.write.option("header", True).csv(str(tmp_path / "up"))
+    train.train_job(spark, layout, "m", str(tmp_path / "up"), "price", "regression", train.TrainOptions("linear"))
+    for i in range(90):
+        (tmp_path / f"{i}.csv").write_text(f"id,a\n{i},{i}\n")
+    (tmp_path / "other.csv").write_text("a,id,note\n1,1,x\n")
+
+    def score(names, out):
+        asked = spark.createDataFrame([(n, str(tmp_path / f"{n}.csv"), "m") for n in names], "predict_id string, csv_path string, model_id string")
+        return jobs_started(spark, lambda: predict.predict_many(spark, layout, asked, str(tmp_path / out), str(tmp_path / f"{out}-results")).collect())
+
+    few, many = score([str(i) for i in range(40)], "few"), score([str(i) for i in range(90)], "many")
+    one, two = score(["0"], "one"), score(["0", "1", "other"], "two")
+    assert few == many and one <= many and two > one
+    got = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "many"))
+    assert sorted((r.predict_id, round(r.price)) for r in got.collect()) == [(i, 2 * i) for i in range(90)]
+
+
+def test_headers_as_the_reader_names_them(spark, tmp_path):
+    from trellium.sources import csv as files
+
+    for i, head in enumerate(["a,b", '"x, y",b', "a,,c", "a,a,b", "\ufeffa,b", " a ,b", 'say ""hi"",b', "A,a"]):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(f"\n  \n{head}\n1,2,3\n", encoding="utf-8")
+        line, folder = files.first_line(spark, str(path))
+        assert not folder and files.header_fields(line) == spark.read.option("header", True).options(**files._QUOTING).csv(str(path)).columns, head
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "_SUCCESS").write_text("")
+    (tmp_path / "d" / "part-0.csv").write_text("")
+    (tmp_path / "d" / "part-1.csv").write_text("k,v\n")
+    assert files.first_line(spark, str(tmp_path / "d")) == ("k,v", True)
+    with pytest.raises(FileNotFoundError, match="PATH_NOT_FOUND"):
+        files.first_line(spark, str(tmp_path / "none"))
+    spark.range(3).selectExpr("id", "id v").coalesce(1).write.option("header", True).option("compression", "gzip").csv(str(tmp_path / "z"))
+    assert files.header_of(spark, str(tmp_path / "z")) == ["id", "v"]
