@@ -277,3 +277,25 @@ def test_running_status_in_update_mode(spark, tmp_path):
     run = running_status(ranked).writeStream.format("memory").queryName("st").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination()
     assert {(r.job_id, r.status) for r in spark.table("st").collect()} == {("a", "completed"), ("b", "ingested")}
+
+
+def test_files_of_any_header_are_routed(spark, tmp_path):
+    """Two orders, an extra column, a file without a feature, an empty one, unreadable values; a batch replayed."""
+    from trellium.streaming.scoring import arriving_files, read_routed, route_step
+
+    table = spark.range(50).selectExpr("id", "cast(id as double) a", "cast(id % 7 as double) b", "cast(2 * id + id % 7 as double) label")
+    fitted = models.fit(table, ["a", "b"], "label", "regression", "linear")
+    meta = {"target_column": "label", "feature_cols": ["a", "b"]}
+    write_csv(tmp_path / "in" / "1.csv", "id,a,b", [(1, 4, 1), (2, "x", 1)])
+    write_csv(tmp_path / "in" / "2.csv", "B, A ,id,note", [(2, 5, 3, "n")])
+    write_csv(tmp_path / "in" / "3.csv", "id,a", [(9, 9)])
+    (tmp_path / "in" / "4.csv").write_text("")
+    write_csv(tmp_path / "in" / "sub" / "5.csv", "id,a,b", [(5, 1, 0)])
+    step = route_step(fitted.model, meta, {"a": "double", "b": "double"}, str(tmp_path / "out"), str(tmp_path / "aside"))
+    stream.run_stage(arriving_files(spark, str(tmp_path / "in"), 2), step, str(tmp_path / "check")).awaitTermination()
+    step(spark.createDataFrame([(str(tmp_path / "in" / "1.csv"), 1)], "path string, length long"), "again")
+    step(spark.createDataFrame([(str(tmp_path / "in" / "1.csv"), 1), ("/no/such.csv", 1)], "path string, length long"), "again")
+    rows = [(r.id, r.note, None if r.label is None else round(r.label)) for r in read_routed(spark, str(tmp_path / "out")).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, [("1", None, 9), ("2", None, None), ("3", "n", 12), ("5", None, 2), ("1", None, 9), ("2", None, None)]))
+    aside = {r.path.rsplit("/", 1)[1]: r.reason for r in spark.read.schema("path string, reason string").json(str(tmp_path / "aside" / "batch-*")).collect()}
+    assert set(aside) <= {"3.csv", "4.csv", "such.csv"} and "['b']" in aside["3.csv"] and "PATH_NOT_FOUND" in aside["such.csv"]

@@ -10,9 +10,11 @@ from trellium.plans.book import in_test, query, table
 from trellium.plans.queries_catalog import _requests
 from trellium.plans.queries_models import _LINES_SQL, _lines, id_lines
 from trellium.plans.queries_tables import _order_files
-from trellium.operators.listing import model_listing
+from trellium.operators.listing import job_status, model_listing, predict_status
 from trellium.sources import csv as files
 from trellium.sources import messages as msg
+from trellium.sources import registry
+from trellium.sources.artifacts import ArtifactIndex
 from trellium.sources.catalog import Catalog
 from trellium.sources.folders import new_folder
 from trellium.streaming import messages as stream
@@ -111,23 +113,31 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     with {_LINES_SQL}
     select l_orderkey || '|' || l_linenumber as id, quantity, discount,
-           round(b0 + b1 * quantity + b2 * discount, 3) as label
+           round(b0 + b1 * quantity + b2 * discount, 3) as label, null::varchar as reason
     from l, b
+    union all select null, null, null, null, 'scoring table lacks feature columns: [''discount'']'
     """
 )
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV files scored as they arrive, by a model fitted on the training share."""
+    """CSV files of two column orders scored as they arrive, by a model fitted on the training share; a bad file is set aside."""
     lines = id_lines(spark, sf_dir)
     trained = train.train_table(lines, "label", "regression", train.TrainOptions(estimator="linear"))
     meta = {"target_column": "label", "feature_cols": trained.fitted.features}
-    arriving, out = new_folder(spark, "arriving"), new_folder(spark, "scored")
-    files.write_csv(lines.drop("label").repartitionByRange(6, "id"), arriving)
-    incoming = stream_scoring.scoring_stream(
-        spark, arriving, ["id", "quantity", "discount"], {"quantity": "double", "discount": "double"}, max_files=2
+    arriving, out, aside = (new_folder(spark, n) for n in ("arriving", "scored", "quarantine"))
+    rows = lines.drop("label")
+    one = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3)) == 0
+    files.write_csv(rows.where(one).repartitionByRange(3, "id"), f"{arriving}/a")
+    files.write_csv(rows.where(~one).select(F.col("discount").alias(" Discount"), "id", F.col("quantity").alias("QUANTITY")).repartitionByRange(3, "id"), f"{arriving}/b")
+    files.write_csv(rows.limit(1).drop("discount").coalesce(1), f"{arriving}/c")
+    incoming = stream_scoring.arriving_files(spark, arriving, max_files=3)
+    step = stream_scoring.route_step(trained.fitted.model, meta, {"quantity": "double", "discount": "double"}, out, aside)
+    stream.run_stage(incoming, step, new_folder(spark, "checkpoint")).awaitTermination()
+    scored = stream_scoring.read_routed(spark, out).select(
+        "id", "quantity", "discount", F.round("label", 3).alias("label"), F.lit(None).cast("string").alias("reason")
     )
-    run = stream_scoring.score_stream(incoming, trained.fitted.model, meta, out, new_folder(spark, "checkpoint"))
-    run.awaitTermination()
-    return spark.read.parquet(out).select("id", "quantity", "discount", F.round("label", 3).alias("label"))
+    none = F.lit(None).cast("double")
+    bad = spark.read.schema(stream_scoring.QUARANTINE).json(f"{aside}/batch-*")
+    return scored.unionByName(bad.select(F.lit(None).cast("string").alias("id"), none.alias("quantity"), none.alias("discount"), none.alias("label"), "reason"))
 
 
 _CHAIN_SQL = f"""
@@ -351,3 +361,73 @@ def result_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predict_id", "n_rows", "columns", F.col("sample_no").cast("long").alias("sample_no"), F.col("sample")["id"].alias("id"),
         F.round(F.col("sample")["label"].cast("double"), 3).alias("prediction"),
     )
+
+
+@query(
+    """
+    with s as (select distinct o_orderstatus as st from orders)
+    select 'job' as what, 'job-' || st as id, case st when 'F' then 'completed' when 'P' then 'training' else 'ingested' end as status from s
+    union all select 'job', 'job-none', 'queued'
+    union all select 'request', 'pred-' || st, case st when 'F' then 'ready' else 'pending' end from s
+    union all select 'artifact', kind || '/' || id, null from (values ('uploads', 'job-F'), ('uploads', 'job-O'), ('uploads', 'job-P'),
+        ('processed', 'job-F'), ('processed', 'job-P'), ('models', 'job-F'), ('predictions_output', 'pred-F')) a(kind, id)
+        where exists (select 1 from s where st = right(id, 1))
+    """
+)
+def artifact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses from the files that the stages themselves have written, listed step by step."""
+    layout = train.Layout(new_folder(spark, "project"))
+    index = ArtifactIndex(spark, layout.root)
+    state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("st"))
+    lines = _lines(spark, sf_dir).join(state, "l_orderkey").select("st", F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "quantity", "discount", "label")
+    kinds = sorted(r.st for r in state.select("st").distinct().collect())
+    upload = {st: f"{layout.root}/uploads/job-{st}/lines.csv" for st in kinds}
+    for st, path in upload.items():
+        files.write_csv(lines.where(F.col("st") == st).drop("st"), path)
+    index.refresh()
+    for st in {"P", "F"} & set(kinds):
+        train.preprocess(spark, upload[st], "label", layout.processed(f"job-{st}"))
+        index.refresh()
+    if "F" in kinds:
+        train.train_job(spark, layout, "job-F", upload["F"], "label", "regression", train.TrainOptions(estimator="linear"))
+        predict.predict_to_csv(spark, layout, "pred-F", "job-F", upload["F"])
+    index.refresh()
+    index.refresh()
+    asked = spark.createDataFrame([(f"job-{st}", f"pred-{st}") for st in kinds], "job_id string, predict_id string")
+    jobs = asked.select("job_id", F.lit("me").alias("user_id")).union(spark.createDataFrame([("job-none", "me")], "job_id string, user_id string"))
+    artifacts = index.read()
+    none = spark.createDataFrame([], "job_id string")
+    return (
+        job_status(jobs, none, artifacts).select(F.lit("job").alias("what"), F.col("job_id").alias("id"), "status")
+        .unionByName(predict_status(asked, artifacts).select(F.lit("request").alias("what"), F.col("predict_id").alias("id"), "status"))
+        .unionByName(artifacts.select(F.lit("artifact").alias("what"), F.concat_ws("/", "kind", "id").alias("id"), F.lit(None).cast("string").alias("status")))
+    )
+
+
+@query(
+    """
+    with s as (select o_orderstatus as st, count(*) as n from orders join lineitem on l_orderkey = o_orderkey group by 1)
+    select 'job-' || st as model_id, 'quantity,discount' as feature_cols, 'regression' as task_type, 'label' as target_column,
+           'mean' as estimator, true as in_models from s
+    union all select 'by-hand', 'sqft', 'classification', 'grade', null, false
+    """
+)
+def metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata files beside the models, written by training, counting before the registry."""
+    layout = train.Layout(new_folder(spark, "project"))
+    state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("st"))
+    lines = _lines(spark, sf_dir).join(state, "l_orderkey").select("st", F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "quantity", "discount", "label")
+    done = []
+    for st in sorted(r.st for r in state.join(lines.select("st").distinct(), "st").select("st").distinct().collect()):
+        trained = train.train_table(lines.where(F.col("st") == st).drop("st"), "label", "regression", train.TrainOptions(estimator="constant"))
+        trained.job_id = f"job-{st}"
+        train.save_model(trained, layout)
+        trained.target = "overtaken"
+        done.append(trained)
+    train.record(spark, done, layout)
+    registry.write_metadata_file(spark, layout.metadata("by-hand"), model_type="spark_mllib", feature_cols=["sqft"], task_type="classification", target_column="grade")
+    known = registry.with_metadata_files(registry.read_registry(spark, layout.registry), registry.read_metadata_files(spark, f"{layout.root}/models/*.meta"))
+    return known.select(
+        "model_id", F.array_join("feature_cols", ",").alias("feature_cols"), "task_type", "target_column", "estimator",
+        F.coalesce(F.col("spark_path").contains("/models/"), F.lit(False)).alias("in_models"),
+    )

@@ -18,7 +18,7 @@ from trellium.operators.scoring import score
 from trellium.operators.split import train_test, with_random_flag, with_stratified_flag, with_test_flag
 from trellium.sources.catalog import Catalog
 from trellium.sources.csv import read_parquet, read_training_csv, write_parquet
-from trellium.sources.registry import REGISTRY, registry_row, save_rows
+from trellium.sources.registry import REGISTRY, registry_row, save_rows, write_metadata_file
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,9 @@ class Layout:
     def model(self, job_id: str) -> str:
         return f"{self.root}/models/{job_id}.pkl.spark"
 
+    def metadata(self, job_id: str) -> str:
+        return f"{self.root}/models/{job_id}.pkl.meta"
+
     def output(self, predict_id: str) -> str:
         return f"{self.root}/predictions_output/{predict_id}.csv"
 
@@ -131,8 +134,14 @@ def train_table(table: DataFrame, target: str, task: str, options: TrainOptions
 
 
 def save_model(trained: Trained, layout: Layout) -> str:
+    """Save the model, then its metadata file beside it: a job whose file is there has its model."""
     path = layout.model(trained.job_id)
-    trained.fitted.model.write().overwrite().save(path)
+    model = trained.fitted.model
+    model.write().overwrite().save(path)
+    write_metadata_file(
+        SparkSession.active(), layout.metadata(trained.job_id), model_type="spark_mllib", spark_path=path,
+        feature_cols=trained.fitted.features, task_type=trained.task, target_column=trained.target,
+    )
     return path
 
 

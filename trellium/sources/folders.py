@@ -97,6 +97,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def write_file(spark: SparkSession, path: str, content: str) -> None:
+    """Write a small text file in place of any there."""
+    jpath, fs = _hadoop_path(spark, path)
+    stream = fs.create(jpath, True)
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     jpath, fs = _hadoop_path(spark, path)
     return fs.getFileStatus(jpath).isDirectory()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from trellium.functions.text import base_name, decoded_path
 from trellium.operators.merge import merge_replace, with_columns_if_absent
-from trellium.sources.folders import read_table, write_table
+from trellium.sources.folders import read_table, write_file, write_table
 
 METADATA = T.StructType(
     [
@@ -44,6 +45,26 @@ def read_metadata_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_metadata_file(spark: SparkSession, path: str, **fields: object) -> None:
+    """The metadata of one model as a JSON file; ``fields`` are those of ``METADATA``."""
+    write_file(spark, path, json.dumps({f.name: fields.get(f.name) for f in METADATA.fields}))
+
+
+def with_metadata_files(registry: DataFrame, files: DataFrame) -> DataFrame:
+    """The registry as the metadata files beside the models have it.
+
+    A field that a file gives counts before the registry's; a model that only has a
+    file is a row of its own. One row per model on either side.
+    """
+    given = files.select(F.col("model_id").alias("_id"), *[F.col(f.name).alias(f"_{f.name}") for f in METADATA.fields])
+    both = registry.join(given, F.col("model_id") == F.col("_id"), "full_outer")
+    names = {f.name for f in METADATA.fields}
+    return both.select(
+        F.coalesce("model_id", "_id").alias("model_id"),
+        *[F.coalesce(f"_{c}", c).alias(c) if c in names else F.col(c) for c in registry.columns if c != "model_id"],
+    )
+
+
 def registry_row(
     model_id: str,
     *,
