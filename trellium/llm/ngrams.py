@@ -248,13 +248,15 @@ def _postings(folder: Work, slim: DataFrame, reps: DataFrame, like: Likeness) ->
         "token", "doc", (F.col("packed") + F.greatest(F.lit(1), F.col("at") - F.col("free") + 1)).alias("packed")
     )
     common = folder.save(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    return folder.save(
+    postings = folder.save(
         _to_its_group(rows, common, "token", "df").select(
             "token", "doc", F.shiftright("packed", 8).alias("n"),
             (F.shiftright("packed", 4) % 16).cast("int").alias("matches"), (F.col("packed") % 16).cast("int").alias("level"), "df",
         ),
         "postings",
     )
+    folder.drop("common")
+    return postings
 
 
 def _pick_texts(folder: Work, docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
