@@ -204,7 +204,7 @@ def _split_lines(spark: SparkSession, sf_dir: str) -> split.Split:
 
 
 def _fit_line(parts: split.Split) -> models.Fitted:
-    facts = (parts.n_train, parts.varies)
+    facts = models.Facts(parts.n_train, bool(parts.varies), parts.missing)
     return models.fit(parts.train, _FEATURES, "label", "regression", "linear", facts=facts)
 
 
