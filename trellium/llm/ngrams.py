@@ -222,6 +222,10 @@ def _in_each_share(rows: DataFrame, times: str) -> DataFrame:
     return rows.withColumn("share", F.explode(F.sequence(F.lit(0), _shares(F.col(times)) - 1)))
 
 
+def _any_hot(postings: DataFrame) -> bool:
+    return not postings.where(F.col("df") > SHARE_ROWS).isEmpty()
+
+
 def _to_its_group(rows: DataFrame, keyed: DataFrame, key: str, times: str) -> DataFrame:
     """Rows joined to the one row of their key; ``keyed`` is a written table that counts them in ``times``.
 
@@ -325,7 +329,11 @@ def _central_pairs(postings: DataFrame, like: Likeness) -> DataFrame:
     weight = postings.groupBy("doc").agg((F.sum(F.log2("df")) / F.max("n")).alias("weight"))
     rows = postings.join(weight, "doc")
     best = rows.groupBy("token").agg(F.max(F.struct("weight", "doc", "n", "matches", "level")).alias("c"), F.max("df").alias("times"))
-    met = _dealt(rows, "df").join(_in_each_share(best, "times"), ["token", "share"]).where((F.col("doc") != F.col("c.doc")) & _may_link(like, "", "c."))
+    if _any_hot(postings):
+        met = _dealt(rows, "df").join(_in_each_share(best, "times"), ["token", "share"])
+    else:
+        met = rows.join(best, "token")
+    met = met.where((F.col("doc") != F.col("c.doc")) & _may_link(like, "", "c."))
     shared = met.groupBy(F.col("doc").alias("b"), F.col("c.doc").alias("a")).agg(
         F.count("*").alias("shared"), F.first(F.least("matches", "c.matches")).alias("needed")
     ).where("shared >= needed")
@@ -405,9 +413,12 @@ def _open_pairs(postings: DataFrame, families: DataFrame, labels: DataFrame, lik
     sizes = rows.groupBy("token", "group").agg(F.count("*").alias("size"))
     split = sizes.groupBy("token").agg(F.max(F.struct("size", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
     rows = rows.join(split.select("token", F.col("top.group").alias("main")), "token")
-    x, y = _in_each_share(rows.where("group <> main"), "df").alias("x"), _dealt(rows, "df").alias("y")
+    x, y, keys = rows.where("group <> main"), rows, ["token"]
+    if _any_hot(postings):  # else the rows lie by token already, and shares would move them once more
+        x, y, keys = _in_each_share(x, "df"), _dealt(y, "df"), ["token", "share"]
+    x, y = x.alias("x"), y.alias("y")
     in_main = F.col("y.group") == F.col("y.main")
-    met = x.join(y, ["token", "share"]).where(
+    met = x.join(y, keys).where(
         (in_main | (F.col("x.doc") < F.col("y.doc"))) & (F.col("x.label") != F.col("y.label"))
         & ~F.coalesce(F.col("x.centre") == F.col("y.centre"), F.lit(False)) & _may_link(like, "x.", "y.")
     )
