@@ -168,3 +168,42 @@ def test_odd_rows(spark, odd, none):
     assert decontaminate.keep_clean(odd, items.limit(0)).count() == odd.count()
     decontaminate.find_leaks(odd, items).collect()
     assert decontaminate.keep_clean(odd, items).columns == odd.columns
+
+
+def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
+    """Every passage of every document enters the decomposition, however many there are."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 200))) if i % 50 else None for i in range(2500)]
+    items = [decontaminate.Item(i, " ".join(rng.choices(words, k=20))) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = []
+    whole = decontaminate.randomised_svd
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, *more: given.append(sorted(r.text for r in rows.collect())) or whole(rows, *more))
+    decontaminate.fit(docs, items, "text")
+    assert given == [sorted([t for t in texts if t is not None] + [i.text for i in items])]
+
+
+def test_passage_rows_equal_a_plain_count():
+    rng = random.Random(8)
+    words = ["a", "b", "c", "d", "e", "unknown"]
+    terms = {w.encode(): i for i, w in enumerate(words[:5])}
+    weights = np.array([0.0, 1.0, 2.0, 3.0, 4.0])
+    texts = [None, "", "a a", *[" ".join(rng.choices(words, k=n)) for n in (1, 63, 64, 65, 300)], "unknown"]
+    rows = []
+    for text in texts:
+        split = (text or "").split()
+        for at in range(0, len(split), 64):
+            counts = np.array([split[at : at + 64].count(w) for w in words[:5]]) * weights
+            if counts.any():
+                rows.append(counts / np.linalg.norm(counts))
+    dense = [np.bincount(ids, values, 5) for ids, values in decontaminate._rows(texts, terms, weights)]
+    assert len(dense) == len(rows) and np.allclose(dense, rows)
+    packed = decontaminate._packed(*decontaminate.passage_rows(texts, terms, weights))
+    for cells in (1, 7, 1_024):
+        decontaminate.ROW_CELLS, before = cells, decontaminate.ROW_CELLS
+        try:
+            parts = [np.bincount(at[a:b], values[a:b], 5) for begins, at, values in decontaminate._unpacked(packed) for a, b in zip(begins, np.append(begins[1:], len(at)))]
+        finally:
+            decontaminate.ROW_CELLS = before
+        assert np.allclose(parts, rows, atol=1e-6)

@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages become TF-IDF vectors over the benchmark's words, with document
-frequencies over all documents. A randomised SVD, whose products with the
-passage matrix are summed by Spark tasks, gives a latent space. Items longer than a
+frequencies over all documents. A randomised SVD of the passages of all documents
+and items, whose products with the matrix are summed by Spark tasks, gives a latent
+space. Items longer than a
 window are cut into passages, and windows of each document are compared with
 the passages by cosine there; what comes near is checked against the whole item
 by the longest common subsequence of words, and where that leaves it open, by
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellium.llm.tables import sum_tables
-from trellium.llm.texts import annotate, keep_rows
+from trellium.llm.texts import annotate, keep_rows, slices
 from trellium.llm.work import work
 
 # A block of items that one pass over the documents searches for: its words and its distinct words, which
@@ -31,8 +32,8 @@ BLOCK_TERMS = 60_000
 # Words of documents whose sums are held at once, and cosines computed at once.
 SPAN_WORDS = 32_768
 CELLS = 4 << 20
-# Documents that the latent space is fitted on besides all items; every document is searched.
-SAMPLE_DOCS = 1_000
+# Numbers of the passage matrix that are multiplied with the basis at once.
+ROW_CELLS = 1_024
 RANK = 128
 POWER_STEPS = 2
 SEED = 7
@@ -154,51 +155,111 @@ def document_counts(docs: DataFrame, text: str, terms: dict[bytes, int]) -> tupl
     return int(table[-1]), table[:-1]
 
 
-def _rows(texts: list, terms: dict[bytes, int], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Unit TF-IDF rows (terms, values) of the passages of some texts."""
+def passage_rows(texts: list, terms: dict[bytes, int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows of the passages of some texts: where each row begins, and the terms and values of all.
+
+    A passage without weight has no row.
+    """
     size = max(SCALES)
-    for text in texts:
-        words = words_of(text)
-        for at in range(0, max(1, len(words)), size):
-            ids = np.array([i for i in map(terms.get, words[at : at + size]) if i is not None], np.int64)
-            if len(ids):
-                ids, counts = np.unique(ids[weights[ids] > 0], return_counts=True)
-                values = counts * weights[ids]
-                norm = np.sqrt((values**2).sum())
-                if norm:
-                    yield ids, values / norm
+    all_words = [words_of(t) for t in texts]
+    lengths = np.array([len(words) for words in all_words], np.int64)
+    total = int(lengths.sum())
+    ids = np.fromiter(map(terms.get, chain.from_iterable(all_words), repeat(-1)), np.int32, total)
+    places = np.flatnonzero((ids >= 0) & (weights[ids] > 0))
+    of_text = np.searchsorted(np.cumsum(lengths), places, "right")
+    parts = -(-lengths // size)
+    passage = (np.cumsum(parts) - parts)[of_text] + (places - (np.cumsum(lengths) - lengths)[of_text]) // size
+    keys, counts = np.unique(passage * len(terms) + ids[places], return_counts=True)
+    row, at = np.divmod(keys, len(terms))
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    values = counts * weights[at]
+    if len(begins):
+        values /= np.repeat(np.sqrt(np.add.reduceat(values**2, begins)), np.diff(np.append(begins, len(at))))
+    return begins, at, values
+
+
+def _rows(texts: list, terms: dict[bytes, int], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same rows one by one."""
+    begins, at, values = passage_rows(texts, terms, weights)
+    for a, b in zip(begins, np.append(begins[1:], len(at))):
+        yield at[a:b], values[a:b]
+
+
+def _packed(begins: np.ndarray, at: np.ndarray, values: np.ndarray) -> bytes:
+    return np.int64(len(begins)).tobytes() + begins.astype(np.int32).tobytes() + at.astype(np.int32).tobytes() + values.astype(np.float32).tobytes()
+
+
+def _unpacked(part: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of a part, so many at a time that their products with a basis stay small."""
+    n = int(np.frombuffer(part, np.int64, 1)[0])
+    begins = np.frombuffer(part, np.int32, n, 8)
+    size = (len(part) - 8 - 4 * n) // 8
+    at, values = np.frombuffer(part, np.int32, size, 8 + 4 * n), np.frombuffer(part, np.float32, size, 8 + 4 * (n + size))
+    bounds = np.append(begins, size)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + ROW_CELLS, "right")) - 1)
+        here = slice(bounds[first], bounds[last])
+        yield bounds[first:last] - bounds[first], at[here], values[here].astype(np.float64)
+        first = last
+
+
+def passage_matrix(texts: DataFrame, terms: dict[bytes, int], weights: np.ndarray) -> DataFrame:
+    """The passages of all texts as rows of a sparse matrix, one packed part per slice of texts."""
+    known = texts.sparkSession.sparkContext.broadcast((terms, weights))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids, idf = known.value
+        for batch in batches:
+            for part in slices(batch, 0):
+                rows = passage_rows(part.column(0).to_pylist(), ids, idf)
+                if len(rows[0]):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([_packed(*rows)], pa.binary())})
+
+    return texts.mapInArrow(run, "part binary")
 
 
 def randomised_svd(passages: DataFrame, terms: dict[bytes, int], weights: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Right singular vectors (terms x rank) of the passage matrix, by subspace iteration from random vectors.
 
-    Each step is one job: tasks multiply their passages with the current basis
-    and add up what comes back, a table of terms x rank numbers.
+    The matrix is made once from the texts and written. Each step is one job: tasks
+    multiply their passages with the current basis and add up what comes back, a
+    table of terms x rank numbers.
     """
-    rank = min(rank, len(terms))
-    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), rank)))[0]
+    with work(passages.sparkSession, "decontaminate") as folder:
+        return _subspace(folder.save(passage_matrix(passages, terms, weights), "matrix"), len(terms), rank)
+
+
+def _subspace(matrix: DataFrame, size: int, rank: int) -> np.ndarray:
+    rank = min(rank, size)
+    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, rank)))[0]
 
-    def product(basis: np.ndarray, size: int, small: bool) -> np.ndarray:
-        known = passages.sparkSession.sparkContext.broadcast((terms, weights, basis))
+    def product(basis: np.ndarray, numbers: int, small: bool) -> np.ndarray:
+        known = matrix.sparkSession.sparkContext.broadcast(basis)
 
         def start():
-            ids, idf, current = known.value
+            current = known.value
 
-            def add(texts, table):
+            def add(parts, table):
                 whole = table.reshape(-1, rank)
-                for at, values in _rows(texts, ids, idf):
-                    row = values @ current[at]
+                for begins, at, values in chain.from_iterable(map(_unpacked, parts)):
+                    rows = np.add.reduceat(current[at] * values[:, None], begins, axis=0)
                     if small:
-                        whole += np.outer(row, row)
-                    else:
-                        whole[at] += np.outer(values, row)
+                        whole += rows.T @ rows
+                        continue
+                    order = np.argsort(at, kind="stable")
+                    firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
+                    owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))[order]
+                    whole[at[order][firsts]] += np.add.reduceat(rows[owner] * values[order][:, None], firsts, axis=0)
 
             return add
 
-        return sum_tables(passages, "text", size, start, np.float64).reshape(-1, rank)
+        return sum_tables(matrix, "part", numbers, start, np.float64).reshape(-1, rank)
 
     for _ in range(POWER_STEPS):
-        basis = np.linalg.qr(product(basis, len(terms) * rank, False))[0]
+        basis = np.linalg.qr(product(basis, size * rank, False))[0]
     _, turn = np.linalg.eigh(product(basis, rank * rank, True))
     return basis @ turn[:, ::-1]
 
@@ -303,7 +364,7 @@ class Index:
 
 
 def fit(docs: DataFrame, items: list[Item], text: str) -> Index:
-    """Document counts over all documents, latent space over the items and a bounded sample of documents."""
+    """Document counts and latent space over all documents; the items are passages of the space as well."""
     spark = docs.sparkSession
     terms = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}))}
     n, counts = document_counts(docs, text, terms)
@@ -315,13 +376,9 @@ def fit(docs: DataFrame, items: list[Item], text: str) -> Index:
         if sum(bool(used[i]) for i in ids) < LEAST_TERMS:
             used[sorted(ids, key=lambda i: counts[i])[:LEAST_TERMS]] = True
     weights = np.where(used, idf, 0.0)
-    with work(spark, "decontaminate") as folder:
-        texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-        sample = texts.sample(min(1.0, 1.2 * SAMPLE_DOCS / max(1, n)), seed=SEED).limit(SAMPLE_DOCS)
-        cut_texts = [(b" ".join(words).decode("utf-8", "surrogatepass"),) for parts in passages_of for words in parts]
-        given = spark.createDataFrame(cut_texts, "text string")
-        passages = folder.save(given.unionByName(sample).repartition(8), "passages")
-        vectors = randomised_svd(passages, terms, weights)
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    cut_texts = [(b" ".join(words).decode("utf-8", "surrogatepass"),) for parts in passages_of for words in parts]
+    vectors = randomised_svd(spark.createDataFrame(cut_texts, "text string").unionByName(texts), terms, weights)
     # The last row stands for words that no item has.
     latent = np.vstack([weights[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     sums = np.stack([latent[ids].sum(axis=0) for ids in of_passage])

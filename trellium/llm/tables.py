@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from trellium.llm.texts import slices
 
 BLOCK = 1 << 14
 SCHEMA = "block int, numbers binary"
 
-# Given the texts of a slice of rows, adds to the table.
+# Given the texts (or packed parts) of a slice of rows, adds to the table.
 Adder = Callable[[list, np.ndarray], None]
 
 
@@ -55,7 +56,9 @@ def sum_tables(rows: DataFrame, column: str, size: int, start: Callable[[], Adde
                 "block": pa.array([block], pa.int32()), "numbers": pa.array([_pack(part)], pa.binary()),
             })
 
-    filled = rows.select(F.col(f"`{column}`").cast("string")).mapInArrow(fill, SCHEMA)
+    packed = rows.schema[column].dataType == BinaryType()
+    given = F.col(f"`{column}`") if packed else F.col(f"`{column}`").cast("string")
+    filled = rows.select(given).mapInArrow(fill, SCHEMA)
     result = np.zeros(size, kind)
     for block, numbers in filled.repartition("block").mapInArrow(total, SCHEMA).collect():
         part = _unpack(bytes(numbers), kind)
