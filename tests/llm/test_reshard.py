@@ -88,3 +88,18 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     parts = [spark.read.parquet(folders[k]) for k in range(4)]
     assert [p.count() for p in parts] == [100] * 4
     assert sorted(r.doc_id for p in parts for r in p.select("doc_id").collect()) == list(range(400))
+
+
+def test_large_rows_follow_the_flow_and_its_costs():
+    """Of three rows of 10 bytes one stays; the flow splits another, which goes the cheap way, not to the emptiest shard."""
+    cost = {(0, 0): 0, (0, 1): 5, (0, 2): 1}
+    placed = reshard.place_large([(0, k, 10) for k in range(3)], [30, 0, 0], [15, 30, 30], cost)
+    assert sorted(placed.values()) == [0, 2, 2]
+
+
+def test_spare_room_moves_nothing(spark):
+    """Where every shard may hold all rows, the cheapest flow leaves them where they are; large rows and small ones."""
+    for n in (5, 30_000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), (F.col("id") % 2).alias("old"))
+        rows = reshard.reshard(docs, F.col("old"), 4, [10 * n] * 4)
+        assert rows.where("shard <> old_shard").count() == 0 and rows.count() == n

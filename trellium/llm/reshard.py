@@ -4,7 +4,8 @@ Old shard sizes are supplies, new capacities are demands, and a byte that
 leaves its shard costs one (or what a cost table says). The flow that moves the
 fewest bytes is solved on the driver, over shards only. Rows follow it: those
 too large to be cut by are placed one by one (there are few, whatever the size
-of the data), the others of a shard are laid end to end and cut into blocks.
+of the data), and the flow of the rest is solved again; the others of a shard are
+laid end to end and cut into blocks.
 """
 
 from __future__ import annotations
@@ -79,34 +80,47 @@ def min_cost_flow(
 
 
 def place_large(
-    rows: Sequence[tuple[int, int, int]], flow: Mapping[tuple[int, int], int], capacities: Sequence[int]
+    rows: Sequence[tuple[int, int, int]], supplies: Sequence[int], capacities: Sequence[int], cost: Mapping[tuple[int, int], int] | None = None
 ) -> dict[tuple[int, int], int]:
-    """New shard of each large row (old shard, rank, size), the largest first.
+    """New shard of each large row (old shard, rank, size), the largest first, along the flow.
 
-    A row stays if its shard's flow to itself has room, else goes where the
-    flow sends most, else where most room is left.
+    A row stays if its shard's flow to itself carries it, else takes the way that
+    carries most. A flow may split a row's bytes; where no way carries the row
+    whole, it takes the cheapest shard with room, and the flow of what is left is
+    solved again.
     """
-    flow, room = dict(flow), list(capacities)
+    left, room = list(supplies), list(capacities)
+    flow = min_cost_flow(left, room, cost)
     placed = {}
     for old, rank, size in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
-        ways = [j for j in range(len(room)) if flow.get((old, j), 0) >= size and room[j] >= size]
+        ways = [j for j in range(len(room)) if flow.get((old, j), 0) >= size]
+        open_to = [j for j in range(len(room)) if room[j] >= size]
         if old in ways:
             to = old
         elif ways:
             to = max(ways, key=lambda j: (flow[old, j], -j))
+        elif open_to:
+            to = min(open_to, key=lambda j: ((cost or {}).get((old, j), 0 if old == j else 1), -flow.get((old, j), 0), -room[j], j))
         else:
             to = max(range(len(room)), key=lambda j: (room[j], -j))
-        flow[old, to] = max(0, flow.get((old, to), 0) - size)
-        room[to] -= size
         placed[old, rank] = to
+        left[old] -= size
+        room[to] -= size
+        if ways:
+            flow[old, to] -= size
+        else:
+            flow = min_cost_flow(left, [max(0, r) for r in room], cost)
     return placed
 
 
-def _blocks(supplies: Sequence[int], room: Sequence[int], cost) -> dict[int, tuple[list[int], list[int]]]:
-    """Per old shard the ends of its blocks along the laid-out bytes, and where each goes; the home block first."""
+def _blocks(supplies: Sequence[int], room: Sequence[int], cost, spare: int) -> dict[int, tuple[list[int], list[int]]]:
+    """Per old shard the ends of its blocks along the laid-out bytes, and where each goes; the home block first.
+
+    ``spare`` is the room that was asked for beyond all bytes; the flow decides where it stays free.
+    """
     # Large rows may have overfilled a shard; its room is none then, and the others' room is cut to fit.
     room = [max(0, r) for r in room]
-    excess = sum(room) - sum(supplies)
+    excess = sum(room) - sum(supplies) - spare
     while excess > 0:
         j = max(range(len(room)), key=lambda k: room[k])
         others = sorted(room)[-2] if len(room) > 1 else 0
@@ -171,12 +185,12 @@ def reshard(
         "rank", F.row_number().over(Window.partitionBy("old").orderBy(F.desc("size"), "crc", "id"))
     )
     large = [(r.old, r["rank"], r["size"]) for r in ranked.select("old", "rank", "size").collect()]
-    placed = place_large(large, min_cost_flow(supplies, capacities, cost), capacities)
+    placed = place_large(large, supplies, capacities, cost)
     room, rest = list(capacities), list(supplies)
     for old_shard, rank, size in large:
         room[placed[old_shard, rank]] -= size
         rest[old_shard] -= size
-    blocks = _blocks(rest, room, cost)
+    blocks = _blocks(rest, room, cost, sum(capacities) - total)
 
     places = spark.createDataFrame([(o, r, to) for (o, r), to in placed.items()], "old int, rank int, shard int")
     ways = spark.createDataFrame([(o, ends, to) for o, (ends, to) in blocks.items()], "old int, ends array<long>, ways array<int>")
