@@ -123,3 +123,16 @@ def test_headers_as_the_reader_names_them(spark, tmp_path):
         files.first_line(spark, str(tmp_path / "none"))
     spark.range(3).selectExpr("id", "id v").coalesce(1).write.option("header", True).option("compression", "gzip").csv(str(tmp_path / "z"))
     assert files.header_of(spark, str(tmp_path / "z")) == ["id", "v"]
+
+
+def test_rows_of_a_hot_key_are_never_shuffled_by_the_bare_key(spark):
+    """Only counts travel by the key alone; rows travel by key and share."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).select((F.col("id") % 2).alias("k"), "id")
+        plan = plan_of(joins.join_hot(rows, spark.range(2).select(F.col("id").alias("k")), "k", share_rows=300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    by_key = [line for line in plan.split("\n") if "hashpartitioning(k#" in line and "__share" not in line]
+    assert plan.count("BroadcastHashJoin") == 2 and len(by_key) == plan.count("partial_count")

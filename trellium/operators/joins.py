@@ -32,13 +32,14 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", sh
     Keys are counted first, folded on the map side. The rows of a hot key, equal
     ones too, are dealt at random into shares in proportion to their number, and
     only its row of the table is repeated, once per share. There is at most one
-    hot key per ``share_rows`` rows, so their list is small beside the rows. How
-    each side travels is left to Spark's byte threshold. The result is spread by
+    hot key per ``share_rows`` rows, so their list is small and is broadcast: a
+    shuffle of the rows by the bare key would bring a hot key into one task. How
+    the sides of the join itself travel is left to Spark's byte threshold. The result is spread by
     key and share, so a grouping by the key that comes next folds its rows first.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > share_rows).select(
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > share_rows).select(
         key, F.ceil(F.col("__n") / share_rows).cast("int").alias("__shares")
-    )
+    ))
     shares = F.coalesce("__shares", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("__share", F.floor(F.rand(7) * shares).cast("int")).drop("__shares")
     repeated = keyed.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
