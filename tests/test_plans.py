@@ -136,3 +136,19 @@ def test_rows_of_a_hot_key_are_never_shuffled_by_the_bare_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     by_key = [line for line in plan.split("\n") if "hashpartitioning(k#" in line and "__share" not in line]
     assert plan.count("BroadcastHashJoin") == 2 and len(by_key) == plan.count("partial_count")
+
+
+def test_lines_of_many_jobs_are_joined_once(spark, tmp_path, monkeypatch):
+    """Each job trains on rows that were written, so no pass over them joins again."""
+    from trellium.plans import queries_streams
+
+    spark.createDataFrame([(i, "F") for i in range(8)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(
+        [(i, 1, float(i), 0.1, 10.0 * i) for i in range(8)],
+        "l_orderkey long, l_linenumber long, l_quantity double, l_discount double, l_extendedprice double",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    plans, whole = [], train.train_table
+    monkeypatch.setattr(train, "train_table", lambda table, *more: plans.append(plan_of(table)) or whole(table, *more))
+    rows = queries_streams.metadata_files(spark, str(tmp_path)).collect()
+    assert {r.model_id for r in rows} == {"job-F", "by-hand"}
+    assert len(plans) == 1 and "Join" not in plans[0]

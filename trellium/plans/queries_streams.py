@@ -16,7 +16,7 @@ from trellium.sources import messages as msg
 from trellium.sources import registry
 from trellium.sources.artifacts import ArtifactIndex
 from trellium.sources.catalog import Catalog
-from trellium.sources.folders import new_folder
+from trellium.sources.folders import new_folder, work_table
 from trellium.streaming import messages as stream
 from trellium.streaming import scoring as stream_scoring
 from trellium.streaming import stages, status
@@ -417,6 +417,8 @@ def metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = train.Layout(new_folder(spark, "project"))
     state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("st"))
     lines = _lines(spark, sf_dir).join(state, "l_orderkey").select("st", F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "quantity", "discount", "label")
+    # Joined once: every pass of every job's training reads the rows that were written.
+    lines = work_table(lines, "lines")
     done = []
     for st in sorted(r.st for r in state.join(lines.select("st").distinct(), "st").select("st").distinct().collect()):
         trained = train.train_table(lines.where(F.col("st") == st).drop("st"), "label", "regression", train.TrainOptions(estimator="constant"))
