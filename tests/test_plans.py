@@ -138,6 +138,23 @@ def test_rows_of_a_hot_key_are_never_shuffled_by_the_bare_key(spark):
     assert plan.count("BroadcastHashJoin") == 2 and len(by_key) == plan.count("partial_count")
 
 
+def test_rows_stay_where_they_are_for_few_constants(spark):
+    """Rows that are scored with constants are shuffled only if the constants are many."""
+    rows = spark.range(4000).select((F.col("id") % 5).alias("model_id"), "id", F.lit(0.0).alias("prediction"))
+    few = spark.range(4).select(F.col("id").alias("model_id"), (F.col("id") * 1.5).alias("prediction"))
+    many = few.union(spark.range(10, joins.SMALL_ROWS + 20).select("id", F.lit(0.5)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = [scoring.score_constants(rows, constants) for constants in (few, many)]
+        assert "hashpartitioning" not in plan_of(scored[0]) and "SortMergeJoin" in plan_of(scored[1])
+        for got in scored:
+            assert got.columns == ["model_id", "id", "prediction"]
+            assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(i % 5, i, None if i % 5 == 4 else i % 5 * 1.5) for i in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_lines_of_many_jobs_are_joined_once(spark, tmp_path, monkeypatch):
     """Each job trains on rows that were written, so no pass over them joins again."""
     from trellium.plans import queries_streams

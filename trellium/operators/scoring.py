@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trellium.functions import text
 from trellium.functions.feature_lists import prediction_name, scoring_features
 from trellium.operators.features import drop_stage_columns
-from trellium.operators.joins import join_hot
+from trellium.operators.joins import broadcast_if_small, join_hot
 
 SAMPLE_ROWS = 5
 
@@ -73,8 +73,13 @@ def unmatched(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def score_constants(rows: DataFrame, constants: DataFrame, key: str = "model_id") -> DataFrame:
-    """Score rows of many constant models in one join: ``constants`` has ``key, prediction``."""
-    return join_hot(rows.drop("prediction"), constants, key, "left")
+    """Score rows of many constant models in one join: ``constants`` has ``key, prediction``, one row per key.
+
+    Few constants are broadcast, so the rows are neither shuffled nor sorted by
+    their model; with more than ``SMALL_ROWS`` hot models are dealt into shares.
+    """
+    ready, few = rows.drop("prediction"), broadcast_if_small(constants)
+    return join_hot(ready, constants, key, "left") if few is constants else ready.join(few, key, "left")
 
 
 def sample_rows(scored: DataFrame, by: Sequence[str], order_by: Sequence[str], n: int = SAMPLE_ROWS) -> DataFrame:
