@@ -184,6 +184,17 @@ def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
     assert given == [sorted([t for t in texts if t is not None] + [i.text for i in items])]
 
 
+def test_items_need_no_python_workers_of_their_own(spark, tmp_path, monkeypatch):
+    # Rows of tuples would be turned by a second daemon with workers of its own, beside those that make the matrix.
+    docs, items, _ = corpus(spark)
+    docs.write.parquet(str(tmp_path / "docs"))
+    given, whole = [], decontaminate.randomised_svd
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, *more: given.append(rows) or whole(rows, *more))
+    decontaminate.find_leaks(spark.read.parquet(str(tmp_path / "docs")), items)
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
 def test_passage_rows_equal_a_plain_count():
     rng = random.Random(8)
     words = ["a", "b", "c", "d", "e", "unknown"]

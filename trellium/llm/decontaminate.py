@@ -365,6 +365,8 @@ class Index:
 
 def fit(docs: DataFrame, items: list[Item], text: str) -> Index:
     """Document counts and latent space over all documents; the items are passages of the space as well."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     terms = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}))}
     n, counts = document_counts(docs, text, terms)
@@ -377,8 +379,9 @@ def fit(docs: DataFrame, items: list[Item], text: str) -> Index:
             used[sorted(ids, key=lambda i: counts[i])[:LEAST_TERMS]] = True
     weights = np.where(used, idf, 0.0)
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    cut_texts = [(b" ".join(words).decode("utf-8", "surrogatepass"),) for parts in passages_of for words in parts]
-    vectors = randomised_svd(spark.createDataFrame(cut_texts, "text string").unionByName(texts), terms, weights)
+    # As an Arrow table: rows of Python tuples are turned by Python workers of their own, beside those of the matrix.
+    cut_texts = pa.table({"text": pa.array([b" ".join(words).decode() for parts in passages_of for words in parts], pa.string())})
+    vectors = randomised_svd(spark.createDataFrame(cut_texts).unionByName(texts), terms, weights)
     # The last row stands for words that no item has.
     latent = np.vstack([weights[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     sums = np.stack([latent[ids].sum(axis=0) for ids in of_passage])
