@@ -29,3 +29,24 @@ def sf(request):
     if not os.path.isdir(path):
         pytest.skip("test tables are not here")
     return path
+
+
+@pytest.fixture(scope="session")
+def held(spark):
+    """How many objects of a class any Python worker has, at most, in a task of something else."""
+
+    def count(module, name):
+        def run(batches):
+            import gc
+            import importlib
+
+            import pyarrow as pa
+
+            kind = getattr(importlib.import_module(module), name)
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_pydict({"n": [sum(isinstance(x, kind) for x in gc.get_objects())]})
+
+        return max(row.n for row in spark.range(0, 64, 1, 32).mapInArrow(run, "n long").collect())
+
+    return count

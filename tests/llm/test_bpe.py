@@ -1,6 +1,8 @@
+import gc
 import hashlib
 import random
 import struct
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +11,7 @@ from tokenizers import Tokenizer
 
 from trellium.llm import bpe
 from trellium.llm.queries import QUERIES
+from trellium.llm.texts import made_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -73,3 +76,30 @@ def test_odd_rows(odd, none, library):
     assert len(got) == odd.count()
     assert sorted(r.decoded for r in got) == sorted(r.text or "" for r in odd.collect())
     assert bpe.digest(bpe.encode_decode(none, PATH)).count() == 0
+
+
+def test_workers_let_go_of_the_vocabulary(spark, odd, held):
+    bpe.encode_decode(odd, PATH).collect()
+    assert held("trellium.llm.bpe", "ByteBpe") == 0
+
+
+def test_a_vocabulary_is_made_once_for_a_broadcast(own):
+    class Shared:
+        value = "a"
+
+    made, shared = [], Shared()
+    first = made_of(shared, lambda value: made.append(value) or bpe._Pieces(own))
+    assert made_of(shared, made.append) is first and made == ["a"]
+
+
+def test_nothing_waits_for_the_garbage_collector():
+    with open(PATH, encoding="utf-8") as file:
+        vocabulary = bpe.load(file.read())
+    vocabulary.encode("it's text")
+    gone = weakref.ref(vocabulary)
+    gc.disable()
+    try:
+        del vocabulary
+        assert gone() is None
+    finally:
+        gc.enable()

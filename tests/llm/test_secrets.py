@@ -163,3 +163,9 @@ def test_masking_follows_length(spark):
     docs = spark.createDataFrame([(1, "token=zq7Lw3vPx7", 16), (2, "nothing", 99), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.mask_secrets(docs).collect()}
     assert got == {1: ("token=[secret]", 14), 2: ("nothing", 99), 3: (None, 0)}
+
+
+def test_workers_let_go_of_the_words(spark, odd, held):
+    secrets.mask_secrets(odd).collect()
+    # The built-in words stay.
+    assert held("trellium.llm.secrets", "Dictionary") == 1

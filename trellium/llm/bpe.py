@@ -11,10 +11,10 @@ the two tokens decide.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
+from weakref import proxy
 
 import ahocorasick
 import numpy as np
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm.texts import annotate
+from trellium.llm.texts import annotate, made_of
 
 # Pieces are encoded one by one and remembered; the memory is emptied when full.
 MEMORY_PIECES = 300_000
@@ -207,7 +207,7 @@ class _Pieces(dict):
 
     def __init__(self, bpe: ByteBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe = proxy(bpe)  # else both would stay until cycles are collected
 
     def __missing__(self, piece: str) -> bytes:
         ids = _pack(self.bpe.encode_piece(piece))
@@ -218,7 +218,6 @@ class _Pieces(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
 def load(content: str) -> ByteBpe:
     return ByteBpe(content)
 
@@ -235,7 +234,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: st
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        bpe = load(content.value)
+        bpe = made_of(content, load)
 
         def work(texts):
             ids = [bpe.encode(t or "") for t in texts]

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm.texts import annotate, fresh, slices
+from trellium.llm.texts import annotate, fresh, made_of, slices
 from trellium.llm.work import work
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -117,17 +116,6 @@ class Dictionary:
         return 0.15 * len(low) <= vowels <= 0.8 * len(low) and odd <= allowed
 
 
-_made: dict[str, Dictionary] = {}
-
-
-def _dictionary(name: str, corpus) -> Dictionary:
-    """The dictionary of a broadcast word list, made once in a worker; only the last one is held."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = Dictionary(corpus.value)
-    return _made[name]
-
-
 LEET = str.maketrans("@4301!57$", "aaeoiists")
 
 # Rows of a keyboard, and runs of the alphabet and of digits.
@@ -350,10 +338,10 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     A null or empty text has no spans. Rows stay as many as they are, with null
     ids and repeats; an empty table gives none. Only counts of words are shuffled.
     """
-    known, name = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text)), uuid.uuid4().hex
+    known = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text))
 
     def start():
-        words = _dictionary(name, known)
+        words = made_of(known, Dictionary)
         return lambda texts: [[[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t or "", words)] for t in texts]]
 
     return annotate(docs, [id], text, "spans array<struct<kind:string,start:long,end:long>>", start)
@@ -377,11 +365,11 @@ def digest(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` in all rows and columns, with secret values masked; ``n_chars`` follows where a text changed."""
     columns = docs.columns
-    known, name = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text)), uuid.uuid4().hex
+    known = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text))
     masked = fresh("masked", columns)
 
     def start():
-        words = _dictionary(name, known)
+        words = made_of(known, Dictionary)
         return lambda texts: [[redact(t, words) if t else t for t in texts]]
 
     done = annotate(docs, columns, text, f"{masked} string", start)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+from weakref import WeakKeyDictionary
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,19 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 Worker = Callable[[list], Sequence[Sequence]]
 
+_made: WeakKeyDictionary[Broadcast, Any] = WeakKeyDictionary()
+
+
+def made_of(shared: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What ``make`` makes of a broadcast value, once in a worker.
+
+    It is held as long as the broadcast, which a worker drops when it is given a
+    task without it; so tables of one stage don't lie beside those of the next.
+    """
+    if shared not in _made:
+        _made[shared] = make(shared.value)
+    return _made[shared]
+
 
 def slices(batch, column: int) -> Iterator:
     """A batch in slices of bounded rows and bytes of text."""
