@@ -218,3 +218,52 @@ def test_passage_rows_equal_a_plain_count():
         finally:
             decontaminate.ROW_CELLS = before
         assert np.allclose(parts, rows, atol=1e-6)
+
+
+def test_subsequences_are_only_computed_where_enough_words_are(spark, monkeypatch):
+    """A third of an item's words makes a window come near it; only where enough are is the subsequence worked out."""
+    rng = random.Random(12)
+    items = [decontaminate.Item(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)]
+    texts = [" ".join(rng.choices(["y", "z"], k=100) + rng.sample(item.text.split(), 12) + rng.choices(["y", "z"], k=100)) for item in items]
+    texts += [f"y {item.text} z" for item in items[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontaminate.fit(docs, items, "text")
+    tried, whole = [], decontaminate.Pattern.common
+    monkeypatch.setattr(decontaminate.Pattern, "common", lambda self, region: tried.append(region) or whole(self, region))
+    found = index.search(texts)
+    assert [[h["item"] for h in hits] for hits in found] == [[]] * 40 + [[i] for i in range(5)]
+    near = {(k, i) for k, i, _, _ in index.near([decontaminate.words_of(t) for t in texts])}
+    assert len(near) >= 40 and 0 < len(tried) <= 20
+
+
+def test_the_limit_of_a_subsequence_is_none_below_it():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(0, 20))] for _ in "ab")
+        assert lcs(a, b) <= decontaminate.Pattern(a).limit(b) <= len(a)
+
+
+def test_groups_of_texts_change_nothing(spark, monkeypatch):
+    docs, items, leaks = corpus(spark, 3)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    index = decontaminate.fit(docs, [decontaminate.Item(r.item_id, r.text) for r in items.collect()], "text")
+    whole = index.search(texts)
+    assert {(k, h["item"]) for k, hits in enumerate(whole) for h in hits} == leaks
+    for span in (16, 1000):
+        monkeypatch.setattr(decontaminate, "SPAN_WORDS", span)
+        assert index.search(texts) == whole
+
+
+def test_run_sums_equal_plain_sums():
+    rng = np.random.default_rng(1)
+    table = rng.standard_normal((50, 7))
+    for n in (0, 1, 40):
+        sizes = rng.integers(1, 9, n)
+        begins = np.cumsum(sizes) - sizes
+        rows, factors = rng.integers(0, 50, int(sizes.sum())), rng.standard_normal(int(sizes.sum()))
+        for f in (None, factors):
+            order, sums = decontaminate.run_sums(table, rows, begins, sizes, f)
+            given = table[rows] * (1 if f is None else f[:, None])
+            plain = [given[a : a + m].sum(axis=0) for a, m in zip(begins, sizes)]
+            assert sorted(order) == list(range(n))
+            assert np.allclose(sums, np.array([plain[i] for i in order]).reshape(-1, 7))

@@ -13,7 +13,7 @@ whether the item's answer stands there too.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -33,7 +33,7 @@ BLOCK_TERMS = 60_000
 SPAN_WORDS = 32_768
 CELLS = 4 << 20
 # Numbers of the passage matrix that are multiplied with the basis at once.
-ROW_CELLS = 1_024
+ROW_CELLS = 4_096
 RANK = 128
 POWER_STEPS = 2
 SEED = 7
@@ -79,15 +79,20 @@ def answer_of(text: str) -> list[bytes]:
 
 
 class Pattern:
-    """Longest common subsequence with a fixed word list, bit by bit over its words."""
+    """Longest common subsequence with a fixed list of words, or of their numbers, bit by bit over its words."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list):
         self.size = len(words)
-        self.places: dict[bytes, int] = {}
+        self.places: dict = {}
         for i, word in enumerate(words):
             self.places[word] = self.places.get(word, 0) | 1 << i
 
-    def common(self, words: list[bytes]) -> int:
+    def limit(self, words: Iterable) -> int:
+        """What ``common`` is at most: all places of the words that stand in ``words``, in any order."""
+        places = self.places
+        return sum([places[word].bit_count() for word in places.keys() & words])
+
+    def common(self, words: list) -> int:
         everything = (1 << self.size) - 1
         state = everything
         get = self.places.get
@@ -113,10 +118,18 @@ class Item:
 
     def __post_init__(self):
         self.words = words_of(self.text)
-        self.pattern = Pattern(self.words)
         self.answer = Pattern(answer_of(self.text))
 
 
+@dataclass
+class Sought:
+    """An item as it is searched for, over the numbers of its words."""
+
+    id: object
+    pattern: Pattern
+    answer: Pattern
+
+
 def item_blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[Item]]:
     """Items with words, a block of bounded size at a time."""
     block, size, terms = [], 0, set()
@@ -161,11 +174,12 @@ def passage_rows(texts: list, terms: dict[bytes, int], weights: np.ndarray) -> t
     A passage without weight has no row.
     """
     size = max(SCALES)
-    all_words = [words_of(t) for t in texts]
-    lengths = np.array([len(words) for words in all_words], np.int64)
-    total = int(lengths.sum())
-    ids = np.fromiter(map(terms.get, chain.from_iterable(all_words), repeat(-1)), np.int32, total)
-    places = np.flatnonzero((ids >= 0) & (weights[ids] > 0))
+    # Text by text: words are looked up while they are in the processor's cache.
+    ids_of = [np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words)) for words in map(words_of, texts)]
+    lengths = np.array(list(map(len, ids_of)), np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *ids_of])
+    places = np.flatnonzero(ids >= 0)
+    places = places[weights[ids[places]] > 0]
     of_text = np.searchsorted(np.cumsum(lengths), places, "right")
     parts = -(-lengths // size)
     passage = (np.cumsum(parts) - parts)[of_text] + (places - (np.cumsum(lengths) - lengths)[of_text]) // size
@@ -200,7 +214,7 @@ def _unpacked(part: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
     while first < n:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + ROW_CELLS, "right")) - 1)
         here = slice(bounds[first], bounds[last])
-        yield bounds[first:last] - bounds[first], at[here], values[here].astype(np.float64)
+        yield bounds[first:last] - bounds[first], at[here], values[here]
         first = last
 
 
@@ -225,19 +239,39 @@ def randomised_svd(passages: DataFrame, terms: dict[bytes, int], weights: np.nda
     """Right singular vectors (terms x rank) of the passage matrix, by subspace iteration from random vectors.
 
     The matrix is made once from the texts and written. Each step is one job: tasks
-    multiply their passages with the current basis and add up what comes back, a
-    table of terms x rank numbers.
+    multiply their passages with the current basis, in single precision as the
+    matrix is, and add up what comes back, a table of terms x rank numbers, in double.
     """
     with work(passages.sparkSession, "decontaminate") as folder:
         return _subspace(folder.save(passage_matrix(passages, terms, weights), "matrix"), len(terms), rank)
 
 
+def run_sums(table: np.ndarray, rows: np.ndarray, begins: np.ndarray, sizes: np.ndarray, factors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, none empty, the sum of ``table``'s rows that its part of ``rows`` names, times their ``factors``.
+
+    Longer runs come first; returned are their order and their sums. Whole rows are
+    added: the first of every run, the second of those that have two, and so on.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    firsts, shorter = begins[order], -sizes[order]
+
+    def taken(at: np.ndarray) -> np.ndarray:
+        part = table[rows[at]]
+        return part if factors is None else np.multiply(part, factors[at, None], out=part)
+
+    sums = taken(firsts)
+    for n in range(1, -int(shorter[0]) if len(shorter) else 0):
+        longer = int(np.searchsorted(shorter, -n))
+        sums[:longer] += taken(firsts[:longer] + n)
+    return order, sums
+
+
 def _subspace(matrix: DataFrame, size: int, rank: int) -> np.ndarray:
     rank = min(rank, size)
     basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, rank)))[0]
 
     def product(basis: np.ndarray, numbers: int, small: bool) -> np.ndarray:
-        known = matrix.sparkSession.sparkContext.broadcast(basis)
+        known = matrix.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
 
         def start():
             current = known.value
@@ -245,14 +279,19 @@ def _subspace(matrix: DataFrame, size: int, rank: int) -> np.ndarray:
             def add(parts, table):
                 whole = table.reshape(-1, rank)
                 for begins, at, values in chain.from_iterable(map(_unpacked, parts)):
-                    rows = np.add.reduceat(current[at] * values[:, None], begins, axis=0)
+                    sizes = np.diff(np.append(begins, len(at)))
+                    order, rows = run_sums(current, at, begins, sizes, values)
                     if small:
                         whole += rows.T @ rows
                         continue
-                    order = np.argsort(at, kind="stable")
-                    firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
-                    owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))[order]
-                    whole[at[order][firsts]] += np.add.reduceat(rows[owner] * values[order][:, None], firsts, axis=0)
+                    # Back from passages to terms: each passage's number in ``rows``, and the cells term by term.
+                    number = np.empty_like(order)
+                    number[order] = np.arange(len(order))
+                    by_term = np.argsort(at, kind="stable")
+                    firsts = np.flatnonzero(np.diff(at[by_term], prepend=-1))
+                    owner = np.repeat(number, sizes)[by_term]
+                    order, sums = run_sums(rows, owner, firsts, np.diff(np.append(firsts, len(at))), values[by_term])
+                    whole[at[by_term[firsts[order]]]] += sums
 
             return add
 
@@ -271,7 +310,7 @@ class Index:
     ``weights`` and ``latent`` end with a row for all other words.
     """
 
-    items: list[Item]
+    items: list[Sought]
     item_of: np.ndarray
     passage_words: np.ndarray
     terms: dict[bytes, int]
@@ -289,17 +328,23 @@ class Index:
         for scale in SCALES:
             yield scale, STEP, np.arange(len(self.passage_words))
 
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.terms.get, words, repeat(len(self.terms))), np.int32, len(words))
+
     def near(self, texts_words: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first word, end) of windows that are candidates, the texts laid end to end.
+        """(text, item, first word, end) of windows that are candidates."""
+        return self.near_ids([self.ids_of(words) for words in texts_words])
+
+    def near_ids(self, texts_ids: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """The same from the numbers of the words, the texts laid end to end.
 
-        Sums over windows are differences of running sums, which are held for
-        ``SPAN_WORDS`` first words and the windows that begin there.
+        ``SPAN_WORDS`` first words and the windows that begin there are looked at
+        together. Their vectors are added up from known words only.
         """
-        lengths = np.array([len(words) for words in texts_words], np.int64)
+        lengths = np.array(list(map(len, texts_ids)), np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         total = int(offsets[-1])
-        every = chain.from_iterable(texts_words)
-        ids = np.fromiter(map(self.terms.get, every, repeat(len(self.terms))), np.int32, total)
+        ids = np.concatenate([np.zeros(0, np.int32), *texts_ids])
         longest = max(*SCALES, *SHORT_SCALES)
         scales = list(self.scales())
         for begin in range(0, total, SPAN_WORDS):
@@ -309,7 +354,6 @@ class Index:
                 continue
             known = ids[places]
             weight = np.concatenate([[0.0], np.cumsum(self.weights[known])])
-            vectors = np.concatenate([np.zeros((1, self.latent.shape[1])), np.cumsum(self.latent[known], axis=0, dtype=np.float64)])
             first = int(np.searchsorted(offsets, begin, "right")) - 1
             last = int(np.searchsorted(offsets, min(total, begin + SPAN_WORDS), "left"))
             for scale, step, passages in scales:
@@ -328,27 +372,54 @@ class Index:
                 rows = max(1, CELLS // len(passages))
                 for at in range(0, len(chosen), rows):
                     some = chosen[at : at + rows]
-                    sums = (vectors[high[some]] - vectors[low[some]]).astype(np.float32)
+                    order, sums = run_sums(self.latent, known, low[some], high[some] - low[some])
+                    some = some[order]
                     norms = np.linalg.norm(sums, axis=1, keepdims=True)
-                    cosines = (sums / np.where(norms > 0, norms, 1)) @ directions
-                    heavy = mass[some][:, None] >= least[None, :]
-                    for c, passage in zip(*np.nonzero((cosines >= NEAR) & heavy)):
-                        k, item = owner[some[c]], self.item_of[passages[passage]]
-                        yield int(k), int(item), int(starts[some[c]] - offsets[k]), int(ends[some[c]] - offsets[k])
+                    sums /= np.where(norms > 0, norms, 1)
+                    window, passage = np.nonzero(sums @ directions >= NEAR)
+                    window = some[window]
+                    heavy = mass[window] >= least[passage]
+                    window, item = window[heavy], self.item_of[passages[passage[heavy]]]
+                    for a in range(0, len(window), SPAN_WORDS):
+                        w, i = window[a : a + SPAN_WORDS], item[a : a + SPAN_WORDS]
+                        k = owner[w]
+                        yield from zip(k.tolist(), i.tolist(), (starts[w] - offsets[k]).tolist(), (ends[w] - offsets[k]).tolist())
 
     def search(self, texts: list) -> list[list[dict]]:
         """Items found in each text, with the common words and how it was decided."""
-        all_words = [words_of(t) for t in texts]
-        found: list[dict[int, dict]] = [{} for _ in texts]
+        found, group, size = [], [], 0
+        for words in map(words_of, texts):
+            # Only the numbers are held: words that no item has don't matter.
+            group.append(self.ids_of(words))
+            size += len(words)
+            if size >= SPAN_WORDS:
+                found += self.search_ids(group)
+                group, size = [], 0
+        return found + self.search_ids(group)
+
+    def search_ids(self, all_ids: list[np.ndarray]) -> list[list[dict]]:
+        """The same for a group of texts."""
+        found: list[dict[int, dict]] = [{} for _ in all_ids]
         seen: set[tuple[int, int, int, int]] = set()
-        for k, item, start, end in self.near(all_words):
+        distinct: dict[int, set[int]] = {}
+        enough: dict[tuple[int, int], bool] = {}
+        for k, item, start, end in self.near_ids(all_ids):
             it = self.items[item]
+            # Most candidates have too few of the item's words, in whatever order: the whole text first, then the region.
+            if (k, item) not in enough:
+                if k not in distinct:
+                    distinct[k] = set(all_ids[k].tolist())
+                enough[k, item] = it.pattern.limit(distinct[k]) / it.pattern.size >= PARAPHRASE
+            if not enough[k, item]:
+                continue
             best = found[k].get(item)
             # Several passages of an item come near one window.
             if best and best["common"] == it.pattern.size or (k, item, start, end) in seen:
                 continue
             seen.add((k, item, start, end))
-            region = all_words[k][max(0, start - it.pattern.size) : end + it.pattern.size]
+            region = all_ids[k][max(0, start - it.pattern.size) : end + it.pattern.size].tolist()
+            if it.pattern.limit(region) / it.pattern.size < PARAPHRASE:
+                continue
             common = it.pattern.common(region)
             if best and common <= best["common"]:
                 continue
@@ -386,8 +457,11 @@ def fit(docs: DataFrame, items: list[Item], text: str) -> Index:
     latent = np.vstack([weights[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     sums = np.stack([latent[ids].sum(axis=0) for ids in of_passage])
     norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    sought = [
+        Sought(item.id, Pattern([terms[w] for w in item.words]), Pattern([terms.get(w, -1) for w in answer_of(item.text)])) for item in items
+    ]
     return Index(
-        items, np.repeat(np.arange(len(items)), list(map(len, passages_of))), np.array(list(map(len, of_passage))), terms,
+        sought, np.repeat(np.arange(len(items)), list(map(len, passages_of))), np.array(list(map(len, of_passage))), terms,
         np.append(weights, 0.0), latent, sums / np.where(norms > 0, norms, 1), np.array([weights[ids].sum() for ids in of_passage]),
     )
 
